@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pricewell.llm.common import read
 from pricewell.llm.line_dedup import dedup_lines
+from pricewell.llm.quality_rules import apply_rules
+from pricewell.llm.simhash import near_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +43,13 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIG
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+
+@_query
+def op4_quality_rules(spark, sf_dir):
+    return apply_rules(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_simhash(spark, sf_dir):
+    return near_groups(read(spark, sf_dir, "documents"))
