@@ -112,3 +112,59 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def with_text(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """Only the keys and the text: extra columns, also of clashing names, go no further."""
     return df.select(*[F.col(k) for k in keys], F.col(text).cast("string").alias("text"))
+
+
+def per_bytes(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, column: str = "text", most: int = 8 << 20) -> DataFrame:
+    """``fn`` over slices of Arrow batches that hold about ``most`` bytes of ``column``, one row at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            size = np.array([len(x) for x in texts(b, column)], np.int64)
+            block = np.cumsum(size) // most
+            at = starts_of(block)
+            for a, e in zip(at.tolist(), np.append(at[1:], len(block)).tolist(), strict=True):
+                yield from fn(b.slice(a, e - a))
+
+    return df.mapInArrow(run, schema)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_PLACES = 64
+with np.errstate(over="ignore"):
+    _TABLE = mix64(np.arange(_PLACES * 256, dtype=np.uint64), 3)
+
+
+def word_hashes(raw: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, and the number of words of each text.
+
+    A word is a run of bytes other than ASCII white space. Its hash is the sum of a fixed random
+    value for each byte and place in the word, so one pass over the bytes hashes all words.
+    """
+    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64)
+    space = _SPACE[data]
+    if lower:
+        data = _LOWER[data]
+    before = np.concatenate(([True], space[:-1]))
+    first = before & ~space
+    start = np.flatnonzero(first)
+    size = np.array([len(x) + 1 for x in raw], np.int64)
+    count = np.diff(np.searchsorted(start, np.concatenate(([0], np.cumsum(size)))))
+    if not len(start):
+        return np.zeros(0, np.uint64), count
+    at = np.flatnonzero(~space)
+    word = np.cumsum(first[at]) - 1
+    place = at - start[word]
+    with np.errstate(over="ignore"):
+        v = _TABLE[((place & (_PLACES - 1)) << 8) | data[at]]
+        far = place >= _PLACES
+        if far.any():
+            v[far] = mix64(v[far] + (place[far] // _PLACES).astype(np.uint64), 4)
+        total = np.add.reduceat(v, np.flatnonzero(first[at]))
+    return mix64(total, 5), count

@@ -10,6 +10,7 @@ from pricewell.llm.common import read
 from pricewell.llm.line_dedup import dedup_lines
 from pricewell.llm.quality_rules import apply_rules
 from pricewell.llm.simhash import near_groups
+from pricewell.llm.substring_dedup import drop_repeated_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +54,8 @@ def op4_quality_rules(spark, sf_dir):
 @_query
 def op9_simhash(spark, sf_dir):
     return near_groups(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_substring_dedup(spark, sf_dir):
+    return drop_repeated_windows(read(spark, sf_dir, "documents"), width=20, digest=True)
