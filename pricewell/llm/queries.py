@@ -11,6 +11,7 @@ from pricewell.llm.line_dedup import dedup_lines
 from pricewell.llm.quality_rules import apply_rules
 from pricewell.llm.simhash import near_groups
 from pricewell.llm.substring_dedup import drop_repeated_windows
+from pricewell.llm.suffix_dedup import drop_repeated_strings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +60,8 @@ def op9_simhash(spark, sf_dir):
 @_query
 def op6_substring_dedup(spark, sf_dir):
     return drop_repeated_windows(read(spark, sf_dir, "documents"), width=20, digest=True)
+
+
+@_query
+def op10_suffix_dedup(spark, sf_dir):
+    return drop_repeated_strings(read(spark, sf_dir, "documents"), width=50, digest=True)

@@ -35,17 +35,17 @@ def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("_d").to_numpy(), batch.column("_h").to_numpy()
 
 
-def _squeeze(a: np.ndarray) -> bytes:
+def squeeze(a: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True)
 
 
-def _open(data: bytes, n: int, kind) -> np.ndarray:
+def opened(data: bytes, n: int, kind) -> np.ndarray:
     kind = np.dtype(kind)
     return np.frombuffer(pa.decompress(data, decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
 
-def packs(shard: np.ndarray, kind: int, d: np.ndarray, h: np.ndarray, pos: np.ndarray, name: np.ndarray | None = None, flag: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """One packed row for each shard; name: (n, width) bytes."""
+def packs(shard: np.ndarray, kind: int, d: np.ndarray, h: np.ndarray, pos: np.ndarray, name: np.ndarray | None = None, flag: np.ndarray | None = None, more: Callable[[np.ndarray], tuple[bytes, bytes]] | None = None) -> Iterator[pa.RecordBatch]:
+    """One packed row for each shard; name: (n, width) bytes. ``more`` gives name and flag of a row from its entries' places instead."""
     if not len(shard):
         return
     order = np.lexsort((pos, h, d, shard))
@@ -57,19 +57,20 @@ def packs(shard: np.ndarray, kind: int, d: np.ndarray, h: np.ndarray, pos: np.nd
     for a, e in zip(at.tolist(), np.append(at[1:], len(shard)).tolist(), strict=True):
         own = np.flatnonzero(np.concatenate(([True], (d[a + 1 : e] != d[a : e - 1]) | (h[a + 1 : e] != h[a : e - 1]))))
         step = np.diff(pos[a:e].astype(np.int64), prepend=0).astype(np.int32)
-        values = (int(shard[a]), kind, e - a, _squeeze(d[a:e][own]), _squeeze(h[a:e][own]), np.diff(np.append(own, e - a)).astype(np.uint32).tobytes(), _squeeze(step), b"" if name is None else name[a:e].tobytes(), b"" if flag is None else _squeeze(flag[a:e]))
+        named, flagged = more(order[a:e]) if more else (b"" if name is None else name[a:e].tobytes(), b"" if flag is None else squeeze(flag[a:e]))
+        values = (int(shard[a]), kind, e - a, squeeze(d[a:e][own]), squeeze(h[a:e][own]), np.diff(np.append(own, e - a)).astype(np.uint32).tobytes(), squeeze(step), named, flagged)
         for k, v in zip(NAMES, values, strict=True):
             rows[k].append(v)
     yield pa.RecordBatch.from_arrays([pa.array(rows[k], pa.int32() if k in ("shard", "kind", "n") else pa.binary()) for k in NAMES], NAMES)
 
 
-def unpack(row: dict, width: int = 0) -> tuple[np.ndarray, ...]:
+def unpack(row: dict, width: int = 0, flags=np.uint8) -> tuple[np.ndarray, ...]:
     """d, h, pos, name, flag of each entry."""
     n, c = row["n"], np.frombuffer(row["c"], np.uint32)
-    d, h = (np.repeat(_open(row[k], len(c), np.int64), c) for k in ("d", "h"))
-    pos = np.cumsum(_open(row["pos"], n, np.int32).astype(np.int64))
+    d, h = (np.repeat(opened(row[k], len(c), np.int64), c) for k in ("d", "h"))
+    pos = np.cumsum(opened(row["pos"], n, np.int32).astype(np.int64))
     name = np.frombuffer(row["name"], np.uint8).reshape(n, width) if width else None
-    return d, h, pos, name, _open(row["flag"], n, np.uint8) if row["flag"] else None
+    return d, h, pos, name, opened(row["flag"], n, flags) if row["flag"] else None
 
 
 def by_doc(d: np.ndarray, h: np.ndarray, buckets: int) -> np.ndarray:
