@@ -139,16 +139,20 @@ with np.errstate(over="ignore"):
     _TABLE = mix64(np.arange(_PLACES * 256, dtype=np.uint64), 3)
 
 
-def word_hashes(raw: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+_NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def word_hashes(raw: list[bytes], lower: bool = False, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, and the number of words of each text.
 
-    A word is a run of bytes other than ASCII white space. Its hash is the sum of a fixed random
+    A word is a run of bytes other than ASCII white space, or with ``plain`` a run of letters, digits
+    and bytes beyond ASCII. Its hash is the sum of a fixed random
     value for each byte and place in the word, so one pass over the bytes hashes all words.
     """
     data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64)
-    space = _SPACE[data]
+    space = (_NOT_ALNUM if plain else _SPACE)[data]
     if lower:
         data = _LOWER[data]
     before = np.concatenate(([True], space[:-1]))

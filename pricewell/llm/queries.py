@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pricewell.llm.common import read
+from pricewell.llm.decontaminate import find_items
+from pricewell.llm.license_scan import scan_licenses
 from pricewell.llm.line_dedup import dedup_lines
 from pricewell.llm.quality_rules import apply_rules
 from pricewell.llm.simhash import near_groups
 from pricewell.llm.substring_dedup import drop_repeated_windows
 from pricewell.llm.suffix_dedup import drop_repeated_strings
+from pricewell.llm.warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +68,18 @@ def op6_substring_dedup(spark, sf_dir):
 @_query
 def op10_suffix_dedup(spark, sf_dir):
     return drop_repeated_strings(read(spark, sf_dir, "documents"), width=50, digest=True)
+
+
+@_query
+def op2_warc(spark, sf_dir):
+    return archive_round_trip(spark, read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query
+def op7_license_scan(spark, sf_dir):
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_decontamination(spark, sf_dir):
+    return find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
