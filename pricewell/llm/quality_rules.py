@@ -30,6 +30,10 @@ CLOSING = re.compile("(?:[.!?;:,\"')\\]]|…|”|’|»|。|！|？)$".encode())
 STOCK = re.compile(rb"lorem ipsum|all rights reserved|terms of (?:use|service)|privacy policy|accept (?:all )?cookies|enable javascript|click here|sign up for|skip to content")
 
 
+def symbol_count(text: bytes) -> int:
+    return len(text) - len(text.translate(None, SYMBOLS))
+
+
 def line_fails(line: bytes, max_symbols: float = 0.25, max_separators: float = 0.15, min_words: int = 5) -> str | None:
     """The first rule that the line breaks, or None. Lines without a word are not judged."""
     words = line.split()
@@ -39,7 +43,7 @@ def line_fails(line: bytes, max_symbols: float = 0.25, max_separators: float = 0
     separators = sum(w in SEPARATORS for w in words)
     if n >= min_words and separators > max_separators * n:
         return "navigation"
-    symbols = len(line) - len(line.translate(None, SYMBOLS))
+    symbols = symbol_count(line)
     if symbols > max_symbols * n and symbols > 1:
         return "punctuation"
     upper = len(line) - len(line.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -87,7 +91,7 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     words = text.split()
     chars = len(b"".join(words).decode("utf-8", "replace"))
-    symbols = len(text) - len(text.translate(None, SYMBOLS))
+    symbols = symbol_count(text)
     lines = [x for x in text.split(b"\n") if x.split(None, 1)]
     seen: dict[bytes, int] = {}
     ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))

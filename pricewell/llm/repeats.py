@@ -116,8 +116,7 @@ def exchange(sent: DataFrame, answer: Callable[[list[dict]], Iterator[tuple[np.n
     ``answer`` gets the packs of one shard and yields (d, h, pos) arrays; packs of kind
     ANSWER were answered where they were made and only pass through.
     """
-    parts = partitions(scratch.spark)
-    buckets = parts * SHARDS_A_PARTITION
+    buckets = parts = partitions(scratch.spark)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Answers(buckets)
@@ -178,7 +177,7 @@ def repeated_marks(docs: DataFrame, marks: Callable[[list[bytes]], tuple[np.ndar
         many = np.diff(np.append(at, len(names))) > 1
         yield from packs((names[at] % np.uint64(n_shards)).astype(np.int32), SENT, d[at], h[at], pos[at], np.ascontiguousarray(names[at]).view(np.uint8).reshape(-1, 8), many.astype(np.uint8))
         twice = np.repeat(many, np.diff(np.append(at, len(names))))
-        yield from packs(by_doc(d[twice], h[twice], n_shards), ANSWER, d[twice], h[twice], pos[twice])
+        yield from packs(by_doc(d[twice], h[twice], parts), ANSWER, d[twice], h[twice], pos[twice])
 
     def answer(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         d, h, pos, name, flag = (np.concatenate(x) for x in zip(*(unpack(r, 8) for r in rows), strict=True))

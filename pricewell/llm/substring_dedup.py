@@ -132,7 +132,8 @@ def _first_of_equals(a, b, d, h, pos):
 def repeated_windows(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """(_d, _h, found): starts of the windows whose words also start earlier."""
     marked = repeated_marks(docs, _marks(width), scratch, "symbols")
-    n_shards = partitions(docs.sparkSession) * SHARDS_A_PARTITION
+    parts = partitions(docs.sparkSession)
+    n_shards = parts * SHARDS_A_PARTITION
 
     def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         names, count = word_hashes(texts(batch))
@@ -152,7 +153,7 @@ def repeated_windows(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame
         a, b, d, h, pos, first, later = _first_of_equals(a, b, keys[0][doc], keys[1][doc], at - base[doc])
         name12 = np.concatenate((a[first].view(np.uint8).reshape(-1, 8), b[first].astype(np.uint32).view(np.uint8).reshape(-1, 4)), axis=1)
         yield from packs((a[first] % np.uint64(n_shards)).astype(np.int32), SENT, d[first], h[first], pos[first], name12)
-        yield from packs(by_doc(d[later], h[later], n_shards), ANSWER, d[later], h[later], pos[later])
+        yield from packs(by_doc(d[later], h[later], parts), ANSWER, d[later], h[later], pos[later])
 
     def answer(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         d, h, pos, name = (np.concatenate(x) for x in zip(*(unpack(r, 12)[:4] for r in rows), strict=True))

@@ -194,7 +194,8 @@ def _stretches(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
 def repeated_strings(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """(_d, _h, found): where strings of ``width`` bytes begin that a smaller doc_id also has."""
     marked = repeated_marks(docs, _marks(width), scratch, "anchors")
-    n_shards = partitions(docs.sparkSession) * SHARDS_A_PARTITION
+    parts = partitions(docs.sparkSession)
+    n_shards = parts * SHARDS_A_PARTITION
 
     def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raw = texts(batch)
@@ -230,19 +231,19 @@ def repeated_strings(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame
         yield from packs((name[sent] % np.uint64(n_shards)).astype(np.int32), SENT, d[sent], h[sent], pos[sent], more=more)
         at = np.repeat(pos[later] - (np.cumsum(count[later]) - count[later]), count[later]) + np.arange(int(count[later].sum()))
         d, h = np.repeat(d[later], count[later]), np.repeat(h[later], count[later])
-        yield from packs(by_doc(d, h, n_shards), ANSWER, d, h, at)
+        yield from packs(by_doc(d, h, parts), ANSWER, d, h, at)
 
     def answer(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        parts, names, counts, blobs, n = [], [], [], [], 0
+        entries, names, counts, blobs, n = [], [], [], [], 0
         for r in rows:
             d, h, pos, _, which = unpack(r, flags=np.uint32)
             m, size = np.frombuffer(r["name"], np.int64, 2).tolist()
             names.append(np.frombuffer(r["name"], np.uint64, m, 16))
             counts.append(np.frombuffer(r["name"], np.uint16, m, 16 + 8 * m).astype(np.int64))
             blobs.append(opened(r["name"][16 + 10 * m :], size, np.uint8))
-            parts.append((d, h, pos, which.astype(np.int64) + n))
+            entries.append((d, h, pos, which.astype(np.int64) + n))
             n += m
-        d, h, pos, which = (np.concatenate(x) for x in zip(*parts, strict=True))
+        d, h, pos, which = (np.concatenate(x) for x in zip(*entries, strict=True))
         name, count, data = np.concatenate(names), np.concatenate(counts), np.concatenate(blobs)
         size = count + width - 1
         begin = np.cumsum(size) - size
