@@ -151,7 +151,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3, carry:
 
     source = docs.select(*dict.fromkeys([*carry, "text"]))
     kinds = T.StructType([f for c in carry for f in source.schema if f.name == c])
-    return per_bytes(source, run, kinds.add("score", "double").add("predicted", "int"))
+    return per_bytes(source, run, kinds.add("score", T.DoubleType()).add("predicted", T.IntegerType()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -10,7 +10,9 @@ from pricewell.llm.common import read
 from pricewell.llm.decontaminate import find_items
 from pricewell.llm.license_scan import scan_licenses
 from pricewell.llm.line_dedup import dedup_lines
+from pricewell.llm.quality_classifier import classify
 from pricewell.llm.quality_rules import apply_rules
+from pricewell.llm.sentencepiece_codec import encode_round_trip
 from pricewell.llm.simhash import near_groups
 from pricewell.llm.substring_dedup import drop_repeated_windows
 from pricewell.llm.suffix_dedup import drop_repeated_strings
@@ -83,3 +85,13 @@ def op7_license_scan(spark, sf_dir):
 @_query
 def op8_decontamination(spark, sf_dir):
     return find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op3_sentencepiece(spark, sf_dir):
+    return encode_round_trip(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_quality_classifier(spark, sf_dir):
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -329,7 +329,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, text: str = "text", ca
 
     source = docs.select(*dict.fromkeys([*carry, text]))
     kinds = T.StructType([f for c in carry for f in source.schema if f.name == c])
-    return per_batch(source, run, kinds.add("ids", "array<int>").add("n_ids", "long"), rows=1000)
+    return per_batch(source, run, kinds.add("ids", T.ArrayType(T.IntegerType())).add("n_ids", T.LongType()), rows=1000)
 
 
 def _lists(rows: list[np.ndarray | None]) -> pa.Array:
@@ -348,7 +348,7 @@ def decode(rows: DataFrame, model_path: str = MODEL_PATH, ids: str = "ids") -> D
         model = _model(held)
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array([model.decode(x) for x in batch.column(ids).to_pylist()], pa.string())], [*carry, "decoded"])
 
-    return per_batch(rows.select(*carry), run, rows.select(*carry).schema.add("decoded", "string"), rows=1000)
+    return per_batch(rows.select(*carry), run, rows.select(*carry).schema.add("decoded", T.StringType()), rows=1000)
 
 
 def encode_round_trip(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
