@@ -1 +1,3 @@
 """Named queries: each module registers its own in ``pricewell.registry``."""
+
+from pricewell.plans import price_plans  # noqa: F401
