@@ -109,11 +109,11 @@ def event_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "event_props",
-    """SELECT event_type, count(*) AS n, count(DISTINCT json_extract_string(props, '$.page')) AS pages, count(*) FILTER (WHERE json_extract_string(props, '$.page') IS NULL) AS without_page FROM events GROUP BY event_type""",
+    """SELECT event_type, count(*) AS n, count(DISTINCT json_extract_string(props, '$.k')) AS pages, count(*) FILTER (WHERE json_extract_string(props, '$.k') IS NULL) AS without_page FROM events GROUP BY event_type""",
 )
 def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON text read with a path."""
-    page = F.get_json_object("props", "$.page")
+    page = F.get_json_object("props", "$.k")
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(page).alias("pages"), F.count_if(page.isNull()).alias("without_page"))
 
 
