@@ -101,7 +101,7 @@ def name_divergence(a: Column, b: Column, least: float = 0.35) -> Column:
 
 
 def condition_line(parts: Column) -> Column:
-    return F.array_join(F.array_distinct(F.filter(F.transform(parts, F.trim), lambda p: p != "")), " · ")
+    return F.array_join(F.array_distinct(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")), " · ")
 
 
 def group_key(product: Column, name: Column, brand: Column, quantity: Column) -> Column:

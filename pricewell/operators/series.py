@@ -61,8 +61,9 @@ def slope(y: Column, x: Column) -> Column:
 
 def project(df: DataFrame, series: str, x: str, y: str, steps: int = 6) -> DataFrame:
     """(series, x, projected): the next ``steps`` whole steps along the regression slope from the last point."""
-    fit = df.groupBy(series).agg(slope(F.col(y), F.col(x)).alias("s"), F.max(x).alias("x0"), F.max_by(y, x).alias("y0"))
-    return fit.select(series, F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("k"), "s", "x0", "y0").select(series, (F.col("x0") + F.col("k")).alias(x), half_up(F.col("y0") + F.col("s") * F.col("k"), 4).alias("projected"))
+    fit = df.groupBy(series).agg(slope(F.col(y), F.col(x)).alias("_s"), F.max(x).alias("_x"), F.max_by(y, x).alias("_y"))
+    ahead = fit.select(series, F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("_k"), "_s", "_x", "_y")
+    return ahead.select(series, (F.col("_x") + F.col("_k")).alias(x), half_up(F.col("_y") + F.col("_s") * F.col("_k"), 4).alias("projected"))
 
 
 def stack(df: DataFrame, row: str, series: str, value: str) -> DataFrame:

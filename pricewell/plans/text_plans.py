@@ -191,3 +191,24 @@ def json_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = parsed.select("user_id", "event_id", "o.*").filter(money.money_ok(F.col("price")) & (F.length("name") >= 3) & ~F.col("name").rlike(r"^\d+$"))
     first = good.groupBy("user_id", F.lower("name").alias("k")).agg(F.min_by(F.struct("name", "price"), "event_id").alias("r"))
     return first.groupBy(F.col("r.name").alias("name")).agg(F.count(F.lit(1)).alias("offers"), F.floor(F.sum(half_up(F.col("r.price") * 100)) + 0.5).cast("long").alias("cents"))
+
+
+@query("offer_parser")
+def offer_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers read from flyer texts made of parts; held against worked examples in the tests."""
+    from pricewell.operators.offers import parse_pages
+
+    text = F.expr("concat(upper(p_name), '\n', CAST(p_size AS STRING), 'KG\nDE ', CAST(p_partkey % 90 + 10 AS STRING), ',90\nPOR ', CAST(p_partkey % 9 + 1 AS STRING), ',49\n\nFEIJÃO ', p_brand, '\n1KG\nR$ 8,99')")
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit(1).alias("page_number"), text.alias("text"), F.lit(0.9).alias("confidence"))
+    return parse_pages(pages)
+
+
+@query("lenient_json")
+def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers of answers that are fenced, carry trailing commas or end early."""
+    from pricewell.operators.offers import offers_from_json
+
+    e = table(spark, sf_dir, "events")
+    one = F.to_json(F.struct(F.col("event_type").alias("name"), F.col("value").alias("price"), F.lit("kg").alias("unit")))
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"offers":['), one, F.lit(",]}"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("```json\n"), F.lit('{"offers":['), one, F.lit("]}\n```"))).otherwise(F.concat(F.lit('{"offers":['), one, F.lit(',{"name":"cut off","pri')))
+    return offers_from_json(e.select(F.col("event_id").alias("page_id"), F.lit(1).alias("page_number"), raw.alias("raw")))
