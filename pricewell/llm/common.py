@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,13 +74,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, rows: int = 2000) -> DataFrame:
-    """``fn`` over Arrow batches of at most ``rows`` rows; memory follows one batch."""
+def cuts(batch: pa.RecordBatch, rows: int, most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``most`` bytes of a column, one row at least."""
+    if not batch.num_rows:
+        return
+    at = np.arange(batch.num_rows) // rows
+    if column in batch.schema.names:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = at * (1 << 32) + np.cumsum(size, dtype=np.int64) // most
+    begin = starts_of(at)
+    for a, e in zip(begin.tolist(), np.append(begin[1:], len(at)).tolist(), strict=True):
+        yield batch.slice(a, e - a)
+
+
+def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema, rows: int = 2000, most: int = 4 << 20) -> DataFrame:
+    """``fn`` over slices of Arrow batches; memory follows one slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, rows):
-                yield from fn(b.slice(at, rows))
+            for part in cuts(b, rows, most):
+                yield from fn(part)
 
     return df.mapInArrow(run, schema)
 
@@ -114,20 +128,9 @@ def with_text(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return df.select(*[F.col(k) for k in keys], F.col(text).cast("string").alias("text"))
 
 
-def per_bytes(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, column: str = "text", most: int = 8 << 20) -> DataFrame:
-    """``fn`` over slices of Arrow batches that hold about ``most`` bytes of ``column``, one row at least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            size = np.array([len(x) for x in texts(b, column)], np.int64)
-            block = np.cumsum(size) // most
-            at = starts_of(block)
-            for a, e in zip(at.tolist(), np.append(at[1:], len(block)).tolist(), strict=True):
-                yield from fn(b.slice(a, e - a))
-
-    return df.mapInArrow(run, schema)
+def per_bytes(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema, most: int = 4 << 20) -> DataFrame:
+    """``fn`` over slices that hold about ``most`` bytes of text: as large as the arrays made of it allow."""
+    return per_batch(df, fn, schema, 1 << 20, most)
 
 
 _SPACE = np.zeros(256, bool)

@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewell.llm.common import mix64, starts_of, texts, word_hashes
+from pricewell.llm.common import cuts, mix64, texts, word_hashes
 
 WORDS = 5
 HASHES = 64
+SLICE = 2 << 20  # bytes of text whose arrays a task holds
 SLACK = 1.25  # a passage may be longer than its item by so much
 _SALT = mix64(np.arange(HASHES, dtype=np.uint64), 21)
 _ODD = mix64(np.arange(HASHES, dtype=np.uint64), 22) | np.uint64(1)
@@ -147,15 +148,6 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Items]:
         yield Items([r["item_id"] for r in got], [(r["text"] or "").encode() for r in got])
 
 
-def _slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    raw = texts(batch)
-    if not raw:
-        return
-    at = starts_of(np.cumsum([len(x) for x in raw]) // most).tolist()
-    for a, e in zip(at, [*at[1:], len(raw)], strict=True):
-        yield batch.slice(a, e - a), raw[a:e]
-
-
 def find_items(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, item_id, n_shingles, containment) of items of which ``least`` or more lies in a document."""
     spark = docs.sparkSession
@@ -166,7 +158,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block_
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for part, raw in _slices(b):
+                for part in cuts(b, 1 << 20, SLICE):
+                    raw = texts(part)
                     rows = held.value.matches(raw, least)
                     if rows:
                         doc, item, n, share = zip(*rows, strict=True)
@@ -185,7 +178,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8,
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for part, raw in _slices(b):
+                for part in cuts(b, 1 << 20, SLICE):
+                    raw = texts(part)
                     bad = {x[0] for x in held.value.matches(raw, least)}
                     yield part.filter(pa.array([k not in bad for k in range(len(raw))])) if bad else part
 

@@ -36,7 +36,7 @@ from pricewell.llm.common import per_batch
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-WORDS_KEPT = 800_000  # words whose ids a worker remembers
+WORDS_KEPT = 300_000  # words whose ids a worker remembers
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -236,7 +236,7 @@ class Model:
             key = (states[begin][0], piece)
             known = apart.get(key)
             if known is None:
-                if len(apart) > 300_000:
+                if len(apart) > 150_000:
                     apart.clear()
                 known = apart[key] = self.stay_apart(*key)
             if known:

@@ -285,7 +285,7 @@ def repeated_strings(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame
             m = np.array([len(x) for _, x in rest])
             yield np.repeat(d[ks], m), np.repeat(h[ks], m), np.repeat(pos[ks], m) + np.concatenate([x for _, x in rest])
 
-    found = exchange(per_bytes(join_found(docs, marked), send, PACK, most=4 << 20), answer, scratch, "strings")
+    found = exchange(per_bytes(join_found(docs, marked), send, PACK), answer, scratch, "strings")
     scratch.drop("anchors")
     return found
 
