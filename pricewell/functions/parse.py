@@ -30,6 +30,7 @@ PHRASES = (
 )
 UNKNOWN_HINT = r"exclusiv[oa]\b"
 INSTITUTIONAL = r"aceitamos\s+cart|bandeiras|visa|mastercard|hipercard"
+_TRIGGER = r"(?iu)clube|cliente|fidelidade|cart[aã]o|cpf|app|aplicativo|cupom|pagando|pix|leve|partir|compra|exclusiv"
 # Which type leads when a text tells several.
 TYPE_RANK = ("LOYALTY_PROGRAM", "STORE_CARD", "CPF_REQUIRED", "APP_ONLY", "COUPON_REQUIRED", "PAYMENT_METHOD", "QUANTITY_REQUIRED", "UNKNOWN")
 
@@ -47,7 +48,9 @@ def eligibility_phrases(text: Column) -> Column:
     some = F.array_distinct(F.filter(F.array(*hits), lambda h: h.isNotNull()))
     hint = F.trim(F.regexp_extract(t, f"(?i)({UNKNOWN_HINT})", 1))
     bare = F.when(hint != "", F.array(F.struct(F.lit("UNKNOWN").alias("type"), hint.alias("text")))).otherwise(F.slice(some, 1, 0))
-    return F.when(F.size(some) > 0, some).otherwise(bare)
+    none = F.array().cast("array<struct<type:string,text:string>>")
+    # one pattern tells for most texts that no phrase can be there
+    return F.when(t.rlike(_TRIGGER), F.when(F.size(some) > 0, some).otherwise(bare)).when(t.isNotNull(), none)
 
 
 def primary_type(types: Column) -> Column:

@@ -21,17 +21,18 @@ def clean_name(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(y, r"(?i)\b(DE|POR|A\s*PARTIR\.?)\b", " "), r"\s+", " "))
 
 
-def _look_back(lines: Column, i: Column) -> Column:
+def _look_back(i: Column) -> Column:
     """The name above line ``i``: up to three lines among the six before, up to noise or another price block."""
-    before = F.reverse(F.slice(lines, F.greatest(i - 6, F.lit(0)) + 1, F.least(i, F.lit(6))))
+    span = lambda c: F.reverse(F.slice(F.col(c), F.greatest(i - 6, F.lit(0)) + 1, F.least(i, F.lit(6))))
+    before = F.arrays_zip(span("lines").alias("t"), span("noise").alias("n"), span("n_prices").alias("k"))
     start = F.struct(F.array().cast("array<string>").alias("p"), F.lit(False).alias("stop"))
 
-    def step(acc: Column, line: Column) -> Column:
-        noise, some = line.rlike(_NOISE), F.size(acc["p"]) > 0
-        ends = (noise & some) | (~noise & (F.size(money.extract_prices(line)) >= 2)) | (F.size(acc["p"]) >= 3)
-        return F.when(acc["stop"] | ends, F.struct(acc["p"].alias("p"), F.lit(True).alias("stop"))).when(noise, acc).otherwise(F.struct(F.array_append(acc["p"], line).alias("p"), F.lit(False).alias("stop")))
+    def step(acc: Column, x: Column) -> Column:
+        size = F.size(acc["p"])
+        ends = acc["stop"] | F.when(x["n"], size > 0).otherwise((x["k"] >= 2) | (size >= 3))
+        return F.struct(F.when(ends | x["n"], acc["p"]).otherwise(F.array_append(acc["p"], x["t"])).alias("p"), ends.alias("stop"))
 
-    return F.aggregate(before, start, step, lambda acc: clean_name(F.array_join(F.reverse(acc["p"]), " ")))
+    return F.aggregate(before, start, step, lambda acc: F.array_join(F.reverse(acc["p"]), " "))
 
 
 def _found(i, name, price, original, raw, conf) -> Column:
@@ -46,6 +47,10 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     """
     lines = F.filter(F.transform(F.split(squeeze_space(F.coalesce("text", F.lit(""))), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     p = pages.select("page_id", "page_number", lines.alias("lines"), F.coalesce("confidence", F.lit(0.5)).alias("conf")).filter(F.size("lines") > 0)
+    # each pattern runs once a line
+    p = p.withColumns({"noise": F.transform("lines", lambda x: x.rlike(_NOISE)), "prices": F.transform("lines", money.extract_prices)})
+    p = p.withColumn("n_prices", F.transform("prices", lambda x: F.size(x)))
+    p = p.withColumn("above", F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: clean_name(_look_back(i))))
     ls, at = F.col("lines"), F.sequence(F.lit(0), F.size("lines") - 1)
     near = lambda i, a, b: F.slice(ls, F.greatest(i - a, F.lit(0)) + 1, F.least(i, F.lit(a)) + b)
 
@@ -53,7 +58,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         joined = F.array_join(near(i, 5, 2), " ")
         old, new = (money.parse_brl(F.regexp_extract(joined, _PAIR, k)) for k in (1, 2))
         hit = F.get(ls, i).rlike("(?i)POR") & joined.rlike(_PAIR)
-        return F.when(hit, _found(i, _look_back(ls, i), new, old, F.array_join(near(i, 5, 3), "\n"), F.col("conf")))
+        return F.when(hit, _found(i, F.get("above", i), new, old, F.array_join(near(i, 5, 3), "\n"), F.col("conf")))
 
     p = p.withColumn("pairs", F.filter(F.transform(at, pair), lambda x: x.isNotNull()))
     used = F.flatten(F.transform("pairs", lambda x: F.array(x["line"], x["line"] - 1)))
@@ -61,13 +66,13 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
     def alone(i: Column) -> Column:
         line = F.get(ls, i)
-        ps = money.extract_prices(line)
+        ps = F.get("prices", i)
         low = F.get(F.array_sort(ps, lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)), F.lit(1))
         high = F.array_max(ps)
         two = (F.size(ps) >= 2) & ~line.rlike(r"(?i)\d{1,2}\s*[xX]\b|[àa]\s*vista")
         gap = two & (high / low >= 1.02)
         price = F.when(gap, low).when(two, F.element_at(ps, -1)).otherwise(F.get(ps, F.lit(0)))
-        own, above = clean_name(line), _look_back(ls, i)
+        own, above = clean_name(line), F.get("above", i)
         name = F.when(F.length(own) < 3, above).when(F.length(above) >= 3, clean_name(F.concat_ws(" ", above, own))).otherwise(own)
         use = (F.size(ps) > 0) & ~F.array_contains(F.col("used"), i) & ~line.rlike(_PARTS) & ~name.rlike(r"^[\d\s.,/-]*$")
         conf = F.col("conf") * F.when(F.size("used") > 0, 0.75).otherwise(0.85)
