@@ -1,3 +1,3 @@
 """Named queries: each module registers its own in ``pricewell.registry``."""
 
-from pricewell.plans import dashboard_plans, flyer_plans, price_plans, series_plans, text_plans  # noqa: F401
+from pricewell.plans import catalogue_plans, dashboard_plans, flyer_plans, price_plans, series_plans, text_plans  # noqa: F401
