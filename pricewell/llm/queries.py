@@ -95,3 +95,79 @@ def op3_sentencepiece(spark, sf_dir):
 @_query
 def op5_quality_classifier(spark, sf_dir):
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+# base32 of a SHA-1: forty hexadecimal digits are eight groups of twenty bits, four letters each
+ORACLES["op2_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, hex,
+    array_to_string(list_transform(range(0, 32), lambda i:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+    min(page_id) OVER (PARTITION BY hex, octet_length(encode(body))) AS first
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM d
+"""
+
+ORACLES["op6_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM p),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM f WHERE rn > 1),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS word FROM w),
+left_over AS (
+  SELECT words.doc_id, count(*) FILTER (WHERE gone.j IS NOT NULL) AS n_removed,
+    string_agg(word, ' ' ORDER BY words.j) FILTER (WHERE gone.j IS NULL) AS kept
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.j = words.j GROUP BY words.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN left_over USING (doc_id)
+"""
+
+ORACLES["op4_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM p) WHERE c > 1),
+repeats AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY doc_id),
+l AS (
+  SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+m AS (
+  SELECT doc_id, line, len(lw) AS n, octet_length(encode(array_to_string(lw, ''))) AS bytes, lw[-1] AS last_word,
+    len(list_filter(lw, lambda x: x IN ('|', '>', '/', '-', '*', '»', '•', '·'))) AS separators,
+    len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '[A-Z]')) AS upper, len(regexp_extract_all(line, '[a-z]')) AS lower,
+    len(regexp_extract_all(line, '!!')) AS exclaims
+  FROM l),
+f AS (
+  SELECT *, CASE
+    WHEN n = 0 THEN false
+    WHEN n >= 5 AND separators > 0.15::DOUBLE * n THEN true
+    WHEN symbols > 0.25::DOUBLE * n AND symbols > 1 THEN true
+    WHEN n >= 5 AND upper > lower THEN true
+    WHEN n >= 5 AND exclaims > 0.25::DOUBLE * n THEN true
+    WHEN regexp_matches(line, '(?i)lorem ipsum|all rights reserved|terms of (use|service)|privacy policy|accept (all )?cookies|enable javascript|click here|sign up for|skip to content') THEN true
+    ELSE n >= 5 AND NOT regexp_matches(last_word, '([.!?;:,"'')\]]|…|”|’|»|。|！|？)$') END AS fails
+  FROM m),
+a AS (
+  SELECT doc_id, count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines,
+    sum(bytes) AS total, coalesce(sum(bytes) FILTER (WHERE fails), 0) AS lost
+  FROM f GROUP BY doc_id),
+b AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    n_dup_lines::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, lost <= 0.5::DOUBLE * total AS enough
+  FROM d JOIN a USING (doc_id) LEFT JOIN repeats USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND enough AS kept
+FROM b
+"""
+
+_SHINGLES = r"""SELECT {id}, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM (SELECT {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM {table})"""
+ORACLES["op8_decontamination"] = f"""
+WITH i AS ({_SHINGLES.format(id='item_id', table='benchmark')}), d AS ({_SHINGLES.format(id='doc_id', table='documents')}),
+ik AS (SELECT item_id, len(s) AS n, unnest(s) AS k FROM i), dk AS (SELECT doc_id, unnest(s) AS k FROM d)
+SELECT doc_id, item_id, n::BIGINT AS n_shingles, count(*) / n::DOUBLE AS containment
+FROM ik JOIN dk USING (k) GROUP BY doc_id, item_id, n HAVING count(*) / n::DOUBLE >= 0.8
+"""
