@@ -85,3 +85,12 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "/root/testdata/sf0.001").collect() == []
+
+
+def test_repeated_rows_and_rows_without_id(spark):
+    text = "Some words that stand in a row and end here. " * 5
+    docs = spark.createDataFrame([(3, text, "en", "s", 1), (3, text, "en", "s", 1), (4, text, "en", "s", 1), (None, text, "en", "s", 1), (5, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()
+    assert sorted((r.doc_id for r in got), key=str) == [3, 5, None]
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "/root/testdata/sf0.001").collect()
