@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pricewell.functions.dates import parse_validity
+
 # Eligibility types and the phrases that tell them, in the order in which they are reported.
 PHRASES = (
     ("LOYALTY_PROGRAM", r"exclusiv[oa]\s+(para\s+)?(os\s+)?(clientes?\s+)?(do\s+)?clube"),
@@ -32,7 +34,7 @@ UNKNOWN_HINT = r"exclusiv[oa]\b"
 INSTITUTIONAL = r"aceitamos\s+cart|bandeiras|visa|mastercard|hipercard"
 _TRIGGER = r"(?iu)clube|cliente|fidelidade|cart[aã]o|cpf|app|aplicativo|cupom|pagando|pix|leve|partir|compra|exclusiv"
 # Which type leads when a text tells several.
-TYPE_RANK = ("LOYALTY_PROGRAM", "STORE_CARD", "CPF_REQUIRED", "APP_ONLY", "COUPON_REQUIRED", "PAYMENT_METHOD", "QUANTITY_REQUIRED", "UNKNOWN")
+TYPE_RANK = ("UNKNOWN", "QUANTITY_REQUIRED", "COUPON_REQUIRED", "APP_ONLY", "CPF_REQUIRED", "STORE_CARD", "PAYMENT_METHOD", "LOYALTY_PROGRAM", "ALL_CUSTOMERS")
 
 
 def eligibility_phrases(text: Column) -> Column:
@@ -63,18 +65,52 @@ def confidence_band(x: Column) -> Column:
 
 
 def eligibility_status(x: Column) -> Column:
-    return F.when(x >= 0.9, "ai_validated").otherwise("pending_review")
-
-
-def resolve_eligibility(rule_types: Column, ai_type: Column, ai_evidence: Column) -> Column:
-    """struct(type, confidence, source): rules beat the model's answer, which without evidence is UNKNOWN."""
-    rules = primary_type(rule_types)
-    has_rule, only_hint = rules != "ALL_CUSTOMERS", rules == "UNKNOWN"
-    proven = ai_type.isNotNull() & ai_evidence.isNotNull() & (F.trim(ai_evidence) != "")
-    kind = F.when(has_rule & ~only_hint, rules).when(proven, ai_type).when(has_rule | (ai_type.isNotNull() & (ai_type != "ALL_CUSTOMERS")), F.lit("UNKNOWN")).otherwise(F.lit("ALL_CUSTOMERS"))
-    conf = F.when(has_rule & ~only_hint, 0.92).when(proven, 0.75).when(kind == "UNKNOWN", 0.42).otherwise(0.91)
-    source = F.when(has_rule, "rules").when(proven, "model").otherwise("default")
-    return F.struct(kind.alias("type"), conf.alias("confidence"), source.alias("source"))
+    return F.when(x >= 0.9, "ai_validated").otherwise("review_required")
+
+
+def resolve_eligibility(rule_types: Column, ai_type: Column, ai_types: Column, ai_confidence: Column, ai_evidence: Column) -> Column:
+    """struct(type, types, confidence, status) of an offer, from phrases and from a model's answer.
+
+    Phrases win. The model's answer counts only with evidence; without it a single claim becomes UNKNOWN and
+    conditions are dropped.
+    """
+    none, some = F.array().cast("array<string>"), F.size(F.coalesce(rule_types, F.array().cast("array<string>"))) > 0
+    told = F.coalesce(ai_types, none)
+    proven = F.coalesce(F.trim(ai_evidence) != "", F.lit(False))
+    claims = ai_type.isNotNull() & (ai_type != "ALL_CUSTOMERS")
+    kind = F.when(claims & ~proven, F.when(F.size(told) == 0, "UNKNOWN")).otherwise(ai_type)
+    claims = F.coalesce(kind != "ALL_CUSTOMERS", F.lit(False))
+    own = F.when(proven, told).otherwise(none)
+    types = F.when(some, F.array_union(rule_types, own)).when(proven & (F.size(own) > 0), F.array_distinct(own)).when(proven & claims, F.array(kind)).otherwise(none)
+    agrees = claims & F.array_contains(types, kind) & ai_confidence.isNotNull()
+    conf = (
+        F.when(some, F.when(agrees, F.greatest(F.lit(0.92), ai_confidence)).otherwise(0.92))
+        .when(proven & ((F.size(own) > 0) | claims), F.coalesce(ai_confidence, F.lit(0.75)))
+        .when(kind == "UNKNOWN", F.coalesce(ai_confidence, F.lit(0.42)))
+        .otherwise(F.coalesce(ai_confidence, F.lit(0.91)))
+    )
+    final = F.when(F.size(types) > 0, primary_type(types)).when(kind == "UNKNOWN", "UNKNOWN").otherwise("ALL_CUSTOMERS")
+    conf = F.when((final == "UNKNOWN") & (F.size(types) == 0), F.least(conf, F.lit(0.5))).otherwise(conf)
+    return F.struct(final.alias("type"), types.alias("types"), conf.alias("confidence"), eligibility_status(conf).alias("status"))
+
+
+# Words that mark a listing as archived; a date in a title, and a range of two.
+ARCHIVE = r"(?i)anteriores|arquiv|edi[cç][oõ]es?\s+passad|encartes?\s+antig"
+_DATE = r"\d{1,2}\s*[./-]\s*\d{1,2}(?:\s*[./-]\s*\d{2,4})?"
+
+
+def stale_title(title: Column, as_of: Column, zone: str = "America/Fortaleza") -> Column:
+    """Whether a listing's title is of an archive, or its last date (a range's end, if there is a range) has passed."""
+    ranged = F.regexp_extract(title, rf"(?i){_DATE}\s+a\s+({_DATE})", 1)
+    last = F.when(ranged != "", ranged).otherwise(F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(title, F.lit(f"({_DATE})"), F.lit(1))), -1))
+    until = parse_validity(F.regexp_replace(F.regexp_replace(last, r"\s", ""), "[.-]", "/"), as_of, zone, until=True)
+    return title.rlike(ARCHIVE) | F.coalesce(until < as_of, F.lit(False))
+
+
+def semantic(kind: Column, text: Column) -> Column:
+    """What a recorded step is for, by the words on it."""
+    t = F.lower(text)
+    return F.when(t.rlike("estado|uf|state"), "SELECT_STATE").when(t.rlike("cidade|city"), "SELECT_CITY").when(t.rlike("loja|store|filial"), "OPEN_STORE").when(t.rlike("encarte|flyer|catalog|oferta|promo"), "OPEN_FLYERS").when(kind == "navigation", "NAVIGATE")
 
 
 def content_type(data: Column) -> Column:

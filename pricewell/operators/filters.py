@@ -79,21 +79,34 @@ def validation_status(name: Column, price: Column, confidence: Column) -> Column
 
 
 def ops_status(flow: Column, last: Column, jobs: Column) -> Column:
-    """State of a worker from its flow's status, its last run's and its runs of the day."""
+    """State of a worker from its flow's status, its last run's and its runs of the day; the first that holds."""
     return (
-        F.when(flow == "disabled", "disabled")
-        .when(flow == "draft", "setup")
-        .when(flow == "error", "error")
+        F.when(flow == "error", "fail")
+        .when(last == "cancelled", "queue")
+        .when(last == "duplicate", "review")
+        .when(last == "failed", "fail")
         .when(last == "running", "running")
-        .when(last == "queued", "queued")
-        .when(last == "failed", "failed")
-        .when(last == "needs_review", "review")
-        .when((jobs == 0) & last.isNull(), "never_ran")
-        .when(jobs == 0, "idle")
-        .otherwise("ok")
+        .when((last == "partial") | (flow == "testing"), "review")
+        .when((flow == "active") & (jobs > 0), "running")
+        .otherwise("queue")
     )
 
 
+def run_queue(status: Column, suspicious: Column, pending: Column) -> Column:
+    """Where a run stands: blocked, review, fila or done."""
+    return F.when(status == "failed", "blocked").when((suspicious > 0) | (status == "partial"), "review").when(pending > 0, "fila").otherwise("done")
+
+
+def source_status(explicit: Column, active: Column, kind: Column, flow_id: Column) -> Column:
+    return F.coalesce(explicit, F.when(~active, "inactive").when((kind != "manual") & flow_id.isNull(), "not_configured").otherwise("active"))
+
+
+def source_kinds(types: Column, url: Column) -> Column:
+    """api, pdf or html of each step; by the URL where there is none."""
+    own = F.array_distinct(F.transform(types, lambda t: F.when(t == "dynamic", "api").when(t == "pdf", "pdf").otherwise("html")))
+    return F.when(F.coalesce(F.size(types), F.lit(0)) > 0, own).otherwise(F.array(F.when(url.rlike(r"(?i)\.pdf(\?|$)"), "pdf").otherwise("html")))
+
+
 def quality_points(*pairs: tuple[Column, int]) -> Column:
     """Sum of the points whose condition holds."""
     total = F.lit(0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricewell.functions.dates import calendar, heat_level, sunday_week
 from pricewell.functions.semantics import half_up, ratio_pct
-from pricewell.operators.filters import ops_status
+from pricewell.operators.filters import ops_status, run_queue
 from pricewell.operators.joins import in_range
 from pricewell.registry import query
 from pricewell.sources.tables import table
@@ -57,15 +57,16 @@ def ops_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     "worker_rows",
     f"""WITH l AS (SELECT user_id, count(*) AS runs, arg_max(event_type, (ts, event_id)) AS last_status, max(ts) AS last_ts, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-30' AND ts < TIMESTAMP '{NOW}') AS jobs_24h FROM events GROUP BY user_id)
 SELECT user_id, runs, last_status, strftime(last_ts, '%Y-%m-%d') AS last_day, jobs_24h,
-  CASE WHEN user_id % 7 = 0 THEN 'disabled' WHEN user_id % 11 = 0 THEN 'setup' WHEN last_status = 'purchase' THEN 'running' WHEN last_status = 'error' THEN 'failed' WHEN jobs_24h = 0 THEN 'idle' ELSE 'ok' END AS ops_status FROM l""",
+  CASE WHEN user_id % 7 = 0 THEN 'fail' WHEN last_status = 'signup' THEN 'queue' WHEN last_status = 'error' THEN 'fail' WHEN last_status = 'purchase' THEN 'running' WHEN last_status = 'view' OR user_id % 11 = 0 THEN 'review' WHEN jobs_24h > 0 THEN 'running' ELSE 'queue' END AS ops_status FROM l""",
 )
 def worker_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each worker with its last run and its state by fixed priority."""
     e = table(spark, sf_dir, "events")
     day = (F.col("ts") >= _ntz("2024-01-30")) & (F.col("ts") < _ntz(NOW))
     rows = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("runs"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_status"), F.max("ts").alias("last_ts"), F.count_if(day).alias("jobs_24h"))
-    flow = F.when(F.col("user_id") % 7 == 0, "disabled").when(F.col("user_id") % 11 == 0, "draft").otherwise("active")
-    last = F.when(F.col("last_status") == "purchase", "running").when(F.col("last_status") == "error", "failed").otherwise("success")
+    flow = F.when(F.col("user_id") % 7 == 0, "error").when(F.col("user_id") % 11 == 0, "testing").otherwise("active")
+    kind = F.col("last_status")
+    last = F.when(kind == "purchase", "running").when(kind == "error", "failed").when(kind == "signup", "cancelled").when(kind == "view", "partial").otherwise("success")
     return rows.select("user_id", "runs", "last_status", F.date_format("last_ts", "yyyy-MM-dd").alias("last_day"), "jobs_24h", ops_status(flow, last, F.col("jobs_24h")).alias("ops_status"))
 
 
@@ -84,7 +85,7 @@ def run_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     "run_offer_range_join",
     """WITH r AS (SELECT event_id, user_id, ts AS started_at, ts + INTERVAL 3600 SECOND + INTERVAL 120 SECOND AS ended_at FROM events WHERE event_type = 'purchase'),
 j AS (SELECT r.event_id, count(o.event_id) AS offers FROM r JOIN events o ON o.user_id = r.user_id AND o.event_type <> 'purchase' AND o.ts BETWEEN r.started_at AND r.ended_at GROUP BY 1)
-SELECT r.event_id, coalesce(offers, 0) AS offers, CASE WHEN coalesce(offers, 0) = 0 THEN 'blocked' WHEN offers >= 3 THEN 'review' ELSE 'done' END AS queue_state FROM r LEFT JOIN j USING (event_id)""",
+SELECT r.event_id, coalesce(offers, 0) AS offers, CASE WHEN r.event_id % 10 = 0 THEN 'blocked' WHEN coalesce(offers, 0) >= 3 THEN 'review' WHEN coalesce(offers, 0) > 0 THEN 'fila' ELSE 'done' END AS queue_state FROM r LEFT JOIN j USING (event_id)""",
 )
 def run_offer_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows created within each run's interval (plus two minutes): dealt by worker and hour, not by worker alone."""
@@ -93,7 +94,7 @@ def run_offer_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.filter("event_type <> 'purchase'").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     met = in_range(runs, rows, "user_id", "started_at", "ended_at", "ts", 3600).groupBy("event_id").agg(F.count(F.lit(1)).alias("offers"))
     out = runs.select("event_id").join(met, "event_id", "left").withColumn("offers", F.coalesce("offers", F.lit(0)))
-    return out.withColumn("queue_state", F.when(F.col("offers") == 0, "blocked").when(F.col("offers") >= 3, "review").otherwise("done"))
+    return out.withColumn("queue_state", run_queue(F.when(F.col("event_id") % 10 == 0, "failed").otherwise("success"), F.col("offers") - 2, F.col("offers")))
 
 
 @query(

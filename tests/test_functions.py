@@ -90,8 +90,20 @@ def test_eligibility(spark):
     assert kinds("aceitamos cartão da loja e bandeiras Visa") == []
     assert kinds("leve 3 com cupom ABC") == ["COUPON_REQUIRED", "COUPON_REQUIRED", "QUANTITY_REQUIRED"]
     assert kinds("exclusivo") == ["UNKNOWN"] and kinds("") == []
-    r = one(spark, a=parse.resolve_eligibility(F.array(F.lit("APP_ONLY")), F.lit("STORE_CARD"), F.lit("x")), b=parse.resolve_eligibility(F.array().cast("array<string>"), F.lit("STORE_CARD"), F.lit(None).cast("string")))
-    assert (r["a"]["type"], r["a"]["confidence"], r["b"]["type"]) == ("APP_ONLY", 0.92, "UNKNOWN")
+    arr = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    text_ = lambda x: F.lit(x).cast("string")
+    res = lambda rules, kind, kinds, conf, ev: parse.resolve_eligibility(arr(rules), text_(kind), arr(kinds), F.lit(conf).cast("double"), text_(ev))
+    r = one(spark, a=res(["APP_ONLY"], "STORE_CARD", [], 0.99, "x"), b=res([], "STORE_CARD", [], 0.9, None), c=res([], "STORE_CARD", ["STORE_CARD"], None, "seen"), d=res([], None, [], None, None), e=res(["APP_ONLY"], "APP_ONLY", [], 0.97, "x"))
+    got = {k: (v["type"], v["confidence"], v["status"]) for k, v in r.items()}
+    assert got == {"a": ("APP_ONLY", 0.92, "ai_validated"), "b": ("UNKNOWN", 0.5, "review_required"), "c": ("STORE_CARD", 0.75, "review_required"), "d": ("ALL_CUSTOMERS", 0.91, "ai_validated"), "e": ("APP_ONLY", 0.97, "ai_validated")}
+
+
+def test_stale_titles(spark):
+    at = F.lit("2026-08-21 12:00:00").cast("timestamp")
+    stale = lambda s: one(spark, x=parse.stale_title(F.lit(s), at))["x"]
+    assert stale("Ofertas de 10/08 a 20/08") and stale("Encartes anteriores") and stale("Até 20.08.2026")
+    assert not stale("Ofertas de 10/08 a 25/08") and not stale("Sem data") and not stale("10/08 até 30-08-2026")
+    assert one(spark, a=parse.semantic(F.lit("click"), F.lit("Ver Encarte")), b=parse.semantic(F.lit("navigation"), F.lit("x")), c=parse.semantic(F.lit("click"), F.lit("x"))) == {"a": "OPEN_FLYERS", "b": "NAVIGATE", "c": None}
 
 
 def test_urls_and_files(spark):
