@@ -123,3 +123,27 @@ def interpolate(template: Column, values: dict[str, Column]) -> Column:
 def brl(x: Column) -> Column:
     """A price in reais: 1.234,56."""
     return F.concat(F.lit("R$ "), F.translate(F.format_number(x, 2), ",.", ".,"))
+
+
+def worker_slug(name: Column) -> Column:
+    """``wrk_`` and the folded name, 28 characters of it."""
+    s = F.substring(F.regexp_replace(F.regexp_replace(F.lower(fold(name)), r"[^a-z0-9]+", "_"), r"^_|_$", ""), 1, 28)
+    return F.when(s.startswith("wrk_"), s).otherwise(F.concat(F.lit("wrk_"), F.coalesce(F.nullif(s, F.lit("")), F.lit("flow"))))
+
+
+def compact(x: Column) -> Column:
+    """1234 as 1.2k; small numbers as they are."""
+    return F.when(F.abs(x) >= 1000, F.concat(F.regexp_replace(F.format_number(F.floor(x / 100 + 0.5) / 10, 1), r"\.0$", ""), F.lit("k"))).otherwise(x.cast("string"))
+
+
+def distance_label(km: Column) -> Column:
+    return F.when(km < 1, F.concat(F.floor(km * 1000 + 0.5).cast("string"), F.lit(" m"))).otherwise(F.concat(F.regexp_replace(F.format_number(F.floor(km * 10 + 0.5) / 10, 1), r"\.", ","), F.lit(" km")))
+
+
+def expiry_label(days: Column) -> Column:
+    """What a card says about the days that are left."""
+    return F.when(days.isNull(), "sem validade").when(days < 0, "expirado").when(days == 0, "vence hoje").when(days == 1, "vence amanhã").otherwise(F.concat(F.lit("vence em "), days.cast("string"), F.lit(" dias")))
+
+
+def instalment_label(count: Column, amount: Column, interest_free: Column) -> Column:
+    return F.concat(count.cast("string"), F.lit("x de "), brl(amount), F.when(interest_free, F.lit(" sem juros")).otherwise(F.lit("")))

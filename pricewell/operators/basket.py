@@ -47,3 +47,9 @@ def split_two(best: DataFrame) -> DataFrame:
     kept = first.groupBy("market").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "market").limit(2).select("market")
     own = best.join(F.broadcast(kept), "market")  # two rows
     return own.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("item", "market", "line_total")
+
+
+def lines(best: DataFrame, items: DataFrame, markets: DataFrame) -> DataFrame:
+    """Every item at every market, with its offer or none: a grid of the list's length times the number of markets."""
+    grid = markets.select("market").distinct().crossJoin(F.broadcast(items.select("item", "quantity")))
+    return grid.join(best, ["item", "market"], "left").withColumn("missing", F.col("offer_id").isNull())

@@ -60,3 +60,16 @@ def price_changes(before: DataFrame, after: DataFrame, keys: list[str], price: s
     """Keys whose price differs; of repeated keys before, the last in ``order`` counts."""
     old = before.groupBy(*keys).agg(F.max_by(price, order).alias("price_before"))
     return after.withColumnRenamed(price, "price_after").join(old, keys).filter("price_before <> price_after")
+
+
+def touched_or_filled(runs: DataFrame, flyers: DataFrame, offers: DataFrame) -> DataFrame:
+    """(run_id, flyer_id): flyers made or changed in a run's window, or where there are none, those that got offers in it.
+
+    ``runs``: run_id, market, begin, end. Both lookups are range joins on the market.
+    """
+    inside = lambda c: F.col(c).between(F.col("begin"), F.col("end"))
+    f = flyers.select("flyer_id", "market", "created_at", "updated_at")
+    direct = runs.join(f, "market").filter(inside("created_at") | inside("updated_at")).select("run_id", "flyer_id").distinct()
+    left = runs.join(direct.select("run_id").distinct(), "run_id", "left_anti")
+    filled = left.join(offers.select("flyer_id", "market", "created_at"), "market").filter(inside("created_at")).select("run_id", "flyer_id").distinct()
+    return direct.unionByName(filled)

@@ -82,3 +82,16 @@ def set_eligibility(offers: DataFrame, changes: DataFrame) -> tuple[DataFrame, D
     met = offers.join(c, "id", "left")
     audit = met.filter("_e IS NOT NULL").select(F.col("id").alias("offer_id"), F.col("eligibility").alias("previous"), F.col("_e").alias("new"), F.col("eligibility_confidence").alias("previous_confidence"), F.col("_c").alias("new_confidence"), F.col("_s").alias("source"))
     return met.withColumns({"eligibility": F.coalesce("_e", "eligibility"), "eligibility_confidence": F.coalesce("_c", "eligibility_confidence")}).drop("_e", "_c", "_s"), audit
+
+
+def apply_fix(offers: DataFrame, products: DataFrame, fixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(offers, products) after fixes (id of the offer, brand_id, quantity, unit); null leaves a field as it is.
+
+    A fixed offer's product takes over what it lacks.
+    """
+    c = fixes.select("id", F.col("brand_id").alias("_b"), F.col("quantity").alias("_q"), F.col("unit").alias("_u"))
+    met = offers.join(c, "id", "left").withColumns({"brand_id": F.coalesce("_b", "brand_id"), "quantity": F.coalesce("_q", "quantity"), "unit": F.coalesce("_u", "unit")})
+    met = met.withColumns({"quantity_value": F.when(F.col("_q").isNotNull(), number_of(F.col("_q"))).otherwise(F.col("quantity_value")), "unit_normalized": F.when(F.col("_u").isNotNull(), normalize_unit(F.col("_u"))).otherwise(F.col("unit_normalized"))})
+    told = met.filter("_b IS NOT NULL OR _q IS NOT NULL OR _u IS NOT NULL").groupBy(F.col("canonical_product_id").alias("id")).agg(F.min("_b").alias("_b"), F.min("_q").alias("_q"), F.min(normalize_unit(F.col("_u"))).alias("_u"))
+    p = products.join(told, "id", "left").withColumns({"brand_id": F.coalesce("brand_id", "_b"), "quantity": F.coalesce("quantity", "_q"), "unit": F.coalesce("unit", "_u")}).drop("_b", "_q", "_u")
+    return met.drop("_b", "_q", "_u"), p

@@ -71,3 +71,18 @@ def stack(df: DataFrame, row: str, series: str, value: str) -> DataFrame:
     w = Window.partitionBy(row)
     base = F.coalesce(F.sum(value).over(w.orderBy(series).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return df.withColumn("base", half_up(base, 4)).withColumn("share", half_up(F.col(value) / F.sum(value).over(w), 6))
+
+
+def tallest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The greatest sum of the columns over all rows: how high a stacked chart must be."""
+    total = F.lit(0.0)
+    for c in columns:
+        total = total + F.coalesce(F.col(c), F.lit(0.0))
+    return df.agg(F.max(total).alias("tallest"))
+
+
+def extent(df: DataFrame, column: str, pad: float = 0.05) -> DataFrame:
+    """Least and greatest value, and a domain with some room on both sides."""
+    e = df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    room = (F.col("high") - F.col("low")) * pad
+    return e.withColumns({"domain_low": F.col("low") - room, "domain_high": F.col("high") + room})

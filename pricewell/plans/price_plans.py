@@ -234,3 +234,15 @@ def club_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices(spark, sf_dir).groupBy("market").agg(F.count(F.lit(1)).alias("offers"), F.count_if("club").alias("club_offers"), half_up(F.avg(ranking_price(F.col("price"), F.col("original"), F.col("club"))), 2).alias("avg_ranking_price"))
 
 
+
+
+@query(
+    "price_timeseries_summary",
+    f"""WITH {PRICES_SQL}, c AS (SELECT CAST(created_at AS DATE) AS d, CAST(floor(avg(price) FILTER (WHERE NOT club) * 100.0 + 0.5) AS DOUBLE) / 100.0 AS public_avg, CAST(floor(avg(price) FILTER (WHERE club) * 100.0 + 0.5) AS DOUBLE) / 100.0 AS club_avg
+FROM prices WHERE created_at >= TIMESTAMP '{START}' AND created_at < TIMESTAMP '2001-09-30' GROUP BY 1)
+SELECT CAST(floor(coalesce(avg(public_avg), 0) * 100.0 + 0.5) AS DOUBLE) / 100.0 AS public_avg, CAST(floor(coalesce(avg(club_avg), 0) * 100.0 + 0.5) AS DOUBLE) / 100.0 AS club_avg, count(public_avg) AS days FROM c""",
+)
+def price_timeseries_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over the days that have a price, of daily means that are rounded already."""
+    d = price_timeseries(spark, sf_dir).select(*[F.nullif(F.col(c), F.lit(0.0)).alias(c) for c in ("public_avg", "club_avg")])
+    return d.agg(*[F.coalesce(half_up(F.avg(c), 2), F.lit(0.0)).alias(c) for c in ("public_avg", "club_avg")], F.count("public_avg").alias("days"))

@@ -86,3 +86,20 @@ def lttb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each worker's values over time at 16 points; a pick depends on the last one, which SQL cannot say."""
     e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("x"), F.col("value").alias("y"))
     return decimate(e, "user_id", "x", "y", 16)
+
+
+@query("basket_lines", f"{_BASKET_SQL}, g AS (SELECT s_suppkey AS market, item FROM supplier, items) SELECT g.item, g.market, line_total, offer_id IS NULL AS missing FROM g LEFT JOIN best ON best.item = g.item AND best.market = g.market")
+def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list's lines at every market, missing ones too."""
+    from pricewell.operators.basket import lines
+
+    items = spark.createDataFrame(LIST, "item string, query string, quantity double")
+    markets = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("market"))
+    return lines(_best(spark, sf_dir), items, markets).select("item", "market", "line_total", "missing")
+
+
+@query("chart_extent", f"WITH {_DAILY_SQL} SELECT min(y) AS low, max(y) AS high, CAST(floor((min(y) - (max(y) - min(y)) * 0.05::DOUBLE) * 100.0 + 0.5) AS DOUBLE) / 100.0 AS domain_low, CAST(floor((max(y) + (max(y) - min(y)) * 0.05::DOUBLE) * 100.0 + 0.5) AS DOUBLE) / 100.0 AS domain_high FROM d")
+def chart_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricewell.operators.series import extent
+
+    return extent(_daily(spark, sf_dir), "y").withColumns({c: half_up(F.col(c), 2) for c in ("domain_low", "domain_high")})
