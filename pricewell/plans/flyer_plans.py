@@ -110,7 +110,7 @@ def favorites_semi_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "store_distance",
     """WITH s AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE -3.7 - (c_custkey % 50) / 100.0::DOUBLE END AS lat, -38.5 - (c_custkey % 37) / 100.0::DOUBLE AS lng FROM customer),
-d AS (SELECT *, 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - -3.73) / 2), 2) + cos(radians(-3.73)) * cos(radians(lat)) * pow(sin(radians(lng - -38.52) / 2), 2)))) AS km FROM s)
+d AS (SELECT *, 2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - -3.73) / 2), 2) + cos(radians(-3.73)) * cos(radians(lat)) * pow(sin(radians(lng - -38.52) / 2), 2))) AS km FROM s)
 SELECT c_custkey, c_mktsegment = 'BUILDING' AS favorite, CAST(floor(km * 10.0 + 0.5) AS DOUBLE) / 10.0 AS km FROM d ORDER BY favorite DESC, d.km ASC NULLS LAST, c_custkey LIMIT 50""",
 )
 def store_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
