@@ -35,13 +35,19 @@ def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("_d").to_numpy(), batch.column("_h").to_numpy()
 
 
+SMALL = 256  # bytes below which compressing costs more than it saves
+
+
 def squeeze(a: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True)
+    raw = np.ascontiguousarray(a).tobytes()
+    return raw if len(raw) < SMALL else pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def opened(data: bytes, n: int, kind) -> np.ndarray:
+    """The ``n`` values that were squeezed; their size tells whether they are compressed."""
     kind = np.dtype(kind)
-    return np.frombuffer(pa.decompress(data, decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
+    size = n * kind.itemsize
+    return np.frombuffer(data if size < SMALL else pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True), kind)
 
 
 def packs(shard: np.ndarray, kind: int, d: np.ndarray, h: np.ndarray, pos: np.ndarray, name: np.ndarray | None = None, flag: np.ndarray | None = None, more: Callable[[np.ndarray], tuple[bytes, bytes]] | None = None) -> Iterator[pa.RecordBatch]:
