@@ -1,7 +1,7 @@
 """Line-first quality rules.
 
-Each line is judged by itself: punctuation (no closing mark, symbols strewn over it), navigation
-(items between separators, menu words) and boilerplate (shouting, stock phrases). Failing lines
+Each line is judged by itself: punctuation (no closing mark at its end and no sentence within, symbols strewn over it), navigation
+(items between separators, menu words) and boilerplate (shouting, stuttering, stock phrases). Failing lines
 go; a document that loses too large a share of its characters, or keeps too little, is
 rejected. Beside the verdict stand the base counts of words, symbols, repeated lines and repeated
 windows. All of it is one pass over the rows: nothing is shuffled.
@@ -27,6 +27,7 @@ from pricewell.llm.common import mix64, per_batch, texts
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = frozenset((b"|", b">", b"/", b"-", b"*", "»".encode(), "•".encode(), "·".encode()))
 CLOSING = re.compile("(?:[.!?;:,\"')\\]]|…|”|’|»|。|！|？)$".encode())
+SENTENCE = re.compile(rb"[.!?][\x20\x09-\x0D]")
 STOCK = re.compile(rb"lorem ipsum|all rights reserved|terms of (?:use|service)|privacy policy|accept (?:all )?cookies|enable javascript|click here|sign up for|skip to content")
 
 
@@ -34,7 +35,7 @@ def symbol_count(text: bytes) -> int:
     return len(text) - len(text.translate(None, SYMBOLS))
 
 
-def line_fails(line: bytes, max_symbols: float = 0.25, max_separators: float = 0.15, min_words: int = 5) -> str | None:
+def line_fails(line: bytes, max_symbols: float = 0.25, max_separators: float = 0.15, max_stutter: float = 0.3, min_words: int = 5) -> str | None:
     """The first rule that the line breaks, or None. Lines without a word are not judged."""
     words = line.split()
     n = len(words)
@@ -52,9 +53,11 @@ def line_fails(line: bytes, max_symbols: float = 0.25, max_separators: float = 0
         return "boilerplate"
     if line.count(b"!!") > max_symbols * n and n >= min_words:
         return "punctuation"
+    if n >= min_words and sum(map(bytes.__eq__, words, words[1:])) > max_stutter * n:
+        return "boilerplate"
     if STOCK.search(line.lower()):
         return "boilerplate"
-    if n >= min_words and not CLOSING.search(words[-1]):
+    if n >= min_words and not CLOSING.search(words[-1]) and not SENTENCE.search(line):
         return "punctuation"
     return None
 

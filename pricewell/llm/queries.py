@@ -134,7 +134,7 @@ l AS (
   SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
 m AS (
-  SELECT doc_id, line, len(lw) AS n, octet_length(encode(array_to_string(lw, ''))) AS bytes, lw[-1] AS last_word,
+  SELECT doc_id, line, lw, len(lw) AS n, octet_length(encode(array_to_string(lw, ''))) AS bytes, lw[-1] AS last_word,
     len(list_filter(lw, lambda x: x IN ('|', '>', '/', '-', '*', '»', '•', '·'))) AS separators,
     len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '[A-Z]')) AS upper, len(regexp_extract_all(line, '[a-z]')) AS lower,
     len(regexp_extract_all(line, '!!')) AS exclaims
@@ -146,8 +146,9 @@ f AS (
     WHEN symbols > 0.25::DOUBLE * n AND symbols > 1 THEN true
     WHEN n >= 5 AND upper > lower THEN true
     WHEN n >= 5 AND exclaims > 0.25::DOUBLE * n THEN true
+    WHEN n >= 5 AND len(list_filter(range(2, n + 1), lambda i: lw[i] = lw[i - 1])) > 0.3::DOUBLE * n THEN true
     WHEN regexp_matches(line, '(?i)lorem ipsum|all rights reserved|terms of (use|service)|privacy policy|accept (all )?cookies|enable javascript|click here|sign up for|skip to content') THEN true
-    ELSE n >= 5 AND NOT regexp_matches(last_word, '([.!?;:,"'')\]]|…|”|’|»|。|！|？)$') END AS fails
+    ELSE n >= 5 AND NOT regexp_matches(line, '[.!?][\x20\x09-\x0D]') AND NOT regexp_matches(last_word, '([.!?;:,"'')\]]|…|”|’|»|。|！|？)$') END AS fails
   FROM m),
 a AS (
   SELECT doc_id, count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines,

@@ -80,3 +80,8 @@ def test_the_risk_is_not_driven_below_zero():
     p, n = rng.normal(1, 1, (300, len(MEASURES))), rng.normal(-1, 1, (300, len(MEASURES)))
     model = fit(p[:150], np.concatenate((p[150:], n[:150])), 0.5)
     assert (model.score(p) > 0.5).mean() > 0.9 and (model.score(n) < 0.5).mean() > 0.9
+
+
+def test_a_cut_off_text_is_no_junk():
+    assert line_fails(b"A whole sentence stands here. And then the text is cut") is None
+    assert line_fails(b"Wher. Wher. Wher. Wher. Wher. Th Th Th Th Th.") == "boilerplate"
