@@ -266,10 +266,10 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
 def nearest(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of each item and of the item nearest to it among equal keys, where within ``radius`` bits.
 
-    Of equally near items the one before it in key order comes first.
+    Of equally near items the first in order counts.
     """
     n = len(fp)
-    best, who = np.full(n, radius + 1, np.int64), np.zeros(n, np.int64)
+    best = np.full(n, np.iinfo(np.int64).max)
     run = starts_of(key)
     length = np.diff(np.append(run, n))
     left = np.repeat(run + length, length) - np.arange(n)
@@ -278,18 +278,25 @@ def nearest(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, n
         at = at[left[at] > d]
         far = np.bitwise_count(fp[at] ^ fp[at + d]).astype(np.int64)
         near = far <= radius
-        a, b, far = at[near], at[near] + d, far[near]
-        for x, y in ((b, a), (a, b)):
-            closer = far < best[x]
-            best[x[closer]], who[x[closer]] = far[closer], y[closer]
-    found = np.flatnonzero(best <= radius)
-    return found, who[found]
-
-
-def _nearest_buckets(radius: int, rows: int = 1 << 17):
-    def flush(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        x, y = nearest(fp, key, radius)
-        a, b = node[x], node[y]
+        a, far = at[near], far[near] << 40
+        best[a] = np.minimum(best[a], far | (a + d))
+        best[a + d] = np.minimum(best[a + d], far | a)
+    found = np.flatnonzero(best < np.iinfo(np.int64).max)
+    return found, best[found] & ((1 << 40) - 1)
+
+
+def _nearest_buckets(radius: int, masks: list[int], rows: int = 1 << 17):
+    """Rows come in order of part, key and node.
+
+    Two items meet under several keys of a partition; the pair is passed on under the one that keeps all bits they have in
+    common. Ties go to the smallest node everywhere, so an item's nearest in the partition is found there.
+    """
+    mask = np.array(masks, np.uint64)
+
+    def flush(part: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, y = nearest(fp, key ^ (part.astype(np.int64) * np.int64(0x1F3D5B79A6C4E2)), radius)
+        here = (fp[x] & fp[y] & mask[part[x]]) == key[x].view(np.uint64)
+        a, b = node[x[here]], node[y[here]]
         if len(a):
             pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
             pairs = pairs[pairs[:, 0] < pairs[:, 1]]
@@ -299,14 +306,14 @@ def _nearest_buckets(radius: int, rows: int = 1 << 17):
         held: list[tuple[np.ndarray, ...]] = []
         enough = rows
         for b in batches:
-            key = b.column("key").to_numpy() ^ (b.column("part").to_numpy().astype(np.int64) * np.int64(0x1F3D5B79A6C4E2))
-            held.append((key, b.column("fp").to_numpy().view(np.uint64), b.column("node").to_numpy()))
+            held.append((b.column("part").to_numpy(), b.column("key").to_numpy(), b.column("fp").to_numpy().view(np.uint64), b.column("node").to_numpy()))
             if sum(len(x[0]) for x in held) >= enough:
-                key, fp, node = (np.concatenate(x) for x in zip(*held, strict=True))
-                last = starts_of(key)[-1]
-                yield from flush(key[:last], fp[:last], node[:last])
-                held = [(key[last:], fp[last:], node[last:])]
-                enough = max(rows, 2 * (len(key) - last))
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                last = np.flatnonzero((whole[0] != whole[0][-1]) | (whole[1] != whole[1][-1]))
+                last = int(last[-1]) + 1 if len(last) else 0  # where the bucket that may go on begins
+                yield from flush(*(x[:last] for x in whole))
+                held = [tuple(x[last:] for x in whole)]
+                enough = max(rows, 2 * (len(whole[0]) - last))
         if held:
             yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -341,7 +348,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     marked = scratch.table(per_batch(source, run, "doc_id long, fp long, h1 long, h2 long"), "marked")
     nodes = scratch.table(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "nodes")
     plan = allocate(*bit_counts(nodes), radius)
-    pairs = keyed(nodes, plan, "node").repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(_nearest_buckets(radius), "a long, b long")
+    pairs = keyed(nodes, plan, "node").repartition("part", "key").sortWithinPartitions("part", "key", "node").mapInArrow(_nearest_buckets(radius, [_mask(bits) for bits, _ in plan]), "a long, b long")
     pairs = scratch.table(pairs.distinct(), "pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     held = scratch.table(source.join(used, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
