@@ -51,10 +51,13 @@ def opened(data: bytes, n: int, kind) -> np.ndarray:
 
 
 def packs(shard: np.ndarray, kind: int, d: np.ndarray, h: np.ndarray, pos: np.ndarray, name: np.ndarray | None = None, flag: np.ndarray | None = None, more: Callable[[np.ndarray], tuple[bytes, bytes]] | None = None) -> Iterator[pa.RecordBatch]:
-    """One packed row for each shard; name: (n, width) bytes. ``more`` gives name and flag of a row from its entries' places instead."""
+    """One packed row for each shard; name: (n, width) bytes. ``more`` gives name and flag of a row from its entries' places instead.
+
+    Entries that come document by document pack best; any order is right.
+    """
     if not len(shard):
         return
-    order = np.lexsort((pos, h, d, shard))
+    order = np.argsort(shard.astype(np.uint16) if shard.max() < 1 << 16 else shard, kind="stable")
     shard, d, h, pos = shard[order], d[order], h[order], pos[order]
     name = None if name is None else name[order]
     flag = None if flag is None else flag[order]
@@ -97,30 +100,33 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 class Answers:
-    """Positions to answer, packed by document bucket once enough of them are there."""
+    """Positions (with ``runs``, positions and how many follow on) to answer, packed by document bucket once enough are there."""
 
     def __init__(self, buckets: int, enough: int = 1 << 20):
         self.buckets, self.enough, self.held, self.n = buckets, enough, [], 0
 
-    def add(self, d: np.ndarray, h: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, d: np.ndarray, h: np.ndarray, pos: np.ndarray, *run: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(d):
-            self.held.append((d, h, pos.astype(np.int64)))
+            self.held.append((d, h, pos.astype(np.int64), *(x.astype(np.uint32) for x in run)))
             self.n += len(d)
         if self.n >= self.enough:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            d, h, pos = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            d, h, pos, *run = (np.concatenate(x) for x in zip(*self.held, strict=True))
             self.held, self.n = [], 0
-            yield from packs(by_doc(d, h, self.buckets), ANSWER, d, h, pos)
+            order = np.lexsort((pos, h, d))
+            d, h, pos = d[order], h[order], pos[order]
+            yield from packs(by_doc(d, h, self.buckets), ANSWER, d, h, pos, flag=run[0][order] if run else None)
 
 
-def exchange(sent: DataFrame, answer: Callable[[list[dict]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], scratch: Scratch, name: str) -> DataFrame:
+def exchange(sent: DataFrame, answer: Callable[[list[dict]], Iterator[tuple[np.ndarray, ...]]], scratch: Scratch, name: str, runs: bool = False) -> DataFrame:
     """(_d, _h, found): for each document the sorted positions that shards and slices answered.
 
     ``answer`` gets the packs of one shard and yields (d, h, pos) arrays; packs of kind
-    ANSWER were answered where they were made and only pass through.
+    ANSWER were answered where they were made and only pass through. With ``runs`` an answer
+    stands for n positions from pos on: ``answer`` yields (d, h, pos, n), packs carry n as their flag.
     """
     buckets = parts = partitions(scratch.spark)
 
@@ -129,21 +135,28 @@ def exchange(sent: DataFrame, answer: Callable[[list[dict]], Iterator[tuple[np.n
         for rows in shards(batches):
             for row in rows:
                 if row["kind"] == ANSWER:
-                    yield from out.add(*unpack(row)[:3])
+                    d, h, pos, _, n = unpack(row, flags=np.uint32)
+                    yield from out.add(d, h, pos, *([n] if runs else []))
             asked = [r for r in rows if r["kind"] == SENT]
             if asked:
-                for d, h, pos in answer(asked):
-                    yield from out.add(d, h, pos)
+                for found in answer(asked):
+                    yield from out.add(*found)
         yield from out.flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in shards(batches):
-            d, h, pos = (np.concatenate(x) for x in zip(*(unpack(r)[:3] for r in rows), strict=True))
+            got = [unpack(r, flags=np.uint32) for r in rows]
+            d, h, pos = (np.concatenate([g[k] for g in got]) for k in range(3))
             order = np.lexsort((pos, h, d))
             d, h, pos = d[order], h[order], pos[order]
+            n = np.concatenate([g[4] for g in got])[order] if runs else None
             at = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]))))
             ends = np.append(at[1:], len(d)).tolist()
-            blobs = [np.unique(pos[a:e]).astype(np.uint32).tobytes() for a, e in zip(at.tolist(), ends, strict=True)]
+            if runs:
+                both = np.stack((pos.astype(np.uint32), n), axis=1)
+                blobs = [both[a:e].tobytes() for a, e in zip(at.tolist(), ends, strict=True)]
+            else:
+                blobs = [np.unique(pos[a:e]).astype(np.uint32).tobytes() for a, e in zip(at.tolist(), ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(h[at]), pa.array(blobs, pa.binary())], ["_d", "_h", "found"])
 
     def dealt(df: DataFrame) -> DataFrame:
@@ -162,6 +175,12 @@ def positions(value: bytes | None) -> np.ndarray:
     return np.frombuffer(value, np.uint32).astype(np.int64) if value else np.zeros(0, np.int64)
 
 
+def stretches(value: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of positions begin and how many each has."""
+    both = positions(value).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def repeated_marks(docs: DataFrame, marks: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], scratch: Scratch, name: str) -> DataFrame:
     """(_d, _h, found): numbers of each document's marks whose name occurs twice or more anywhere.
 
@@ -177,18 +196,19 @@ def repeated_marks(docs: DataFrame, marks: Callable[[list[bytes]], tuple[np.ndar
             return
         d, h = (np.repeat(x, count) for x in keys_of(batch))
         pos = np.arange(len(names)) - np.repeat(np.cumsum(count) - count, count)
-        order = np.argsort(names, kind="stable")
-        names, d, h, pos = names[order], d[order], h[order], pos[order]
-        at = starts_of(names)
-        many = np.diff(np.append(at, len(names))) > 1
-        yield from packs((names[at] % np.uint64(n_shards)).astype(np.int32), SENT, d[at], h[at], pos[at], np.ascontiguousarray(names[at]).view(np.uint8).reshape(-1, 8), many.astype(np.uint8))
-        twice = np.repeat(many, np.diff(np.append(at, len(names))))
+        order = np.argsort(names)
+        at = starts_of(names[order])
+        n = np.diff(np.append(at, len(names)))
+        twice = np.zeros(len(names), bool)
+        twice[order] = np.repeat(n > 1, n)
+        one = np.sort(order[at])  # one mark of each name, in text order again
+        yield from packs((names[one] % np.uint64(n_shards)).astype(np.int32), SENT, d[one], h[one], pos[one], names[one].view(np.uint8).reshape(-1, 8), twice[one].astype(np.uint8))
         yield from packs(by_doc(d[twice], h[twice], parts), ANSWER, d[twice], h[twice], pos[twice])
 
     def answer(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         d, h, pos, name, flag = (np.concatenate(x) for x in zip(*(unpack(r, 8) for r in rows), strict=True))
         name = np.ascontiguousarray(name).view(np.uint64).ravel()
-        order = np.argsort(name, kind="stable")
+        order = np.argsort(name)
         at = starts_of(name[order])
         n = np.diff(np.append(at, len(name)))
         hit = np.repeat(n > 1, n) & (flag[order] == 0)  # flagged ones were answered by their slice

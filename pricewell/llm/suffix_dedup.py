@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewell.llm.common import Scratch, mix64, partitions, per_bytes, starts_of, texts
-from pricewell.llm.repeats import ANSWER, PACK, SENT, SHARDS_A_PARTITION, by_doc, exchange, join_found, keyed, keys_of, opened, packs, positions, repeated_marks, squeeze, unpack
-from pricewell.llm.substring_dedup import covered
+from pricewell.llm.repeats import ANSWER, PACK, SENT, SHARDS_A_PARTITION, by_doc, exchange, join_found, keyed, keys_of, opened, packs, positions, repeated_marks, squeeze, stretches, unpack
 
 GRAM = 16  # bytes of an anchor
+BLOCK, PLACE = 1 << 16, np.uint64(17)  # a block with its overlap has fewer than 2 ** 17 places
 _BYTES = mix64(np.arange(256, dtype=np.uint64), 11)
 
 
@@ -57,20 +57,32 @@ def anchors(raw: list[bytes], width: int, k: int = GRAM) -> tuple[np.ndarray, np
     size = np.array([len(x) for x in raw], np.int64)
     base = np.cumsum(size) - size
     none = np.zeros(0, np.int64)
-    if len(data) < width:
+    n = len(data) - width + 1
+    if n <= 0:
         return data, base, np.zeros(0, np.uint64), none, none
-    h = gram_hashes(data, k)
-    place = np.uint64(max(1, int(len(h)).bit_length()))
-    key = ((h >> place) << place) | np.arange(len(h), dtype=np.uint64)  # leftmost of equals
-    span, best = width - k + 1, 1
-    while best < span:
-        step = min(best, span - best)
-        key = np.minimum(key[: len(key) - step], key[step:])
-        best += step
-    at = np.flatnonzero(np.arange(len(key)) + width <= np.repeat(base + size, size)[: len(key)])
-    chosen = (key[at] & np.uint64((1 << int(place)) - 1)).astype(np.int64)
-    first = starts_of(chosen)
-    return data, base, h[chosen[first]], at[first], np.diff(np.append(first, len(chosen)))
+    whole = np.ones(n, bool)  # strings that lie in one text
+    for b, s in zip(base.tolist(), size.tolist(), strict=True):
+        whole[max(b, b + s - width + 1) : b + s] = False
+    parts = []
+    for a in range(0, n, BLOCK):  # small enough for the processor's cache
+        at = np.flatnonzero(whole[a : a + BLOCK])
+        if not len(at):
+            continue
+        h = gram_hashes(data[a : a + BLOCK + width - 1], k)
+        key = ((h >> PLACE) << PLACE) | np.arange(len(h), dtype=np.uint64)  # leftmost of equals
+        span, best = width - k + 1, 1
+        while best < span:
+            step = min(best, span - best)
+            key = np.minimum(key[: len(key) - step], key[step:])
+            best += step
+        chosen = (key[at] & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
+        first = starts_of(chosen)
+        parts.append((chosen[first] + a, h[chosen[first]], at[first] + a, np.diff(np.append(first, len(chosen)))))
+    if not parts:
+        return data, base, np.zeros(0, np.uint64), none, none
+    chosen, name, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    first = starts_of(chosen)  # an anchor's strings may go on in the next block
+    return data, base, name[first], start[first], np.add.reduceat(count, first)
 
 
 def _owner(base: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -87,11 +99,8 @@ def _marks(width: int):
 
 def _words(text: np.ndarray) -> np.ndarray:
     """For each place the next eight bytes as a number that sorts like them."""
-    padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
-    n, out = len(text), np.zeros(len(text), np.uint64)
-    for k in range(8):
-        out |= padded[k : k + n] << np.uint64(8 * (7 - k))
-    return out
+    padded = np.concatenate((text, np.zeros(8, np.uint8)))
+    return np.ndarray((len(text),), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
@@ -111,20 +120,23 @@ def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     smaller = step[turn] > 0
 
     direct = np.flatnonzero(smaller)
-    direct = direct[np.argsort(words[direct], kind="stable")]
+    key = words[direct]
+    order = np.argsort(key)
+    direct, key = direct[order], key[order]
+    group = np.zeros(len(direct), np.int64)
+    open_ = np.arange(len(direct))
     for at in range(8, depth, 8):
         # ties alone go on to the next eight bytes
-        tie = np.zeros(len(direct), bool)
-        equal = np.ones(max(len(direct) - 1, 0), bool)
-        for b in range(0, at, 8):
-            equal &= words[direct[1:] + b] == words[direct[:-1] + b]
-        tie[1:] |= equal
-        tie[:-1] |= equal
+        same = (key[1:] == key[:-1]) & (group[1:] == group[:-1])
+        tie = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(key) else np.zeros(0, bool)
         if not tie.any():
             break
-        group = np.cumsum(np.concatenate(([True], ~equal)))[tie]
-        own = direct[tie]
-        direct[tie] = own[np.lexsort((words[own + at], group))]
+        group = np.cumsum(np.concatenate(([True], ~same)))[tie]
+        open_ = open_[tie]
+        own = direct[open_]
+        key = words[own + at]
+        order = np.lexsort((key, group))
+        direct[open_], key = own[order], key[order]
 
     first = text[direct]
     begin = np.searchsorted(first, np.arange(257))
@@ -164,9 +176,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     out, open_ = np.zeros(len(order), np.int64), np.arange(1, len(order))
     for at in range(0, depth, 8):
         x = words[order[open_] + at] ^ words[order[open_ - 1] + at]
-        same = np.full(len(x), 8, np.int64)
-        for k in range(8):
-            same -= x >= np.uint64(1 << (8 * k))
+        # without the bit below the highest no rounding reaches the next power of two
+        same = 8 - (np.frexp((x & ~(x >> np.uint64(1))).astype(np.float64))[1].astype(np.int64) + 7) // 8
         out[open_] += same
         open_ = open_[same == 8]
     return np.minimum(out, depth)
@@ -191,8 +202,14 @@ def _stretches(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
     return data[np.arange(int(size.sum())) + shift]
 
 
+def _digests(data: bytes, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128-bit hashes of the stretches."""
+    cut = map(data.__getitem__, map(slice, begin.tolist(), (begin + size).tolist()))
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, cut)), "<u8").reshape(-1, 2)
+
+
 def repeated_strings(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """(_d, _h, found): where strings of ``width`` bytes begin that a smaller doc_id also has."""
+    """(_d, _h, found): runs of places where strings of ``width`` bytes begin that a smaller doc_id also has."""
     marked = repeated_marks(docs, _marks(width), scratch, "anchors")
     parts = partitions(docs.sparkSession)
     n_shards = parts * SHARDS_A_PARTITION
@@ -211,14 +228,15 @@ def repeated_strings(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame
         doc = _owner(base, start)
         d, h = (x[doc] for x in keys_of(batch))
         pos = start - base[doc]
-        whole = data.tobytes()
-        mark = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[s : s + c + width - 1]) for s, c in zip(start.tolist(), count.tolist(), strict=True)), "<u8").reshape(-1, 2)
-        order = np.lexsort((d, mark[:, 1], mark[:, 0], name))
-        new = np.concatenate(([True], (name[order][1:] != name[order][:-1]) | (mark[order][1:] != mark[order][:-1]).any(axis=1)))
+        mark = _digests(data.tobytes(), start, count + width - 1)
+        order = np.lexsort((d, mark[:, 0]))
+        mark = mark[order]
+        new = np.concatenate(([True], (mark[1:] != mark[:-1]).any(axis=1)))
         lead = np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(order))))
-        name, start, count, d, h, pos = (x[order] for x in (name, start, count, d, h, pos))
-        later = d > d[lead]  # a smaller document of this slice has all their strings
-        stretch = lead[~later]
+        later, leader = np.empty(len(order), bool), np.empty(len(order), np.int64)
+        later[order] = d[order] > d[order[lead]]  # a smaller document of this slice has all their strings
+        leader[order] = order[lead]
+        stretch = leader[~later]
 
         def more(at: np.ndarray) -> tuple[bytes, bytes]:
             used, which = np.unique(stretch[at], return_inverse=True)
@@ -229,11 +247,9 @@ def repeated_strings(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame
 
         sent = ~later
         yield from packs((name[sent] % np.uint64(n_shards)).astype(np.int32), SENT, d[sent], h[sent], pos[sent], more=more)
-        at = np.repeat(pos[later] - (np.cumsum(count[later]) - count[later]), count[later]) + np.arange(int(count[later].sum()))
-        d, h = np.repeat(d[later], count[later]), np.repeat(h[later], count[later])
-        yield from packs(by_doc(d, h, parts), ANSWER, d, h, at)
+        yield from packs(by_doc(d[later], h[later], parts), ANSWER, d[later], h[later], pos[later], flag=count[later].astype(np.uint32))
 
-    def answer(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def answer(rows: list[dict]) -> Iterator[tuple[np.ndarray, ...]]:
         entries, names, counts, blobs, n = [], [], [], [], 0
         for r in rows:
             d, h, pos, _, which = unpack(r, flags=np.uint32)
@@ -248,9 +264,8 @@ def repeated_strings(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame
         size = count + width - 1
         begin = np.cumsum(size) - size
         # equal stretches become one, with the smallest document that has it
-        whole = data.tobytes()
-        mark = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[a : a + s]) for a, s in zip(begin.tolist(), size.tolist(), strict=True)), "<u8").reshape(-1, 2)
-        order = np.lexsort((mark[:, 1], mark[:, 0], name))
+        mark = _digests(data.tobytes(), begin, size)
+        order = np.lexsort((mark[:, 0], name))
         new = np.concatenate(([True], (name[order][1:] != name[order][:-1]) | (mark[order][1:] != mark[order][:-1]).any(axis=1)))
         one = np.empty(n, np.int64)
         one[order] = np.cumsum(new) - 1
@@ -258,34 +273,40 @@ def repeated_strings(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame
         which = one[which]
         low = np.full(len(rep), np.iinfo(np.int64).max)
         np.minimum.at(low, which, d)
+        count = count[rep]
+        all_gone = d > low[which]
+        yield d[all_gone], h[all_gone], pos[all_gone], count[which[all_gone]]
         # only anchors with several stretches have anything to sort
         name = name[rep]
         run = starts_of(name)
-        several = np.repeat(np.diff(np.append(run, len(name))) > 1, np.diff(np.append(run, len(name))))
-        used = np.flatnonzero(several)
-        removed = [np.zeros(0, bool)] * len(rep)
-        if len(used):
-            c, s = count[rep[used]], size[rep[used]]
-            text = _stretches(data, begin[rep[used]], s)
-            base = np.cumsum(s) - s
-            at = np.repeat(base - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
-            owner = np.repeat(low[used], c)
-            gone = least_of_classes(text, at, owner, width) < owner
-            for u, x in zip(used.tolist(), np.split(gone, np.cumsum(c)[:-1]), strict=True):
-                removed[u] = x
-        all_gone = d > low[which]
-        many = count[rep[which]]
-        full = np.flatnonzero(all_gone)
-        m = many[full]
-        yield np.repeat(d[full], m), np.repeat(h[full], m), np.repeat(pos[full] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-        rest = [(k, removed[which[k]]) for k in np.flatnonzero(~all_gone & several[which]).tolist()]
-        rest = [(k, np.flatnonzero(x)) for k, x in rest if x.any()]
-        if rest:
-            ks = np.array([k for k, _ in rest])
-            m = np.array([len(x) for _, x in rest])
-            yield np.repeat(d[ks], m), np.repeat(h[ks], m), np.repeat(pos[ks], m) + np.concatenate([x for _, x in rest])
-
-    found = exchange(per_bytes(join_found(docs, marked), send, PACK), answer, scratch, "strings")
+        used = np.flatnonzero(np.repeat(np.diff(np.append(run, len(name))) > 1, np.diff(np.append(run, len(name)))))
+        if not len(used):
+            return
+        c, s = count[used], size[rep[used]]
+        text = _stretches(data, begin[rep[used]], s)
+        base = np.cumsum(s) - s
+        skip = np.cumsum(c) - c
+        at = np.repeat(base - skip, c) + np.arange(int(c.sum()))
+        owner = np.repeat(low[used], c)
+        gone = least_of_classes(text, at, owner, width) < owner
+        # runs of strings that go, cut where a stretch ends
+        head = gone.copy()
+        head[1:] &= ~gone[:-1]
+        head[skip] = gone[skip]
+        begins = np.flatnonzero(head)
+        length = np.diff(np.append(np.cumsum(gone)[begins] - 1, np.count_nonzero(gone)))
+        lo, m = np.zeros(len(rep), np.int64), np.zeros(len(rep), np.int64)
+        own = np.searchsorted(begins, np.append(skip, len(gone)))
+        lo[used], m[used] = own[:-1], np.diff(own)
+        shift = np.zeros(len(rep), np.int64)
+        shift[used] = skip
+        rest = np.flatnonzero(~all_gone & (m[which] > 0))
+        w = which[rest]
+        k = np.repeat(lo[w] - (np.cumsum(m[w]) - m[w]), m[w]) + np.arange(int(m[w].sum()))
+        rest, w = np.repeat(rest, m[w]), np.repeat(w, m[w])
+        yield d[rest], h[rest], pos[rest] + begins[k] - shift[w], length[k]
+
+    found = exchange(per_bytes(join_found(docs, marked), send, PACK), answer, scratch, "strings", runs=True)
     scratch.drop("anchors")
     return found
 
@@ -303,10 +324,11 @@ def drop_repeated_strings(docs: DataFrame, width: int = 50, digest: bool = False
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
         for text, blob in zip(texts(batch), batch.column("found").to_pylist(), strict=True):
-            starts = positions(blob)
+            starts, n = stretches(blob)
             kept, spans = text, np.zeros((0, 2), np.int64)
             if len(starts):
-                hit = covered(starts, width, len(text))
+                step = np.bincount(starts, minlength=len(text) + 1) - np.bincount(starts + n + width - 1, minlength=len(text) + 1)
+                hit = np.cumsum(step[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
                 spans = edge.reshape(-1, 2)
                 kept = np.frombuffer(text, np.uint8)[~hit].tobytes()
