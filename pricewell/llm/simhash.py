@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import combinations, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -263,50 +263,84 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     return marked.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def close_pairs(fp: np.ndarray, key: np.ndarray, radius: int, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, bits): all places of equal key within ``radius`` bits, for a few whole buckets (``most`` pairs) at a time."""
+    if not len(key):
+        return
+    run = starts_of(key)
+    length = np.diff(np.append(run, len(key)))
+    left = np.repeat(run + length, length) - np.arange(len(key))
+    first = starts_of(np.cumsum(length * (length - 1) // 2) // most)
+    for begin, end in zip(run[first], np.append(run[first[1:]], len(key)), strict=True):
+        at, found = np.arange(begin, end), []
+        for d in range(1, int(left[begin:end].max())):
+            at = at[left[at] > d]
+            far = np.bitwise_count(fp[at] ^ fp[at + d])
+            near = far <= radius
+            if near.any():
+                found.append((at[near], at[near] + d, far[near]))
+        if found:
+            yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def chosen(x: np.ndarray, y: np.ndarray, bits: np.ndarray, node: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the ``most`` nearest of one of their two members; of equally near ones the smaller node counts."""
+    u, v = np.concatenate((x, y)), np.concatenate((y, x))
+    order = np.lexsort((node[v], np.concatenate((bits, bits)), u))
+    run = starts_of(u[order])
+    rank = np.arange(len(u)) - np.repeat(run, np.diff(np.append(run, len(u))))
+    out = np.zeros(len(u), bool)
+    out[order[rank < most]] = True
+    return out[: len(x)] | out[len(x) :]
+
+
 def nearest(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of each item and of the item nearest to it among equal keys, where within ``radius`` bits.
 
     Of equally near items the first in order counts.
     """
-    n = len(fp)
-    best = np.full(n, np.iinfo(np.int64).max)
-    run = starts_of(key)
-    length = np.diff(np.append(run, n))
-    left = np.repeat(run + length, length) - np.arange(n)
-    at = np.arange(n)
-    for d in range(1, int(length.max(initial=1))):
-        at = at[left[at] > d]
-        far = np.bitwise_count(fp[at] ^ fp[at + d]).astype(np.int64)
-        near = far <= radius
-        a, far = at[near], far[near] << 40
-        best[a] = np.minimum(best[a], far | (a + d))
-        best[a + d] = np.minimum(best[a + d], far | a)
+    best = np.full(len(fp), np.iinfo(np.int64).max)
+    for x, y, bits in close_pairs(fp, key, radius):
+        far = bits.astype(np.int64) << 40
+        np.minimum.at(best, x, far | y)
+        np.minimum.at(best, y, far | x)
     found = np.flatnonzero(best < np.iinfo(np.int64).max)
     return found, best[found] & ((1 << 40) - 1)
 
 
-def _nearest_buckets(radius: int, masks: list[int], rows: int = 1 << 17):
-    """Rows come in order of part, key and node.
+PAIR, MORE = 0, 1  # a pair to try; a node with pairs that were put off
+
 
-    Two items meet under several keys of a partition; the pair is passed on under the one that keeps all bits they have in
-    common. Ties go to the smallest node everywhere, so an item's nearest in the partition is found there.
+def _candidates(radius: int, masks: list[int], most: int, rows: int = 1 << 17):
+    """(kind, a, b) of rows in order of part and key: pairs of different groups, the ``most`` nearest of a node, and nodes of the others.
+
+    Two items meet under several keys of a partition; the pair counts under the one that keeps all bits they have in common.
     """
     mask = np.array(masks, np.uint64)
 
-    def flush(part: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        x, y = nearest(fp, key ^ (part.astype(np.int64) * np.int64(0x1F3D5B79A6C4E2)), radius)
-        here = (fp[x] & fp[y] & mask[part[x]]) == key[x].view(np.uint64)
-        a, b = node[x[here]], node[y[here]]
-        if len(a):
-            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-            pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    def flush(part: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket = np.cumsum(np.concatenate(([True], (part[1:] != part[:-1]) | (key[1:] != key[:-1])))) if len(part) else part
+        for x, y, bits in close_pairs(fp, bucket, radius):
+            fits = (group[x] != group[y]) & ((fp[x] & fp[y] & mask[part[x]]) == key[x].view(np.uint64))
+            x, y, bits = x[fits], y[fits], bits[fits]
+            if not len(x):
+                continue
+            now = chosen(x, y, bits, node, most)
+            pairs = np.unique(np.sort(np.stack((node[x[now]], node[y[now]]), axis=1), axis=1), axis=0)
+            more = np.unique(node[np.concatenate((x[~now], y[~now]))])
+            yield from tell(PAIR, pairs[:, 0], pairs[:, 1])
+            yield from tell(MORE, more, more)
+
+    def tell(kind: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(a), 1 << 16):
+            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y)], ["kind", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         enough = rows
         for b in batches:
-            held.append((b.column("part").to_numpy(), b.column("key").to_numpy(), b.column("fp").to_numpy().view(np.uint64), b.column("node").to_numpy()))
+            held.append((b.column("part").to_numpy(), b.column("key").to_numpy(), b.column("fp").to_numpy().view(np.uint64), b.column("node").to_numpy(), b.column("grp").to_numpy()))
             if sum(len(x[0]) for x in held) >= enough:
                 whole = [np.concatenate(x) for x in zip(*held, strict=True)]
                 last = np.flatnonzero((whole[0] != whole[0][-1]) | (whole[1] != whole[1][-1]))
@@ -330,10 +364,11 @@ def similarity(a: bytes, b: bytes, words: int) -> float:
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 11) -> DataFrame:
     """(doc_id, component_id): groups of texts whose word shingles have similarity ``least`` or more.
 
-    Equal texts are one node, the smallest doc_id. A node's candidates are the nearest fingerprint in each of its
-    buckets, within ``radius`` bits (at similarity 0.8, cosine 0.89, 64 bits differ in 9.7 on average), so
-    a group of copies gives a few pairs a member. Each pair is verified on the whole texts. component_id is the
-    smallest doc_id of the group. Rows with a null doc_id are left out.
+    Equal texts are one node, the smallest doc_id. Pairs within ``radius`` bits (at similarity 0.8, cosine 0.89, 64 bits
+    differ in 9.7 on average) are tried in rounds: each node with the nearest ones of other groups in each of its buckets, first
+    with one, then with eight times as many each round; pairs are verified on the whole texts and the groups contracted. Nodes
+    whose pairs were all tried leave, and the rounds end when no untried pair within the radius joins
+    two groups. component_id is the smallest doc_id of the group. Rows with a null doc_id are left out.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
@@ -345,21 +380,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
         mark = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw)), "<i8").reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), pa.array(mark[:, 0].copy()), pa.array(mark[:, 1].copy())], ["doc_id", "fp", "h1", "h2"])
 
-    marked = scratch.table(per_batch(source, run, "doc_id long, fp long, h1 long, h2 long"), "marked")
-    nodes = scratch.table(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "nodes")
-    plan = allocate(*bit_counts(nodes), radius)
-    pairs = keyed(nodes, plan, "node").repartition("part", "key").sortWithinPartitions("part", "key", "node").mapInArrow(_nearest_buckets(radius, [_mask(bits) for bits, _ in plan]), "a long, b long")
-    pairs = scratch.table(pairs.distinct(), "pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = scratch.table(source.join(used, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-
     def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         hit = [similarity(x, y, words) >= least for x, y in zip(texts(batch, "x"), texts(batch, "y"), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    met = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    links = scratch.table(per_batch(met, verify, "a long, b long", rows=500), "links")
-    scratch.drop("texts")
-    joined = components(links, scratch)
-    roots = scratch.table(nodes.join(joined, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component_id")), "roots")
+    def links_of(pairs: DataFrame, name: str) -> DataFrame:
+        used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        held = scratch.table(source.join(used, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+        met = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+        links = scratch.table(per_batch(met, verify, "a long, b long", rows=500), name)
+        scratch.drop("texts")
+        return links
+
+    marked = scratch.table(per_batch(source, run, "doc_id long, fp long, h1 long, h2 long"), "marked")
+    nodes = scratch.table(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "nodes")
+    plan = allocate(*bit_counts(nodes), radius)
+    masks = [_mask(bits) for bits, _ in plan]
+    open_, stars, tried = nodes.select("node", "fp"), None, None
+    for n in count():
+        rows = keyed(open_, plan, "node") if stars is None else keyed(open_, plan, "node", "grp")
+        rows = rows.repartition("part", "key").sortWithinPartitions("part", "key")
+        rows = rows.withColumn("grp", F.col("node")) if stars is None else rows
+        met = scratch.table(rows.mapInArrow(_candidates(radius, masks, 8**n), "kind int, a long, b long"), f"met-{n}")
+        pairs = met.filter(F.col("kind") == PAIR).select("a", "b").distinct()
+        pairs = scratch.table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{n}")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = links_of(pairs, f"links-{n}")
+        if stars is None or not links.isEmpty():
+            edges = links if stars is None else links.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            stars = components(edges, scratch, f"cc{n}")
+        more = met.filter(F.col("kind") == MORE).select(F.col("a").alias("node")).distinct()
+        open_ = scratch.table(nodes.select("node", "fp").join(more, "node", "left_semi").join(stars, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("grp")), f"open-{n}")
+        scratch.drop(f"met-{n}")
+        if open_.isEmpty():
+            break
+    roots = scratch.table(nodes.join(stars, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component_id")), "roots")
     return marked.join(roots, ["h1", "h2"]).select("doc_id", "component_id")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pricewell.llm.simhash import near_duplicates, nearest, similarity
+from pricewell.llm.simhash import fingerprint, near_duplicates, nearest, similarity
 
 
 def slow_pairs(rows, least=0.8):
@@ -94,3 +94,45 @@ def test_repeated_rows_and_rows_without_id(spark):
     assert sorted((r.doc_id for r in got), key=str) == [3, 5, None]
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, "/root/testdata/sf0.001").collect()
+
+
+def linked(rows, links):
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {d: find(d) for d in root}
+
+
+def edited_groups(seed=8, groups=6, copies=24, size=240):
+    """Chains and stars of edited copies whose similarities lie about 0.7 to 0.95."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    rows = []
+    for g in range(groups):
+        made = [[word() for _ in range(size)]]
+        for c in range(1, copies):
+            w = list(made[-1 if g % 2 else 0])
+            for k in rng.choice(size, int(rng.integers(1, 8)), replace=False):
+                w[k] = word()
+            made.append(w)
+        rows += [(g * 1000 + c, " ".join(w)) for c, w in enumerate(made)]
+    return rows
+
+
+def within(rows, links, radius=11):
+    prints = {d: fingerprint(t.encode(), 5) for d, t in rows}
+    return {(a, b) for a, b in links if (prints[a] ^ prints[b]).bit_count() <= radius}
+
+
+def test_groups_equal_brute_force_within_the_radius(spark):
+    rows = edited_groups()
+    want = linked(rows, within(rows, slow_pairs(rows)))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
