@@ -308,20 +308,39 @@ def nearest(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return found, best[found] & ((1 << 40) - 1)
 
 
-PAIR, MORE = 0, 1  # a pair to try; a node with pairs that were put off
+PAIR, MORE, LARGE = 0, 1, 2  # a pair to try; a node with pairs that were put off; part and key of a bucket to be split
 
 
-def _candidates(radius: int, masks: list[int], most: int, rows: int = 1 << 17):
-    """(kind, a, b) of rows in order of part and key: pairs of different groups, the ``most`` nearest of a node, and nodes of the others.
+def _candidates(radius: int, masks: list[int], most: int, large: int, rows: int = 1 << 17):
+    """(kind, a, b) of rows in order of part, key, cell and fp: pairs of different groups, the ``most`` nearest of a node, and nodes of the others.
 
     Two items meet under several keys of a partition; the pair counts under the one that keeps all bits they have in common.
+    Of a bucket of more than ``large`` rows that has no cells yet (cell -1), only neighbours in order are tried, in one pass
+    that holds no bucket; it is split in the next round. In a cell, rows of side 1 meet those of side 0.
     """
     mask = np.array(masks, np.uint64)
 
-    def flush(part: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bucket = np.cumsum(np.concatenate(([True], (part[1:] != part[:-1]) | (key[1:] != key[:-1])))) if len(part) else part
+    def changes(part: np.ndarray, key: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        return np.concatenate(([True], (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))[: len(part)]
+
+    def flush(part: np.ndarray, key: np.ndarray, cell: np.ndarray, side: np.ndarray, fp: np.ndarray, node: np.ndarray, group: np.ndarray, goes_on: bool) -> Iterator[pa.RecordBatch]:
+        bucket = np.cumsum(changes(part, key, cell)) - 1
+        if not len(bucket):
+            return
+        big = np.bincount(bucket) > large
+        big[0] |= goes_on
+        big = big[bucket] & (cell < 0)
+        if big.any():
+            x = np.flatnonzero(big[:-1] & (bucket[1:] == bucket[:-1]))
+            x = x[(group[x] != group[x + 1]) & (np.bitwise_count(fp[x] ^ fp[x + 1]) <= radius)]
+            yield from tell(PAIR, np.minimum(node[x], node[x + 1]), np.maximum(node[x], node[x + 1]))
+            own = np.unique(node[big])
+            yield from tell(MORE, own, own)
+            at = np.flatnonzero(big & changes(part, key, cell))
+            yield from tell(LARGE, part[at].astype(np.int64), key[at])
+            part, key, side, fp, node, group, bucket = (v[~big] for v in (part, key, side, fp, node, group, bucket))
         for x, y, bits in close_pairs(fp, bucket, radius):
-            fits = (group[x] != group[y]) & ((fp[x] & fp[y] & mask[part[x]]) == key[x].view(np.uint64))
+            fits = (group[x] != group[y]) & ((side[x] == 2) | (side[x] != side[y])) & ((fp[x] & fp[y] & mask[part[x]]) == key[x].view(np.uint64))
             x, y, bits = x[fits], y[fits], bits[fits]
             if not len(x):
                 continue
@@ -338,22 +357,46 @@ def _candidates(radius: int, masks: list[int], most: int, rows: int = 1 << 17):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        enough = rows
+        enough, goes_on = rows, False
         for b in batches:
-            held.append((b.column("part").to_numpy(), b.column("key").to_numpy(), b.column("fp").to_numpy().view(np.uint64), b.column("node").to_numpy(), b.column("grp").to_numpy()))
+            part, key, cell, side, fp, node, group = (b.column(c).to_numpy() for c in ("part", "key", "cell", "side", "fp", "node", "grp"))
+            held.append((part, key, cell, side, fp.view(np.uint64), node, group))
             if sum(len(x[0]) for x in held) >= enough:
                 whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-                last = np.flatnonzero((whole[0] != whole[0][-1]) | (whole[1] != whole[1][-1]))
-                last = int(last[-1]) + 1 if len(last) else 0  # where the bucket that may go on begins
-                yield from flush(*(x[:last] for x in whole))
-                held = [tuple(x[last:] for x in whole)]
-                enough = max(rows, 2 * (len(whole[0]) - last))
+                last = int(np.flatnonzero(changes(*whole[:3]))[-1])  # where the bucket that may go on begins
+                if len(whole[0]) - last > large and whole[2][-1] < 0:
+                    yield from flush(*whole, goes_on)
+                    held, goes_on = [tuple(x[-1:] for x in whole)], True
+                else:
+                    yield from flush(*(x[:last] for x in whole), goes_on)
+                    held, goes_on = [tuple(x[last:] for x in whole)], goes_on and last == 0
+                enough = max(rows, 2 * len(held[0][0]))
         if held:
-            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)), goes_on)
 
     return run
 
 
+def split(rows: DataFrame, hot: DataFrame, scratch: Scratch, name: str, large: int) -> DataFrame:
+    """``rows`` with cell and side; those of the buckets (part, key) of ``hot`` are dealt to cells of about ``large`` rows a side.
+
+    A pair of different groups has a member outside the bucket's greatest group. Such rows are dealt to some blocks (side 1),
+    all rows to others (side 0), and every two blocks are a cell: many tasks share a bucket and no pair is dropped.
+    A bucket of one group has no cells.
+    """
+    sizes = rows.join(hot, ["part", "key"], "left_semi").groupBy("part", "key", "grp").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy("part", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "grp")).alias("top"))
+    blocks = lambda n: F.ceil(n / F.lit(large)).cast("int")
+    whole = scratch.table(whole.select("part", "key", F.col("top.grp").alias("top"), blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("top.n")).alias("rest")), name)
+    i, j = F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest")).cast("int"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("all")).cast("int")
+    place = lambda cell, side: F.struct(cell.cast("int").alias("cell"), F.lit(side).alias("side"))
+    seen = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda k: place(k * F.col("all") + j, 0))
+    sees = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda k: place(i * F.col("all") + k, 1))
+    cells = F.when(F.col("top").isNull(), F.array(place(F.lit(-1), 2))).when(F.col("rest") > 0, F.when(F.col("grp") == F.col("top"), seen).otherwise(F.concat(seen, sees)))
+    dealt = rows.join(whole, ["part", "key"], "left").select("part", "key", "fp", "node", "grp", F.explode(cells).alias("_c"))
+    return dealt.select("part", "key", F.col("_c.cell").alias("cell"), F.col("_c.side").alias("side"), "fp", "node", "grp")
+
+
 def similarity(a: bytes, b: bytes, words: int) -> float:
     """Jaccard similarity of the texts' sets of word shingles."""
     x, y = (set(map(b" ".join, zip(*(w[n:] for n in range(words)), strict=False))) if len(w) >= words else {b" ".join(w)} for w in (a.lower().split(), b.lower().split()))
@@ -361,14 +404,15 @@ def similarity(a: bytes, b: bytes, words: int) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 11) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 11, large: int = 2048) -> DataFrame:
     """(doc_id, component_id): groups of texts whose word shingles have similarity ``least`` or more.
 
     Equal texts are one node, the smallest doc_id. Pairs within ``radius`` bits (at similarity 0.8, cosine 0.89, 64 bits
     differ in 9.7 on average) are tried in rounds: each node with the nearest ones of other groups in each of its buckets, first
     with one, then with eight times as many each round; pairs are verified on the whole texts and the groups contracted. Nodes
     whose pairs were all tried leave, and the rounds end when no untried pair within the radius joins
-    two groups. component_id is the smallest doc_id of the group. Rows with a null doc_id are left out.
+    two groups. A bucket of more than ``large`` nodes is linked along its order in the first round and then split
+    over many tasks. component_id is the smallest doc_id of the group. Rows with a null doc_id are left out.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
@@ -396,12 +440,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     nodes = scratch.table(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "nodes")
     plan = allocate(*bit_counts(nodes), radius)
     masks = [_mask(bits) for bits, _ in plan]
-    open_, stars, tried = nodes.select("node", "fp"), None, None
+    open_, stars, tried, hot = nodes.select("node", "fp"), None, None, None
     for n in count():
         rows = keyed(open_, plan, "node") if stars is None else keyed(open_, plan, "node", "grp")
-        rows = rows.repartition("part", "key").sortWithinPartitions("part", "key")
-        rows = rows.withColumn("grp", F.col("node")) if stars is None else rows
-        met = scratch.table(rows.mapInArrow(_candidates(radius, masks, 8**n), "kind int, a long, b long"), f"met-{n}")
+        if hot is not None:
+            rows = split(rows, hot, scratch, f"cells-{n}", large).repartition("part", "key", "cell").sortWithinPartitions("part", "key", "cell", "fp", "node")
+        else:
+            rows = rows.repartition("part", "key").sortWithinPartitions("part", "key", "fp", "node").withColumns({"cell": F.lit(-1), "side": F.lit(2)})
+            rows = rows.withColumn("grp", F.col("node")) if stars is None else rows
+        met = scratch.table(rows.mapInArrow(_candidates(radius, masks, 8**n, large), "kind int, a long, b long"), f"met-{n}")
+        if stars is None:
+            hot = scratch.table(met.filter(F.col("kind") == LARGE).select(F.col("a").cast("int").alias("part"), F.col("b").alias("key")).distinct(), "hot")
+            hot = None if hot.isEmpty() else hot
         pairs = met.filter(F.col("kind") == PAIR).select("a", "b").distinct()
         pairs = scratch.table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{n}")
         tried = pairs if tried is None else tried.unionByName(pairs)

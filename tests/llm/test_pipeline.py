@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from pricewell.llm import simhash
 from pricewell.llm.simhash import fingerprint, near_duplicates, nearest, similarity
 
 
@@ -136,3 +138,41 @@ def test_groups_equal_brute_force_within_the_radius(spark):
     want = linked(rows, within(rows, slow_pairs(rows)))
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_large_buckets_are_split_without_losing_pairs(spark):
+    rows = edited_groups(seed=5, groups=4, copies=40)
+    want = linked(rows, within(rows, slow_pairs(rows)))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), large=6).collect()}
+    assert got == want
+
+
+def batches(fp, groups, cell=-1, side=2):
+    n = len(fp)
+    one = lambda x, kind: pa.array(np.full(n, x), kind)
+    whole = pa.RecordBatch.from_arrays([one(0, pa.int32()), one(0, pa.int64()), one(cell, pa.int32()), one(side, pa.int32()), pa.array(fp.view(np.int64)), pa.array(np.arange(n)), pa.array(groups)], ["part", "key", "cell", "side", "fp", "node", "grp"])
+    return [whole.slice(k, 50) for k in range(0, n, 50)]
+
+
+def test_a_hot_bucket_takes_linear_work_until_it_is_split():
+    n = 20_000
+    fp = np.zeros(n, np.uint64)  # texts that differ and share a fingerprint
+    out = [(k, a, b) for x in simhash._candidates(11, [simhash._mask(list(range(32)))], 1, 2048, rows=1000)(iter(batches(fp, np.arange(n)))) for k, a, b in zip(*(x.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True)]
+    assert {(a, b) for k, a, b in out if k == simhash.PAIR} == {(k, k + 1) for k in range(n - 1)}
+    assert {a for k, a, _ in out if k == simhash.MORE} == set(range(n))
+    assert {(a, b) for k, a, b in out if k == simhash.LARGE} == {(0, 0)}
+
+
+def test_cells_hold_every_pair_of_different_groups(spark):
+    n = 200
+    group = lambda k: 0 if k < 120 else k
+    rows = spark.createDataFrame([(p, 7, k, k, 0 if p else group(k)) for k in range(n) for p in (0, 1)], "part int, key long, fp long, node long, grp long")
+    hot = spark.createDataFrame([(0, 7), (1, 7)], "part int, key long")
+    got = simhash.split(rows, hot, simhash.Scratch(spark, "cells"), "cells", 16).collect()
+    cells = {}
+    for r in got:
+        cells.setdefault(r.cell, ([], []))[r.side].append(r.node)
+    assert {r.part for r in got} == {0}, "a bucket of one group has nothing to try"
+    assert max(len(x) for c in cells.values() for x in c) < 48 and len(cells) == 65
+    met = {(min(a, b), max(a, b)) for zero, one in cells.values() for a in zero for b in one if group(a) != group(b)}
+    assert met == {(a, b) for b in range(n) for a in range(b) if group(a) != group(b)}
