@@ -6,8 +6,9 @@ rules: the first rule whose identifiers stand in that order (with at most ``gap`
 between) names a licence and uses its sentences up, until no rule matches. Licence
 sentences that no rule uses are told as UNKNOWN. One pass over the rows; nothing is shuffled.
 
-Cases: null or empty text has no sentences and no licence. Long texts are scanned whole; words that
-cannot belong to a known sentence are skipped by one search. Each repeated row gets the same result.
+Cases: null or empty text has no sentences and no licence. Long texts are scanned whole; texts
+without any word that a known sentence needs are skipped by one search. A sentence may hold a known one several times; an SPDX tag
+gives every licence of its expression, which ends with the line or the closing parenthesis. Each repeated row gets the same result.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 from pricewell.llm.common import per_bytes, texts
 
 # Identifier and pattern of known licence sentences, matched anywhere in a normalised
-# sentence (lower case, single spaces, comment marks dropped).
+# sentence (lower case, single spaces, comment marks dropped; \x02 ends an SPDX tag).
 SENTENCES = (
-    ("spdx", r"spdx-license-identifier: *([a-z0-9.+-]+)"),
+    ("spdx", r"spdx-license-identifier: *([^\x02]*)"),
     ("apache-ref", r"licensed under (?:the )?apache licen[sc]e,? (?:\(?version|v\.?) ?(?:2\.0|2)\b"),
     ("apache-condition", r"you may not use this file except in compliance with the licen[sc]e"),
     ("apache-copy", r"you may obtain a copy of the licen[sc]e at"),
@@ -83,9 +84,12 @@ RULES = (
     (("rights-reserved",), "Proprietary"),
 )
 _KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
-_HINT = re.compile(rb"licen[sc]e|permission|redistribut|copyright|warrant|public domain|creative commons|free software|rights reserved|at your option|cc by|cc-by|cc0|obtain a copy|mpl|endorse|unencumbered", re.I)
+# One word of every pattern above, so that no wrapping or comment mark can hide it; "rem" and "dnl" are marks that may touch a word.
+_HINT = re.compile(rb"licen[sc]e|permission|redistribut|warrant|endorse|domain|reserved|option\b|(?:\b|rem|dnl)(?:cc\b|cc0|commons\b|mpl\b)", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])[\s\"')]+(?=\S)|\n\s*\n")
 _MARKS = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|dnl|rem)[ \t]*", re.I)
+_TAG = re.compile(r"(?i)spdx-license-identifier:[ \t]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^\n]*|[^\n]*)")
+_EXPRESSION = re.compile(r"[( ]*[a-z0-9][a-z0-9.:+-]*[) ]*(?:(?<=[) ])(?:and|or|with) [( ]*[a-z0-9][a-z0-9.:+-]*[) ]*)*")
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
@@ -93,7 +97,8 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     out, at = [], 0
     for m in [*_SENTENCE.finditer(text), None]:
         end = m.start() if m else len(text)
-        norm = " ".join(_MARKS.sub(" ", text[at:end]).lower().split())
+        bare = _MARKS.sub(" ", text[at:end])
+        norm = " ".join(_TAG.sub("\\g<0>\x02", bare).lower().split())
         if norm:
             out.append((at, end, norm))
         if m:
@@ -102,9 +107,16 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
 
 
 def identify(sentence: str) -> list[tuple[str, tuple[str, ...]]]:
-    """Identifiers of the known sentences that this one holds, in the order in which they stand."""
-    hits = [(m.start(), name, tuple(g for g in m.groups() if g)) for name, p in _KNOWN if (m := p.search(sentence))]
-    return [(name, groups) for _, name, groups in sorted(hits)]
+    """Identifiers of the known sentences that this one holds, repeats too, in the order in which they stand."""
+    hits = [(m.start(), name, tuple(g for g in m.groups() if g)) for name, p in _KNOWN for m in p.finditer(sentence)]
+    return [(name, one) for _, name, groups in sorted(hits) for one in ([(x,) for x in expression("".join(groups))] if name == "spdx" else [groups])]
+
+
+def expression(value: str) -> list[str]:
+    """Licences of an SPDX expression; what follows WITH is an exception and no licence."""
+    m = _EXPRESSION.match(value)
+    words = m.group().replace("(", " ").replace(")", " ").split() if m else []
+    return [w.rstrip(".:") for w, before in zip(words, ["", *words], strict=False) if w not in ("and", "or", "with") and before != "with"]
 
 
 def _spdx(value: str) -> str:
@@ -119,10 +131,12 @@ def recognise(tokens: list[tuple[int, str, tuple[str, ...]]], gap: int = 3) -> l
         while begin < len(left):
             used, want, last = [], 0, None
             for k in left[begin:]:
-                n, token, _ = tokens[k]
+                n, token, caught = tokens[k]
                 if used and n - last > gap + 1:
                     break
-                if token == ids[want]:
+                if used and caught and token == ids[want - 1] and token != ids[want]:
+                    used[-1], last = k, n  # what follows belongs to the nearest number
+                elif token == ids[want]:
                     used.append(k)
                     want, last = want + 1, n
                     if want == len(ids):

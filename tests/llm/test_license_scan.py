@@ -1,6 +1,6 @@
 import re
 
-from pricewell.llm.license_scan import scan, scan_licenses
+from pricewell.llm.license_scan import SENTENCES, identify, scan, scan_licenses, sentences
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files, to deal in the Software without restriction. The above copyright notice and this
@@ -45,3 +45,42 @@ def test_edge_cases(spark):
     got = [(r.doc_id, r.licenses, len(r.spans)) for r in scan_licenses(docs).collect()]
     assert sorted(got, key=str) == sorted([(1, [], 0), (2, [], 0), (3, ["MIT"], 1), (4, ["MIT"], 3), (4, ["MIT"], 3), (None, ["MIT"], 3)], key=str)
     assert scan_licenses(docs.limit(0)).collect() == []
+
+
+WHOLE = [
+    "SPDX-License-Identifier: MIT", "licensed under the apache license, version 2.0", "you may not use this file except in compliance with the license",
+    "you may obtain a copy of the license at", "released under the mit license", "permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "the above copyright notice and this permission notice shall be included in all", 'the software is provided "as is", without warranty of any kind',
+    "permission to use, copy, modify, and/or distribute this software for any purpose", "redistribution and use in source and binary forms, with or without modification, are permitted",
+    "redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice",
+    "neither the names of x may be used to endorse or promote products", "this software is provided by x as is and any express or implied warranties",
+    "distributed under a bsd-style licence", "under the gnu general public license version 2", "this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license",
+    "you should have received a copy of the gnu general public license", "distributed in the hope that it will be useful, but without any warranty", "under the gnu lesser general public license v2.1",
+    "under the gnu affero general public license, version 3", "subject to the terms of the mozilla public license, v2.0", "if a copy of the mpl was not distributed with this file",
+    "released under cc by 4.0", "shared under the creative commons by-sa 4.0", "released under cc0 1.0", "dedicated to the public domain", "this is free and unencumbered software released into the public domain",
+    "or (at your option) any later version", "all rights reserved",
+]
+
+
+def test_wrapped_sentences_are_found():
+    for joiner in ("\n", "  ", "\n// ", "\n# ", "\nrem ", "\nREM", "\ndnl"):
+        seen = set()
+        for whole in WHOLE:
+            text = whole.replace(" ", joiner) if not whole.startswith("SPDX") else whole
+            want = [name for _, _, s in sentences(text) for name, _ in identify(s)]
+            assert want and scan(text.encode())[1] == want, (joiner, whole)
+            seen |= set(want)
+        assert seen == {name for name, _ in SENTENCES}
+    assert names("All rights\nreserved.") == ["Proprietary"]
+    assert names("Released under CC\nBY 4.0.") == ["CC-BY-4.0"]
+    assert names("dedicated to the public\n# domain") == ["CC0-1.0"]
+
+
+def test_every_hit_of_a_sentence_counts():
+    assert names("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0") == ["Apache-2.0", "MIT"]
+    assert names("// SPDX-License-Identifier: MIT OR Apache-2.0\nand some code") == ["Apache-2.0", "MIT"]
+    assert names("/* SPDX-License-Identifier: (MIT AND (ISC OR BSD-3-Clause)) */ int x") == ["BSD-3-Clause", "ISC", "MIT"]
+    assert names("# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR\tMIT\nx") == ["GPL-2.0-only", "MIT"]
+    assert names("# SPDX-License-Identifier: (MIT OR\n#   Apache-2.0)\nor other") == ["Apache-2.0", "MIT"]
+    assert names("a is released under CC BY 4.0, b is released under CC BY-SA 3.0") == ["CC-BY-4.0", "CC-BY-SA-3.0"]
+    assert names("a is under the GNU General Public License v2, b under the GNU General Public License v3 or at your option any later version") == ["GPL-2.0-only", "GPL-3.0-or-later"]
