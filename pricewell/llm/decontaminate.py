@@ -4,7 +4,9 @@ Items are partitioned by their number of shingles, so the sizes within a partiti
 of at most sqrt(2). For each partition documents are read in overlapping blocks a little over
 twice the partition's largest item: an item's passage lies whole in some block, and its containment of 0.8
 becomes a Jaccard similarity of 0.21 or more, whatever the document's length. A block is a
-candidate for an item when any of 64 minimum hashes agree (a miss has probability below 1e-6). Candidates
+candidate for an item when any of 64 minimum hashes agree (a miss has probability below 1e-6). An item that
+repeats itself, so that its places exceed its partition's distinct shingles, would need wider blocks: such items have an
+index of all their shingles instead, whose hits in a whole document are counted, which misses nothing. Candidates
 are verified by exact containment of word shingles in the whole document.
 
 Documents are read once and nothing is shuffled. Items go to all tasks in blocks of bounded size;
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewell.llm.common import cuts, mix64, texts, word_hashes
+from pricewell.llm.common import cuts, mix64, starts_of, texts, word_hashes
 
 WORDS = 5
 HASHES = 64
@@ -81,9 +83,11 @@ class Items:
         begins = np.cumsum(count) - count
         level = np.ceil(2 * np.log2(np.maximum(sizes, 1)) - 1e-9).astype(np.int64)
         # the passage of an item has as many places as the item, repeats included
+        repeats = np.ceil(2 * np.log2(np.maximum(count, 1)) - 1e-9).astype(np.int64) > level
+        self._index(h, begins, count, np.flatnonzero(repeats))
         self.parts = []
-        for p in np.unique(level):
-            own = np.flatnonzero(level == p)
+        for p in np.unique(level[~repeats]):
+            own = np.flatnonzero((level == p) & ~repeats)
             self.parts.append((int(np.ceil(SLACK * count[own].max())), own))
         self.tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in self.parts]
         for k in range(HASHES if len(h) else 0):
@@ -94,6 +98,32 @@ class Items:
                 seen[(low[own] >> np.uint64(48)).astype(np.int64)] = True
                 t.append((low[order], order, seen))
 
+    def _index(self, h: np.ndarray, begins: np.ndarray, count: np.ndarray, own: np.ndarray) -> None:
+        """Sorted distinct shingle hashes of the items ``own`` with their items, and how many each item has."""
+        hashes = [np.unique(h[begins[i] : begins[i] + count[i]]) for i in own]
+        self.index_items = np.repeat(own, [len(x) for x in hashes])
+        self.index = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        order = np.argsort(self.index, kind="stable")
+        self.index, self.index_items = self.index[order], self.index_items[order]
+        self.needs = np.bincount(self.index_items, minlength=len(self.ids))
+        self.indexed = np.zeros(1 << 16, bool)
+        self.indexed[(self.index >> np.uint64(48)).astype(np.int64)] = True
+
+    def counted(self, h: np.ndarray, count: np.ndarray, least: float) -> set[tuple[int, int]]:
+        """(text, item) pairs of indexed items of whose shingles the text holds ``least`` or more."""
+        at = np.flatnonzero(self.indexed[(h >> np.uint64(48)).astype(np.int64)]) if len(self.index) else np.zeros(0, np.int64)
+        a, b = np.searchsorted(self.index, h[at], "left"), np.searchsorted(self.index, h[at], "right")
+        at, a, b = at[b > a], a[b > a], b[b > a]
+        found: set[tuple[int, int]] = set()
+        doc = np.searchsorted(np.cumsum(count), at, "right")
+        run = starts_of(doc)
+        for x, y in zip(run.tolist(), np.append(run[1:], len(doc)).tolist(), strict=True) if len(run) else ():
+            _, first = np.unique(a[x:y], return_index=True)
+            begin, n = a[x:y][first], (b - a)[x:y][first]
+            hits = np.bincount(self.index_items[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(self.ids))
+            found.update((int(doc[x]), int(i)) for i in np.flatnonzero((hits > 0) & (hits >= least * self.needs - 1e-6)))
+        return found
+
     def candidates(self, h: np.ndarray, count: np.ndarray) -> set[tuple[int, int]]:
         """(text, item) pairs in which some block and the item agree on a minimum."""
         found: set[tuple[int, int]] = set()
@@ -128,7 +158,7 @@ class Items:
         """(text, item, shingles of the item, share of them in the text), verified exactly."""
         h, count = shingle_hashes(raw)
         out, at, own = [], -1, set()
-        for doc, item in sorted(self.candidates(h, count)):
+        for doc, item in sorted(self.candidates(h, count) | self.counted(h, count, least)):
             if doc != at:
                 at, own = doc, exact_shingles(raw[doc])
             need = self.sets[item]

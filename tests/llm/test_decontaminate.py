@@ -55,3 +55,24 @@ def test_edge_cases(spark):
     assert sorted((tuple(x) for x in find_items(a, b).collect()), key=str) == slow(docs, items)
     assert find_items(a.limit(0), b).collect() == [] and find_items(a, b.limit(0)).collect() == []
     assert drop_contaminated(a, b.limit(0)).count() == 7
+
+
+def test_repetitive_items_stretch_no_blocks(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    normal = [(i, " ".join(word() for _ in range(r.choice((27, 28, 30, 31, 32))))) for i in range(60)]
+    again = []
+    for i in range(60, 70):
+        few = [word() for _ in range(30)]
+        again.append((i, " ".join(few * 20) if i % 2 else " ".join(w for w in few for _ in range(8))))
+    items, docs = normal + again, []
+    for d in range(210):
+        w = items[d % 70][1].split()
+        if d % 3:
+            w[len(w) // 8] = word()
+        docs.append((d, " ".join([word() for _ in range(3000)] + w + [word() for _ in range(3000)])))
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = slow(docs, items)
+    assert len(want) > 150 and len([x for x in want if x[1] >= 60]) >= 20
+    assert sorted((tuple(x) for x in find_items(a, b).collect()), key=str) == want
+    assert {x.doc_id for x in drop_contaminated(a, b).collect()} == {d for d, _ in docs} - {x[0] for x in want}
