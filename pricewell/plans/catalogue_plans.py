@@ -42,12 +42,23 @@ s AS (SELECT p_partkey, brand, len(list_filter(bt, lambda x: length(x) > 2 AND l
 SELECT p_partkey, brand, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, brand) AS rn FROM s WHERE score > 0) WHERE rn <= 5""",
 )
 def brand_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to five brands whose words stand in an offer's name: joined on the word, so only brands that share one meet it."""
+    """``suggest_brands`` for the offers that its SQL names; ``brand_suggestions_all`` has every offer."""
+    p = table(spark, sf_dir, "part")
+    return suggest_brands(p.filter("p_partkey < 50"), p)
+
+
+@query("brand_suggestions_all")
+def brand_suggestions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
+    return suggest_brands(p, p)
+
+
+def suggest_brands(offers: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Up to five brands whose words stand in an offer's name: joined on the word, so only brands that share one meet it."""
     words = lambda x: F.array_distinct(F.filter(F.split(normalize(x), " "), lambda t: F.length(t) > 2))
-    offers = p.filter("p_partkey < 50").select("p_partkey", F.explode(words(F.concat_ws(" ", "p_name", "p_type"))).alias("w"))
-    brands = p.select(F.col("p_type").alias("brand")).distinct().select("brand", F.explode(words(F.col("brand"))).alias("w"))
-    s = offers.join(brands, "w").groupBy("p_partkey", "brand").agg(F.count(F.lit(1)).cast("int").alias("score"))
+    named = offers.select("p_partkey", F.explode(words(F.concat_ws(" ", "p_name", "p_type"))).alias("w"))
+    brands = catalogue.select(F.col("p_type").alias("brand")).distinct().select("brand", F.explode(words(F.col("brand"))).alias("w"))
+    s = named.join(brands, "w").groupBy("p_partkey", "brand").agg(F.count(F.lit(1)).cast("int").alias("score"))
     w = Window.partitionBy("p_partkey").orderBy(F.desc("score"), "brand")
     return s.withColumn("_n", F.row_number().over(w)).filter("_n <= 5").drop("_n")
 
