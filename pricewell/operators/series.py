@@ -27,23 +27,66 @@ def _largest_triangles(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     return np.array([*picked, n - 1])
 
 
+def _corners(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the corners of the convex hull of points in order of x, y; all places where a value is unknown."""
+    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+        return np.arange(len(x))
+    px, py, keep = x.tolist(), y.tolist(), set()
+    for turn in (1.0, -1.0):
+        out: list[int] = []
+        for k in range(len(px)):
+            while len(out) > 1 and turn * ((px[out[-1]] - px[out[-2]]) * (py[k] - py[out[-2]]) - (py[out[-1]] - py[out[-2]]) * (px[k] - px[out[-2]])) <= 0:
+                out.pop()
+            out.append(k)
+        keep.update(out)
+    return np.array(sorted(keep))
+
+
+def _picks(pdf: pd.DataFrame, x: str, y: str, most: int) -> pd.DataFrame:
+    """The points of ``_largest_triangles`` from the corners of each chunk of its buckets (_b) and the chunks' means."""
+    pdf = pdf.sort_values("_i", kind="stable")
+    chunks = pdf.drop_duplicates(["_b", "_k"])
+    means = {k: (np.average(g["_mx"], weights=g["_n"]), np.average(g["_my"], weights=g["_n"])) for k, g in chunks.groupby("_b")}
+    buckets = {k: g for k, g in pdf.groupby("_b")}
+    out = [buckets[-1].iloc[[0]]]
+    for k in range(most - 2):
+        g, (mx, my) = buckets[k], means[k + 1]
+        px, py = float(out[-1][x].iloc[0]), float(out[-1][y].iloc[0])
+        area = np.abs((px - mx) * (g[y].to_numpy(float) - py) - (px - g[x].to_numpy(float)) * (my - py))
+        out.append(g.iloc[[int(np.argmax(area))]])
+    return pd.concat([*out, buckets[most - 2].iloc[[0]]])
+
+
 def decimate(df: DataFrame, series: str, x: str, y: str, most: int, bucket_rows: int = 200_000) -> DataFrame:
     """At most ``most`` points of each series that keep its shape.
 
-    A pick depends on the one before, so a series is one group; a series longer than ``bucket_rows`` is first thinned
-    to its extremes per bucket by an aggregation, which bounds the group.
+    A pick depends on the one before, so a series is one group. A series longer than ``bucket_rows`` gives that group only
+    the means of its buckets and the corners of the convex hull of each chunk of ``bucket_rows`` rows: the largest triangle over a
+    fixed base always ends at a corner, so the picks are those of all points.
     """
-    n = df.groupBy(series).agg(F.count(F.lit(1)).alias("_c"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    marked = df.join(n, series).withColumn("_b", F.when(F.col("_c") > bucket_rows, F.floor((F.col(x) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12)) * (bucket_rows // 4))))
-    thick = marked.filter("_b IS NOT NULL").groupBy(series, "_b").agg(F.min_by(F.struct(x, y), y).alias("p"), F.max_by(F.struct(x, y), y).alias("q"))
-    thin = thick.select(series, F.explode(F.array_distinct(F.array("p", "q"))).alias("p")).select(series, F.col("p")[x].alias(x), F.col("p")[y].alias(y))
-    rows = marked.filter("_b IS NULL").select(series, x, y).unionByName(thin)
+    n = df.groupBy(series).agg(F.count(F.lit(1)).alias("_c"))
+    marked = df.select(series, x, y).join(n, series)
+    long_ = (F.col("_c") > bucket_rows) & (F.col("_c") > most) & F.lit(most >= 3)
+    place = F.row_number().over(Window.partitionBy(series).orderBy(F.asc_nulls_last(x), F.asc_nulls_last(y))).cast("long") - 1
+    # the first row is bucket -1, the last one bucket most - 2; the others are dealt as _largest_triangles does
+    bucket = F.when(F.col("_i") == 0, -1).when(F.col("_i") == F.col("_c") - 1, most - 2).otherwise(F.expr(f"(_i * {most - 2} - 1) div (_c - 2)")).cast("long")
+    placed = marked.filter(long_).withColumn("_i", place).withColumn("_b", bucket).withColumn("_k", F.expr(f"_i div {bucket_rows}"))
+    wide = placed.select(series, x, y, "_i", "_b", "_k", *[F.lit(0.0).alias(c) for c in ("_mx", "_my", "_n")])
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i", kind="stable")
+        px, py = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
+        return pdf.iloc[_corners(px, py)].assign(_mx=px.mean(), _my=py.mean(), _n=float(len(pdf)))
+
+    thin = wide.groupBy(series, "_b", "_k").applyInPandas(corners, wide.schema)
+    rows = marked.filter(~long_).select(series, x, y)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([x, y], kind="stable")
         return pdf.iloc[_largest_triangles(pdf[x].to_numpy(float), pdf[y].to_numpy(float), most)]
 
-    return rows.groupBy(series).applyInPandas(pick, rows.schema)
+    picked = thin.groupBy(series).applyInPandas(lambda pdf: _picks(pdf, x, y, most)[[series, x, y]], rows.schema)
+    return rows.groupBy(series).applyInPandas(pick, rows.schema).unionByName(picked)
 
 
 def ohlc(df: DataFrame, series: str, order: list[str], value: str, buckets: int) -> DataFrame:

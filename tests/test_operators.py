@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pricewell.operators import filters, joins, keyed, offers, resolve, series
@@ -94,6 +95,17 @@ def test_series(spark):
     assert {(r.s, r.x, r.projected) for r in series.project(line, "s", "x", "y", 2).collect()} == {("a", 3, 6.0), ("a", 4, 8.0), ("b", 2, 7.0), ("b", 3, 7.0)}
 
 
+@pytest.mark.parametrize("bucket_rows", [7, 100, 1999])
+def test_long_series_have_the_same_picks(spark, bucket_rows):
+    rng = np.random.default_rng(4)
+    rows = [(s, float(x), float(y)) for s in "ab" for x, y in zip(np.cumsum(rng.integers(1, 9, 2000)), rng.normal(size=2000).cumsum(), strict=True)]
+    rows += [("flat", float(x), 1.0) for x in range(2000)]
+    df = spark.createDataFrame(rows, "s string, x double, y double")
+    want = sorted(tuple(r) for r in series.decimate(df, "s", "x", "y", 20).collect())
+    assert len(want) == 60
+    assert sorted(tuple(r) for r in series.decimate(df, "s", "x", "y", 20, bucket_rows=bucket_rows).collect()) == want
+
+
 def test_writes(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "B"), (3, "c")], "k int, v string")
