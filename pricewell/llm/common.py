@@ -18,9 +18,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where unset, a new local one."""
+    """The folder named in ``spark.checkpoint.dir``; a new one of this machine where it is unset and all tasks run here, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="pricewell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -175,3 +177,22 @@ def word_hashes(raw: list[bytes], lower: bool = False, plain: bool = False) -> t
             v[far] = mix64(v[far] + (place[far] // _PLACES).astype(np.uint64), 4)
         total = np.add.reduceat(v, np.flatnonzero(first[at]))
     return mix64(total, 5), count
+
+
+def shingles(v: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' shingles from their words' hashes, in order, and how many each text has; fewer words are one shingle."""
+    count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
+    base = np.cumsum(n) - n
+    at = np.repeat(base - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    length = np.repeat(np.minimum(n, words), count)
+    h = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(words):
+            use = length > k
+            if use.all():
+                h = (h + v[at + k]) * np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(32)
+            else:
+                h[use] = (h[use] + v[at[use] + k]) * np.uint64(0xD6E8FEB86659FD93)
+                h[use] ^= h[use] >> np.uint64(32)
+    return mix64(h, 9), count

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewell.llm.common import cuts, mix64, starts_of, texts, word_hashes
+from pricewell.llm.common import cuts, mix64, shingles, starts_of, texts, word_hashes
 
 WORDS = 5
 HASHES = 64
@@ -47,22 +47,7 @@ def exact_shingles(text: bytes, words: int = WORDS) -> set[bytes]:
 
 def shingle_hashes(raw: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the texts' shingles in order, and how many each text has."""
-    v, n = word_hashes(raw, lower=True, plain=True)
-    count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
-    base = np.cumsum(n) - n
-    at = np.repeat(base - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    length = np.repeat(np.minimum(n, words), count)
-    h = np.zeros(len(at), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(words):
-            use = length > k
-            if use.all():
-                h = (h + v[at + k]) * np.uint64(0xD6E8FEB86659FD93)
-                h ^= h >> np.uint64(32)
-            else:
-                h[use] = (h[use] + v[at[use] + k]) * np.uint64(0xD6E8FEB86659FD93)
-                h[use] ^= h[use] >> np.uint64(32)
-    return mix64(h, 9), count
+    return shingles(*word_hashes(raw, lower=True, plain=True), words)
 
 
 def minima(h: np.ndarray, begins: np.ndarray, k: int) -> np.ndarray:

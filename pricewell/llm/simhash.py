@@ -11,7 +11,10 @@ never its pairs. Components of those links give each document its group.
 
 Cases: null or empty text has fingerprint zero, which is linked like any other. Texts of fewer words than
 a shingle are one shingle. Repeated rows share a fingerprint and so a component. An
-empty table gives an empty result.
+empty table gives an empty result. Other columns, of clashing names too, do not matter. A row without a doc_id has a fingerprint and
+a component like any other and lends no number to it.
+
+``near_duplicates`` and ``drop_near_duplicates`` find groups by similarity of word shingles; ``near_groups`` by fingerprint alone.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewell.llm.common import Scratch, per_batch, starts_of, texts
+from pricewell.llm.common import Scratch, mix64, per_batch, per_bytes, shingles, starts_of, texts, word_hashes
 from pricewell.llm.components import components
 
 BITS = 64
@@ -263,7 +266,36 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     return marked.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def close_pairs(fp: np.ndarray, key: np.ndarray, radius: int, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+BANDS, LOWS = 25, 5  # a pair at similarity 0.8 shares no band of minima with probability (1 - 0.8 ** 5) ** 25 = 5e-5
+FAR = 26  # such a pair differs in 9.7 bits on average, with a standard deviation of 2.9
+_ODD = mix64(np.arange(BANDS * LOWS, dtype=np.uint64), 23) | np.uint64(1)
+HELD = 32 << 20  # bytes of a table that all tasks may get
+
+
+def sketches(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint, number and bands of the distinct word shingles of each text; texts without a word are alike."""
+    h, count = shingles(*word_hashes(raw, lower=True), words)
+    doc = np.repeat(np.arange(len(raw)), count)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))[: len(h)]
+    h, size = h[new], np.bincount(doc[new], minlength=len(raw))
+    fp, bands = np.zeros(len(raw), np.uint64), np.zeros((len(raw), BANDS), np.uint64)
+    has = np.flatnonzero(size)
+    if not len(has):
+        return fp, size, bands
+    begins = (np.cumsum(size) - size)[has]
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
+    fp[has] = np.packbits(2 * ones > size[has, None], axis=1).view(">u8").ravel()
+    with np.errstate(over="ignore"):
+        for k in range(BANDS * LOWS):
+            low = np.minimum.reduceat(h * _ODD[k], begins)
+            bands[has, k // LOWS] = mix64(bands[has, k // LOWS] ^ low, 24)
+    return fp, size, bands
+
+
+def close_pairs(fp: np.ndarray, key: np.ndarray, radius: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(x, y, bits): all places of equal key within ``radius`` bits, for a few whole buckets (``most`` pairs) at a time."""
     if not len(key):
         return
@@ -276,7 +308,7 @@ def close_pairs(fp: np.ndarray, key: np.ndarray, radius: int, most: int = 1 << 2
         for d in range(1, int(left[begin:end].max())):
             at = at[left[at] > d]
             far = np.bitwise_count(fp[at] ^ fp[at + d])
-            near = far <= radius
+            near = far <= radius[at]
             if near.any():
                 found.append((at[near], at[near] + d, far[near]))
         if found:
@@ -294,36 +326,29 @@ def chosen(x: np.ndarray, y: np.ndarray, bits: np.ndarray, node: np.ndarray, mos
     return out[: len(x)] | out[len(x) :]
 
 
-def nearest(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of each item and of the item nearest to it among equal keys, where within ``radius`` bits.
-
-    Of equally near items the first in order counts.
-    """
-    best = np.full(len(fp), np.iinfo(np.int64).max)
-    for x, y, bits in close_pairs(fp, key, radius):
-        far = bits.astype(np.int64) << 40
-        np.minimum.at(best, x, far | y)
-        np.minimum.at(best, y, far | x)
-    found = np.flatnonzero(best < np.iinfo(np.int64).max)
-    return found, best[found] & ((1 << 40) - 1)
-
-
 PAIR, MORE, LARGE = 0, 1, 2  # a pair to try; a node with pairs that were put off; part and key of a bucket to be split
+ROW = ("part", "key", "cell", "side", "fp", "size", "node", "grp")
 
 
-def _candidates(radius: int, masks: list[int], most: int, large: int, rows: int = 1 << 17):
+def _candidates(limits: list[int], masks: list[int], least: float, most: int, large: int, rows: int = 1 << 17):
     """(kind, a, b) of rows in order of part, key, cell and fp: pairs of different groups, the ``most`` nearest of a node, and nodes of the others.
 
-    Two items meet under several keys of a partition; the pair counts under the one that keeps all bits they have in common.
+    A pair counts within the ``limits`` (bits) of its part and where the sizes allow the similarity ``least``. Two items meet
+    under several keys of one of the first parts, which have ``masks``; the pair counts under the key that keeps all bits they have in common.
     Of a bucket of more than ``large`` rows that has no cells yet (cell -1), only neighbours in order are tried, in one pass
     that holds no bucket; it is split in the next round. In a cell, rows of side 1 meet those of side 0.
     """
-    mask = np.array(masks, np.uint64)
+    limit, mask = np.array(limits, np.int64), np.zeros(len(limits), np.uint64)
+    mask[: len(masks)] = masks
+    masked = np.arange(len(limits)) < len(masks)
 
-    def changes(part: np.ndarray, key: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    def changes(part: np.ndarray, key: np.ndarray, cell: np.ndarray, *_: np.ndarray) -> np.ndarray:
         return np.concatenate(([True], (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))[: len(part)]
 
-    def flush(part: np.ndarray, key: np.ndarray, cell: np.ndarray, side: np.ndarray, fp: np.ndarray, node: np.ndarray, group: np.ndarray, goes_on: bool) -> Iterator[pa.RecordBatch]:
+    def alike(size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y]) - 1e-9
+
+    def flush(goes_on: bool, part, key, cell, side, fp, size, node, group) -> Iterator[pa.RecordBatch]:
         bucket = np.cumsum(changes(part, key, cell)) - 1
         if not len(bucket):
             return
@@ -332,15 +357,16 @@ def _candidates(radius: int, masks: list[int], most: int, large: int, rows: int
         big = big[bucket] & (cell < 0)
         if big.any():
             x = np.flatnonzero(big[:-1] & (bucket[1:] == bucket[:-1]))
-            x = x[(group[x] != group[x + 1]) & (np.bitwise_count(fp[x] ^ fp[x + 1]) <= radius)]
+            x = x[(group[x] != group[x + 1]) & (np.bitwise_count(fp[x] ^ fp[x + 1]) <= limit[part[x]]) & alike(size, x, x + 1)]
             yield from tell(PAIR, np.minimum(node[x], node[x + 1]), np.maximum(node[x], node[x + 1]))
             own = np.unique(node[big])
             yield from tell(MORE, own, own)
             at = np.flatnonzero(big & changes(part, key, cell))
             yield from tell(LARGE, part[at].astype(np.int64), key[at])
-            part, key, side, fp, node, group, bucket = (v[~big] for v in (part, key, side, fp, node, group, bucket))
-        for x, y, bits in close_pairs(fp, bucket, radius):
-            fits = (group[x] != group[y]) & ((side[x] == 2) | (side[x] != side[y])) & ((fp[x] & fp[y] & mask[part[x]]) == key[x].view(np.uint64))
+            part, key, side, fp, size, node, group, bucket = (v[~big] for v in (part, key, side, fp, size, node, group, bucket))
+        for x, y, bits in close_pairs(fp, bucket, limit[part]):
+            fits = (group[x] != group[y]) & ((side[x] == 2) | (side[x] != side[y])) & alike(size, x, y)
+            fits &= ~masked[part[x]] | ((fp[x] & fp[y] & mask[part[x]]) == key[x].view(np.uint64))
             x, y, bits = x[fits], y[fits], bits[fits]
             if not len(x):
                 continue
@@ -359,20 +385,19 @@ def _candidates(radius: int, masks: list[int], most: int, large: int, rows: int
         held: list[tuple[np.ndarray, ...]] = []
         enough, goes_on = rows, False
         for b in batches:
-            part, key, cell, side, fp, node, group = (b.column(c).to_numpy() for c in ("part", "key", "cell", "side", "fp", "node", "grp"))
-            held.append((part, key, cell, side, fp.view(np.uint64), node, group))
+            held.append(tuple(b.column(c).to_numpy().view(np.uint64) if c == "fp" else b.column(c).to_numpy() for c in ROW))
             if sum(len(x[0]) for x in held) >= enough:
                 whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-                last = int(np.flatnonzero(changes(*whole[:3]))[-1])  # where the bucket that may go on begins
+                last = int(np.flatnonzero(changes(*whole))[-1])  # where the bucket that may go on begins
                 if len(whole[0]) - last > large and whole[2][-1] < 0:
-                    yield from flush(*whole, goes_on)
+                    yield from flush(goes_on, *whole)
                     held, goes_on = [tuple(x[-1:] for x in whole)], True
                 else:
-                    yield from flush(*(x[:last] for x in whole), goes_on)
+                    yield from flush(goes_on, *(x[:last] for x in whole))
                     held, goes_on = [tuple(x[last:] for x in whole)], goes_on and last == 0
                 enough = max(rows, 2 * len(held[0][0]))
         if held:
-            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)), goes_on)
+            yield from flush(goes_on, *(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -393,8 +418,8 @@ def split(rows: DataFrame, hot: DataFrame, scratch: Scratch, name: str, large: i
     seen = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda k: place(k * F.col("all") + j, 0))
     sees = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda k: place(i * F.col("all") + k, 1))
     cells = F.when(F.col("top").isNull(), F.array(place(F.lit(-1), 2))).when(F.col("rest") > 0, F.when(F.col("grp") == F.col("top"), seen).otherwise(F.concat(seen, sees)))
-    dealt = rows.join(whole, ["part", "key"], "left").select("part", "key", "fp", "node", "grp", F.explode(cells).alias("_c"))
-    return dealt.select("part", "key", F.col("_c.cell").alias("cell"), F.col("_c.side").alias("side"), "fp", "node", "grp")
+    dealt = rows.join(whole, ["part", "key"], "left").select(*rows.columns, F.explode(cells).alias("_c"))
+    return dealt.select("part", "key", F.col("_c.cell").alias("cell"), F.col("_c.side").alias("side"), *ROW[4:])
 
 
 def similarity(a: bytes, b: bytes, words: int) -> float:
@@ -404,65 +429,101 @@ def similarity(a: bytes, b: bytes, words: int) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 11, large: int = 2048) -> DataFrame:
-    """(doc_id, component_id): groups of texts whose word shingles have similarity ``least`` or more.
+def _side(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table as the side of a join that is held: by all tasks if its counted rows are few, else dealt by key."""
+    return F.broadcast(table) if table.count() * row_bytes <= HELD else table.hint("shuffle_hash")
+
 
-    Equal texts are one node, the smallest doc_id. Pairs within ``radius`` bits (at similarity 0.8, cosine 0.89, 64 bits
-    differ in 9.7 on average) are tried in rounds: each node with the nearest ones of other groups in each of its buckets, first
-    with one, then with eight times as many each round; pairs are verified on the whole texts and the groups contracted. Nodes
-    whose pairs were all tried leave, and the rounds end when no untried pair within the radius joins
-    two groups. A bucket of more than ``large`` nodes is linked along its order in the first round and then split
-    over many tasks. component_id is the smallest doc_id of the group. Rows with a null doc_id are left out.
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and what tells rows apart: the id (null as the least) and 128 bits of the text's hash."""
+    text, ident = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    return docs.select(ident.alias("doc_id"), text.alias("text"), F.coalesce(ident, F.lit(-(2**63))).alias("_d"), F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2"))
+
+
+def _groups(docs: DataFrame, scratch: Scratch, words: int, least: float, radius: int, large: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes): doc_id and text hash of each row, and (node, _h1, _h2, doc_id, copies, root) of each distinct text.
+
+    Candidates come from two kinds of buckets: SimHash keys by the general pigeonhole principle, which hold all pairs within ``radius``
+    bits, and bands of minimum hashes, which hold the pairs whose fingerprints lie further apart (at similarity 0.8 only one pair in
+    sixty is within three bits). Pairs are tried in rounds: each node with the nearest of other groups in each of its buckets, first
+    with one, then with eight times as many each round; all are verified on the whole texts and the groups contracted. Nodes
+    whose pairs were all tried leave, and the rounds end when no untried pair of a bucket joins two groups. A bucket of
+    more than ``large`` nodes is linked along its order in the first round and then split over many tasks.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-duplicates")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
+    source = _texts(docs)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        raw = texts(batch)
-        fps = np.array([fingerprint(t, words) for t in raw], np.uint64)
-        mark = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw)), "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), pa.array(mark[:, 0].copy()), pa.array(mark[:, 1].copy())], ["doc_id", "fp", "h1", "h2"])
+        fp, size, bands = sketches(texts(batch), words)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int64)), lists], [*names, "fp", "size", "bands"])
 
     def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         hit = [similarity(x, y, words) >= least for x, y in zip(texts(batch, "x"), texts(batch, "y"), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    def links_of(pairs: DataFrame, name: str) -> DataFrame:
-        used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        held = scratch.table(source.join(used, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-        met = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-        links = scratch.table(per_batch(met, verify, "a long, b long", rows=500), name)
-        scratch.drop("texts")
-        return links
-
-    marked = scratch.table(per_batch(source, run, "doc_id long, fp long, h1 long, h2 long"), "marked")
-    nodes = scratch.table(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "nodes")
+    names = ["doc_id", "_d", "_h1", "_h2"]
+    marked = scratch.table(per_bytes(source, run, "doc_id long, _d long, _h1 long, _h2 long, fp long, size long, bands array<long>"), "marked")
+    one = marked.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")])
+    nodes = scratch.table(one.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
     plan = allocate(*bit_counts(nodes), radius)
-    masks = [_mask(bits) for bits, _ in plan]
-    open_, stars, tried, hot = nodes.select("node", "fp"), None, None, None
+    masks, limits = [_mask(bits) for bits, _ in plan], [radius] * len(plan) + [FAR] * BANDS
+    open_, stars, tried, hot, held = nodes.select("node", "fp", "size", "bands", F.col("node").alias("grp")), None, None, None, None
     for n in count():
-        rows = keyed(open_, plan, "node") if stars is None else keyed(open_, plan, "node", "grp")
-        if hot is not None:
-            rows = split(rows, hot, scratch, f"cells-{n}", large).repartition("part", "key", "cell").sortWithinPartitions("part", "key", "cell", "fp", "node")
-        else:
+        rows = keyed(open_, plan, "size", "node", "grp").unionByName(open_.select(F.posexplode("bands").alias("part", "key"), "fp", "size", "node", "grp").withColumn("part", F.col("part") + len(plan)))
+        if hot is None:
             rows = rows.repartition("part", "key").sortWithinPartitions("part", "key", "fp", "node").withColumns({"cell": F.lit(-1), "side": F.lit(2)})
-            rows = rows.withColumn("grp", F.col("node")) if stars is None else rows
-        met = scratch.table(rows.mapInArrow(_candidates(radius, masks, 8**n, large), "kind int, a long, b long"), f"met-{n}")
-        if stars is None:
+        else:
+            rows = split(rows, hot, scratch, f"cells-{n}", large).repartition("part", "key", "cell").sortWithinPartitions("part", "key", "cell", "fp", "node")
+        met = scratch.table(rows.select(*ROW).mapInArrow(_candidates(limits, masks, least, 8**n, large), "kind int, a long, b long"), f"met-{n}")
+        pairs = met.filter(F.col("kind") == PAIR).select("a", "b").distinct()
+        more = met.filter(F.col("kind") == MORE).select(F.col("a").alias("node")).distinct()
+        if held is None:
             hot = scratch.table(met.filter(F.col("kind") == LARGE).select(F.col("a").cast("int").alias("part"), F.col("b").alias("key")).distinct(), "hot")
             hot = None if hot.isEmpty() else hot
-        pairs = met.filter(F.col("kind") == PAIR).select("a", "b").distinct()
+            # the texts of nodes that have a pair; later rounds only see nodes of these
+            used = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(more).distinct()
+            used = scratch.table(nodes.join(used, "node", "left_semi").select("node", F.coalesce("doc_id", F.lit(-(2**63))).alias("_d"), "_h1", "_h2"), "used")
+            held = scratch.table(source.join(_side(used, 32), ["_d", "_h1", "_h2"]).select("node", "text").dropDuplicates(["node"]), "held")
         pairs = scratch.table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{n}")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = links_of(pairs, f"links-{n}")
+        both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+        links = scratch.table(per_batch(both, verify, "a long, b long", rows=500), f"links-{n}")
         if stars is None or not links.isEmpty():
             edges = links if stars is None else links.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))
             stars = components(edges, scratch, f"cc{n}")
-        more = met.filter(F.col("kind") == MORE).select(F.col("a").alias("node")).distinct()
-        open_ = scratch.table(nodes.select("node", "fp").join(more, "node", "left_semi").join(stars, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("grp")), f"open-{n}")
+        open_ = scratch.table(nodes.select("node", "fp", "size", "bands").join(more, "node", "left_semi").join(stars, "node", "left").select("node", "fp", "size", "bands", F.coalesce("root", "node").alias("grp")), f"open-{n}")
         scratch.drop(f"met-{n}")
         if open_.isEmpty():
             break
-    roots = scratch.table(nodes.join(stars, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component_id")), "roots")
-    return marked.join(roots, ["h1", "h2"]).select("doc_id", "component_id")
+    scratch.drop("held")
+    return marked.select(*names), nodes.drop("fp", "size", "bands").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3, large: int = 2048) -> DataFrame:
+    """(doc_id, component_id) for each row of ``docs``: groups of texts whose word shingles have similarity ``least`` or more.
+
+    Equal texts are one node; two texts under one doc_id are two. component_id is the smallest doc_id of the group, null if it has none.
+    Texts without a word are alike. An empty table gives an empty result; other columns do not matter.
+    """
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    rows, nodes = _groups(docs, scratch, words, least, radius, large)
+    nodes = scratch.table(nodes, "groups")
+    named = nodes.join(nodes.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("_h1", "_h2", "component_id")
+    return rows.join(scratch.table(named, "named"), ["_h1", "_h2"]).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3, large: int = 2048) -> DataFrame:
+    """One row of each group of ``near_duplicates``, with all columns: that of the smallest doc_id, one row of it if it repeats.
+
+    Rows without a doc_id come last in their group; of texts under one doc_id the one with the smaller hash stays.
+    """
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    _, nodes = _groups(docs, scratch, words, least, radius, large)
+    least_id = F.coalesce("doc_id", F.lit(-(2**63)))
+    best = nodes.groupBy("root").agg(F.min_by(F.struct(least_id.alias("_d"), "_h1", "_h2", (F.col("copies") > 1).alias("_several")), F.struct(F.col("doc_id").isNull(), "doc_id", "_h1", "_h2")).alias("r"))
+    kept = scratch.table(best.select("r.*"), "kept")
+    text, ident = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    marked = docs.withColumns({"_d": F.coalesce(ident, F.lit(-(2**63))), "_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)})
+    found = marked.join(_side(kept, 32), ["_d", "_h1", "_h2"])
+    # a text that no other row has cannot repeat
+    return found.filter(~F.col("_several")).unionByName(found.filter("_several").dropDuplicates(["_d", "_h1", "_h2"])).select(*docs.columns)

@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from pricewell.llm import simhash
-from pricewell.llm.simhash import fingerprint, near_duplicates, nearest, similarity
+from pricewell.llm.simhash import drop_near_duplicates, near_duplicates, similarity
 
 
 def slow_pairs(rows, least=0.8):
@@ -24,40 +24,22 @@ def test_near_copies_are_found_and_others_stay(spark):
             rows.append((g * 10 + c, " ".join(w)))
     rows += [(1000 + k, " ".join(word() for _ in range(60))) for k in range(40)] + [(2000, "same"), (2001, "same"), (2002, ""), (2003, "")]
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    links = slow_pairs(rows)
-    root = {d: d for d, _ in rows}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in links:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    wrong = [d for d in got if got[d] != find(d)]
-    assert not [d for d in got if got[d] < find(d)], "nothing unlike is joined"
-    assert len(wrong) <= 1
+    assert got == linked(rows, slow_pairs(rows))
 
 
 def test_near_duplicates_edge_cases(spark):
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "a b"), (4, "x y z " * 20_000)], "doc_id long, text string")
-    got = sorted((r.doc_id, r.component_id) for r in near_duplicates(docs).collect())
-    assert got == [(1, 1), (2, 1), (3, 3), (3, 3), (4, 4)]
-    assert near_duplicates(docs.limit(0)).collect() == []
+    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a b", 0), (3, "a b", 0), (None, "a b", 0), (4, "x y z " * 20_000, 0), (5, " \n ", 0), (None, "lone", 0)], "doc_id long, text string, node int")
+    got = sorted(((r.doc_id, r.component_id) for r in near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (3, 3), (3, 3), (None, 3), (4, 4), (5, 1), (None, None)], key=str)
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 4, None]
+    assert near_duplicates(docs.limit(0)).collect() == [] and drop_near_duplicates(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("n", [0, 1, 50])
-def test_nearest_is_nearest(n):
-    rng = np.random.default_rng(n)
-    fp, key = rng.integers(0, 64, n).astype(np.uint64), np.sort(rng.integers(0, 5, n))
-    x, y = nearest(fp, key, 3)
-    for i in range(n):
-        d = [int(fp[i] ^ fp[j]).bit_count() for j in range(n) if j != i and key[j] == key[i]]
-        if d and min(d) <= 3:
-            assert int(fp[i] ^ fp[y[list(x).index(i)]]).bit_count() == min(d)
-        else:
-            assert i not in x
+def test_two_texts_under_one_id_both_stay(spark):
+    rows = [(7, "one text about the sea and its ships", "a"), (7, "another text on quite other things at all", "b"), (8, "one text about the sea and its ships", "c"), (6, "a third one that stands alone here", "d")]
+    kept = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id, r.source) for r in kept) == [(6, "d"), (7, "a"), (7, "b")]
 
 
 def test_all_stages(spark):
@@ -91,7 +73,7 @@ def test_stages_take_empty_tables(spark):
 
 def test_repeated_rows_and_rows_without_id(spark):
     text = "Some words that stand in a row and end here. " * 5
-    docs = spark.createDataFrame([(3, text, "en", "s", 1), (3, text, "en", "s", 1), (4, text, "en", "s", 1), (None, text, "en", "s", 1), (5, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(3, text, "en", "s", 1), (3, text, "en", "s", 1), (4, text, "en", "s", 1), (None, text, "en", "s", 1), (5, None, None, None, None), (None, "Quite another text than the one that all the others have here. " * 3, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()
     assert sorted((r.doc_id for r in got), key=str) == [3, 5, None]
     for _, stage in corpus_pipeline.STAGES:
@@ -128,36 +110,49 @@ def edited_groups(seed=8, groups=6, copies=24, size=240):
     return rows
 
 
-def within(rows, links, radius=11):
-    prints = {d: fingerprint(t.encode(), 5) for d, t in rows}
-    return {(a, b) for a, b in links if (prints[a] ^ prints[b]).bit_count() <= radius}
-
-
-def test_groups_equal_brute_force_within_the_radius(spark):
+def test_groups_equal_brute_force(spark):
     rows = edited_groups()
-    want = linked(rows, within(rows, slow_pairs(rows)))
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want
+    assert got == linked(rows, slow_pairs(rows))
 
 
 def test_large_buckets_are_split_without_losing_pairs(spark):
     rows = edited_groups(seed=5, groups=4, copies=40)
-    want = linked(rows, within(rows, slow_pairs(rows)))
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), large=6).collect()}
-    assert got == want
+    assert got == linked(rows, slow_pairs(rows))
+
+
+@pytest.mark.parametrize("changed", [8])
+def test_pairs_at_the_threshold_are_found(spark, changed):
+    """Lone pairs of similarity 0.8 to 0.9, most of whose fingerprints are more than three bits apart."""
+    rng = np.random.default_rng(changed)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows = []
+    for g in range(120):
+        w = [word() for _ in range(400)]
+        v = list(w)
+        for k in rng.choice(400, changed, replace=False):
+            v[k] = word()
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(v))]
+    want = {(a, b) for (a, x), (b, y) in zip(rows[::2], rows[1::2], strict=True) if similarity(x.encode(), y.encode(), 5) >= 0.8}
+    assert len(want) > 90
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(a, b) for a, b in want if got[a] == got[b]} == want
+    prints = simhash.sketches([x.encode() for _, x in rows], 5)[0]
+    assert sum(int(prints[a] ^ prints[b]).bit_count() > 3 for a, b in want) > len(want) / 2
 
 
 def batches(fp, groups, cell=-1, side=2):
     n = len(fp)
     one = lambda x, kind: pa.array(np.full(n, x), kind)
-    whole = pa.RecordBatch.from_arrays([one(0, pa.int32()), one(0, pa.int64()), one(cell, pa.int32()), one(side, pa.int32()), pa.array(fp.view(np.int64)), pa.array(np.arange(n)), pa.array(groups)], ["part", "key", "cell", "side", "fp", "node", "grp"])
+    whole = pa.RecordBatch.from_arrays([one(0, pa.int32()), one(0, pa.int64()), one(cell, pa.int32()), one(side, pa.int32()), pa.array(fp.view(np.int64)), one(9, pa.int64()), pa.array(np.arange(n)), pa.array(groups)], list(simhash.ROW))
     return [whole.slice(k, 50) for k in range(0, n, 50)]
 
 
 def test_a_hot_bucket_takes_linear_work_until_it_is_split():
     n = 20_000
     fp = np.zeros(n, np.uint64)  # texts that differ and share a fingerprint
-    out = [(k, a, b) for x in simhash._candidates(11, [simhash._mask(list(range(32)))], 1, 2048, rows=1000)(iter(batches(fp, np.arange(n)))) for k, a, b in zip(*(x.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True)]
+    out = [(k, a, b) for x in simhash._candidates([11], [simhash._mask(list(range(32)))], 0.8, 1, 2048, rows=1000)(iter(batches(fp, np.arange(n)))) for k, a, b in zip(*(x.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True)]
     assert {(a, b) for k, a, b in out if k == simhash.PAIR} == {(k, k + 1) for k in range(n - 1)}
     assert {a for k, a, _ in out if k == simhash.MORE} == set(range(n))
     assert {(a, b) for k, a, b in out if k == simhash.LARGE} == {(0, 0)}
@@ -166,7 +161,7 @@ def test_a_hot_bucket_takes_linear_work_until_it_is_split():
 def test_cells_hold_every_pair_of_different_groups(spark):
     n = 200
     group = lambda k: 0 if k < 120 else k
-    rows = spark.createDataFrame([(p, 7, k, k, 0 if p else group(k)) for k in range(n) for p in (0, 1)], "part int, key long, fp long, node long, grp long")
+    rows = spark.createDataFrame([(p, 7, k, 1, k, 0 if p else group(k)) for k in range(n) for p in (0, 1)], "part int, key long, fp long, size long, node long, grp long")
     hot = spark.createDataFrame([(0, 7), (1, 7)], "part int, key long")
     got = simhash.split(rows, hot, simhash.Scratch(spark, "cells"), "cells", 16).collect()
     cells = {}
