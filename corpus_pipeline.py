@@ -14,7 +14,7 @@ from pricewell.llm.decontaminate import drop_contaminated
 from pricewell.llm.line_dedup import dedup_lines
 from pricewell.llm.quality_classifier import score_quality, train
 from pricewell.llm.sentencepiece_codec import encode_round_trip
-from pricewell.llm.simhash import near_duplicates
+from pricewell.llm.simhash import drop_near_duplicates
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,11 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies, once; rows without a doc_id stay."""
-    docs = docs.select(*COLUMNS)
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group of near copies, that with the smallest doc_id, once."""
+    return drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +52,7 @@ STAGES = [
     ("benchmark_decontamination", benchmark_decontamination),
     ("sentencepiece", sentencepiece),
 ]
-# A trained classifier and piece ids are beyond SQL; tests hold each stage against plain Python.
+# A trained classifier and piece ids are beyond SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
