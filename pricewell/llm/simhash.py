@@ -269,11 +269,16 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
 BANDS, LOWS = 25, 5  # a pair at similarity 0.8 shares no band of minima with probability (1 - 0.8 ** 5) ** 25 = 5e-5
 FAR = 26  # such a pair differs in 9.7 bits on average, with a standard deviation of 2.9
 _ODD = mix64(np.arange(BANDS * LOWS, dtype=np.uint64), 23) | np.uint64(1)
-HELD = 32 << 20  # bytes of a table that all tasks may get
+HELD = 16 << 20  # bytes of a table that all tasks may get
+CELLS = 256
 
 
-def sketches(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint, number and bands of the distinct word shingles of each text; texts without a word are alike."""
+def sketches(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint, number, bands and cells of the distinct word shingles of each text; texts without a word are alike.
+
+    The cells count the shingles by a part of their hash: no two texts share more shingles than the sum of the smaller counts. Where a count
+    is too large for a byte all are the greatest byte, which bounds nothing.
+    """
     h, count = shingles(*word_hashes(raw, lower=True), words)
     doc = np.repeat(np.arange(len(raw)), count)
     order = np.lexsort((h, doc))
@@ -281,9 +286,12 @@ def sketches(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.n
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))[: len(h)]
     h, size = h[new], np.bincount(doc[new], minlength=len(raw))
     fp, bands = np.zeros(len(raw), np.uint64), np.zeros((len(raw), BANDS), np.uint64)
+    cells = np.bincount(doc[new] * CELLS + (h >> np.uint64(56)).astype(np.int64), minlength=len(raw) * CELLS).reshape(-1, CELLS)
+    cells[(cells > 255).any(axis=1)] = 255
+    cells = cells.astype(np.uint8)
     has = np.flatnonzero(size)
     if not len(has):
-        return fp, size, bands
+        return fp, size, bands, cells
     begins = (np.cumsum(size) - size)[has]
     bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
@@ -292,7 +300,7 @@ def sketches(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.n
         for k in range(BANDS * LOWS):
             low = np.minimum.reduceat(h * _ODD[k], begins)
             bands[has, k // LOWS] = mix64(bands[has, k // LOWS] ^ low, 24)
-    return fp, size, bands
+    return fp, size, bands, cells
 
 
 def close_pairs(fp: np.ndarray, key: np.ndarray, radius: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -333,7 +341,7 @@ ROW = ("part", "key", "cell", "side", "fp", "size", "node", "grp")
 def _candidates(limits: list[int], masks: list[int], least: float, most: int, large: int, rows: int = 1 << 17):
     """(kind, a, b) of rows in order of part, key, cell and fp: pairs of different groups, the ``most`` nearest of a node, and nodes of the others.
 
-    A pair counts within the ``limits`` (bits) of its part and where the sizes allow the similarity ``least``. Two items meet
+    A pair counts within the ``limits`` (bits) of its part and where sizes and cells (if rows have any) allow the similarity ``least``. Two items meet
     under several keys of one of the first parts, which have ``masks``; the pair counts under the key that keeps all bits they have in common.
     Of a bucket of more than ``large`` rows that has no cells yet (cell -1), only neighbours in order are tried, in one pass
     that holds no bucket; it is split in the next round. In a cell, rows of side 1 meet those of side 0.
@@ -348,7 +356,13 @@ def _candidates(limits: list[int], masks: list[int], least: float, most: int, la
     def alike(size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y]) - 1e-9
 
-    def flush(goes_on: bool, part, key, cell, side, fp, size, node, group) -> Iterator[pa.RecordBatch]:
+    def possible(size: np.ndarray, cells: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Pairs whose cells leave room for the similarity."""
+        need = least / (1 + least) * (size[x] + size[y]) - 1e-9
+        shared = [np.minimum(cells[x[a : a + 8192]], cells[y[a : a + 8192]]).sum(axis=1, dtype=np.int64) for a in range(0, len(x), 8192)]
+        return np.concatenate([np.zeros(0, np.int64), *shared]) >= need
+
+    def flush(goes_on: bool, part, key, cell, side, fp, size, node, group, cells) -> Iterator[pa.RecordBatch]:
         bucket = np.cumsum(changes(part, key, cell)) - 1
         if not len(bucket):
             return
@@ -363,11 +377,14 @@ def _candidates(limits: list[int], masks: list[int], least: float, most: int, la
             yield from tell(MORE, own, own)
             at = np.flatnonzero(big & changes(part, key, cell))
             yield from tell(LARGE, part[at].astype(np.int64), key[at])
-            part, key, side, fp, size, node, group, bucket = (v[~big] for v in (part, key, side, fp, size, node, group, bucket))
+            part, key, side, fp, size, node, group, cells, bucket = (v[~big] for v in (part, key, side, fp, size, node, group, cells, bucket))
         for x, y, bits in close_pairs(fp, bucket, limit[part]):
             fits = (group[x] != group[y]) & ((side[x] == 2) | (side[x] != side[y])) & alike(size, x, y)
             fits &= ~masked[part[x]] | ((fp[x] & fp[y] & mask[part[x]]) == key[x].view(np.uint64))
             x, y, bits = x[fits], y[fits], bits[fits]
+            if cells.shape[1]:
+                room = possible(size, cells, x, y)
+                x, y, bits = x[room], y[room], bits[room]
             if not len(x):
                 continue
             now = chosen(x, y, bits, node, most)
@@ -385,7 +402,8 @@ def _candidates(limits: list[int], masks: list[int], least: float, most: int, la
         held: list[tuple[np.ndarray, ...]] = []
         enough, goes_on = rows, False
         for b in batches:
-            held.append(tuple(b.column(c).to_numpy().view(np.uint64) if c == "fp" else b.column(c).to_numpy() for c in ROW))
+            cells = np.frombuffer(b"".join(b.column("cells").to_pylist()), np.uint8).reshape(b.num_rows, -1) if "cells" in b.schema.names and b.num_rows else np.zeros((b.num_rows, 0), np.uint8)
+            held.append((*(b.column(c).to_numpy().view(np.uint64) if c == "fp" else b.column(c).to_numpy() for c in ROW), cells))
             if sum(len(x[0]) for x in held) >= enough:
                 whole = [np.concatenate(x) for x in zip(*held, strict=True)]
                 last = int(np.flatnonzero(changes(*whole))[-1])  # where the bucket that may go on begins
@@ -419,7 +437,7 @@ def split(rows: DataFrame, hot: DataFrame, scratch: Scratch, name: str, large: i
     sees = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda k: place(i * F.col("all") + k, 1))
     cells = F.when(F.col("top").isNull(), F.array(place(F.lit(-1), 2))).when(F.col("rest") > 0, F.when(F.col("grp") == F.col("top"), seen).otherwise(F.concat(seen, sees)))
     dealt = rows.join(whole, ["part", "key"], "left").select(*rows.columns, F.explode(cells).alias("_c"))
-    return dealt.select("part", "key", F.col("_c.cell").alias("cell"), F.col("_c.side").alias("side"), *ROW[4:])
+    return dealt.select("part", "key", F.col("_c.cell").alias("cell"), F.col("_c.side").alias("side"), *ROW[4:], *[c for c in rows.columns if c == "cells"])
 
 
 def similarity(a: bytes, b: bytes, words: int) -> float:
@@ -446,35 +464,37 @@ def _groups(docs: DataFrame, scratch: Scratch, words: int, least: float, radius:
     Candidates come from two kinds of buckets: SimHash keys by the general pigeonhole principle, which hold all pairs within ``radius``
     bits, and bands of minimum hashes, which hold the pairs whose fingerprints lie further apart (at similarity 0.8 only one pair in
     sixty is within three bits). Pairs are tried in rounds: each node with the nearest of other groups in each of its buckets, first
-    with one, then with eight times as many each round; all are verified on the whole texts and the groups contracted. Nodes
-    whose pairs were all tried leave, and the rounds end when no untried pair of a bucket joins two groups. A bucket of
+    with one, then with eight times as many each round. Pairs whose counts by cells cannot reach the similarity are ruled out, the
+    others verified on the whole texts and the groups contracted. Nodes whose pairs were all tried leave, and the rounds end when no untried pair of a bucket joins two groups. A bucket of
     more than ``large`` nodes is linked along its order in the first round and then split over many tasks.
     """
     source = _texts(docs)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fp, size, bands = sketches(texts(batch), words)
+        fp, size, bands, cells = sketches(texts(batch), words)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int64)), lists], [*names, "fp", "size", "bands"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int64)), lists, pa.array([c.tobytes() for c in cells], pa.binary())], [*names, "fp", "size", "bands", "cells"])
 
     def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         hit = [similarity(x, y, words) >= least for x, y in zip(texts(batch, "x"), texts(batch, "y"), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     names = ["doc_id", "_d", "_h1", "_h2"]
-    marked = scratch.table(per_bytes(source, run, "doc_id long, _d long, _h1 long, _h2 long, fp long, size long, bands array<long>"), "marked")
-    one = marked.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")])
+    marked = scratch.table(per_bytes(source, run, "doc_id long, _d long, _h1 long, _h2 long, fp long, size long, bands array<long>, cells binary"), "marked")
+    one = marked.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("fp", "size", "bands", "cells")])
     nodes = scratch.table(one.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
     plan = allocate(*bit_counts(nodes), radius)
     masks, limits = [_mask(bits) for bits, _ in plan], [radius] * len(plan) + [FAR] * BANDS
     open_, stars, tried, hot, held = nodes.select("node", "fp", "size", "bands", F.col("node").alias("grp")), None, None, None, None
     for n in count():
         rows = keyed(open_, plan, "size", "node", "grp").unionByName(open_.select(F.posexplode("bands").alias("part", "key"), "fp", "size", "node", "grp").withColumn("part", F.col("part") + len(plan)))
+        if n:  # few nodes are left, which may have many pairs: their cells rule out most before any text is read
+            rows = rows.join(open_.select("node", "cells"), "node")
         if hot is None:
             rows = rows.repartition("part", "key").sortWithinPartitions("part", "key", "fp", "node").withColumns({"cell": F.lit(-1), "side": F.lit(2)})
         else:
             rows = split(rows, hot, scratch, f"cells-{n}", large).repartition("part", "key", "cell").sortWithinPartitions("part", "key", "cell", "fp", "node")
-        met = scratch.table(rows.select(*ROW).mapInArrow(_candidates(limits, masks, least, 8**n, large), "kind int, a long, b long"), f"met-{n}")
+        met = scratch.table(rows.select(*ROW, *(["cells"] if n else [])).mapInArrow(_candidates(limits, masks, least, 8**n, large), "kind int, a long, b long"), f"met-{n}")
         pairs = met.filter(F.col("kind") == PAIR).select("a", "b").distinct()
         more = met.filter(F.col("kind") == MORE).select(F.col("a").alias("node")).distinct()
         if held is None:
@@ -491,12 +511,12 @@ def _groups(docs: DataFrame, scratch: Scratch, words: int, least: float, radius:
         if stars is None or not links.isEmpty():
             edges = links if stars is None else links.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))
             stars = components(edges, scratch, f"cc{n}")
-        open_ = scratch.table(nodes.select("node", "fp", "size", "bands").join(more, "node", "left_semi").join(stars, "node", "left").select("node", "fp", "size", "bands", F.coalesce("root", "node").alias("grp")), f"open-{n}")
+        open_ = scratch.table(nodes.join(more, "node", "left_semi").join(stars, "node", "left").select("node", "fp", "size", "bands", "cells", F.coalesce("root", "node").alias("grp")), f"open-{n}")
         scratch.drop(f"met-{n}")
         if open_.isEmpty():
             break
     scratch.drop("held")
-    return marked.select(*names), nodes.drop("fp", "size", "bands").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return marked.select(*names), nodes.drop("fp", "size", "bands", "cells").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3, large: int = 2048) -> DataFrame:
