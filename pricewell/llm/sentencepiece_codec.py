@@ -22,7 +22,9 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
+from operator import eq
 from pathlib import Path
 
 import numpy as np
@@ -90,17 +92,19 @@ class Model:
         self.bytes = {int(p[3:5], 16): n for n, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.unknown = next((n for n, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
         self.longest = max(map(len, self.ids), default=1)
-        # lengths of the pieces that end with a given character, or with two given ones
+        # lengths, longest first, of the pieces that end with the given last three (two, one) characters of a prefix
         by_end: dict[str, set[int]] = {}
         for p in self.ids:
-            by_end.setdefault(p[-2:], set()).add(len(p))
-            if len(p) > 1 and p[-1] in self.ids:
-                by_end[p[-2:]].add(1)
+            by_end.setdefault(p[-3:], set()).add(len(p))
+        for c, n in by_end.items():
+            n.update(k for k in (1, 2) if k < len(c) and c[-k:] in self.ids)
         self.lengths = {c: tuple(sorted(n, reverse=True)) for c, n in by_end.items()}
         self.parts: dict[str, tuple[str, str] | None] = {}
         self.texts = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in self.pieces]
+        size = np.array([len(t) for t in self.texts], np.int64)
+        self.sizes, self.starts, self.blob = size, np.cumsum(size) - size, np.frombuffer(b"".join(self.texts), np.uint8)
         self.lowest = min(self.scores.values(), default=0.0) - 10.0
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.encoded: dict[str, bytes] = {}
 
     def __reduce__(self):
@@ -184,64 +188,74 @@ class Model:
 
     # -- forward passes over the trie of sorted words
 
-    def walk(self, words: list[str]) -> Iterator[list[str]]:
-        """Pieces of each of the sorted words; forward states of a common prefix are computed once."""
+    def walk(self, words: list[str]) -> Iterator[list[int]]:
+        """Ids of the pieces of each of the sorted words; forward states of a common prefix are computed once.
+
+        A character that no piece has is told as the negative of its code point less one.
+        """
         step = self._step_bpe if self.kind == BPE else self._step_unigram
-        states: list = [("", 0, 0.0)]
-        last = ""
+        ids, begins, sums, last = [-1], [0], [0.0], ""  # the forward states, by length of the prefix
         for word in words:
-            same, most = 0, min(len(last), len(word))
-            if word[:most] == last[:most]:
-                same = most
-            else:
-                while word[same] == last[same]:
-                    same += 1
-            del states[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                states.append(step(word, end, states))
+            same = 0
+            for x, y in zip(last, word, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del ids[same + 1 :], begins[same + 1 :], sums[same + 1 :]
+            step(word, same + 1, ids, begins, sums)
             last, at, out = word, len(word), []
             while at:
-                piece, at, _ = states[at]
-                out.append(piece)
+                out.append(ids[at])
+                at = begins[at]
             out.reverse()
             yield out
 
-    def _step_unigram(self, word: str, end: int, states: list) -> tuple[str, int, float]:
-        best, char = None, word[end - 1]
-        for n in self.lengths.get(word[max(end - 2, 0) : end], (1,)):
-            piece = word[end - n : end] if n <= end else ""
-            s = self.scores.get(piece)
-            if s is not None and (best is None or states[end - n][2] + s > best[2]):
-                best = (piece, end - n, states[end - n][2] + s)
-        if char not in self.scores:
-            other = states[end - 1][2] + self.lowest
-            if best is None or other > best[2]:
-                best = (char, end - 1, other)
-        return best
-
-    def _step_bpe(self, word: str, end: int, states: list) -> tuple[str, int, float]:
-        scores, apart = self.scores, self.apart
-        for n in self.lengths.get(word[max(end - 2, 0) : end], ()):
-            begin = end - n
-            if begin < 0:
-                continue
-            piece = word[begin:end]
-            if piece not in scores:
-                continue
-            if not begin:
-                # a piece that merging would not build from its own characters is no state
-                if n == 1 or self.merge(piece) == [piece]:
-                    return piece, 0, 0.0
-                continue
-            key = (states[begin][0], piece)
-            known = apart.get(key)
-            if known is None:
-                if len(apart) > 150_000:
-                    apart.clear()
-                known = apart[key] = self.stay_apart(*key)
-            if known:
-                return piece, begin, 0.0
-        return word[end - 1], end - 1, 0.0
+    def _ends(self, word: str, end: int) -> tuple[int, ...]:
+        """Lengths that a piece may have which ends the prefix and whose last three characters no piece has."""
+        return self.lengths.get(word[end - 2 : end]) or self.lengths.get(word[end - 1]) or () if end > 1 else ()
+
+    def _step_unigram(self, word: str, first: int, ids: list, begins: list, sums: list) -> None:
+        for end in range(first, len(word) + 1):
+            best = None
+            for n in self.lengths.get(word[end - 3 : end] if end > 3 else word[:end]) or self._ends(word, end):
+                k = self.ids.get(word[end - n : end]) if n <= end else None
+                if k is not None and (best is None or sums[end - n] + self.pieces[k][1] > best[2]):
+                    best = (k, end - n, sums[end - n] + self.pieces[k][1])
+            char = word[end - 1]
+            if char not in self.scores and (best is None or sums[end - 1] + self.lowest > best[2]):
+                best = (-ord(char) - 1, end - 1, sums[end - 1] + self.lowest)
+            for states, value in zip((ids, begins, sums), best, strict=True):
+                states.append(value)
+
+    def _step_bpe(self, word: str, first: int, ids: list, begins: list, sums: list) -> None:
+        known, apart, lengths = self.ids, self.apart, self.lengths
+        for end in range(first, len(word) + 1):
+            for n in lengths.get(word[end - 3 : end] if end > 3 else word[:end]) or self._ends(word, end):
+                begin = end - n
+                if begin < 0:
+                    continue
+                piece = word[begin:end]
+                k = known.get(piece)
+                if k is None:
+                    continue
+                if begin:
+                    before = ids[begin]
+                    if before >= 0:  # nothing merges with a character that no piece has
+                        key = before << 24 | k
+                        fits = apart.get(key)
+                        if fits is None:
+                            if len(apart) > 300_000:
+                                apart.clear()
+                            fits = apart[key] = self.stay_apart(self.pieces[before][0], piece)
+                        if not fits:
+                            continue
+                elif n > 1 and self.merge(piece) != [piece]:
+                    continue  # merging would not build it from its own characters
+                break
+            else:
+                k, begin = -ord(word[end - 1]) - 1, end - 1
+            ids.append(k)
+            begins.append(begin)
 
     # -- texts
 
@@ -252,42 +266,43 @@ class Model:
             return ""
         return (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
 
-    def _ids(self, pieces: list[str]) -> bytes:
-        out = list(map(self.ids.get, pieces))
-        if None in out:
-            known, out = out, []
-            for p, n in zip(pieces, known, strict=True):
-                if n is not None:
-                    out.append(n)
+    def _ids(self, codes: list[int]) -> bytes:
+        """Ids as int32, with byte pieces (or one unknown piece a run) for characters that no piece has."""
+        if codes and min(codes) < 0:
+            known, codes = codes, []
+            for k in known:
+                if k >= 0:
+                    codes.append(k)
                 elif self.bytes:
-                    out += [self.bytes[b] for b in p.encode()]
-                elif not out or out[-1] != self.unknown:
-                    out.append(self.unknown)
-        return struct.pack(f"<{len(out)}i", *out)
+                    codes += [self.bytes[b] for b in chr(-k - 1).encode()]
+                elif not codes or codes[-1] != self.unknown:
+                    codes.append(self.unknown)
+        return array("i", codes).tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that are not in memory yet, in sorted order."""
-        new = sorted(w for w in words if w not in self.encoded)
+        new = sorted(words.difference(self.encoded))
         if len(self.encoded) + len(new) > WORDS_KEPT:
             self.encoded.clear()
             new = sorted(words)
         if self.kind == BPE:
             # runs of marks merge after all else, so a run and the word behind it part
             plain = [w for w in new if not w.startswith(MARK + MARK)]
-            for w, pieces in zip(plain, self.walk(plain), strict=True):
-                self.encoded[w] = self._ids(pieces)
+            for w, codes in zip(plain, self.walk(plain), strict=True):
+                self.encoded[w] = self._ids(codes)
             runs = [w for w in new if w.startswith(MARK + MARK)]
             tails = sorted({MARK + w.lstrip(MARK) for w in runs if w.lstrip(MARK)})
-            pieces = dict(zip(tails, self.walk(tails), strict=True))
+            codes = dict(zip(tails, self.walk(tails), strict=True))
+            code = lambda p: self.ids.get(p, -ord(p[0]) - 1)
             for w in runs:
                 body = w.lstrip(MARK)
-                own = pieces[MARK + body] if body else [MARK]
-                marks = len(w) - len(body) - (own[0] != MARK)
-                rest = own[1:] if own[0] == MARK else own
-                self.encoded[w] = self._ids(self.merge(MARK * marks) + rest)
+                own = codes[MARK + body] if body else [code(MARK)]
+                alone = own[0] == code(MARK)
+                marks = len(w) - len(body) - (not alone)
+                self.encoded[w] = self._ids([code(p) for p in self.merge(MARK * marks)] + (own[1:] if alone else own))
         else:
-            for w, pieces in zip(new, self.walk(new), strict=True):
-                self.encoded[w] = self._ids(pieces)
+            for w, codes in zip(new, self.walk(new), strict=True):
+                self.encoded[w] = self._ids(codes)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of each text as int32."""
@@ -302,6 +317,29 @@ class Model:
         text = b"".join(map(self.texts.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
+    def decode_all(self, rows: list[np.ndarray | None], step: int = 1 << 18) -> list[str | None]:
+        """``decode`` of many rows: the pieces' bytes are gathered ``step`` ids at a time."""
+        flat = np.concatenate([np.zeros(0, np.int32), *(r for r in rows if r is not None)])
+        if len(flat) and flat.min() < 0:
+            raise IndexError("an id is outside the model")
+        parts, ends = [], [np.zeros(1, np.int64)]
+        for at in range(0, len(flat), step):
+            k = flat[at : at + step]
+            size = self.sizes[k]
+            end = np.cumsum(size)
+            parts.append(self.blob[np.arange(int(end[-1])) + np.repeat(self.starts[k] - (end - size), size)].tobytes())
+            ends.append(ends[-1][-1] + end)
+        data, place = b"".join(parts), np.concatenate(ends)
+        out, at = [], 0
+        for r in rows:
+            if r is None:
+                out.append(None)
+                continue
+            text = data[place[at] : place[at + len(r)]].decode("utf-8", "replace")
+            at += len(r)
+            out.append(text[1:] if self.dummy_prefix and text.startswith(" ") else text)
+        return out
+
 
 _MODELS: dict[str, Model] = {}
 
@@ -346,7 +384,7 @@ def decode(rows: DataFrame, model_path: str = MODEL_PATH, ids: str = "ids") -> D
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         model = _model(held)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array([model.decode(x) for x in batch.column(ids).to_pylist()], pa.string())], [*carry, "decoded"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(model.decode_all([None if x is None else np.array(x, np.int32) for x in batch.column(ids).to_pylist()]), pa.string())], [*carry, "decoded"])
 
     return per_batch(rows.select(*carry), run, rows.select(*carry).schema.add("decoded", T.StringType()), rows=1000)
 
@@ -358,7 +396,7 @@ def encode_round_trip(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFram
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         model, rows = _model(held), batch.column("text").to_pylist()
         ids = model.encode(rows)
-        same = [model.decode(x) == t for x, t in zip(ids, rows, strict=True)]
+        same = list(map(eq, model.decode_all(ids), rows))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids), pa.array([None if x is None else len(x) for x in ids], pa.int64()), pa.array(same)], ["doc_id", "ids", "n_ids", "round_trip"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
