@@ -55,3 +55,29 @@ def parse_validity(x: Column, as_of: Column, zone: str = "America/Fortaleza", un
     clock = " 23:59:59" if until else " 00:00:00"
     local = F.coalesce(F.try_to_timestamp(F.concat(date, F.lit(clock))), F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2})?$"), F.try_to_timestamp(F.replace(t, F.lit("T"), F.lit(" ")))))
     return F.coalesce(epoch, offset, F.to_utc_timestamp(local, zone))
+
+
+def week_count(first: Column, last: Column) -> Column:
+    """Sunday weeks from a Sunday to the week of a day."""
+    return (F.floor(F.datediff(sunday_week(last), first) / 7) + 1).cast("int")
+
+
+def week_column(first: Column, day: Column, weeks: Column) -> Column:
+    """The column of a day in a grid of so many Sunday weeks; null beyond it."""
+    k = F.floor(F.datediff(day, first) / 7).cast("int")
+    return F.when((k >= 0) & (k < weeks), k)
+
+
+def week_overlaps(week: Column, a: Column, b: Column) -> Column:
+    """Whether the week that begins on a Sunday shares a day with a range given in either order."""
+    return (F.date_add(week, 6) >= F.least(a, b)) & (week <= F.greatest(a, b))
+
+
+def rotate(items: Column, by: int) -> Column:
+    """An array that begins with its item ``by``."""
+    return F.concat(F.slice(items, by + 1, F.greatest(F.size(items) - by, F.lit(0))), F.slice(items, 1, by)) if by else items
+
+
+def quarter_starts(first: Column, last: Column) -> Column:
+    """The first days of all quarters from that of one day to that of another."""
+    return F.sequence(F.to_date(F.trunc(first, "QUARTER")), F.to_date(F.trunc(last, "QUARTER")), F.expr("INTERVAL 3 MONTHS"))

@@ -87,3 +87,8 @@ def shape_payment(price: Column, cash: Column, original: Column, count: Column,
     org = F.when(~F.coalesce(fake, F.lit(False)), org)
     both = n.isNotNull() & amt.isNotNull()
     return F.struct(paid.alias("price"), csh.alias("cash_price"), org.alias("original_price"), F.when(both, n).alias("installment_count"), F.when(both, amt).alias("installment_amount"))
+
+
+def public_payment() -> Column:
+    """struct of the four stored payment fields."""
+    return F.struct(*[F.col(c) for c in ("cash_price", "installment_count", "installment_amount", "installment_interest_free")])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,22 +39,28 @@ _TRIGGER = r"(?iu)clube|cliente|fidelidade|cart[aã]o|cpf|app|aplicativo|cupom|p
 TYPE_RANK = ("UNKNOWN", "QUANTITY_REQUIRED", "COUPON_REQUIRED", "APP_ONLY", "CPF_REQUIRED", "STORE_CARD", "PAYMENT_METHOD", "LOYALTY_PROGRAM", "ALL_CUSTOMERS")
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` worked out once, however often it is named."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def eligibility_phrases(text: Column) -> Column:
     """array(struct(type, text)) of the phrases in a text; a bare hint of exclusivity alone is UNKNOWN."""
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
-    hits = []
-    for kind, pattern in PHRASES:
-        found = F.trim(F.regexp_extract(t, f"(?iu)({pattern})", 1))
-        use = found != ""
+    none = F.array().cast("array<struct<type:string,text:string>>")
+
+    def hit(t: Column, kind: str, pattern: str) -> Column:
+        use = t.rlike(f"(?iu){pattern}")
         if kind == "STORE_CARD":
             use = use & ~t.rlike(f"(?i){INSTITUTIONAL}")
-        hits.append(F.when(use, F.struct(F.lit(kind).alias("type"), found.alias("text"))))
-    some = F.array_distinct(F.filter(F.array(*hits), lambda h: h.isNotNull()))
-    hint = F.trim(F.regexp_extract(t, f"(?i)({UNKNOWN_HINT})", 1))
-    bare = F.when(hint != "", F.array(F.struct(F.lit("UNKNOWN").alias("type"), hint.alias("text")))).otherwise(F.slice(some, 1, 0))
-    none = F.array().cast("array<struct<type:string,text:string>>")
+        return F.when(use, F.struct(F.lit(kind).alias("type"), F.trim(F.regexp_extract(t, f"(?iu)({pattern})", 1)).alias("text")))
+
+    def found(t: Column) -> Column:
+        some = F.array_distinct(F.filter(F.array(*[hit(t, *p) for p in PHRASES]), lambda h: h.isNotNull()))
+        bare = F.when(t.rlike(f"(?i){UNKNOWN_HINT}"), F.array(F.struct(F.lit("UNKNOWN").alias("type"), F.trim(F.regexp_extract(t, f"(?i)({UNKNOWN_HINT})", 1)).alias("text")))).otherwise(none)
+        return let(some, lambda s: F.when(F.size(s) > 0, s).otherwise(bare))
+
     # one pattern tells for most texts that no phrase can be there
-    return F.when(t.rlike(_TRIGGER), F.when(F.size(some) > 0, some).otherwise(bare)).when(t.isNotNull(), none)
+    return let(F.trim(F.regexp_replace(text, r"\s+", " ")), lambda t: F.when(t.rlike(_TRIGGER), found(t)).when(t.isNotNull(), none))
 
 
 def primary_type(types: Column) -> Column:
@@ -166,8 +174,134 @@ def dates_in(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\d{1,2}/\d{1,2}(?:/\d{2,4})?)"), F.lit(1))
 
 
+def unfenced(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"(?s)^\s*```[a-zA-Z]*\s*", ""), r"(?s)\s*```\s*$", "")
+
+
 def mend_json(text: Column) -> Column:
-    """Without code fences and trailing commas, cut to the outermost braces."""
-    inner = F.regexp_replace(F.regexp_replace(text, r"(?s)^\s*```[a-zA-Z]*\s*", ""), r"(?s)\s*```\s*$", "")
+    """Without code fences and trailing commas, cut to the outermost braces. For texts that are no JSON as they are."""
+    inner = unfenced(text)
     cut = F.regexp_extract(inner, r"(?s)(\{.*\})", 1)
     return F.regexp_replace(F.when(cut != "", cut).otherwise(inner), r",\s*([}\]])", "$1")
+
+
+def unique_conditions(x: Column) -> Column:
+    """Conditions of a known type other than ALL_CUSTOMERS, texts trimmed to 200 characters, the first of each type and name."""
+    short = lambda c: F.nullif(F.substring(F.trim(c), 1, 200), F.lit(""))
+    kinds = [t for t in TYPE_RANK if t != "ALL_CUSTOMERS"]
+    known = F.transform(F.filter(F.coalesce(x, F.array().cast("array<struct<type:string,name:string,description:string,requirement:string>>")), lambda c: c["type"].isin(*kinds)), lambda c: F.struct(c["type"].alias("type"), short(c["name"]).alias("name"), short(c["description"]).alias("description"), short(c["requirement"]).alias("requirement")))
+    key = lambda c: F.concat_ws(":", c["type"], F.lower(F.coalesce(c["name"], F.lit(""))))
+    return F.filter(known, lambda c, i: F.array_position(F.transform(known, key), key(c)) == i + 1)
+
+
+def evidence(text: Column, source: Column, page: Column, default_page: Column) -> Column:
+    """struct(text, source, page), or null without a text."""
+    t, s = F.trim(text), F.trim(source)
+    return F.when(F.coalesce(t, F.lit("")) != "", F.struct(F.substring(t, 1, 400).alias("text"), F.coalesce(F.nullif(F.substring(s, 1, 40), F.lit("")), F.lit("flyer")).alias("source"), F.coalesce(page, default_page).alias("page")))
+
+
+# Words by which addresses of documents, pages, pictures and policies are known.
+POLICY_WORDS = r"(?i)cookie|privacidade|privacy|lgpd|termos|pol[ií]tica"
+SHOP_WORDS = r"(?i)productcluster|productsquery|productgallery|vtexcommercestable|sku"
+FLYER_WORDS = r"(?i)/Flyer/\?id=|/Flyer/thumbnail|/flyer/|flipbook|/flip(/|\?|$)|api-middleware-flyer-services|flyer-services|/encartes?/|/folhetos?/|/jornais?/"
+PICTURE_BAD = r"(?i)productcluster|productsquery|sku|icon|logo|sprite|favicon|avatar|pixel"
+PICTURE_WORDS = r"(?i)jornal|encarte|oferta|flyer|catalog|folheto|flipbook|/pages?/|pagina|página|mercadapp|cloudfront|cdn"
+APP_WORDS = r"(?i)\bapp\b|aplicativo|play\s*store|app\s*store|google\s*play|apple\s*store|ganhe\s+desconto"
+DOWNLOAD_WORDS = r"(?i)ver\s*pdf|abrir\s*pdf|baixar(\s|$)|download|salvar(\s+pdf)?"
+DOWNLOAD_FLYER = r"(?i)baixe.+(jornal|folheto|encarte|pdf|página|pagina)"
+GENERIC_TITLE = r"(?i)^(ver\s+(o\s+)?(encarte|folheto|jornal)(\s+completo)?|baixar|download)$"
+
+
+def policy_url(u: Column) -> Column:
+    return u.rlike(POLICY_WORDS)
+
+
+def junk_url(u: Column) -> Column:
+    """Policies, jumps to a page's content, and the bare index of flyers."""
+    fragment = F.regexp_extract(u, r"#(.*)$", 1)
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(u, r"[?#].*$", ""), r"^[a-zA-Z]+://[^/]*", ""), r"/+$", "")
+    return policy_url(u) | fragment.rlike("(?i)content|main|primary|skip") | path.rlike("(?i)/encartes$")
+
+
+def flyer_url(u: Column) -> Column:
+    document = u.rlike(r"(?i)\.pdf(\?|#|$)")
+    picture = u.rlike(r"(?i)\.(jpe?g|png|webp)(\?|#|$)")
+    return u.rlike("(?i)^(https?://|/)") & ~junk_url(u) & ~u.rlike(SHOP_WORDS) & (document | (~picture & u.rlike(FLYER_WORDS)))
+
+
+def page_image_url(u: Column) -> Column:
+    return u.rlike("(?i)^https?://") & ~u.rlike(PICTURE_BAD) & u.rlike(r"(?i)\.(jpe?g|png|webp)(\?|$)") & u.rlike(PICTURE_WORDS)
+
+
+def pdf_url(u: Column) -> Column:
+    return F.coalesce(~policy_url(u) & (u.rlike(r"(?i)\.pdf(\?|#|$)") | u.rlike("(?i)^blob:.*pdf")), F.lit(False))
+
+
+def download_button(text: Column, href: Column) -> Column:
+    """Whether a control loads a flyer and not an app."""
+    link = F.coalesce(href, F.lit(""))
+    return ~F.concat_ws(" ", text, link).rlike(APP_WORDS) & (link.rlike(r"(?i)\.pdf(\?|$)") | text.rlike(DOWNLOAD_WORDS) | text.rlike(DOWNLOAD_FLYER))
+
+
+def bare_page_image(url: Column, title: Column, pdf: Column, pages: Column) -> Column:
+    """A lone picture of a page that was taken for a flyer."""
+    n = F.coalesce(F.size(pages), F.lit(0))
+    only = F.coalesce(page_image_url(F.get(pages, F.lit(0))) & (n == 1), F.lit(False))
+    plain = ~F.coalesce(pdf, F.lit(False)) & (F.coalesce(title, F.lit("")) == "") & (n < 2)
+    return plain & ~(flyer_url(url) & ~page_image_url(url)) & (page_image_url(url) | only)
+
+
+def rich_document(url: Column, pdf: Column, pages: Column) -> Column:
+    n = F.coalesce(F.size(pages), F.lit(0))
+    one = F.coalesce((n == 1) & F.get(pages, F.lit(0)).rlike(r"(?i)\.(jpe?g|png|webp|pdf)(\?|$)"), F.lit(False))
+    return F.coalesce(pdf, F.lit(False)) | url.rlike(r"(?i)\.pdf(\?|#|$)") | (n >= 2) | one
+
+
+def placeholder_title(title: Column) -> Column:
+    return F.trim(F.regexp_replace(title, r"\s+", " ")).rlike(r"(?i)^item-\d+$")
+
+
+def junk_title(title: Column) -> Column:
+    """A call to act or a bare date, and no name of a flyer."""
+    t = F.trim(F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+", " "))
+    return (t == "") | (~placeholder_title(t) & (t.rlike(GENERIC_TITLE) | t.rlike(r"(?i)^ver\s+encarte") | t.rlike(r"(?i)^de\s+\d{1,2}\s+a\s+\d")))
+
+
+def page_source_rank(kind: Column, content_type: Column, url: Column) -> Column:
+    """Which pages of a flyer are taken: captured files of type PDF, then addresses of PDFs, then other captures, then other addresses; null is none."""
+    captured = kind == "capture"
+    own = ~url.rlike("^(capture|blob)://?")
+    return F.when(captured & F.coalesce(F.contains(content_type, F.lit("pdf")), F.lit(False)), 1).when(~captured & url.rlike(r"(?i)\.pdf(\?|#|$)") & own, 2).when(captured, 3).when(~captured & ~url.startswith("capture://"), 4)
+
+
+def file_problem(data: Column, most_bytes: int = 50 << 20) -> Column:
+    """Why a downloaded file is of no use, or null."""
+    return F.when(F.octet_length(data) == 0, "empty").when(F.octet_length(data) > most_bytes, "too large").when(content_type(data).isNull(), "unknown type")
+
+
+def allowed_host(url: Column, hosts: list[str]) -> Column:
+    """https, and a host that is listed or lies below a listed one."""
+    host = F.lower(F.regexp_extract(url, r"^https://([^/:?#]+)", 1))
+    hit = F.lit(False)
+    for h in hosts:
+        hit = hit | (host == h) | host.endswith(f".{h}")
+    return (host != "") & hit
+
+
+def extraction_outcome(available: Column, raw_count: Column, offer_count: Column, error: Column) -> Column:
+    """struct(status, error) of one page's extraction."""
+    lost = (offer_count == 0) & (F.coalesce(raw_count, offer_count) > 0)
+    why = F.when(~available, F.lit("unavailable")).when(error.isNotNull(), error).when(lost, F.concat(F.lit("guard dropped "), raw_count.cast("string")))
+    return F.struct(F.when(why.isNull(), "ok").otherwise("failed").alias("status"), why.alias("error"))
+
+
+# What a recorded action becomes.
+STEPS = {"navigation": "navigate", "click": "click", "change": "select", "input": "input", "scroll": "scroll", "scope": "select-scope"}
+
+
+def recorded_step(kind: Column, given: Column, text: Column, selectors: Column) -> Column:
+    """struct(type, semantic, selector, selectors), null for kinds that are no step."""
+    table = F.create_map(*[F.lit(v) for kv in STEPS.items() for v in kv])
+    own = F.array_distinct(F.filter(F.coalesce(selectors, F.array().cast("array<string>")), lambda s: s.isNotNull() & (s != "")))
+    step = F.try_element_at(table, kind)
+    return F.when(step.isNotNull(), F.struct(step.alias("type"), F.coalesce(given, semantic(kind, F.coalesce(text, F.lit("")))).alias("semantic"), F.get(own, F.lit(0)).alias("selector"), own.alias("selectors")))

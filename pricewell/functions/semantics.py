@@ -56,3 +56,8 @@ def ranking_price(price: Column, original: Column, club: Column, public: Column
     """What everyone pays: the public price, or the original price of a members' offer, or the price."""
     found = F.when(club & original.isNotNull(), original).otherwise(price)
     return found if public is None else F.coalesce(public, found)
+
+
+def club_fields(price: Column, original: Column, club: Column, public: Column, member: Column, membership: Column) -> Column:
+    """struct(public_price, member_price, requires_membership, membership_name) that a card shows."""
+    return F.struct(ranking_price(price, original, club, public).alias("public_price"), member.alias("member_price"), F.coalesce(club, F.lit(False)).alias("requires_membership"), membership.alias("membership_name"))

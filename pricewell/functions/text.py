@@ -23,6 +23,7 @@ _ACCENTED, _PLAIN = _folding()
 # Unit aliases and the units that are known.
 UNIT_ALIASES = {"lt": "l", "litro": "l", "litros": "l", "und": "un", "unid": "un", "unidade": "un", "unidades": "un", "kilo": "kg", "kilos": "kg", "kgs": "kg"}
 UNITS = ("kg", "g", "l", "ml", "un", "cx", "pct", "pack", "fd")
+# Words that stand for nothing.
 UNKNOWN_WORDS = r"(?i)^(unknown|n/a|n\.a\.?|nao identificado|não identificado|null|none|-)$"
 
 
@@ -132,12 +133,47 @@ def worker_slug(name: Column) -> Column:
 
 
 def compact(x: Column) -> Column:
-    """1234 as 1.2k; small numbers as they are."""
-    return F.when(F.abs(x) >= 1000, F.concat(F.regexp_replace(F.format_number(F.floor(x / 100 + 0.5) / 10, 1), r"\.0$", ""), F.lit("k"))).otherwise(x.cast("string"))
+    """1234 as 1.2k, from ten thousand on without a place; small whole numbers as they are."""
+    k = x / 1000
+    whole = F.format_number(F.floor(k + 0.5), 0)
+    return F.when(x < 1000, x.cast("string")).otherwise(F.concat(F.when(k >= 10, F.replace(whole, F.lit(","), F.lit(""))).otherwise(F.regexp_replace(F.format_number(F.floor(k * 10 + 0.5) / 10, 1), r"\.0$", "")), F.lit("k")))
+
+
+def percent(x: Column) -> Column:
+    return F.concat(F.replace(F.format_number(F.floor(x * 1000 + 0.5) / 10, 1), F.lit(","), F.lit("")), F.lit("%"))
+
+
+def pack(quantity: Column, unit: Column) -> Column:
+    """Quantity and unit, or the one that is there, or null."""
+    q, u = (F.nullif(F.trim(c), F.lit("")) for c in (quantity, unit))
+    return F.nullif(F.concat_ws(" ", q, u), F.lit(""))
+
+
+def relative_label(minutes: Column) -> Column:
+    """How long ago, from whole minutes."""
+    hours = F.floor(minutes / 60)
+    say = lambda n, unit: F.concat(F.lit("há "), n.cast("string"), F.lit(unit))
+    return F.when(minutes.isNull(), "—").when(minutes < 1, "agora").when(minutes < 60, say(minutes, " min")).when(hours < 24, say(hours, "h")).otherwise(say(F.floor(hours / 24), "d"))
+
+
+def duration_label(ms: Column) -> Column:
+    s = F.floor(ms / 1000)
+    rest, minutes = (s % 60).cast("string"), F.floor(s / 60)
+    return F.when(F.coalesce(ms, F.lit(0)) == 0, "—").when(minutes == 0, F.concat(rest, F.lit("s"))).otherwise(F.concat(minutes.cast("string"), F.lit("m "), rest, F.lit("s")))
+
+
+def expiry_pill(days: Column, over: Column) -> Column:
+    """What a card says of a flyer that is not over: today, or in so many days."""
+    return F.when(~over, F.when(days <= 0, "Expira hoje").otherwise(F.concat(F.lit("Expira em "), days.cast("string"), F.lit("d"))))
+
+
+def clip(x: Column, most: int, mark: str = "") -> Column:
+    """At most so many characters, with a mark where some are left out."""
+    return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit(mark))).otherwise(x)
 
 
 def distance_label(km: Column) -> Column:
-    return F.when(km < 1, F.concat(F.floor(km * 1000 + 0.5).cast("string"), F.lit(" m"))).otherwise(F.concat(F.regexp_replace(F.format_number(F.floor(km * 10 + 0.5) / 10, 1), r"\.", ","), F.lit(" km")))
+    return F.when(km.isNull(), "sem GPS").when(km < 1, F.concat(F.floor(km * 1000 + 0.5).cast("string"), F.lit(" m"))).otherwise(F.concat(F.regexp_replace(F.format_number(F.floor(km * 10 + 0.5) / 10, 1), r"\.", ","), F.lit(" km")))
 
 
 def expiry_label(days: Column) -> Column:

@@ -9,44 +9,58 @@ from pricewell.functions.semantics import half_up
 from pricewell.operators.joins import text_matches
 
 
-def best_offers(items: DataFrame, offers: DataFrame) -> DataFrame:
+def best_offers(items: DataFrame, offers: DataFrame, names: tuple[str, ...] = ("name",)) -> DataFrame:
     """(item, market, offer_id, line_total): the cheapest matching offer of each item and market.
 
-    ``items``: item, query, quantity; ``offers``: offer_id, market, name, ranking_price. The arg-min
-    combines before its shuffle.
+    ``items``: item, query, quantity, product and offer (null: only the text counts); ``offers``: offer_id, market, product, ranking_price and
+    the ``names``. The arg-min combines before its shuffle.
     """
-    met = text_matches(items, offers, "query", ["name"])
+    met = text_matches(items, offers, "query", list(names))
     best = met.groupBy("item", "market").agg(F.min_by(F.struct("offer_id", "ranking_price", "quantity"), F.struct("ranking_price", "offer_id")).alias("r"))
-    return best.select("item", "market", F.col("r.offer_id").alias("offer_id"), half_up(F.col("r.ranking_price") * F.col("r.quantity"), 2).alias("line_total"))
+    return best.select("item", "market", F.col("r.offer_id").alias("offer_id"), (F.col("r.ranking_price") * F.col("r.quantity")).alias("line_total"))
 
 
-def baskets(best: DataFrame, n_items: int) -> DataFrame:
-    """Per market: total, missing items, coverage and whether it is complete."""
-    b = best.groupBy("market").agg(half_up(F.sum("line_total"), 2).alias("total"), F.count(F.lit(1)).alias("found"))
-    return b.select("market", "total", (F.lit(n_items) - F.col("found")).alias("missing"), half_up(F.col("found") / n_items * 100, 1).alias("coverage_pct"), (F.col("found") == n_items).alias("complete"))
+def baskets(best: DataFrame, n_items: int, markets: DataFrame) -> DataFrame:
+    """Per market (those without any match too): total, missing items, coverage and whether it is complete."""
+    b = best.groupBy("market").agg(F.sum("line_total").alias("total"), F.count(F.lit(1)).alias("found"))
+    all_ = markets.select("market").distinct().join(b, "market", "left").fillna(0, ["total", "found"])
+    return all_.select("market", half_up(F.col("total"), 2).alias("total"), (F.lit(n_items) - F.col("found")).alias("missing"), half_up(F.col("found") / n_items * 100, 1).alias("coverage_pct"), (F.col("found") == n_items).alias("complete"))
 
 
-def best_single(per_market: DataFrame) -> DataFrame:
-    """The best market (complete ones first, then fewest missing, then cheapest) and what it saves against the dearest complete one.
+def ranked(per_market: DataFrame) -> DataFrame:
+    """The complete markets, or all if none is: fewest missing, then cheapest."""
+    some = per_market.agg(F.coalesce(F.bool_or("complete"), F.lit(False)).alias("_some"))  # one row
+    return per_market.crossJoin(F.broadcast(some)).filter(F.col("complete") | ~F.col("_some")).drop("_some").orderBy("missing", "total", "market")
 
-    One row for each market comes in, so the window runs over as many rows as there are markets.
-    """
-    dearest = per_market.agg(F.max(F.when(F.col("complete"), F.col("total"))).alias("dearest"))
-    top = per_market.orderBy("missing", "total", "market").limit(1)
-    return top.crossJoin(F.broadcast(dearest)).select("market", "total", "missing", F.when(F.col("complete"), F.greatest(F.lit(0.0), half_up(F.col("dearest") - F.col("total"), 2))).alias("savings_vs_worst"))
+
+def best_single(per_market: DataFrame) -> DataFrame:
+    """The first of ``ranked``, and what it saves against the dearest complete market (0 if it is not complete itself)."""
+    dearest = per_market.agg(F.max(F.when(F.col("complete"), F.col("total"))).alias("_dearest"))
+    top = ranked(per_market).limit(1).crossJoin(F.broadcast(dearest))
+    return top.select("market", "total", "missing", "complete", F.when(F.col("complete"), F.greatest(F.lit(0.0), half_up(F.col("_dearest") - F.col("total"), 2))).otherwise(F.lit(0.0)).alias("savings_vs_worst"))
 
 
-def split_two(best: DataFrame) -> DataFrame:
-    """(item, market, line_total): every item at its cheapest market, at most two markets in all.
+def split_two(best: DataFrame, n_items: int) -> DataFrame:
+    """(item, market, line_total): every item at its cheapest market, at most two markets in all; nothing if some item is nowhere.
 
-    Of more than two, the two with most items stay and the others' items move to the cheaper of them. An
-    item that neither has is left out; callers compare the number of rows with the list.
+    Of more than two markets the two with most items stay (of equals the one whose first item comes first) and the others' items
+    move to the cheaper of them; an item that neither has is left out.
     """
-    w = Window.partitionBy("item").orderBy("line_total", "market")
-    first = best.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
-    kept = first.groupBy("market").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "market").limit(2).select("market")
-    own = best.join(F.broadcast(kept), "market")  # two rows
-    return own.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("item", "market", "line_total")
+    cheapest = best.groupBy("item").agg(F.min_by("market", F.struct("line_total", "market")).alias("market"))
+    whole = cheapest.agg((F.count(F.lit(1)) == n_items).alias("_whole"))
+    kept = cheapest.groupBy("market").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("first")).orderBy(F.desc("n"), "first").limit(2)
+    kept = kept.select("market", F.row_number().over(Window.orderBy(F.desc("n"), "first")).alias("_r"))  # two rows
+    own = best.join(F.broadcast(kept), "market").join(cheapest.withColumnRenamed("market", "_own"), "item").crossJoin(F.broadcast(whole)).filter("_whole")
+    # an item whose cheapest market stays keeps it, others take the cheaper of the two
+    order = F.struct(F.col("market") != F.col("_own"), "line_total", "_r")
+    return own.groupBy("item").agg(F.min_by(F.struct("market", "line_total"), order).alias("r")).select("item", "r.market", half_up(F.col("r.line_total"), 2).alias("line_total"))
+
+
+def split_summary(split: DataFrame, single: DataFrame) -> DataFrame:
+    """One row: stores, lines and total of the split, and what it saves against the best single market if that is complete."""
+    s = split.agg(F.count_distinct("market").alias("stores"), F.count(F.lit(1)).alias("lines"), half_up(F.sum("line_total"), 2).alias("split_total")).filter("stores > 0")
+    one = single.select(F.col("total").alias("_t"), F.col("complete").alias("_c"))
+    return s.crossJoin(F.broadcast(one)).select("stores", "lines", "split_total", F.when(F.col("_c") & (F.col("_t") > F.col("split_total")), half_up(F.col("_t") - F.col("split_total"), 2)).otherwise(F.lit(0.0)).alias("savings_vs_best_single"))
 
 
 def lines(best: DataFrame, items: DataFrame, markets: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ def near_expiry(status: Column, end: Column, as_of: Column, hours: int) -> Colum
 
 
 def purgeable(status: Column, end: Column, as_of: Column, days: int = 30) -> Column:
+    """What ``purge_batch`` takes some of."""
     return (status == "expired") & (end <= as_of - F.make_interval(days=F.lit(days)))
 
 
@@ -117,3 +118,51 @@ def quality_points(*pairs: tuple[Column, int]) -> Column:
 
 def in_x_domain(t: Column, a: Column, b: Column) -> Column:
     return t.between(F.least(a, b), F.greatest(a, b))
+
+
+def retention(status: Column, end: Column, days: int = 30) -> Column:
+    """Until when an expired flyer's evidence stays; null for others."""
+    return F.when(status == "expired", end + F.make_interval(days=F.lit(days)))
+
+
+def offer_score(name: Column, price: Column, brand: Column, external: Column, image: Column, url: Column) -> Column:
+    """Points of a raw record, 10 for being there."""
+    there = lambda c: ~blank(c)
+    return quality_points((F.length(name) >= 3, 20), (price > 0, 20), (there(brand), 15), (there(external), 15), (there(image), 10), (there(url), 10)) + 10
+
+
+def run_outcome(error: Column, ok: Column, duplicates: Column, new: Column) -> Column:
+    cancelled = F.coalesce(error == "cancelled", F.lit(False))
+    return F.when(cancelled, "cancelled").when(ok & (duplicates > 0) & (new == 0), "duplicate").when(ok, "success").otherwise("failed")
+
+
+# What is wrong with an offer of a queue.
+FIX_REASONS = {"brand": "Marca ausente", "qty": "Quantidade ausente", "unit": "Unidade inválida"}
+
+
+def fix_reason(fix: Column) -> Column:
+    return F.when(fix == "brand", FIX_REASONS["brand"]).when(fix == "qty", FIX_REASONS["qty"]).otherwise(FIX_REASONS["unit"])
+
+
+def offer_tab(tab: str, status: Column, price: Column, original: Column) -> Column:
+    tests = {"active": status == "validated", "drop": F.coalesce(original > price, F.lit(False)), "novo": original.isNull(), "expired": status == "rejected"}
+    return tests.get(tab, F.lit(True))
+
+
+def flyer_tab(tab: str, status: Column, end: Column, offers: Column, as_of: Column) -> Column:
+    live = flyer_active(status, end, as_of)
+    ends = F.coalesce(end < as_of + F.make_interval(days=F.lit(2)), F.lit(False))
+    tests = {"vigente": live, "expiring": live & ends, "noparse": status.isin("failed", "discovered") | ((status == "downloaded") & (offers == 0))}
+    return tests.get(tab, F.lit(True))
+
+
+def product_tab(tab: str, markets: Column, spread: Column) -> Column:
+    return {"single": markets == 1, "multi": markets >= 2, "spread": F.coalesce(spread > 40, F.lit(False))}.get(tab, F.lit(True))
+
+
+def low_contains(needle: str, *columns: Column) -> Column:
+    """Some column holds the text, whatever the case; all rows for a blank text."""
+    hit = F.lit(needle.strip() == "")
+    for c in columns:
+        hit = hit | F.coalesce(F.contains(F.lower(c), F.lit(needle.strip().lower())), F.lit(False))
+    return hit

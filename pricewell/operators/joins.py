@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewell.functions.text import tokens_match
+from pricewell.functions.text import normalize, tokens
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: str, column: str, missing: str = "—") -> DataFrame:
@@ -44,16 +44,25 @@ def semi_or_all(df: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
     return marked.crossJoin(F.broadcast(hit)).filter(F.col("_c").isNotNull() | ~F.col("_any")).drop("_c", "_any")
 
 
+MOST_ITEMS = 1000
+
+
 def text_matches(items: DataFrame, offers: DataFrame, query: str, names: list[str]) -> DataFrame:
-    """(item, offer) rows where some name holds all of the item's tokens.
+    """(item, offer) rows of equal ``product`` or ``offer`` ids, or where some name holds all of the item's tokens.
 
-    Containment has no join key. ``items`` is one shopping list, bounded by what a person writes; it is the side that is
-    broadcast. A long list is joined by its product ids instead.
+    Containment has no join key. ``items`` is one shopping list, what a person writes: it goes to all tasks, and more than
+    ``MOST_ITEMS`` are an error. Texts are normalised once on either side.
     """
-    match = F.lit(False)
-    for n in names:
-        match = match | tokens_match(F.col(n), F.col(query))
-    return offers.join(F.broadcast(items), match)
+    if items.limit(MOST_ITEMS + 1).count() > MOST_ITEMS:
+        raise ValueError(f"a list has at most {MOST_ITEMS} items")
+    asked = items.withColumnsRenamed({"product": "_product", "offer": "_offer"}).withColumn("_tokens", tokens(F.col(query)))
+    told = offers.withColumn("_names", F.array(*[normalize(F.col(n)) for n in names]))
+    match = (F.size("_tokens") > 0) & F.exists("_names", lambda h: F.coalesce(F.forall("_tokens", lambda t: F.contains(h, t)), F.lit(False)))
+    if "product" in items.columns:
+        match = F.coalesce(F.col("product") == F.col("_product"), F.lit(False)) | match
+    if "offer" in items.columns:
+        match = F.coalesce(F.col("offer_id") == F.col("_offer"), F.lit(False)) | match
+    return told.join(F.broadcast(asked), match).drop("_tokens", "_names", "_product", "_offer")
 
 
 def price_changes(before: DataFrame, after: DataFrame, keys: list[str], price: str, order: Column) -> DataFrame:
@@ -62,14 +71,22 @@ def price_changes(before: DataFrame, after: DataFrame, keys: list[str], price: s
     return after.withColumnRenamed(price, "price_after").join(old, keys).filter("price_before <> price_after")
 
 
-def touched_or_filled(runs: DataFrame, flyers: DataFrame, offers: DataFrame) -> DataFrame:
+def touched_or_filled(runs: DataFrame, flyers: DataFrame, offers: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
     """(run_id, flyer_id): flyers made or changed in a run's window, or where there are none, those that got offers in it.
 
-    ``runs``: run_id, market, begin, end. Both lookups are range joins on the market.
+    ``runs``: run_id, market, begin, end; ``flyers``: flyer_id, market, created_at, updated_at; ``offers``: flyer_id, market, created_at.
     """
-    inside = lambda c: F.col(c).between(F.col("begin"), F.col("end"))
-    f = flyers.select("flyer_id", "market", "created_at", "updated_at")
-    direct = runs.join(f, "market").filter(inside("created_at") | inside("updated_at")).select("run_id", "flyer_id").distinct()
-    left = runs.join(direct.select("run_id").distinct(), "run_id", "left_anti")
-    filled = left.join(offers.select("flyer_id", "market", "created_at"), "market").filter(inside("created_at")).select("run_id", "flyer_id").distinct()
-    return direct.unionByName(filled)
+    r = runs.select("run_id", "market", "begin", "end")
+    times = flyers.select("flyer_id", "market", F.explode(F.array_distinct(F.array("created_at", "updated_at"))).alias("at"))
+    met = lambda left, points: in_range(left, points, "market", "begin", "end", "at", bucket_seconds).select("run_id", "flyer_id").distinct()
+    direct = met(r, times.filter("at IS NOT NULL"))
+    left = r.join(direct.select("run_id").distinct(), "run_id", "left_anti")
+    return direct.unionByName(met(left, offers.select("flyer_id", "market", F.col("created_at").alias("at"))))
+
+
+def own_page_or_unpaged(offers: DataFrame, key: str, page: Column) -> DataFrame:
+    """Offers of a page; where a group has none, its offers without a page; where it has none of these either, all of it."""
+    w = Window.partitionBy(key)
+    marked = offers.withColumn("_own", F.coalesce(F.col("page_number") == page, F.lit(False))).withColumn("_bare", F.col("page_number").isNull())
+    marked = marked.withColumns({"_any_own": F.max("_own").over(w), "_any_bare": F.max("_bare").over(w)})
+    return marked.filter(F.when(F.col("_any_own"), F.col("_own")).when(F.col("_any_bare"), F.col("_bare")).otherwise(True)).drop("_own", "_bare", "_any_own", "_any_bare")

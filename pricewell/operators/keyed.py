@@ -47,17 +47,49 @@ def neighbours(df: DataFrame, order: list[Column], key: str) -> DataFrame:
     return df.withColumn("next", F.when(after != F.col(key), after)).withColumn("prev", F.when(before != F.col(key), before))
 
 
-def nearest_point(points: DataFrame, x: str, at: DataFrame, to: str) -> DataFrame:
+def nearest_point(points: DataFrame, x: str, at: DataFrame, to: str, ranges: int = 64) -> DataFrame:
     """Each ``to`` of ``at`` with the nearest ``x``; of two equally near the left one.
 
-    Both sides go through one window over their union instead of comparing all pairs.
+    Both sides are cut into ranges of the coordinate. Within a range one window finds the neighbours; what lies beyond its ends comes from a
+    table of the ranges' first and last points, which is as small as their number.
     """
-    both = points.select(F.col(x).alias("_x"), F.lit(None).cast(at.schema[to].dataType).alias(to)).unionByName(at.select(F.lit(None).cast(points.schema[x].dataType).alias("_x"), F.col(to)))
-    key = F.coalesce("_x", to)
-    left = F.last("_x", ignorenulls=True).over(Window.orderBy(key, F.col("_x").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first("_x", ignorenulls=True).over(Window.orderBy(key, F.col("_x").isNull()).rowsBetween(0, Window.unboundedFollowing))
-    found = both.select(to, left.alias("_l"), right.alias("_r"), F.col("_x")).filter("_x IS NULL")
-    return found.select(to, F.when(F.col("_r").isNull() | (F.col(to) - F.col("_l") <= F.col("_r") - F.col(to)), F.col("_l")).otherwise(F.col("_r")).alias("nearest"))
+    p, q = points.select(F.col(x).cast("double").alias("_x")).filter("_x IS NOT NULL"), at.select(F.col(to).cast("double").alias("_t")).filter("_t IS NOT NULL")
+    found = p.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))  # one row
+    cell = lambda c: F.greatest(F.lit(0), F.least(F.lit(ranges - 1), F.floor((c - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * ranges))).cast("int")
+    numbered = lambda df, c: df.crossJoin(F.broadcast(found)).withColumn("_r", F.coalesce(cell(F.col(c)), F.lit(0))).drop("_lo", "_hi")
+    p, q = numbered(p, "_x"), numbered(q, "_t")
+    ends = p.groupBy("_r").agg(F.min("_x").alias("_first"), F.max("_x").alias("_last"))
+    grid = points.sparkSession.range(ranges).select(F.col("id").cast("int").alias("_r")).join(ends, "_r", "left")
+    w = Window.orderBy("_r")  # as many rows as ranges
+    around = grid.select("_r", F.max("_last").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_first").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    both = p.select("_r", "_x", F.lit(None).cast("double").alias("_t")).unionByName(q.select("_r", F.lit(None).cast("double").alias("_x"), "_t"))
+    order = Window.partitionBy("_r").orderBy(F.coalesce("_x", "_t"), F.col("_x").isNull())
+    near = both.withColumns({"_l": F.last("_x", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.first("_x", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))}).filter("_x IS NULL")
+    near = near.join(F.broadcast(around), "_r").withColumns({"_l": F.coalesce("_l", "_before"), "_n": F.coalesce("_n", "_after")})
+    return near.select(F.col("_t").alias(to), F.when(F.col("_n").isNull() | (F.col("_t") - F.col("_l") <= F.col("_n") - F.col("_t")), F.col("_l")).otherwise(F.col("_n")).alias("nearest"))
+
+
+def unique_row(df: DataFrame, what: str = "row") -> DataFrame:
+    """``df`` if it has one row or none; more are an error when it is read."""
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    ok = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"more than one {what}: "), F.col("_n").cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return df.crossJoin(F.broadcast(n)).filter(ok).drop("_n")
+
+
+def numbered_page(df: DataFrame, order: list[Column], cursor: str | None, size: int) -> DataFrame:
+    """A page from a cursor (the number of rows before it, as text), with ``is_done`` and ``continue_cursor`` on each row."""
+    begin = int(cursor) if cursor and cursor.isdigit() else 0
+    page = df.orderBy(*order).offset(begin).limit(size)
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    done = F.lit(begin + size) >= F.col("_n")
+    return page.crossJoin(F.broadcast(n)).withColumns({"is_done": done, "continue_cursor": F.when(done, F.lit("")).otherwise(F.lit(str(begin + size)))}).drop("_n")
+
+
+def strip_around(queue: DataFrame, order: str, current, size: int = 4) -> DataFrame:
+    """``size`` items of a queue from the one before ``current`` on; nothing if it is not there."""
+    at = queue.withColumn("_n", F.row_number().over(Window.orderBy(order)))
+    here = at.filter(F.col(order) == F.lit(current)).select(F.greatest(F.col("_n") - 1, F.lit(1)).alias("_b"))
+    return at.crossJoin(F.broadcast(here)).filter((F.col("_n") >= F.col("_b")) & (F.col("_n") < F.col("_b") + size)).drop("_n", "_b")
 
 
 def offset_page(df: DataFrame, order: list[Column], page: int, size: int = 25) -> DataFrame:
@@ -71,3 +103,7 @@ def keyset_page(df: DataFrame, key: str, after, size: int = 25) -> DataFrame:
 
 def last_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return df.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
+
+
+def clamp(value: int | None, low: int, high: int, default: int) -> int:
+    return min(max(default if value is None else value, low), high)

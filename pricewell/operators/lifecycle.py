@@ -41,11 +41,13 @@ def set_validity(flyers: DataFrame, offers: DataFrame, changes: DataFrame, as_of
 def discover(flyers: DataFrame, found: DataFrame, as_of: Column) -> DataFrame:
     """Flyers with what a crawl found: by URL within the market, else by external id, else new.
 
-    Found values win where there are any. A flyer without a stored file whose pages are known is queued for download
+    ``found``: what a crawl found, with ``found_at``. Found values win where there are any. A flyer without a stored file whose pages are known is queued for download
     again, unless it is in work or expired.
     """
     merged = ["title", "external_id", "original_url", "valid_from", "valid_until", "store_ids", "page_urls"]
-    one = found.groupBy("supermarket_id", "original_url").agg(*[F.last(c, ignorenulls=True).alias(c) for c in ("title", "external_id", "valid_from", "valid_until", "store_ids", "page_urls", "source_id")])
+    # of several finds of one URL the last known value in the order of ``found_at`` counts
+    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("found_at", F.xxhash64(*found.columns))))
+    one = found.groupBy("supermarket_id", "original_url").agg(*[newest(c).alias(c) for c in ("title", "external_id", "valid_from", "valid_until", "store_ids", "page_urls", "source_id")])
     old = flyers.select("supermarket_id", "original_url", F.col("id").alias("_by_url")).groupBy("supermarket_id", "original_url").agg(F.min("_by_url").alias("_by_url"))
     ext = flyers.filter("external_id IS NOT NULL").groupBy("supermarket_id", "external_id").agg(F.min("id").alias("_by_ext"))
     met = one.join(old, ["supermarket_id", "original_url"], "left").join(ext, ["supermarket_id", "external_id"], "left").withColumn("id", F.coalesce("_by_url", "_by_ext"))
@@ -86,11 +88,23 @@ def record_runs(flows: DataFrame, results: DataFrame, as_of: Column, most: int =
     }).drop("_ok")
 
 
-def sweep(flyers: DataFrame, flows: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """The hourly job: expire, and arm the flows of markets that have nothing to come or end within a day."""
-    day = F.make_interval(days=F.lit(1))
+def to_discover(flyers: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+    """(supermarket_id): markets where a flyer expires now and none is to come at any time, or where a live one ends within ``hours``."""
+    live = ~F.col("status").isin("failed", "expired")
     over = flyers.filter(expirable(F.col("status"), F.col("valid_until"), as_of)).select("supermarket_id")
-    coming = flyers.filter((F.col("valid_from") > as_of) & ~F.col("status").isin("failed", "expired")).select("supermarket_id").distinct()
-    ending = flyers.filter(F.col("valid_until").between(as_of, as_of + day)).select("supermarket_id")
-    markets = over.join(coming, "supermarket_id", "left_anti").unionByName(ending)
-    return expire(flyers, as_of), arm_periodic(arm(flows, markets, as_of), as_of)
+    coming = flyers.filter(live & (F.col("valid_from") > as_of)).select("supermarket_id").distinct()
+    ending = flyers.filter(live & F.col("valid_until").between(as_of, as_of + F.make_interval(hours=F.lit(hours)))).select("supermarket_id")
+    return over.join(coming, "supermarket_id", "left_anti").unionByName(ending).distinct()
+
+
+def sweep(flyers: DataFrame, pages: DataFrame, offers: DataFrame, flows: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The hourly job over (flyers, pages, offers, flows).
+
+    Flyers expire; flows of markets to be looked at are armed; flyers that had expired before and are past their retention lose their evidence, while
+    their offers stay; duplicates go with pages and offers.
+    """
+    kept, pages, offers = purge(flyers, pages, offers, as_of)
+    double = kept.filter("status = 'duplicate'").select(F.col("id").alias("flyer_id"))
+    left = expire(kept.filter("status <> 'duplicate'"), as_of)
+    gone = lambda df: df.join(double, "flyer_id", "left_anti")
+    return left, gone(pages), gone(offers), arm_periodic(arm(flows, to_discover(flyers, as_of), as_of), as_of)

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricewell.functions.parse import TYPE_RANK
 from pricewell.functions.text import first_word, normalize
 from pricewell.operators.filters import eligibility_is
 
@@ -79,9 +80,19 @@ def public_condition(eligibility: Column, conditions: Column, labels: dict[str,
     """struct(kind, text) for a card: none, unknown, or the conditions in a line."""
     kind = F.coalesce(eligibility, F.lit("ALL_CUSTOMERS"))
     line = lambda c: F.array_join(F.array_distinct(F.filter(F.array(F.trim(c["name"]), F.trim(c["description"]), F.trim(c["requirement"])), lambda x: x.isNotNull() & (x != ""))), " · ")
-    parts = F.array_join(F.filter(F.transform(F.coalesce(conditions, F.array().cast("array<struct<name:string,description:string,requirement:string>>")), line), lambda x: x != ""), " · ")
+    parts = F.array_join(F.filter(F.coalesce(F.transform(conditions, line), F.array().cast("array<string>")), lambda x: x != ""), " · ")
     label = kind
     for k, v in (labels or {}).items():
         label = F.when(kind == k, v).otherwise(label)
     text = F.when(kind == "ALL_CUSTOMERS", "Todos").when(kind == "UNKNOWN", "Condição não identificada").when(parts != "", parts).otherwise(label)
     return F.struct(F.when(kind == "ALL_CUSTOMERS", "none").when(kind == "UNKNOWN", "unknown").otherwise("ok").alias("kind"), text.alias("text"))
+
+
+def condition_drafts(eligibility: Column, conditions: Column) -> Column:
+    """array(struct(type, name, description)) to edit: the conditions, or one of the eligibility alone; unknown types are UNKNOWN."""
+    kind = lambda t: F.when(t.isin(*TYPE_RANK), t).otherwise(F.lit("UNKNOWN"))
+    line = lambda c: F.array_join(F.filter(F.array(F.trim(c["description"]), F.trim(c["requirement"])), lambda x: x.isNotNull() & (x != "")), " · ")
+    draft = lambda t, n, d: F.struct(t.alias("type"), n.alias("name"), d.alias("description"))
+    alone = F.when(F.coalesce(eligibility, F.lit("ALL_CUSTOMERS")) != "ALL_CUSTOMERS", F.array(draft(kind(eligibility), F.lit(""), F.lit(""))))
+    many = F.transform(conditions, lambda c: draft(F.coalesce(kind(c["type"]), F.lit("UNKNOWN")), F.coalesce(F.trim(c["name"]), F.lit("")), line(c)))
+    return F.coalesce(F.when(F.size(conditions) > 0, many), alone, F.array().cast("array<struct<type:string,name:string,description:string>>"))

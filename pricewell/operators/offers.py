@@ -10,91 +10,107 @@ from pyspark.sql.types import StringType
 from pricewell.functions import money, parse
 from pricewell.functions.text import dedupe_key, normalize_unit, sanitize_name, squeeze_space, strip_unknown, title_case
 
-_PAIR = r"(?i)DE\s*R?\$?\s*([\d.,]+)\s*POR\s*R?\$?\s*([\d.,]+)"
-_NOISE = r"(?i)^(.|\d+%|(oferta|promo|leve|pague|validade|encarte|página).*|(DE|POR|R\$|A\s*PARTIR)?\s*R?\$?\s*\d{1,3}(\.\d{3})*,\d{2})$"
-_PARTS = r"(?i)^(ou\s+)?\d{1,2}\s*[xX]\b"
-JSON_OFFERS = "confidence double, validFrom string, validUntil string, offers array<struct<name:string,brand:string,quantity:string,unit:string,price:string,originalPrice:string,cashPrice:string,pageNumber:int,confidence:double>>"
+# A pair of prices, a new price, instalment and cash lines, lines that are no name, and what a name sheds.
+PAIR = r"(?i)DE\s*R?\$?\s*([\d.,]+)\s*POR\s*R?\$?\s*([\d.,]+)"
+NEW_PRICE = r"(?i)POR\s*R?\$?\s*([\d.,]+)"
+INSTALMENT_LINES = (r"(?i)^\d{1,2}\s*[xX]\b", r"(?i)^ou\s+\d{1,2}\s*[xX]")
+CASH_OR_PARTS = r"(?i)\d{1,2}\s*[xX]\b|à\s*vista|a\s*vista"
+NOISE_LINES = (r"^\d+%$", r"(?i)^(oferta|promo|leve|pague|validade|encarte|página)", r"(?i)^(DE|POR|R\$|A\s*PARTIR)?\s*R?\$?\s*\d{1,3}(?:\.\d{3})*,\d{2}$")
+NAME_SHEDS = (money.PRICE, r"(?i)\bR\$\b", r"(?i)\b(DE|POR|A\s*PARTIR\.?)\b")
+EVIDENCE = "struct<text:string,source:string,page:int>"
+CONDITIONS = "array<struct<type:string,name:string,description:string,requirement:string>>"
+JSON_OFFERS = (
+    "confidence double, validFrom string, validUntil string, offers array<struct<name:string,brand:string,quantity:string,unit:string,price:string,originalPrice:string,cashPrice:string,"
+    f"installmentCount:string,installmentAmount:string,installmentInterestFree:string,eligibility:string,conditions:{CONDITIONS},evidence:{EVIDENCE},confidence:string>>"
+)
 
 
 def clean_name(x: Column) -> Column:
-    y = F.regexp_replace(F.regexp_replace(x, money.PRICE, " "), r"(?i)R\$", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(y, r"(?i)\b(DE|POR|A\s*PARTIR\.?)\b", " "), r"\s+", " "))
+    for pattern in NAME_SHEDS:
+        x = F.regexp_replace(x, pattern, " ")
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
-def _look_back(i: Column) -> Column:
-    """The name above line ``i``: up to three lines among the six before, up to noise or another price block."""
-    span = lambda c: F.reverse(F.slice(F.col(c), F.greatest(i - 6, F.lit(0)) + 1, F.least(i, F.lit(6))))
-    before = F.arrays_zip(span("lines").alias("t"), span("noise").alias("n"), span("n_prices").alias("k"))
-    start = F.struct(F.array().cast("array<string>").alias("p"), F.lit(False).alias("stop"))
+def noise_line(x: Column) -> Column:
+    hit = F.length(x) < 2
+    for pattern in NOISE_LINES:
+        hit = hit | x.rlike(pattern)
+    return hit
 
-    def step(acc: Column, x: Column) -> Column:
-        size = F.size(acc["p"])
-        ends = acc["stop"] | F.when(x["n"], size > 0).otherwise((x["k"] >= 2) | (size >= 3))
-        return F.struct(F.when(ends | x["n"], acc["p"]).otherwise(F.array_append(acc["p"], x["t"])).alias("p"), ends.alias("stop"))
 
-    return F.aggregate(before, start, step, lambda acc: F.array_join(F.reverse(acc["p"]), " "))
-
-
-def _found(i, name, price, original, raw, conf) -> Column:
-    return F.struct(i.alias("line"), name.alias("name"), price.alias("price"), original.alias("original"), raw.alias("raw"), conf.alias("confidence"))
+def _name_above(i: Column) -> Column:
+    """The name above line ``i``: behind noise the nearest line, and up to two before it, until noise or a line of several prices."""
+    low = F.greatest(i - 6, F.lit(0))
+    is_noise, prices = lambda j: F.get("noise", j), lambda j: F.get("n_prices", j)
+    good = lambda j: (j >= low) & ~is_noise(j) & (prices(j) < 2)
+    size = lambda at: F.when(~good(at), 0).when(~F.coalesce(good(at - 1), F.lit(False)), 1).when(~F.coalesce(good(at - 2), F.lit(False)), 2).otherwise(3)
+    lines = lambda at: parse.let(size(at), lambda n: F.slice("lines", at - n + 2, n))
+    parts = F.when(i > 0, parse.let(F.array_max(F.filter(F.sequence(low, i - 1), lambda j: ~is_noise(j))), lines))
+    return clean_name(F.coalesce(F.array_join(parts, " "), F.lit("")))
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Offers of page texts (page_id, page_number, text, confidence).
 
-    A price after DE ... POR pairs with its original price; other prices stand alone and weigh less. Names
-    come from the line and the lines above. Of equal names on a page the first stays.
+    A line with POR that ends a DE ... POR pair, or that follows a line with DE, gives both prices; prices on other lines stand alone and
+    weigh less. Names come from the line and the lines above. Of equal names on a page the first stays. Each pattern runs once a
+    line; only lines with a price become rows, with the few lines around them.
     """
     lines = F.filter(F.transform(F.split(squeeze_space(F.coalesce("text", F.lit(""))), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     p = pages.select("page_id", "page_number", lines.alias("lines"), F.coalesce("confidence", F.lit(0.5)).alias("conf")).filter(F.size("lines") > 0)
-    # each pattern runs once a line
-    p = p.withColumns({"noise": F.transform("lines", lambda x: x.rlike(_NOISE)), "prices": F.transform("lines", money.extract_prices)})
+    p = p.withColumns({"noise": F.transform("lines", noise_line), "prices": F.transform("lines", money.extract_prices)})
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
     p = p.withColumn("n_prices", F.transform("prices", lambda x: F.size(x)))
-    p = p.withColumn("above", F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: clean_name(_look_back(i))))
-    ls, at = F.col("lines"), F.sequence(F.lit(0), F.size("lines") - 1)
-    near = lambda i, a, b: F.slice(ls, F.greatest(i - a, F.lit(0)) + 1, F.least(i, F.lit(a)) + b)
-
-    def pair(i: Column) -> Column:
-        joined = F.array_join(near(i, 5, 2), " ")
-        old, new = (money.parse_brl(F.regexp_extract(joined, _PAIR, k)) for k in (1, 2))
-        hit = F.get(ls, i).rlike("(?i)POR") & joined.rlike(_PAIR)
-        return F.when(hit, _found(i, F.get("above", i), new, old, F.array_join(near(i, 5, 3), "\n"), F.col("conf")))
-
-    p = p.withColumn("pairs", F.filter(F.transform(at, pair), lambda x: x.isNotNull()))
-    used = F.flatten(F.transform("pairs", lambda x: F.array(x["line"], x["line"] - 1)))
-    p = p.withColumn("used", used)
-
-    def alone(i: Column) -> Column:
-        line = F.get(ls, i)
-        ps = F.get("prices", i)
-        low = F.get(F.array_sort(ps, lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)), F.lit(1))
-        high = F.array_max(ps)
-        two = (F.size(ps) >= 2) & ~line.rlike(r"(?i)\d{1,2}\s*[xX]\b|[àa]\s*vista")
-        gap = two & (high / low >= 1.02)
-        price = F.when(gap, low).when(two, F.element_at(ps, -1)).otherwise(F.get(ps, F.lit(0)))
-        own, above = clean_name(line), F.get("above", i)
-        name = F.when(F.length(own) < 3, above).when(F.length(above) >= 3, clean_name(F.concat_ws(" ", above, own))).otherwise(own)
-        use = (F.size(ps) > 0) & ~F.array_contains(F.col("used"), i) & ~line.rlike(_PARTS) & ~name.rlike(r"^[\d\s.,/-]*$")
-        conf = F.col("conf") * F.when(F.size("used") > 0, 0.75).otherwise(0.85)
-        return F.when(use, _found(i, name, price, F.when(gap, high), F.array_join(near(i, 4, 3), "\n"), conf))
-
-    p = p.withColumn("singles", F.filter(F.transform(at, alone), lambda x: x.isNotNull()))
-    rank = lambda col, n: F.transform(col, lambda x: F.struct(F.lit(n).alias("pass"), x.alias("o")))
-    o = p.select("page_id", "page_number", F.explode(F.concat(rank(F.col("pairs"), 1), rank(F.col("singles"), 2))).alias("x")).select("page_id", "page_number", F.col("x.pass").alias("pass"), "x.o.*")
-    o = o.withColumn("name", F.substring("name", 1, 200)).filter(F.length("name") >= 3)
-    hay = F.concat_ws("\n", "name", "raw")
-    told = money.payment_from_text(hay)
-    o = o.withColumn("t", told).withColumn("pay", money.shape_payment(F.col("price"), F.col("t.cash_price"), F.col("original"), F.col("t.installment_count"), F.col("t.installment_amount"), hay)).filter("pay.price IS NOT NULL")
-    qty = F.concat_ws("\n", "name", "raw")
-    number, unit = (F.regexp_extract(qty, money.QUANTITY, k) for k in (1, 2))
-    out = o.select(
-        "page_id", "page_number", "pass", "line", "name", F.col("pay.price").alias("price"), F.col("pay.original_price").alias("original_price"), F.col("pay.cash_price").alias("cash_price"), F.col("pay.installment_count").alias("installment_count"), F.col("pay.installment_amount").alias("installment_amount"),
-        F.when(number != "", F.concat(number, F.lower(unit))).alias("quantity"),
-        F.when(F.col("pay.original_price").isNotNull(), money.discount_parser(F.col("pay.original_price"), F.col("pay.price"))).alias("discount_percentage"),
-        parse.primary_type(parse.eligibility_phrases(hay)["type"]).alias("eligibility"), "confidence",
+    line = lambda i: F.get("lines", i)
+    near = lambda i, before, after: F.slice("lines", F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before)) + after)
+    joined = lambda i: F.array_join(near(i, 5, 2), " ")
+    kind = lambda i: F.when(~line(i).rlike("(?i)POR"), 0).when(joined(i).rlike(PAIR), 1).when(line(i).rlike(NEW_PRICE) & (i > 0) & line(i - 1).rlike("(?i)DE"), 2).otherwise(0)
+    p = p.withColumn("kind", F.transform(every, kind))
+    parts = lambda i: line(i).rlike(INSTALMENT_LINES[0]) | line(i).rlike(INSTALMENT_LINES[1])
+    taken = lambda i: (F.get("kind", i) > 0) | F.coalesce(F.get("kind", i + 1) > 0, F.lit(False))
+    use = F.filter(every, lambda i: (F.get("kind", i) > 0) | (~taken(i) & (F.get("n_prices", i) > 0) & ~parts(i)))
+    r = p.withColumn("i", F.explode(use))
+    i = F.col("i")
+    r = r.select(
+        "page_id", "page_number", "i", F.get("kind", i).alias("kind"), line(i).alias("line"), F.get("prices", i).alias("ps"), _name_above(i).alias("above"),
+        F.when(F.get("kind", i) == 1, joined(i)).alias("joined"), F.when(F.get("kind", i) == 2, line(i - 1)).alias("before"),
+        F.array_join(F.when(F.get("kind", i) > 0, near(i, 5, 3)).otherwise(near(i, 4, 3)), "\n").alias("raw"),
+        (F.col("conf") * F.when(F.get("kind", i) > 0, 1.0).when(F.exists("kind", lambda x: x > 0), 0.75).otherwise(0.85)).alias("confidence"),
     )
-    first = out.groupBy("page_id", F.lower("name").alias("_k")).agg(F.min_by(F.struct(*out.columns), F.struct("pass", "line")).alias("r"))
-    return first.select("r.*").drop("pass", "line")
+    part = lambda text, pattern, k: money.parse_brl(F.nullif(F.regexp_extract(text, pattern, k), F.lit("")))
+    ps = F.sort_array("ps", asc=False)
+    high, low = F.get(ps, F.lit(0)), F.get(ps, F.lit(1))
+    two = (F.size("ps") >= 2) & ~F.col("line").rlike(CASH_OR_PARTS)
+    gap = two & (high / low >= 1.02)
+    own = clean_name(F.col("line"))
+    alone_name = F.when(F.length(own) < 3, F.col("above")).when(F.length("above") >= 3, clean_name(F.concat_ws(" ", "above", own))).otherwise(own)
+    r = r.withColumns({
+        "price": F.when(F.col("kind") == 1, part("joined", PAIR, 2)).when(F.col("kind") == 2, part("line", NEW_PRICE, 1)).when(gap, low).when(two, F.element_at("ps", -1)).otherwise(F.get("ps", F.lit(0))),
+        "original": F.when(F.col("kind") == 1, part("joined", PAIR, 1)).when(F.col("kind") == 2, part("before", r"([\d.,]+)", 1)).when(gap, high),
+        "name": F.when(F.col("kind") > 0, F.col("above")).otherwise(alone_name),
+    })
+    r = r.withColumn("name", F.substring("name", 1, 200))
+    text = F.concat_ws("\n", "name", F.substring("raw", 1, 1000))
+    r = r.withColumn("hay", text)
+    r = r.withColumn("t", money.payment_from_text(F.col("hay")))
+    r = r.withColumn("pay", money.shape_payment(F.col("price"), F.col("t.cash_price"), F.col("original"), F.col("t.installment_count"), F.col("t.installment_amount"), F.col("hay")))
+    # no filter before the grouping: it would be pushed down, and every column's expression with it
+    good = (F.length("name") >= 3) & ((F.col("kind") > 0) | ~F.col("name").rlike(r"^[\d\s.,/-]+$")) & F.col("pay.price").isNotNull()
+    r = r.withColumn("good", good)
+    first_of = F.when(F.col("kind") > 0, F.when(F.col("raw").rlike(money.QUANTITY), F.col("raw")).otherwise(F.col("name"))).otherwise(F.concat_ws("\n", "name", "line"))
+    number, unit = (F.regexp_extract(first_of, money.QUANTITY, k) for k in (1, 2))
+    none = F.lit(None)
+    r = r.withColumn("hits", parse.eligibility_phrases(F.col("hay")))
+    r = r.withColumn("e", parse.resolve_eligibility(F.col("hits.type"), none.cast("string"), none.cast("array<string>"), none.cast("double"), none.cast("string")))
+    out = r.select(
+        "page_id", "page_number", F.when(F.col("kind") > 0, 1).otherwise(2).alias("pass"), "i", "name", F.when(number != "", F.concat(number, F.lower(unit))).alias("quantity"),
+        F.col("pay.price").alias("price"), F.col("pay.original_price").alias("original_price"), F.col("pay.cash_price").alias("cash_price"), F.col("pay.installment_count").alias("installment_count"), F.col("pay.installment_amount").alias("installment_amount"),
+        F.col("t.interest_free").alias("interest_free"), F.when(F.col("pay.original_price").isNotNull(), money.discount_parser(F.col("pay.original_price"), F.col("pay.price"))).alias("discount_percentage"),
+        F.col("e.type").alias("eligibility"), F.col("e.types").alias("conditions"), F.col("e.confidence").alias("eligibility_confidence"), F.get("hits", F.lit(0))["text"].alias("eligibility_evidence"), F.col("e.status").alias("eligibility_status"),
+        F.substring("raw", 1, 1000).alias("raw_text"), "confidence", "good",
+    )
+    first = out.groupBy("page_id", F.lower("name").alias("_k")).agg(F.min_by(F.struct(*out.columns), F.when(F.col("good"), F.struct("pass", "i"))).alias("r"))
+    return first.filter("r IS NOT NULL").select("r.*").drop("pass", "i", "good")
 
 
 @F.pandas_udf(StringType())
@@ -119,25 +135,64 @@ def close_json(texts: pd.Series) -> pd.Series:
     return texts.map(close)
 
 
+@F.pandas_udf(StringType())
+def whole_records(texts: pd.Series) -> pd.Series:
+    """A cut-off answer up to its last complete record, closed."""
+
+    def cut(text: str | None) -> str | None:
+        open_, quoted, escaped, best = [], False, False, None
+        for k, c in enumerate(text or ""):
+            if quoted:
+                quoted, escaped = escaped or c != '"', not escaped and c == "\\"
+            elif c == '"':
+                quoted = True
+            elif c in "{[":
+                open_.append("}" if c == "{" else "]")
+            elif c in "}]" and open_:
+                open_.pop()
+                best = (k + 1, "".join(reversed(open_)))
+        return text[: best[0]] + best[1] if best else None
+
+    return texts.map(cut)
+
+
+def parsed_answers(pages: DataFrame, column: str = "raw") -> DataFrame:
+    """``pages`` with the answer ``j``: as it is if it is JSON, else mended, else cut off and closed. Only the last need Python."""
+    good = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+    p = pages.withColumn("_text", F.coalesce(good(F.col(column)), good(parse.mend_json(F.col(column)))))
+    whole = p.filter("_text IS NOT NULL")
+    cut = p.filter("_text IS NULL").withColumn("_text", parse.unfenced(F.col(column)))
+    cut = cut.withColumn("_text", F.coalesce(good(parse.mend_json(close_json("_text"))), parse.mend_json(whole_records("_text"))))
+    return whole.unionByName(cut).withColumn("j", F.from_json("_text", JSON_OFFERS)).drop("_text")
+
+
 def offers_from_json(pages: DataFrame, column: str = "raw") -> DataFrame:
     """Offers of extraction answers (page_id, page_number, raw): lenient JSON, guards, first of equals.
 
-    Names of under three characters or of digits alone and prices out of range are dropped. A cut-off answer keeps
-    its complete records.
+    Names of under three characters or of digits alone and prices out of range are dropped. Cash wins over count times amount, that over the
+    price. A missing confidence is 0.7. A cut-off answer keeps its complete records.
     """
-    parsed = F.from_json(close_json(parse.mend_json(F.col(column))), JSON_OFFERS)
-    p = pages.select("page_id", "page_number", parsed.alias("j")).select("page_id", "page_number", F.col("j.confidence").alias("page_confidence"), F.posexplode("j.offers").alias("n", "o"))
-    name = sanitize_name(strip_unknown(F.col("o.name")))
+    p = parsed_answers(pages, column).select("page_id", "page_number", F.col("j.validFrom").alias("valid_from"), F.col("j.validUntil").alias("valid_until"), F.posexplode("j.offers").alias("n", "o"))
+    name = sanitize_name(F.coalesce(strip_unknown(F.col("o.name")), F.lit("")))
     p = p.withColumn("name", name).filter((F.length("name") >= 3) & ~F.col("name").rlike(r"^\d+$"))
-    none = F.lit(None)
-    hay = F.coalesce("name", F.lit(""))
-    pay = money.shape_payment(money.to_number(F.col("o.price")), money.to_number(F.col("o.cashPrice")), money.to_number(F.col("o.originalPrice")), none.cast("int"), none.cast("double"), hay)
-    p = p.withColumn("pay", pay).filter("pay.price IS NOT NULL")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    cash_text = F.when(money.to_number(F.col("o.cashPrice")).isNotNull() & ~F.col("o.cashPrice").rlike(r"^[\d.]+$"), F.col("o.cashPrice"))
+    p = p.withColumn("hay", F.concat_ws(" ", "name", blank(F.to_json("o.evidence")), blank(F.to_json("o.conditions")), blank(cash_text)))
+    amount = money.to_number(F.col("o.installmentAmount"))
+    count = money.instalment_count(F.trim("o.installmentCount").try_cast("double"))
+    p = p.withColumn("pay", money.shape_payment(money.to_number(F.col("o.price")), money.to_number(F.col("o.cashPrice")), money.to_number(F.col("o.originalPrice")), count, amount, F.col("hay")))
+    known = lambda t: F.when(t.isin(*parse.TYPE_RANK), t)
+    told = F.col("o.confidence").try_cast("double")
+    sure = F.when(told.isNotNull(), F.least(F.greatest(told, F.lit(0.0)), F.lit(1.0)))
+    p = p.withColumns({"hits": parse.eligibility_phrases(F.col("hay")), "conditions": parse.unique_conditions(F.col("o.conditions")), "sure": sure})
+    p = p.withColumn("e", parse.resolve_eligibility(F.col("hits.type"), known(F.col("o.eligibility")), F.col("conditions.type"), F.col("sure"), F.substring(F.trim("o.evidence.text"), 1, 400)))
+    told_free = F.when(F.lower("o.installmentInterestFree") == "true", F.lit(True)).when(F.lower("o.installmentInterestFree") == "false", F.lit(False)).when(F.col("o.installmentInterestFree").rlike(r"(?i)sem\s+juros"), F.lit(True))
     out = p.select(
-        "page_id", F.coalesce("o.pageNumber", "page_number").alias("page_number"), "n", "name", title_case(strip_unknown(F.col("o.brand"))).alias("brand"), strip_unknown(F.col("o.quantity")).alias("quantity"), normalize_unit(strip_unknown(F.col("o.unit"))).alias("unit"),
-        F.col("pay.price").alias("price"), F.col("pay.original_price").alias("original_price"), F.when(F.col("pay.original_price").isNotNull(), money.discount_guard(F.col("pay.original_price"), F.col("pay.price"))).alias("discount_percentage"), F.coalesce("o.confidence", "page_confidence").alias("confidence"),
+        "page_id", "page_number", "n", F.substring("name", 1, 200).alias("name"), title_case(strip_unknown(F.col("o.brand"))).alias("brand"), strip_unknown(F.col("o.quantity")).alias("quantity"), normalize_unit(strip_unknown(F.col("o.unit"))).alias("unit"),
+        F.col("pay.price").alias("price"), F.col("pay.original_price").alias("original_price"), F.col("pay.cash_price").alias("cash_price"), F.col("pay.installment_count").alias("installment_count"), F.col("pay.installment_amount").alias("installment_amount"), money.interest_free(told_free, F.col("hay")).alias("interest_free"),
+        F.when(F.col("pay.original_price").isNotNull(), money.discount_guard(F.col("pay.original_price"), F.col("pay.price"))).alias("discount_percentage"), F.coalesce(money.to_number(F.col("o.confidence")), F.lit(0.7)).alias("confidence"),
+        F.col("e.type").alias("eligibility"), F.col("e.confidence").alias("eligibility_confidence"), F.col("e.status").alias("eligibility_status"), "valid_from", "valid_until", F.col("pay.price").isNotNull().alias("good"),
     )
-    blank = lambda c: F.coalesce(F.lower(F.col(c)), F.lit(""))
-    key = F.concat_ws("|", dedupe_key(F.col("name")), blank("brand"), blank("quantity"), blank("unit"), F.col("page_number").cast("string"))
-    first = out.groupBy("page_id", key.alias("_k")).agg(F.min_by(F.struct(*out.columns), "n").alias("r"))
-    return first.select("r.*").drop("n")
+    key = F.concat_ws("|", dedupe_key(F.col("name")), blank(dedupe_key(F.col("brand"))), blank(F.col("quantity")), blank(F.col("unit")))
+    first = out.groupBy("page_id", "page_number", key.alias("_k")).agg(F.min_by(F.struct(*out.columns), F.when(F.col("good"), F.col("n"))).alias("r"))
+    return first.filter("r IS NOT NULL").select("r.*").drop("n", "good")

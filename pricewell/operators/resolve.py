@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricewell.functions.semantics import number_of
 from pricewell.functions.text import match_key, normalize, normalize_unit, slug, title_case
+from pricewell.operators.filters import validation_status
 
 
 def normalize_offers(offers: DataFrame, members: bool = True) -> DataFrame:
@@ -32,7 +33,7 @@ def normalize_offers(offers: DataFrame, members: bool = True) -> DataFrame:
 def ensure_brands(offers: DataFrame, brands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(offers with brand_id, new brand rows): by slug, else by alias, else a new brand with an id from its slug."""
     own = offers.withColumn("_slug", slug(F.col("normalized_brand")))
-    by_slug = brands.select(F.col("slug").alias("_slug"), F.col("id").alias("_a"))
+    by_slug = brands.groupBy(F.col("slug").alias("_slug")).agg(F.min("id").alias("_a"))  # one brand a slug, so no offer comes twice
     by_alias = brands.select(F.explode("aliases").alias("_x"), F.col("id").alias("_b")).select(slug(F.col("_x")).alias("_slug"), "_b").groupBy("_slug").agg(F.min("_b").alias("_b"))
     met = own.join(by_slug, "_slug", "left").join(by_alias, "_slug", "left")
     made = F.when(F.col("_slug") != "", F.sha2(F.col("_slug"), 256))
@@ -45,7 +46,7 @@ def ensure_brands(offers: DataFrame, brands: DataFrame) -> tuple[DataFrame, Data
 def resolve_products(offers: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(offers with canonical_product_id, new products): by match key; the first offer (by id) supplies a new product."""
     keyed = offers.withColumn("match_key", match_key(F.col("name"), F.col("normalized_brand"), F.col("quantity"), F.col("unit")))
-    known = products.select("match_key", F.col("id").alias("_p"))
+    known = products.groupBy("match_key").agg(F.min_by("id", F.struct("created_at", "id")).alias("_p"))
     met = keyed.join(known, "match_key", "left")
     first = met.filter("_p IS NULL").groupBy("match_key").agg(F.min_by(F.struct("name", "brand_id", "quantity", "unit_normalized", "created_at"), "id").alias("r"))
     new = first.select(F.sha2("match_key", 256).alias("id"), F.col("r.name").alias("canonical_name"), slug(F.col("r.name")).alias("slug"), "r.brand_id", "r.quantity", F.col("r.unit_normalized").alias("unit"), "match_key", F.col("r.created_at").alias("created_at"), F.col("r.created_at").alias("updated_at"))
@@ -67,8 +68,12 @@ def merge_brand(offers: DataFrame, products: DataFrame, brands: DataFrame, sourc
 
 
 def merge_product(offers: DataFrame, history: DataFrame, products: DataFrame, source: str, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    move = lambda df: df.withColumn("canonical_product_id", F.when(F.col("canonical_product_id") == source, F.lit(target)).otherwise(F.col("canonical_product_id")))
-    return move(offers), move(history), products.filter(F.col("id") != source)
+    """Offers and prices move to the target product; offers without a brand take over the target's. The source goes."""
+    here = F.coalesce(F.col("canonical_product_id") == source, F.lit(False))
+    move = lambda df: df.withColumn("canonical_product_id", F.when(here, F.lit(target)).otherwise(F.col("canonical_product_id")))
+    own = products.filter(F.col("id") == target).agg(F.first("brand_id").alias("_brand"))  # one row
+    told = offers.crossJoin(F.broadcast(own)).withColumn("brand_id", F.when(here, F.coalesce("brand_id", "_brand")).otherwise(F.col("brand_id"))).drop("_brand")
+    return move(told), move(history), products.filter(F.col("id") != source)
 
 
 def unlink_offer(offers: DataFrame, history: DataFrame, offer_id: str) -> tuple[DataFrame, DataFrame]:
@@ -95,3 +100,22 @@ def apply_fix(offers: DataFrame, products: DataFrame, fixes: DataFrame) -> tuple
     told = met.filter("_b IS NOT NULL OR _q IS NOT NULL OR _u IS NOT NULL").groupBy(F.col("canonical_product_id").alias("id")).agg(F.min("_b").alias("_b"), F.min("_q").alias("_q"), F.min(normalize_unit(F.col("_u"))).alias("_u"))
     p = products.join(told, "id", "left").withColumns({"brand_id": F.coalesce("brand_id", "_b"), "quantity": F.coalesce("quantity", "_q"), "unit": F.coalesce("unit", "_u")}).drop("_b", "_q", "_u")
     return met.drop("_b", "_q", "_u"), p
+
+
+def process_offers(offers: DataFrame, brands: DataFrame, products: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(offers, new brands, new products, new price rows): normalise, resolve brand and product, price, and judge the pending ones."""
+    known, new_brands = ensure_brands(normalize_offers(offers), brands)
+    resolved, new_products = resolve_products(known, products)
+    return validate_pending(resolved), new_brands, new_products, new_price_rows(resolved, history)
+
+
+def validate_pending(offers: DataFrame) -> DataFrame:
+    """Only pending offers get a verdict, by their normalised name where they have one."""
+    verdict = validation_status(F.coalesce("normalized_name", "name"), F.col("price"), F.col("confidence"))
+    return offers.withColumn("validation_status", F.when(F.col("validation_status") == "pending", verdict).otherwise(F.col("validation_status")))
+
+
+def next_in_queue(queue: DataFrame, after: str, order: str = "id") -> DataFrame:
+    """(pending, next): the length of a queue, and what follows an item in it, from the front again at its end; null if that is the item itself."""
+    follows = F.min(F.when(F.col(order) > F.lit(after), F.col(order)))
+    return queue.agg(F.count(F.lit(1)).alias("pending"), F.coalesce(follows, F.min(order)).alias("next")).withColumn("next", F.when(F.col("next") != F.lit(after), F.col("next")))

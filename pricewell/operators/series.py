@@ -2,99 +2,131 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewell.functions.semantics import half_up
 
 
-def _largest_triangles(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """Places of the points that keep a line's shape: ends, and in each bucket the point that spans most area."""
-    n = len(x)
-    if most >= n or most < 3:
-        return np.arange(n)
-    edges = np.floor(np.arange(most - 1) * (n - 2) / (most - 2)).astype(int) + 1
-    picked = [0]
-    for k in range(most - 2):
-        a, b = edges[k], edges[k + 1]
-        c, d = (edges[k + 1], edges[k + 2]) if k + 2 < len(edges) else (n - 1, n)
-        mx, my = x[c:d].mean(), y[c:d].mean()
-        p = picked[-1]
-        area = np.abs((x[p] - mx) * (y[a:b] - y[p]) - (x[p] - x[a:b]) * (my - y[p]))
-        picked.append(a + int(np.argmax(area)))
-    return np.array([*picked, n - 1])
-
-
 def _corners(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Places of the corners of the convex hull of points in order of x, y; all places where a value is unknown."""
-    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+    """Places of the corners of the convex hull of points in order of x."""
+    if len(x) < 5:
         return np.arange(len(x))
     px, py, keep = x.tolist(), y.tolist(), set()
     for turn in (1.0, -1.0):
         out: list[int] = []
         for k in range(len(px)):
-            while len(out) > 1 and turn * ((px[out[-1]] - px[out[-2]]) * (py[k] - py[out[-2]]) - (py[out[-1]] - py[out[-2]]) * (px[k] - px[out[-2]])) <= 0:
+            while len(out) > 1 and turn * ((px[out[-1]] - px[out[-2]]) * (py[k] - py[out[-2]]) - (py[out[-1]] - py[out[-2]]) * (px[k] - px[out[-2]])) < 0:
                 out.pop()
             out.append(k)
         keep.update(out)
     return np.array(sorted(keep))
 
 
-def _picks(pdf: pd.DataFrame, x: str, y: str, most: int) -> pd.DataFrame:
-    """The points of ``_largest_triangles`` from the corners of each chunk of its buckets (_b) and the chunks' means."""
-    pdf = pdf.sort_values("_i", kind="stable")
-    chunks = pdf.drop_duplicates(["_b", "_k"])
-    means = {k: (np.average(g["_mx"], weights=g["_n"]), np.average(g["_my"], weights=g["_n"])) for k, g in chunks.groupby("_b")}
-    buckets = {k: g for k, g in pdf.groupby("_b")}
-    out = [buckets[-1].iloc[[0]]]
-    for k in range(most - 2):
-        g, (mx, my) = buckets[k], means[k + 1]
-        px, py = float(out[-1][x].iloc[0]), float(out[-1][y].iloc[0])
-        area = np.abs((px - mx) * (g[y].to_numpy(float) - py) - (px - g[x].to_numpy(float)) * (my - py))
-        out.append(g.iloc[[int(np.argmax(area))]])
-    return pd.concat([*out, buckets[most - 2].iloc[[0]]])
-
+class _Picker:
+    """The picks of one series of ``n`` points that come in order: one point a bucket, the one that spans most area between the last pick and the next bucket's mean.
 
-def decimate(df: DataFrame, series: str, x: str, y: str, most: int, bucket_rows: int = 200_000) -> DataFrame:
-    """At most ``most`` points of each series that keep its shape.
-
-    A pick depends on the one before, so a series is one group. A series longer than ``bucket_rows`` gives that group only
-    the means of its buckets and the corners of the convex hull of each chunk of ``bucket_rows`` rows: the largest triangle over a
-    fixed base always ends at a corner, so the picks are those of all points.
+    Areas are over places in the series. Of a bucket only the corners of its hull are held (the largest triangle over a fixed base ends at
+    one), of the next its sum, so memory does not follow the length.
     """
-    n = df.groupBy(series).agg(F.count(F.lit(1)).alias("_c"))
-    marked = df.select(series, x, y).join(n, series)
-    long_ = (F.col("_c") > bucket_rows) & (F.col("_c") > most) & F.lit(most >= 3)
-    place = F.row_number().over(Window.partitionBy(series).orderBy(F.asc_nulls_last(x), F.asc_nulls_last(y))).cast("long") - 1
-    # the first row is bucket -1, the last one bucket most - 2; the others are dealt as _largest_triangles does
-    bucket = F.when(F.col("_i") == 0, -1).when(F.col("_i") == F.col("_c") - 1, most - 2).otherwise(F.expr(f"(_i * {most - 2} - 1) div (_c - 2)")).cast("long")
-    placed = marked.filter(long_).withColumn("_i", place).withColumn("_b", bucket).withColumn("_k", F.expr(f"_i div {bucket_rows}"))
-    wide = placed.select(series, x, y, "_i", "_b", "_k", *[F.lit(0.0).alias(c) for c in ("_mx", "_my", "_n")])
-
-    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i", kind="stable")
-        px, py = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
-        return pdf.iloc[_corners(px, py)].assign(_mx=px.mean(), _my=py.mean(), _n=float(len(pdf)))
-
-    thin = wide.groupBy(series, "_b", "_k").applyInPandas(corners, wide.schema)
-    rows = marked.filter(~long_).select(series, x, y)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([x, y], kind="stable")
-        return pdf.iloc[_largest_triangles(pdf[x].to_numpy(float), pdf[y].to_numpy(float), most)]
 
-    picked = thin.groupBy(series).applyInPandas(lambda pdf: _picks(pdf, x, y, most)[[series, x, y]], rows.schema)
-    return rows.groupBy(series).applyInPandas(pick, rows.schema).unionByName(picked)
-
-
-def ohlc(df: DataFrame, series: str, order: list[str], value: str, buckets: int) -> DataFrame:
-    """First, highest, lowest and last value of so many equal stretches of each series."""
+    def __init__(self, n: int, most: int):
+        self.n, self.most = n, most
+        self.all = most >= n or most < 3
+        size = 0.0 if self.all else (n - 2) / (most - 2)
+        edge = np.floor(np.arange(1, most + 1) * size).astype(np.int64) + 1 if not self.all else np.zeros(0, np.int64)
+        self.begin, self.end, self.stop = edge[:-2], np.minimum(edge[1:-1], n - 1), np.minimum(edge[1:-1], n)  # a mean may reach the last point
+        self.k, self.last = 0, None  # bucket to be picked, last pick (place, value)
+        self.points = [[np.zeros(0), np.zeros(0)] for _ in self.begin]
+        self.sums = np.zeros((len(self.begin), 3))
+
+    def add(self, at: int, y: np.ndarray) -> list[int]:
+        """Places picked now that the points from place ``at`` on are known."""
+        place = at + np.arange(len(y))
+        if self.all:
+            return place.tolist()
+        out = []
+        if at == 0:
+            out, self.last = [0], (0.0, float(y[0]))
+        first = max(int(np.searchsorted(self.stop, at, side="right")), 0)
+        for b in range(first, len(self.begin)):
+            if self.begin[b] >= at + len(y):
+                break
+            own = (place >= self.begin[b]) & (place < self.end[b])
+            px, py = (np.concatenate(z) for z in zip(self.points[b], (place[own].astype(float), y[own]), strict=True))
+            keep = _corners(px, py)
+            self.points[b] = [px[keep], py[keep]]
+            mean = (place >= self.begin[b]) & (place < self.stop[b])
+            self.sums[b] += (mean.sum(), place[mean].sum(), y[mean].sum())
+        known = at + len(y)
+        while self.k < len(self.begin) and known >= (self.stop[self.k + 1] if self.k + 1 < len(self.begin) else self.n):
+            out.append(self._pick(self.k, float(y[-1])))
+            self.k += 1
+        if known == self.n:
+            out.append(self.n - 1)
+        return out
+
+    def _pick(self, b: int, final: float) -> int:
+        px, py = self.points[b]
+        self.points[b] = []
+        if not len(px):
+            # an empty bucket picks its first place, which is the last point
+            self.last = (float(self.begin[b]), final)
+            return int(self.begin[b])
+        count, sx, sy = self.sums[b + 1] if b + 1 < len(self.begin) else (0, 0, 0)
+        mx, my = (sx / count, sy / count) if count else (self.n - 1.0, final)
+        ax, ay = self.last
+        area = np.abs((ax - mx) * (py - ay) - (ax - px) * (my - ay)) * 0.5
+        best = int(np.argmax(area))
+        self.last = (float(px[best]), float(py[best]))
+        return int(px[best])
+
+
+def decimate(df: DataFrame, series: str, order: list[str], y: str, most: int) -> DataFrame:
+    """(series, pick, place): the places of at most ``most`` points of each series that keep its shape; a short series keeps all.
+
+    A pick depends on the one before, so each series is read once from front to back; rows come sorted from the window that numbers
+    them. A value that is unknown counts as its place. The last point may be picked twice.
+    """
+    w = Window.partitionBy(series).orderBy(*order)
+    place = F.row_number().over(w).cast("long") - 1
+    rows = df.select(series, *[c for c in order if c != series], y).select(F.col(series).alias("s"), place.alias("i"), F.col(y).cast("double").alias("y"), F.count(F.lit(1)).over(Window.partitionBy(series)).alias("n"))
+    rows = rows.withColumn("y", F.coalesce("y", F.col("i").cast("double")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        picker, number = None, 0
+        for b in batches:
+            i, ys, n = (b.column(c).to_numpy() for c in ("i", "y", "n"))
+            begin = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1] + 1) | (n[1:] != n[:-1])))) if len(i) else np.zeros(0, np.int64)
+            took, places, numbers = [], [], []
+            for a, e in zip(begin.tolist(), np.append(begin[1:], len(i)).tolist(), strict=True):
+                if i[a] == 0:
+                    picker, number = _Picker(int(n[a]), most), 0
+                for p in picker.add(int(i[a]), ys[a:e]):
+                    took.append(a)
+                    places.append(p)
+                    numbers.append(number)
+                    number += 1
+            if took:
+                yield pa.RecordBatch.from_arrays([b.column("s").take(pa.array(took)), pa.array(numbers, pa.int64()), pa.array(places, pa.int64())], [series, "pick", "place"])
+
+    kind = df.schema[series].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{series}` {kind}, pick long, place long")
+
+
+def ohlc(df: DataFrame, series: str, order: list[str], most: int) -> DataFrame:
+    """At most ``most`` candles of each series of candles (open, high, low, close): first, highest, lowest and last of equal stretches."""
     w = Window.partitionBy(series)
-    k = F.row_number().over(w.orderBy(*order)) - 1
-    marked = df.withColumn("_k", k).withColumn("bucket", F.floor(F.col("_k") * buckets / F.count(F.lit(1)).over(w)).cast("long"))
-    return marked.groupBy(series, "bucket").agg(F.min_by(value, "_k").alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, "_k").alias("close"))
+    marked = df.withColumn("_k", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    size = F.col("_n") / F.lit(float(most))
+    guess = F.floor(F.col("_k") / size)
+    at = F.when(F.col("_k") >= F.floor((guess + 1) * size), guess + 1).when(F.col("_k") < F.floor(guess * size), guess - 1).otherwise(guess)
+    marked = marked.withColumn("bucket", F.when((F.lit(most) >= F.col("_n")) | F.lit(most < 2), F.col("_k")).otherwise(at).cast("long"))
+    return marked.groupBy(series, "bucket").agg(F.min_by("open", "_k").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "_k").alias("close"))
 
 
 def slope(y: Column, x: Column) -> Column:
@@ -102,11 +134,30 @@ def slope(y: Column, x: Column) -> Column:
     return F.coalesce(F.when(F.regr_sxx(y, x) > 1e-12, F.regr_slope(y, x)), F.lit(0.0))
 
 
-def project(df: DataFrame, series: str, x: str, y: str, steps: int = 6) -> DataFrame:
-    """(series, x, projected): the next ``steps`` whole steps along the regression slope from the last point."""
-    fit = df.groupBy(series).agg(slope(F.col(y), F.col(x)).alias("_s"), F.max(x).alias("_x"), F.max_by(y, x).alias("_y"))
-    ahead = fit.select(series, F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("_k"), "_s", "_x", "_y")
-    return ahead.select(series, (F.col("_x") + F.col("_k")).alias(x), half_up(F.col("_y") + F.col("_s") * F.col("_k"), 4).alias("projected"))
+def project(df: DataFrame, series: str, x: str, y: str, steps: int = 6, method: str = "regression", path: str = "stepped", interval: float = 1.0, target: float | None = None) -> DataFrame:
+    """(series, x, projected): from the last point on, ``steps`` intervals along a slope, or straight to ``target``.
+
+    ``method``: slope of the regression or of the last segment (``last``). ``path``: every step, or the ``endpoints`` with the last point.
+    """
+    near = F.max_by(F.struct(x, y), x)
+    fit = df.filter(F.col(y).isNotNull()).groupBy(series).agg(slope(F.col(y), F.col(x)).alias("_s"), near.alias("_p"), F.array_sort(F.collect_list(F.struct(x, y))).alias("_all"))
+    if method == "last":
+        a, b = F.get("_all", F.size("_all") - 2), F.get("_all", F.size("_all") - 1)
+        fit = fit.withColumn("_s", F.coalesce((b[y] - a[y]) / F.nullif(b[x] - a[x], F.lit(0)), F.lit(0.0)))
+    far = F.array(F.lit(0), F.lit(steps)) if path == "endpoints" or target is not None else F.sequence(F.lit(1), F.lit(steps))
+    ahead = fit.select(series, F.explode(far).alias("_k"), "_s", F.col("_p")[x].alias("_x"), F.col("_p")[y].alias("_y"))
+    value = F.col("_y") + F.col("_s") * F.col("_k") * interval
+    if target is not None:
+        value = F.when(F.col("_k") == 0, F.col("_y")).otherwise(F.lit(float(target)))
+    return ahead.select(series, (F.col("_x") + F.col("_k") * interval).cast("double").alias(x), half_up(value, 4).alias("projected"))
+
+
+def anchor_slope(df: DataFrame, series: str, x: str, y: str, until: Column | None = None) -> DataFrame:
+    """(series, slope): of the last two known points up to ``until``; 0 with fewer or without a step between them."""
+    known = df.filter(F.col(y).isNotNull() & (F.lit(True) if until is None else F.col(x) <= until))
+    w = Window.partitionBy(series).orderBy(F.desc(x))
+    two = known.withColumn("_n", F.row_number().over(w)).filter("_n <= 2").groupBy(series).agg(*[F.max(F.when(F.col("_n") == n, F.col(c))).alias(f"_{c}{n}") for c in (x, y) for n in (1, 2)])
+    return two.select(series, F.coalesce((F.col(f"_{y}1") - F.col(f"_{y}2")) / F.nullif(F.col(f"_{x}1") - F.col(f"_{x}2"), F.lit(0)), F.lit(0.0)).alias("slope"))
 
 
 def stack(df: DataFrame, row: str, series: str, value: str) -> DataFrame:
@@ -124,8 +175,18 @@ def tallest(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.max(total).alias("tallest"))
 
 
-def extent(df: DataFrame, column: str, pad: float = 0.05) -> DataFrame:
-    """Least and greatest value, and a domain with some room on both sides."""
-    e = df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
-    room = (F.col("high") - F.col("low")) * pad
-    return e.withColumns({"domain_low": F.col("low") - room, "domain_high": F.col("high") + room})
+def extent(df: DataFrame, column: str, pad: float = 0.05, reach: float | None = None) -> DataFrame:
+    """Least and greatest value (at least ``reach``), a domain with some room on both sides, and one from zero with a tenth above."""
+    top = F.max(column) if reach is None else F.greatest(F.max(column), F.lit(reach))
+    e = df.agg(F.min(column).alias("low"), top.alias("high"))
+    room = F.coalesce(F.nullif((F.col("high") - F.col("low")) * pad, F.lit(0.0)), F.lit(1.0))
+    zero = F.col("low") >= 0
+    return e.withColumns({
+        "domain_low": F.col("low") - room, "domain_high": F.col("high") + room,
+        "axis_low": F.when(zero, F.lit(0.0)).otherwise(F.col("low") - room), "axis_high": F.when(zero, F.when(F.col("high") <= 0, F.lit(100.0)).otherwise(F.col("high") * 1.1)).otherwise(F.col("high") + room),
+    })
+
+
+def axis_domains(df: DataFrame, axis: str, columns: list[str]) -> DataFrame:
+    """(axis, low, high) over all value columns of the series on each axis."""
+    return df.groupBy(axis).agg(F.min(F.least(*[F.col(c) for c in columns]) if len(columns) > 1 else F.col(columns[0])).alias("low"), F.max(F.greatest(*[F.col(c) for c in columns]) if len(columns) > 1 else F.col(columns[0])).alias("high"))

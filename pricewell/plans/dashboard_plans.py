@@ -81,22 +81,6 @@ def run_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.date_format("d", "yyyy-MM-dd").alias("day"), F.date_format(sunday_week(F.col("d")), "yyyy-MM-dd").alias("week"), "n", "running", "kinds", heat_level(F.col("n")).alias("level"))
 
 
-@query(
-    "run_offer_range_join",
-    """WITH r AS (SELECT event_id, user_id, ts AS started_at, ts + INTERVAL 3600 SECOND + INTERVAL 120 SECOND AS ended_at FROM events WHERE event_type = 'purchase'),
-j AS (SELECT r.event_id, count(o.event_id) AS offers FROM r JOIN events o ON o.user_id = r.user_id AND o.event_type <> 'purchase' AND o.ts BETWEEN r.started_at AND r.ended_at GROUP BY 1)
-SELECT r.event_id, coalesce(offers, 0) AS offers, CASE WHEN r.event_id % 10 = 0 THEN 'blocked' WHEN coalesce(offers, 0) >= 3 THEN 'review' WHEN coalesce(offers, 0) > 0 THEN 'fila' ELSE 'done' END AS queue_state FROM r LEFT JOIN j USING (event_id)""",
-)
-def run_offer_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows created within each run's interval (plus two minutes): dealt by worker and hour, not by worker alone."""
-    e = table(spark, sf_dir, "events")
-    runs = e.filter("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("started_at"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 3720 SECONDS")).alias("ended_at"))
-    rows = e.filter("event_type <> 'purchase'").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    met = in_range(runs, rows, "user_id", "started_at", "ended_at", "ts", 3600).groupBy("event_id").agg(F.count(F.lit(1)).alias("offers"))
-    out = runs.select("event_id").join(met, "event_id", "left").withColumn("offers", F.coalesce("offers", F.lit(0)))
-    return out.withColumn("queue_state", run_queue(F.when(F.col("event_id") % 10 == 0, "failed").otherwise("success"), F.col("offers") - 2, F.col("offers")))
-
-
 @query(
     "event_mode",
     "WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL) SELECT user_id, event_type AS most_common, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS rn FROM c) WHERE rn = 1",

@@ -52,22 +52,6 @@ def flyer_status_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.agg(F.count(F.lit(1)).alias("flyers"), F.count_if(flyer_active(F.col("status"), F.col("valid_until"), _now())).alias("active"), F.count_if(flyer_current(F.col("status"), F.col("valid_from"), F.col("valid_until"), _now())).alias("current_now"), F.count_distinct("market").alias("markets"))
 
 
-@query(
-    "upcoming_anti_join",
-    f"""WITH {_FLYERS_SQL}, e AS (SELECT DISTINCT market FROM flyers WHERE valid_until < TIMESTAMP '{NOW}' AND status NOT IN ('expired', 'failed', 'downloading', 'processing')),
-u AS (SELECT DISTINCT market FROM flyers WHERE valid_from BETWEEN TIMESTAMP '{NOW}' AND TIMESTAMP '{NOW}' + INTERVAL 1 DAY AND status <> 'failed'),
-x AS (SELECT DISTINCT market FROM flyers WHERE valid_until BETWEEN TIMESTAMP '{NOW}' AND TIMESTAMP '{NOW}' + INTERVAL 1 DAY)
-SELECT market FROM (SELECT market FROM e WHERE market NOT IN (SELECT market FROM u) UNION SELECT market FROM x)""",
-)
-def upcoming_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markets to look at: an expired flyer and none to come, or one that ends within a day."""
-    f, day = flyers(spark, sf_dir), F.expr("INTERVAL 1 DAY")
-    gone = f.filter(expirable(F.col("status"), F.col("valid_until"), _now())).select("market").distinct()
-    soon = f.filter(F.col("valid_from").between(_now(), _now() + day) & (F.col("status") != "failed")).select("market").distinct()
-    ending = f.filter(F.col("valid_until").between(_now(), _now() + day)).select("market")
-    return gone.join(soon, "market", "left_anti").unionByName(ending).distinct()
-
-
 @query(
     "flyer_list_counts",
     f"""WITH {_FLYERS_SQL}, t AS (SELECT * FROM flyers ORDER BY valid_from DESC, flyer_id LIMIT 100),

@@ -9,6 +9,7 @@ from pricewell.functions.dates import calendar
 from pricewell.functions.money import discount_catalogue
 from pricewell.functions.semantics import half_up, spread_pct, valid_at
 from pricewell.operators.keyed import forward_fill, last_before, top_groups
+from pricewell.plans.frames import half
 from pricewell.registry import query
 from pricewell.sources.tables import PRICES_SQL, prices, table
 
@@ -30,22 +31,75 @@ def latest_per_market(p: DataFrame, columns: list[str], prefer_active: bool = Fa
     return w.select("product", "market", *[F.col("_r")[c].alias(c) for c in columns])
 
 
-def compare(p: DataFrame, least_markets: int = 2) -> DataFrame:
-    """Per product: markets, lowest and highest latest price, spread and the cheapest market."""
-    latest = latest_per_market(p, ["price"])
-    agg = latest.groupBy("product").agg(F.count(F.lit(1)).alias("market_count"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.min_by("market", F.struct("price", "market")).alias("cheapest_market"))
-    return agg.filter(F.col("market_count") >= least_markets).withColumn("spread_pct", spread_pct(F.col("min_price"), F.col("max_price"), 0.0))
+def compare(p: DataFrame, markets: list | None = None, only_club: bool = False, only_active: bool = True, coverage: str = "any", limit: int | None = 100) -> DataFrame:
+    """Per product: markets with their latest price, lowest and highest, spread and the cheapest market; widest spread first.
+
+    ``coverage``: products of ``any`` number of markets, of a ``single`` one or of several (``multi``).
+    """
+    if markets:
+        p = p.filter(F.col("market").isin(markets))
+    if only_active:
+        p = p.filter(_active())
+    if only_club:
+        p = p.filter("club")
+    latest = latest_per_market(p, ["price", "club", "offer_id"])
+    agg = latest.groupBy("product").agg(
+        F.count(F.lit(1)).alias("market_count"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.min_by("market", F.struct("price", "market")).alias("cheapest_market"), F.array_sort(F.collect_list(F.struct("market", "price", "club"))).alias("by_market")
+    )
+    agg = {"single": agg.filter("market_count = 1"), "multi": agg.filter("market_count >= 2")}.get(coverage, agg)
+    out = agg.withColumn("spread_pct", spread_pct(F.col("min_price"), F.col("max_price"), 0.0))
+    return out if limit is None else out.orderBy(F.desc("spread_pct"), "product").limit(limit)
+
+
+def _compared_sql(where: str, having: str, limit: int | None) -> str:
+    return f"""WITH {PRICES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY product, market ORDER BY created_at DESC, offer_id DESC) AS rn FROM prices WHERE {where}),
+a AS (SELECT product, count(*) AS market_count, min(price) AS min_price, max(price) AS max_price, arg_min(market, (price, market)) AS cheapest_market, string_agg(CAST(market AS STRING) || ':' || CAST(CAST(floor(price * 100 + 0.5) AS BIGINT) AS STRING), ',' ORDER BY market) AS by_market FROM r WHERE rn = 1 GROUP BY product {having})
+SELECT a.*, CASE WHEN min_price > 0 THEN {half('(max_price - min_price) / min_price * 100', 1)} ELSE 0.0 END AS spread_pct, p_name AS name, p_brand AS brand FROM a LEFT JOIN part ON p_partkey = product{f" ORDER BY spread_pct DESC, product LIMIT {limit}" if limit else ""}"""
+
+
+def _named(compared: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the product's name and brand, joined after the limit, and its markets in a line."""
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    line = F.array_join(F.transform("by_market", lambda x: F.concat_ws(":", x["market"].cast("string"), F.floor(x["price"] * 100 + 0.5).cast("long").cast("string"))), ",")
+    return compared.withColumn("by_market", line).join(names, "product", "left")
+
+
+_ACTIVE_SQL = f"valid_from <= TIMESTAMP '{AS_OF}' AND valid_until >= TIMESTAMP '{AS_OF}'"
+
+
+@query("compare_markets", _compared_sql(_ACTIVE_SQL, "", 100))
+def compare_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products whose live prices differ most across markets."""
+    return _named(compare(prices(spark, sf_dir)), spark, sf_dir)
+
+
+@query("compare_club_prices", _compared_sql("club AND market IN (1, 2, 3, 4, 5, 6, 7, 8, 9)", "HAVING count(*) >= 2", 50))
+def compare_club_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members' prices of all times at nine markets, products that several of them had."""
+    return _named(compare(prices(spark, sf_dir), list(range(1, 10)), only_club=True, only_active=False, coverage="multi", limit=50), spark, sf_dir)
+
+
+@query("compare_all", _compared_sql("true", "HAVING count(*) >= 2", None))
+def compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every product with several markets, over all prices."""
+    return _named(compare(prices(spark, sf_dir), only_active=False, coverage="multi", limit=None), spark, sf_dir)
 
 
 @query(
-    "compare_markets",
-    f"""WITH {PRICES_SQL},
-r AS (SELECT *, row_number() OVER (PARTITION BY product, market ORDER BY created_at DESC, offer_id DESC) AS rn FROM prices WHERE created_at >= TIMESTAMP '2000-01-01'),
-a AS (SELECT product, count(*) AS market_count, min(price) AS min_price, max(price) AS max_price, arg_min(market, (price, market)) AS cheapest_market FROM r WHERE rn = 1 GROUP BY product HAVING count(*) >= 2)
-SELECT *, CASE WHEN min_price > 0 THEN CAST(floor((max_price - min_price) / min_price * 100 * 10.0 + 0.5) AS DOUBLE) / 10.0 ELSE 0.0 END AS spread_pct FROM a""",
+    "product_board",
+    f"""WITH {PRICES_SQL}, own AS (SELECT *, {_ACTIVE_SQL} AS active FROM prices WHERE product = 1), b AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY active DESC, created_at DESC, offer_id DESC) AS rn FROM own)
+SELECT 'board' AS part, CAST(market AS STRING) AS k, price AS v FROM b WHERE rn = 1 UNION ALL SELECT 'history', offer_id, price FROM (SELECT * FROM own ORDER BY created_at DESC, offer_id DESC LIMIT 200) UNION ALL SELECT 'offers', offer_id, coalesce(original, price) FROM (SELECT * FROM own ORDER BY created_at DESC, offer_id DESC LIMIT 80) UNION ALL SELECT DISTINCT 'brands', p_brand, 0.0 FROM part""",
 )
-def compare_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare(prices(spark, sf_dir).filter("created_at >= TIMESTAMP_NTZ '2000-01-01'"))
+def product_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything about one product: its board, its newest 200 prices, 80 offers, and the brands to choose from."""
+    own = prices(spark, sf_dir).filter("product = 1").withColumn("active", _active())
+    newest = [F.desc("created_at"), F.desc("offer_id")]
+    part = lambda df, name, k, v: df.select(F.lit(name).alias("part"), k.cast("string").alias("k"), v.cast("double").alias("v"))
+    board = part(latest_per_market(own, ["price"], prefer_active=True), "board", F.col("market"), F.col("price"))
+    history = part(own.orderBy(*newest).limit(200), "history", F.col("offer_id"), F.col("price"))
+    offers = part(own.orderBy(*newest).limit(80), "offers", F.col("offer_id"), F.coalesce("original", "price"))
+    brands = part(table(spark, sf_dir, "part").select("p_brand").distinct(), "brands", F.col("p_brand"), F.lit(0.0))
+    return board.unionByName(history).unionByName(offers).unionByName(brands)
 
 
 @query(
@@ -75,6 +129,16 @@ def list_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.join(names, "product", "left").select("product", "market_count", "offer_count", "active_markets", "min_price", "max_price", spread_pct(F.col("min_price"), F.col("max_price")).alias("spread_pct"), F.coalesce("p_name", F.lit("—")).alias("name"), F.coalesce("p_brand", F.lit("—")).alias("brand"))
 
 
+@query("searched_products", f"""WITH {PRICES_SQL}, a AS (SELECT product, count(DISTINCT market) AS market_count, count(DISTINCT offer_id) AS offer_count FROM prices GROUP BY product) SELECT p_partkey AS product, p_name AS name, coalesce(market_count, 0) AS market_count, coalesce(offer_count, 0) AS offer_count FROM part LEFT JOIN a ON product = p_partkey WHERE contains(lower(p_name), 'blue') AND coalesce(market_count, 0) >= 1 ORDER BY p_retailprice DESC, p_partkey LIMIT 80""")
+def searched_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products whose name holds a text, with their coverage; the eighty newest."""
+    from pricewell.operators.listing import contains_text
+
+    found = contains_text(table(spark, sf_dir, "part"), "BLUE", "p_name").select(F.col("p_partkey").alias("product"), F.col("p_name").alias("name"), "p_retailprice")
+    a = prices(spark, sf_dir).join(found.select("product"), "product", "left_semi").groupBy("product").agg(F.count_distinct("market").alias("market_count"), F.count_distinct("offer_id").alias("offer_count"))
+    return found.join(a, "product").orderBy(F.desc("p_retailprice"), "product").limit(80).select("product", "name", "market_count", "offer_count")
+
+
 @query(
     "price_board",
     f"""WITH {PRICES_SQL},

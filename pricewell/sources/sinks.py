@@ -48,15 +48,39 @@ def replace_scope(old: DataFrame, new: DataFrame, scope: Column | None, key: Col
     return old.filter(~(key & scope)).unionByName(new)
 
 
-def swap(spark: SparkSession, df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write beside the table, then rename: a reader sees the old or the new one, a failed job changes nothing."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of a table's current version: that with the highest number whose write was finished."""
+    fs, p = _fs(spark, path)
+    done = [f.getPath() for f in (fs.listStatus(p) if fs.exists(p) else []) if f.getPath().getName().startswith("v=") and fs.exists(p.suffix(f"/{f.getPath().getName()}/_SUCCESS"))]
+    if not done:
+        raise FileNotFoundError(f"{path} has no version")
+    return max((int(d.getName()[2:]), d.toString()) for d in done)[1]
+
+
+def swap(spark: SparkSession, df: DataFrame, path: str, partition_by: list[str] | None = None, keep: int = 2) -> str:
+    """Write the table's next version and make it the current one; returns its folder.
+
+    A version is a folder of its own, and counts once Spark has marked its write as finished: readers of ``current`` see the old or the
+    new table, a failed job leaves the old one. All but the ``keep`` newest versions go, so who reads an older one can finish.
+    """
+    fs, p = _fs(spark, path)
+    names = [f.getPath().getName() for f in (fs.listStatus(p) if fs.exists(p) else [])]
+    numbers = sorted(int(n[2:]) for n in names if n.startswith("v="))
+    number = numbers[-1] + 1 if numbers else 0
     w = df.write.mode("overwrite")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{path}.next")
-    p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
-    fs = p(path).getFileSystem(conf)
-    fs.delete(p(f"{path}.old"), True)
-    if fs.exists(p(path)):
-        fs.rename(p(path), p(f"{path}.old"))
-    fs.rename(p(f"{path}.next"), p(path))
-    fs.delete(p(f"{path}.old"), True)
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{path}/v={number}")
+    for old in numbers[: max(0, len(numbers) + 1 - keep)]:
+        fs.delete(p.suffix(f"/v={old}"), True)
+    return f"{path}/v={number}"
+
+
+def wipe(spark: SparkSession, tables: dict[str, tuple[str, str]]) -> None:
+    """Every table (path, schema) gets an empty version."""
+    for path, schema in tables.values():
+        swap(spark, spark.createDataFrame([], schema), path)

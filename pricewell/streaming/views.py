@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from pricewell.sources.sinks import _fs
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -22,9 +23,9 @@ def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def keep_latest(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str) -> DataStreamWriter:
-    """A table of the newest row of each key, rewritten with every micro-batch.
+    """A table of the newest row of each key, as large as the number of keys, rewritten with every micro-batch.
 
-    Each batch writes a numbered version, so a batch that is run again writes the same version again.
+    Each batch writes a numbered version, so a batch that is run again writes the same version again; two versions are kept.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -36,6 +37,9 @@ def keep_latest(stream: DataFrame, path: str, keys: list[str], order: list[str],
         else:
             both = newest
         both.write.mode("overwrite").parquet(f"{path}/v={number}")
+        if number > 1:  # the version before is what a repeated batch reads
+            fs, old = _fs(spark, f"{path}/v={number - 2}")
+            fs.delete(old, True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

@@ -47,12 +47,18 @@ def test_runs_and_flyers(spark):
 def test_two_store_split(spark):
     rows = [("a", "x", "o1", 1.0), ("a", "y", "o2", 2.0), ("b", "x", "o3", 1.0), ("c", "y", "o4", 1.0), ("c", "z", "o5", 0.5), ("d", "y", "o6", 1.0), ("e", "z", "o7", 9.0)]
     best = spark.createDataFrame(rows, "item string, market string, offer_id string, line_total double")
-    got = {(r.item, r.market) for r in basket.split_two(best).collect()}
+    got = {(r.item, r.market) for r in basket.split_two(best, 5).collect()}
     assert got == {("a", "x"), ("b", "x"), ("c", "z"), ("e", "z")}
-    per = basket.baskets(best, 5)
-    assert {(r.market, r.total, r.missing) for r in per.collect()} == {("x", 2.0, 3), ("y", 4.0, 2), ("z", 9.5, 3)}
+    assert basket.split_two(best, 6).collect() == [], "an item that is nowhere ends the split"
+    markets = spark.createDataFrame([("x",), ("y",), ("z",), ("empty",)], "market string")
+    per = basket.baskets(best, 5, markets)
+    assert {(r.market, r.total, r.missing) for r in per.collect()} == {("x", 2.0, 3), ("y", 4.0, 2), ("z", 9.5, 3), ("empty", 0.0, 5)}
     top = basket.best_single(per).first()
-    assert top.market == "y" and top.savings_vs_worst is None
+    assert top.market == "y" and top.savings_vs_worst == 0.0
+    whole = basket.baskets(best.filter("item IN ('a', 'c')"), 2, markets)
+    assert [(r.market, r.total) for r in basket.ranked(whole).collect()] == [("y", 3.0)]
+    total = basket.split_summary(basket.split_two(best.filter("item IN ('a', 'c')"), 2), basket.best_single(whole)).first()
+    assert (total.stores, total.split_total, total.savings_vs_best_single) == (2, 1.5, 1.5)
     items = spark.createDataFrame([("a", 1.0), ("q", 1.0)], "item string, quantity double")
     grid = basket.lines(best, items, best).collect()
     assert len(grid) == 6 and sum(r.missing for r in grid) == 4

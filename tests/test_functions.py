@@ -65,10 +65,10 @@ def test_three_discounts(spark):
 @pytest.mark.parametrize(
     ("price", "cash", "original", "n", "amount", "hay", "want"),
     [
-        (199.9, 1899.0, None, 12, 199.9, "", (1899.0, None)),
-        (199.9, None, None, 12, 199.9, "", (2398.8, None)),
-        (199.9, None, 2398.8, 12, 199.9, "12x", (2398.8, None)),
-        (27.99, None, 34.9, None, None, "DE 34,90 POR 27,99", (27.99, 34.9)),
+        (80.5, 700.0, None, 10, 80.5, "", (700.0, None)),
+        (80.5, None, None, 10, 80.5, "", (805.0, None)),
+        (80.5, None, 805.0, 10, 80.5, "10x", (805.0, None)),
+        (6.4, None, 9.8, None, None, "DE 9,80 POR 6,40", (6.4, 9.8)),
         (30.0, None, 20.0, None, None, "", (30.0, None)),
         (0.0, None, None, None, None, "", (None, None)),
     ],

@@ -39,6 +39,7 @@ def test_validity(spark):
 def test_discovery(spark):
     f = spark.createDataFrame([flyer("a", url="x", stored=None), flyer("b", ext="e1"), flyer("c", "expired", url="z", stored=None)], FLYER)
     found = spark.createDataFrame([("m", "src", "new a", "x", None, ["p"], None, None, None), ("m", "src", None, "y", "e1", None, None, day(30), None), ("m", "src", None, "z", None, ["p"], None, None, None), ("m", "src", "n", "new", None, None, None, None, None), ("m2", "src", "n", "x", None, None, None, None, None)], "supermarket_id string, source_id string, title string, original_url string, external_id string, page_urls array<string>, valid_from timestamp, valid_until timestamp, store_ids array<string>")
+    found = found.withColumn("found_at", F.lit(1)).unionByName(found.filter("title = 'new a'").withColumns({"found_at": F.lit(0), "title": F.lit("older")}))
     got = {(r.supermarket_id, r.original_url): r for r in lifecycle.discover(f, found, AT()).collect()}
     assert set(got) == {("m", "x"), ("m", "y"), ("m", "z"), ("m", "new"), ("m2", "x")}
     assert (got["m", "x"].id, got["m", "x"].status, got["m", "x"].title) == ("a", "discovered", "new a")
@@ -55,9 +56,14 @@ def test_schedules(spark):
     assert (done["f1"].next_run_at, done["f1"].discovery_attempts) == (datetime(2024, 6, 10, 6), 0)
     assert (done["f2"].status, done["f2"].next_run_at, done["f2"].discovery_attempts) == ("error", datetime(2024, 6, 10, 8), 4)
     assert done["f3"].last_run_at is None
-    f = spark.createDataFrame([flyer("a", end=day(9)), flyer("b", begin=day(12), market="m9")], FLYER)
-    swept, armed = lifecycle.sweep(f, flows, AT())
-    assert {r.id: r.status for r in swept.collect()}["a"] == "expired" and {r.id: r.next_run_at for r in armed.collect()}["f1"] <= NOW
+    f = spark.createDataFrame([flyer("a", end=day(9)), flyer("b", begin=day(12), market="m9"), flyer("d", "duplicate")], FLYER)
+    pages = spark.createDataFrame([("p", "d"), ("q", "b")], "id string, flyer_id string")
+    offers = spark.createDataFrame([("o", "d"), ("r", "b")], "id string, flyer_id string")
+    swept, p, o, armed = lifecycle.sweep(f, pages, offers, flows, AT())
+    assert {r.id: r.status for r in swept.collect()} == {"a": "expired", "b": "processed"} and {r.id: r.next_run_at for r in armed.collect()}["f1"] <= NOW
+    assert [r.id for r in p.collect()] == ["q"] and [r.id for r in o.collect()] == ["r"]
+    later = spark.createDataFrame([flyer("a", end=day(9)), flyer("b", begin=day(30)), flyer("c", "failed", end=day(10), market="m2"), flyer("e", end=day(10), market="m3")], FLYER)
+    assert {r.supermarket_id for r in lifecycle.to_discover(later, AT()).collect()} == {"m3"}
 
 
 def test_lists(spark):
