@@ -4,18 +4,18 @@ Counting: every document row emits the 128-bit hashes of its distinct long line
 combined per Arrow batch, then by Spark's partial and final aggregation, so a line held by
 a third of all documents is a handful of rows when it is shuffled.
 
-Index: the distinct hashes that reach ``min_docs`` are cut into shards by hash. Each shard is
+Index: all distinct hashes are cut into shards by hash. Each shard is
 a minimal perfect hash (levels of collision-free bits with ranks) into three compact arrays:
-fingerprint, document count and largest doc_id. A key outside the index meets either no
-bit or a foreign 64-bit fingerprint, so rarer lines need no entry.
+fingerprint, document count and largest doc_id.
 
-Probe: the heaviest keys that fit ``broadcast_bytes`` travel to all tasks, and documents
-probe them where they lie. Keys beyond that bound stay in their shards: documents send packed
-hashes (never lines) to them, shards stream past the probes, and only hits return.
-With the heavy keys gone, no shard key can be hot.
+Probe: documents send packed hashes (never lines) to the shards, which stream past the probes and look
+counts up in their arrays; only lines to be dropped return. Keys of ``hot_docs`` documents or more (as many
+as fit ``broadcast_bytes``, the most frequent first) are held by an index of their own that all tasks get, and documents probe it where they
+lie: so no shard key is hot.
 
 Cases: null or empty text is one empty line. Every row counts as a document, also when its
-doc_id repeats; a null doc_id sorts below all others. An empty table gives an empty result.
+doc_id repeats; rows of the largest doc_id keep the line, however many they are; a null doc_id sorts below all others. An empty
+table gives an empty result. Other columns are carried, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -186,21 +186,24 @@ def _send(min_chars: int, shards: int, heavy):
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards come before their probes; one shard and one batch are held at a time."""
-    at, index = None, None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["data"] is not None:
-                at, index = row["shard"], LineIndex.loads(row["data"])
-                continue
-            if row["shard"] != at:
-                continue  # no frequent line in this shard
-            h, d = np.frombuffer(row["hashes"], "<u8").reshape(-1, 2), np.frombuffer(row["docs"], np.int64)
-            found, _, last = index.probe(h[:, 0], h[:, 1])
-            hit = found & (last != d)
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(d[hit]), pa.array([x.tobytes() for x in h[hit]], pa.binary())], ["_id", "hash"])
+def _answer(min_docs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shards come before their probes; one shard and one batch are held at a time."""
+        at, index = None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["data"] is not None:
+                    at, index = row["shard"], LineIndex.loads(row["data"])
+                    continue
+                if row["shard"] != at:
+                    raise ValueError(f"line hashes met no index of shard {row['shard']}")
+                h, d = np.frombuffer(row["hashes"], "<u8").reshape(-1, 2), np.frombuffer(row["docs"], np.int64)
+                found, count, last = index.probe(h[:, 0], h[:, 1])
+                hit = found & (count >= min_docs) & (last != d)
+                if hit.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(d[hit]), pa.array([x.tobytes() for x in h[hit]], pa.binary())], ["_id", "hash"])
+
+    return run
 
 
 _CACHE: dict[int, LineIndex] = {}
@@ -251,7 +254,7 @@ def _apply(min_chars: int, heavy, carry: list[str], digest: bool):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_bytes: int = 32 << 20, shard_keys: int = 1 << 20, digest: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_bytes: int = 32 << 20, shard_keys: int = 1 << 18, hot_docs: int = 1024, digest: bool = False) -> DataFrame:
     """Drop frequent lines from all documents but the one with the largest doc_id.
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys of
@@ -263,33 +266,32 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadca
     scratch = Scratch(spark, "line-dedup")
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = per_batch(small, _count(min_chars), "h1 long, h2 long, n long, last long")
-    frequent = scratch.table(counted.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last")).filter(F.col("n") >= min_docs), "frequent")
-    # counts by power of two: at most 64 rows, from which the cut between heavy and light follows
-    sizes = {r["p"]: r["c"] for r in frequent.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count("*").alias("c")).collect()}
+    counts = scratch.table(counted.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last")), "counts")
+    # hot keys by power of two: at most 64 rows, from which the cut between hot keys and the others follows
+    least = F.lit(max(hot_docs, min_docs))
+    sizes = {r["p"]: r["c"] for r in counts.filter(F.col("n") >= least).groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count("*").alias("c")).collect()}
     room, cut = broadcast_bytes // KEY_BYTES, None
     for p in sorted(sizes, reverse=True):
         if sizes[p] > room:
             break
         room, cut = room - sizes[p], p
-    light = sum(c for p, c in sizes.items() if cut is None or p < cut)
-    chosen = frequent.filter(F.lit(False)) if cut is None else frequent.filter(F.col("n") >= 2**cut)
-    found = build_shards(chosen, 1).select("data").collect()
+    is_hot = F.lit(False) if cut is None else (F.col("n") >= least) & (F.col("n") >= 2**cut)
+    found = build_shards(counts.filter(is_hot), 1).select("data").collect()
     empty = LineIndex.build(*(np.zeros(0, d) for d in (np.uint64, np.uint64, np.int64, np.int64))).dumps()
     heavy = _Held(spark, bytes(found[0]["data"]) if found else empty, scratch.base)
 
     carry = ["doc_id"] if digest else [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "hits", "_id")]
     source = small if digest else docs.select(*carry, F.col("text").cast("string").alias("text"))
-    if light:
-        shards = math.ceil(light / shard_keys)
-        kept = frequent if cut is None else frequent.filter(F.col("n") < 2**cut)
-        index = scratch.table(build_shards(kept, shards), "shards")
-        probes = per_batch(small, _send(min_chars, shards, heavy), "shard int, data binary, hashes binary, docs binary")
-        n = max(partitions(spark), shards)
-        met = index.select("shard", "data", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("docs")).unionByName(probes)
-        hits = met.repartition(n, "shard").sortWithinPartitions("shard", F.col("data").isNull()).mapInArrow(_answer, "_id long, hash binary")
-        hits = scratch.table(hits.groupBy("_id").agg(F.collect_list("hash").alias("hits")), "hits")
-        scratch.drop("shards")
-        source = source.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(hits.hint("shuffle_hash"), "_id", "left").drop("_id")
+    n_shards = max(1, math.ceil(counts.count() / shard_keys))
+    index = scratch.table(build_shards(counts.filter(~is_hot), n_shards), "shards")
+    probes = per_batch(small, _send(min_chars, n_shards, heavy), "shard int, data binary, hashes binary, docs binary")
+    met = index.select("shard", "data", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("docs")).unionByName(probes)
+    hits = met.repartition(max(partitions(spark), n_shards), "shard").sortWithinPartitions("shard", F.col("data").isNull()).mapInArrow(_answer(min_docs), "_id long, hash binary")
+    hits = scratch.table(hits.groupBy("_id").agg(F.collect_list("hash").alias("hits")), "hits")
+    scratch.drop("shards")
+    n_hits = hits.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
+    side = F.broadcast(hits) if n_hits * 48 <= broadcast_bytes else hits.hint("shuffle_hash")
+    source = source.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(side, "_id", "left").drop("_id")
     kinds = {f.name: f.dataType for f in source.schema}
     schema = T.StructType([*(T.StructField(c, kinds[c]) for c in carry), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256" if digest else "text", T.StringType())])
     out = per_batch(source, _apply(min_chars, heavy, carry, digest), schema)

@@ -33,22 +33,23 @@ def op1_line_dedup(spark, sf_dir):
 
 
 ORACLES["op1_line_dedup"] = r"""
-WITH lines AS (
-  SELECT d.doc_id, i.n, list_extract(string_split(coalesce(d.text, ''), chr(10)), i.n) AS line
-  FROM documents d, LATERAL (SELECT unnest(range(1, len(string_split(coalesce(d.text, ''), chr(10))) + 1)) AS n) i),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+lines AS (
+  SELECT d.rid, d.doc_id, i.n, list_extract(string_split(coalesce(d.text, ''), chr(10)), i.n) AS line
+  FROM d, LATERAL (SELECT unnest(range(1, len(string_split(coalesce(d.text, ''), chr(10))) + 1)) AS n) i),
 keyed AS (
-  SELECT doc_id, n, line,
+  SELECT rid, doc_id, n, line,
          translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM lines),
 frequent AS (
   SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+  GROUP BY key HAVING count(DISTINCT rid) >= 5),
 judged AS (
-  SELECT k.doc_id, k.n, k.line, f.key IS NOT NULL AND f.last <> k.doc_id AS dropped
+  SELECT k.rid, k.doc_id, k.n, k.line, f.key IS NOT NULL AND f.last <> k.doc_id AS dropped
   FROM keyed k LEFT JOIN frequent f ON k.key = f.key)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+FROM judged GROUP BY rid, doc_id
 """
 
 

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from pricewell.llm import line_dedup
 from pricewell.llm.line_dedup import LineIndex, PerfectHash, dedup_lines
 
 EDGE = re.compile(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$")
@@ -29,8 +30,8 @@ def slow(rows, min_chars=40, min_docs=5):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("room", [32 << 20, 24 * 3, 0])
-def test_all_paths_agree_with_plain_counting(spark, room):
+@pytest.mark.parametrize(("room", "hot"), [(32 << 20, 1024), (32 << 20, 10), (24 * 3, 10), (0, 10)])
+def test_all_paths_agree_with_plain_counting(spark, room, hot):
     r = random.Random(room)
     shared = [f"shared line {k} " + "é" * 30 for k in range(12)]
     rows = []
@@ -38,7 +39,7 @@ def test_all_paths_agree_with_plain_counting(spark, room):
         lines = [r.choice(shared) if r.random() < 0.5 else f"own {d} {r.random()} " + "x" * 30 for _ in range(r.randint(0, 9))]
         rows.append((d, "\n".join(x.upper().replace("É", "é") if r.random() < 0.2 else "\t" + x + " \r" for x in lines)))
     docs = spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, n_lines int")
-    got = sorted((tuple(x) for x in dedup_lines(docs, broadcast_bytes=room, shard_keys=4, digest=True).collect()), key=str)
+    got = sorted((tuple(x) for x in dedup_lines(docs, broadcast_bytes=room, shard_keys=4, hot_docs=hot, digest=True).collect()), key=str)
     assert got == slow(rows)
 
 
@@ -64,3 +65,34 @@ def test_perfect_hash(n):
     found, counts, last = index.probe(keys, h2)
     assert found.all() and counts.tolist() == last.tolist() == list(range(len(keys)))
     assert not index.probe(keys, h2 + np.uint64(1))[0].any()
+
+
+def test_shards_hold_every_distinct_line_and_decide(spark):
+    """At default parameters the counts of the shards' arrays are what drops a line."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    held = {}
+    for d, t in rows:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            if len(k) >= 40:
+                held.setdefault(k, []).append(d)
+    small = docs.select("doc_id", "text")
+    counted = line_dedup.per_batch(small, line_dedup._count(40), "h1 long, h2 long, n long, last long").groupBy("h1", "h2").agg({"n": "sum", "last": "max"}).toDF("h1", "h2", "last", "n").select("h1", "h2", "n", "last")
+    shards = [LineIndex.loads(bytes(r.data)) for r in line_dedup.build_shards(counted, 5).collect()]
+    assert len(shards) == 5 and sum(len(s.prints) for s in shards) == len(held)
+    h = line_dedup._hashes([k.encode() for k in held])
+    shard = np.mod(h[:, 0].view(np.int64), 5)
+    by_number = {int(r.shard): LineIndex.loads(bytes(r.data)) for r in line_dedup.build_shards(counted, 5).collect()}
+    for (k, ids), x, n in zip(held.items(), h, shard, strict=True):
+        found, count, last = by_number[int(n)].probe(x[:1], x[1:])
+        assert found[0] and count[0] == len(ids) and last[0] == max(ids), k
+    assert max(map(len, held.values())) < 1024, "no line is hot here, so shards decide alone"
+    got = sorted((tuple(x) for x in dedup_lines(docs, digest=True).collect()), key=str)
+    assert got == slow(rows) and sum(x[2] for x in got) > 0
+
+
+def test_repeated_ids_count_as_rows(spark):
+    line = "One line of at least forty characters, five times."
+    rows = [(7, line)] * 5 + [(3, line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(x) for x in dedup_lines(docs, digest=True).collect()), key=str) == slow(rows)
