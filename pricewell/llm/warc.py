@@ -2,8 +2,9 @@
 
 Writing: payloads meet by digest in one join (the join's small side has one row for each digest,
 combined before its shuffle), then each task appends its records to .warc.gz files, one
-gzip member a record, in a folder all machines share. A file gets its name only when whole, so
-a lost executor leaves nothing behind that a reader would take up.
+gzip member a record, under a folder all machines share. The table of files that a finished job
+returns says which of them count; ``publish`` then moves these to the folder itself, so what a lost executor has left behind stays apart
+and a reader of the folder never meets it.
 
 Reading: one task walks through a file from front to back. It inflates members
 incrementally, takes headers up to the blank line, frames content by Content-Length and checks block and
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -95,33 +95,39 @@ def with_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html",
     return met.select("page_id", "url", "payload", F.when(later, F.col("_first")).alias("refers_to"))
 
 
+def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of an address and the path in it; addresses without a scheme are local."""
+    return pafs.FileSystem.from_uri(uri if ":" in uri.split("/", 1)[0] else f"file://{uri}")
+
+
+WORK = "_work"
+
+
 def write_archives(records: DataFrame, folder: str, most_bytes: int = 64 << 20) -> DataFrame:
-    """Append records to archives in ``folder``; returns (path, records, bytes) of the files.
+    """Append records to archives under ``folder``; returns (path, records, bytes) of the files.
 
-    Running the result writes. A file closes at about ``most_bytes``.
+    Running the result writes; keep it, for a second run writes other files. Paths carry the folder's scheme. A file closes at about ``most_bytes``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        fs, base = open_fs(f"{folder}/{WORK}")
         fs.create_dir(base, recursive=True)
         out, done = None, []
         for b in batches:
             for row in b.to_pylist():
                 if out is None:
-                    name = f"{base}/{uuid.uuid4().hex}.warc.gz"
-                    out, n, size = fs.open_output_stream(name + ".part", compression=None), 0, 0
+                    name = f"{uuid.uuid4().hex}.warc.gz"
+                    out, n, size = fs.open_output_stream(f"{base}/{name}", compression=None), 0, 0
                 data = member(record(row["page_id"], row["url"], row["payload"].encode(), row["refers_to"]))
                 out.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= most_bytes:
                     out.close()
-                    fs.move(name + ".part", name)
-                    done.append((name, n, size))
+                    done.append((f"{folder}/{WORK}/{name}", n, size))
                     out = None
         if out is not None:
             out.close()
-            fs.move(name + ".part", name)
-            done.append((name, n, size))
+            done.append((f"{folder}/{WORK}/{name}", n, size))
         if done:
             paths, ns, sizes = zip(*done, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(ns, pa.int64()), pa.array(sizes, pa.int64())], ["path", "records", "bytes"])
@@ -129,6 +135,23 @@ def write_archives(records: DataFrame, folder: str, most_bytes: int = 64 << 20)
     return records.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, records long, bytes long")
 
 
+def publish(files: DataFrame) -> DataFrame:
+    """``files`` moved from their work folder to the folder itself; what was moved before is left, so a repeated task does no harm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = []
+            for path in b.column("path").to_pylist():
+                fs, old = open_fs(path)
+                new = old.replace(f"/{WORK}/", "/")
+                if fs.get_file_info(old).type != pafs.FileType.NotFound:
+                    fs.move(old, new)
+                paths.append(path.replace(f"/{WORK}/", "/"))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), b.column("records"), b.column("bytes")], ["path", "records", "bytes"])
+
+    return files.select("path", "records", "bytes").mapInArrow(run, "path string, records long, bytes long")
+
+
 class _Members:
     """The records' bytes, member after member, inflated as they are asked for."""
 
@@ -219,13 +242,9 @@ def _row(head: dict[str, str], content: bytes, with_payload: bool) -> tuple:
 
 
 def read_archives(files: DataFrame, payload: bool = False, rows: int = 500) -> DataFrame:
-    """Rows of the records in the archives; ``files`` has ``path``, or ``content`` from Spark's binaryFile reader.
-
-    With ``payload`` the responses' payload follows as binary.
-    """
+    """Rows of the records in the archives at ``path``. With ``payload`` the responses' payload follows as binary."""
     names = [x.split()[0] for x in RECORDS.split(", ")] + (["payload"] if payload else [])
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    by_content = "content" in files.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[tuple]) -> pa.RecordBatch:
@@ -234,11 +253,8 @@ def read_archives(files: DataFrame, payload: bool = False, rows: int = 500) -> D
         held = []
         for b in batches:
             for value in b.column(0).to_pylist():
-                if by_content:
-                    stream = io.BytesIO(value)
-                else:
-                    fs, path = pafs.FileSystem.from_uri(value if "://" in value else f"file://{value}")
-                    stream = fs.open_input_stream(path, compression=None)
+                fs, path = open_fs(value)
+                stream = fs.open_input_stream(path, compression=None)
                 for head, content in read_records(stream):
                     held.append(_row(head, content, payload))
                     if len(held) >= rows:
@@ -248,12 +264,13 @@ def read_archives(files: DataFrame, payload: bool = False, rows: int = 500) -> D
         if held:
             yield out(held)
 
-    return files.select("content" if by_content else "path").mapInArrow(run, RECORDS + (", payload binary" if payload else ""))
+    return files.select("path").mapInArrow(run, RECORDS + (", payload binary" if payload else ""))
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write all pages to archives in the shared folder and read them back as rows."""
     scratch = Scratch(spark, "warc")
     files = scratch.table(write_archives(with_revisits(pages, min_bytes=min_bytes), scratch.path("archives")), "files")
+    files = scratch.table(publish(files), "published")
     # a task reads one file at a time; files are many small rows, dealt out evenly
     return read_archives(files.repartition(max(partitions(spark), 1)))

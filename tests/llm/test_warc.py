@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-from pricewell.llm.warc import archive_round_trip, member, read_archives, read_records, record, with_revisits, write_archives
+from pricewell.llm.warc import archive_round_trip, member, publish, read_archives, read_records, record, with_revisits, write_archives
 
 
 def slow(rows, min_bytes=0):
@@ -42,11 +42,14 @@ def test_edge_cases(spark, min_bytes):
 
 def test_files_and_payloads(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://a/{k}", f"page {k % 7}") for k in range(50)], "page_id long, url string, html string")
-    files = write_archives(with_revisits(pages), str(tmp_path / "out"), most_bytes=900).collect()
+    written = spark.createDataFrame(write_archives(with_revisits(pages), str(tmp_path / "out"), most_bytes=900).collect())
+    (tmp_path / "out" / "_work" / "left.warc.gz").write_bytes(b"cut off")  # of a task that died
+    for _ in range(2):
+        files = publish(written).collect()
+    assert sorted(str(p) for p in (tmp_path / "out").glob("*.warc.gz")) == sorted(f.path for f in files)
     assert sum(f.records for f in files) == 50 and len(files) > 5
     assert all(gzip.open(f.path).read().startswith(b"WARC/1.1\r\n") for f in files)
-    content = spark.read.format("binaryFile").load(str(tmp_path / "out" / "*.warc.gz")).select("content")
-    rows = read_archives(content, payload=True).collect()
+    rows = read_archives(spark.createDataFrame(files), payload=True).collect()
     assert {r.page_id: r.url for r in rows} == {k: f"http://a/{k}" for k in range(50)}
     assert {bytes(r.payload) for r in rows if r.record_type == "response"} == {b"page %d" % k for k in range(7)}
 
@@ -59,3 +62,13 @@ def test_damage_is_told():
         list(read_records(io.BytesIO(member(record(1, "u", b"payload", None).replace(b"payload\r\n\r\n", b"pay1oad\r\n\r\n")))))
     with pytest.raises(ValueError, match="ends within"):
         list(read_records(io.BytesIO(good[:-20])))
+
+
+def test_paths_keep_their_scheme(spark, tmp_path):
+    """Addresses with a scheme are told with it, so that readers find the store they lie in."""
+    folder = (tmp_path / "far away").as_uri()
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a")], "page_id long, url string, html string")
+    files = publish(spark.createDataFrame(write_archives(with_revisits(pages), folder).collect()))
+    paths = [f.path for f in files.collect()]
+    assert paths and all(p.startswith("file:///") for p in paths)
+    assert sorted(r.page_id for r in read_archives(files).collect()) == [1, 2]
