@@ -6,12 +6,13 @@ the negative part falls below zero, a step goes back up it instead of fitting it
 model is logistic in piecewise-linear measures of the text, so features and fit are small arrays.
 
 Fitting uses at most ``sample`` positives and ``sample`` unlabelled texts, chosen by a hash of doc_id. Scoring
-is one pass over all whole texts with a few kilobytes of weights. The prior is the share of
-label 1 among the labelled rows of the training folds, or is given.
+is one pass over all whole texts with a few kilobytes of weights. The class prior is estimated from positives and unlabelled texts alone
+(labels of 0 teach nothing): a classifier that tells them apart ranks held-out texts, and above a threshold the unlabelled texts' share
+over the positives' share bounds the prior from above; the threshold with the least upper confidence bound gives the estimate.
 
 Cases: null or empty text is scored like any other (all measures zero). Labels that are null or of unknown
-documents teach nothing; a document labelled both ways counts as label 0. Without a positive the score is the
-prior. Repeated rows have equal scores; a null doc_id is in no held-out fold.
+documents teach nothing; a document labelled both ways counts as label 0. Without enough positives for an estimate the prior is a half, and
+without any the score is the prior. Repeated rows have equal scores; a null doc_id is in no held-out fold.
 """
 
 from __future__ import annotations
@@ -106,6 +107,40 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(knots, w, float(b))
 
 
+def _apart(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> Model:
+    """A logistic model that tells positives from unlabelled texts, both classes of equal weight."""
+    d = len(MEASURES)
+    knots = np.quantile(np.concatenate((positive, unlabelled)), np.linspace(0, 1, KNOTS), axis=0).T
+    model = Model(knots, np.zeros(d * (KNOTS - 1)), 0.0)
+    p, u = model.expand(positive), model.expand(unlabelled)
+    w, b, m, v = model.weights, 0.0, np.zeros(d * (KNOTS - 1) + 1), np.zeros(d * (KNOTS - 1) + 1)
+    for t in range(1, steps + 1):
+        gp, gu = (_sigmoid(p @ w + b) - 1) / len(p), _sigmoid(u @ w + b) / len(u)
+        g = np.append(p.T @ gp + u.T @ gu + decay * w, gp.sum() + gu.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    return Model(knots, w, float(b))
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, gamma: float = 0.01, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled: the mean of two halves' estimates (each half ranks the other)."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    found = []
+    for a in (0, 1):
+        model = _apart(positive[a::2], unlabelled[a::2])
+        sp, su = np.sort(model.score(positive[1 - a :: 2])), np.sort(model.score(unlabelled[1 - a :: 2]))
+        cut = np.concatenate((sp, su))
+        qp, qu = 1 - np.searchsorted(sp, cut) / len(sp), 1 - np.searchsorted(su, cut) / len(su)
+        some = qp > 0
+        qp, qu = qp[some], qu[some]
+        slack = np.sqrt(np.log(4 / delta) / 2 / len(sp)) + np.sqrt(np.log(4 / delta) / 2 / len(su))
+        best = int(np.argmin(qu / qp + (1 + gamma) / qp * slack))
+        found.append(qu[best] / qp[best])
+    return float(np.clip(np.mean(found), 0.01, 0.99))
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """Whether the checksum of doc_id as text falls in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
@@ -124,9 +159,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, prior: float |
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    if prior is None:
-        share = known.agg(F.avg("quality")).first()[0]
-        prior = 0.5 if share is None else float(share)
     mix = F.xxhash64("doc_id")
     positive = known.filter("quality = 1").orderBy(mix, "doc_id").limit(sample).select("doc_id", F.lit(True).alias("p"))
     unlabelled = source.select("doc_id").filter("doc_id IS NOT NULL").orderBy(mix, "doc_id").limit(sample).select("doc_id", F.lit(False).alias("p"))
@@ -137,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, prior: float |
     p, u = np.array([r["p"] for r in rows], bool), np.array([r["u"] for r in rows], bool)
     order = np.lexsort(x.T[::-1]) if len(x) else np.zeros(0, np.int64)  # sums do not depend on arrival
     x, p, u = x[order], p[order], u[order]
-    return fit(x[p], x[u], prior)
+    return fit(x[p], x[u], class_prior(x[p], x[u]) if prior is None else prior)
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3, carry: list[str] | None = None) -> DataFrame:

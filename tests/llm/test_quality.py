@@ -1,8 +1,10 @@
+import math
 import zlib
 
 import numpy as np
+import pytest
 
-from pricewell.llm.quality_classifier import MEASURES, classify, fit
+from pricewell.llm.quality_classifier import MEASURES, class_prior, classify, fit
 from pricewell.llm.quality_rules import apply_rules, base_counts, clean_lines, line_fails
 
 
@@ -85,3 +87,36 @@ def test_the_risk_is_not_driven_below_zero():
 def test_a_cut_off_text_is_no_junk():
     assert line_fails(b"A whole sentence stands here. And then the text is cut") is None
     assert line_fails(b"Wher. Wher. Wher. Wher. Wher. Th Th Th Th Th.") == "boilerplate"
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.8])
+def test_the_prior_comes_from_positives_and_unlabelled(prior):
+    rng = np.random.default_rng(int(prior * 10))
+    good, bad = (lambda n: rng.normal(1, 1, (n, len(MEASURES)))), (lambda n: rng.normal(-1, 1, (n, len(MEASURES))))
+    n = 3000
+    mixed = np.concatenate((good(int(n * prior)), bad(n - int(n * prior))))[rng.permutation(n)]
+    assert abs(class_prior(good(2000), mixed) - prior) < 0.06
+
+
+def slow_risk(model, positive, unlabelled, prior, weights, bias, decay=0.1):
+    """The non-negative risk by plain sums."""
+    z = lambda x: float(np.dot(model.expand(x[None])[0], weights) + bias)
+    loss = lambda s: math.log1p(math.exp(-s)) if s > -30 else -s
+    plus = sum(loss(z(x)) for x in positive) / len(positive)
+    minus = sum(loss(-z(x)) for x in unlabelled) / len(unlabelled) - prior * sum(loss(-z(x)) for x in positive) / len(positive)
+    return prior * plus + max(0.0, minus) + decay * float(np.dot(weights, weights)) / 2
+
+
+def test_the_fit_is_a_minimum_of_the_plain_risk():
+    """No step in any of many directions lowers the risk that plain sums give by more than a hair."""
+    rng = np.random.default_rng(2)
+    p = rng.normal(0.3, 1, (150, len(MEASURES)))
+    u = np.concatenate((rng.normal(0.3, 1, (150, len(MEASURES))), rng.normal(-0.3, 1, (150, len(MEASURES)))))
+    model = fit(p, u, 0.5, steps=2000, rate=0.02, decay=0.1)
+    best = slow_risk(model, p, u, 0.5, model.weights, model.bias)
+    assert best < slow_risk(model, p, u, 0.5, np.zeros_like(model.weights), 0.0)
+    for _ in range(25):
+        d = rng.normal(size=len(model.weights) + 1)
+        d /= np.linalg.norm(d)
+        for size in (0.02, 0.2, 1.0):
+            assert slow_risk(model, p, u, 0.5, model.weights + size * d[:-1], model.bias + size * d[-1]) > best - 2e-3
