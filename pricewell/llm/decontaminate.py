@@ -4,9 +4,9 @@ Items are partitioned by their number of shingles, so the sizes within a partiti
 of at most sqrt(2). For each partition documents are read in overlapping blocks a little over
 twice the partition's largest item: an item's passage lies whole in some block, and its containment of 0.8
 becomes a Jaccard similarity of 0.21 or more, whatever the document's length. A block is a
-candidate for an item when any of 64 minimum hashes agree (a miss has probability below 1e-6). An item that
-repeats itself, so that its places exceed its partition's distinct shingles, would need wider blocks: such items have an
-index of all their shingles instead, whose hits in a whole document are counted, which misses nothing. Candidates
+candidate for an item when any of 64 minimum hashes agree (a miss has probability below 1e-6). What blocks cannot show is counted by
+an index of the items' shingles, which misses nothing: items that repeat themselves, so that their places exceed their partition's
+distinct shingles, and in documents longer than a block all items, for their shingles may lie scattered further apart. Candidates
 are verified by exact containment of word shingles in the whole document.
 
 Documents are read once and nothing is shuffled. Items go to all tasks in blocks of bounded size;
@@ -69,7 +69,8 @@ class Items:
         level = np.ceil(2 * np.log2(np.maximum(sizes, 1)) - 1e-9).astype(np.int64)
         # the passage of an item has as many places as the item, repeats included
         repeats = np.ceil(2 * np.log2(np.maximum(count, 1)) - 1e-9).astype(np.int64) > level
-        self._index(h, begins, count, np.flatnonzero(repeats))
+        self._index(h, begins, count, np.arange(len(self.ids)))
+        self.repeats = repeats
         self.parts = []
         for p in np.unique(level[~repeats]):
             own = np.flatnonzero((level == p) & ~repeats)
@@ -91,12 +92,15 @@ class Items:
         order = np.argsort(self.index, kind="stable")
         self.index, self.index_items = self.index[order], self.index_items[order]
         self.needs = np.bincount(self.index_items, minlength=len(self.ids))
-        self.indexed = np.zeros(1 << 16, bool)
-        self.indexed[(self.index >> np.uint64(48)).astype(np.int64)] = True
+        self.indexed = np.zeros(1 << 22, bool)
+        self.indexed[(self.index >> np.uint64(42)).astype(np.int64)] = True
 
     def counted(self, h: np.ndarray, count: np.ndarray, least: float) -> set[tuple[int, int]]:
-        """(text, item) pairs of indexed items of whose shingles the text holds ``least`` or more."""
-        at = np.flatnonzero(self.indexed[(h >> np.uint64(48)).astype(np.int64)]) if len(self.index) else np.zeros(0, np.int64)
+        """(text, item) pairs of whose item's shingles the text holds ``least`` or more: of items that repeat themselves, and of all in texts longer than their blocks."""
+        at = np.flatnonzero(self.indexed[(h >> np.uint64(42)).astype(np.int64)]) if len(self.index) else np.zeros(0, np.int64)
+        block = np.zeros(len(self.ids), np.int64)
+        for size, own in self.parts:
+            block[own] = size
         a, b = np.searchsorted(self.index, h[at], "left"), np.searchsorted(self.index, h[at], "right")
         at, a, b = at[b > a], a[b > a], b[b > a]
         found: set[tuple[int, int]] = set()
@@ -106,7 +110,7 @@ class Items:
             _, first = np.unique(a[x:y], return_index=True)
             begin, n = a[x:y][first], (b - a)[x:y][first]
             hits = np.bincount(self.index_items[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(self.ids))
-            found.update((int(doc[x]), int(i)) for i in np.flatnonzero((hits > 0) & (hits >= least * self.needs - 1e-6)))
+            found.update((int(doc[x]), int(i)) for i in np.flatnonzero((hits > 0) & (hits >= least * self.needs - 1e-6) & (count[doc[x]] > block)))
         return found
 
     def candidates(self, h: np.ndarray, count: np.ndarray) -> set[tuple[int, int]]:

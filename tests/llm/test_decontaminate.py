@@ -1,3 +1,4 @@
+import numpy as np
 import random
 import re
 
@@ -76,3 +77,17 @@ def test_repetitive_items_stretch_no_blocks(spark):
     assert len(want) > 150 and len([x for x in want if x[1] >= 60]) >= 20
     assert sorted((tuple(x) for x in find_items(a, b).collect()), key=str) == want
     assert {x.doc_id for x in drop_contaminated(a, b).collect()} == {d for d, _ in docs} - {x[0] for x in want}
+
+
+def test_scattered_shingles_of_a_long_document_count(spark):
+    """Pieces of an item far apart in a long document: no block holds enough of it, the whole document does."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    item = [word() for _ in range(60)]
+    text = []
+    for k in range(0, 60, 12):
+        text += item[max(0, k - 4) : k + 12] + [word() for _ in range(900)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(word() for _ in range(5000)))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(item)), (6, " ".join(word() for _ in range(60)))], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.containment) for r in find_items(docs, items).collect()]
+    assert got == [(1, 5, 1.0)]
