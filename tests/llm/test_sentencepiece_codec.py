@@ -5,7 +5,6 @@ import pytest
 
 from pricewell.llm.sentencepiece_codec import MODEL_PATH, Model, decode, encode, encode_round_trip
 
-sentencepiece = pytest.importorskip("sentencepiece")
 WEIRD = ["", " ", "  ", "a", " a", "a ", "  a  b   ", "\n\n", "é漢字 🎉 ab\tcd", "x" * 300, " " * 100 + "x", " " * 33, "\x00a", "<s> </s> <unk> <0x41>", "    def f():\n        return 1\n" * 5, "ﷺ ﬁ Ａ"]
 
 
@@ -16,7 +15,7 @@ def model():
 
 @pytest.fixture(scope="module")
 def library():
-    return sentencepiece.SentencePieceProcessor(model_file=MODEL_PATH)
+    return pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=MODEL_PATH)
 
 
 def test_equal_to_the_library(model, library):
