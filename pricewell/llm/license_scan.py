@@ -1,14 +1,15 @@
 """Licences named in texts, by sentence rules.
 
-A text is cut into sentences. A normalised sentence that is a known licence sentence becomes its
-identifier; the others are gaps. The sequence of identifiers is then matched against ordered
-rules: the first rule whose identifiers stand in that order (with at most ``gap`` other sentences
-between) names a licence and uses its sentences up, until no rule matches. Licence
+A text is cut into sentences, and these are normalised to words (lower case, no articles, comment marks or punctuation). A table of
+licence sentences, looked up by their first word, gives the identifiers that a sentence holds. The sequence of identifiers is then matched against ordered
+rules: the first rule whose identifiers stand in that order names a licence and uses its sentences up, until no rule matches;
+where a rule says so no more than some other sentences may lie between. Licence
 sentences that no rule uses are told as UNKNOWN. One pass over the rows; nothing is shuffled.
 
 Cases: null or empty text has no sentences and no licence. Long texts are scanned whole; texts
 without any word that a known sentence needs are skipped by one search. A sentence may hold a known one several times; an SPDX tag
-gives every licence of its expression, which ends with the line or the closing parenthesis. Each repeated row gets the same result.
+gives every licence of its expression, which ends with the line or the closing parenthesis. A reservation of rights right before a licence's text is its
+copyright line. Each repeated row gets the same result. An empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -22,71 +23,145 @@ from pyspark.sql import functions as F
 
 from pricewell.llm.common import per_bytes, texts
 
-# Identifier and pattern of known licence sentences, matched anywhere in a normalised
-# sentence (lower case, single spaces, comment marks dropped; \x02 ends an SPDX tag).
+# Identifiers and words of known licence sentences. [x] may be missing, x|y is either, * is any words, <v> a version, <by> a
+# combination of conditions. Articles and punctuation are left out, and licence is spelt license.
+_AS_PUBLISHED = "[as] [published] [by] [free] [software] [foundation] [either] [version|v] <v>"
 SENTENCES = (
-    ("spdx", r"spdx-license-identifier: *([^\x02]*)"),
-    ("apache-ref", r"licensed under (?:the )?apache licen[sc]e,? (?:\(?version|v\.?) ?(?:2\.0|2)\b"),
-    ("apache-condition", r"you may not use this file except in compliance with the licen[sc]e"),
-    ("apache-copy", r"you may obtain a copy of the licen[sc]e at"),
-    ("mit-ref", r"(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?mit licen[sc]e"),
-    ("mit-grant", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("mit-notice", r"the above copyright notice and this permission notice shall be included in all"),
-    ("as-is", r"(?:the|this) software is provided \"?as is\"?,? without warranty of any kind"),
-    ("isc-grant", r"permission to use, copy, modify, and/or distribute this software for any purpose"),
-    ("bsd-grant", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("bsd-source", r"redistributions of source code must retain the above copyright notice"),
-    ("bsd-binary", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd-endorse", r"neither the names? of .{1,120}? may be used to endorse or promote products"),
-    ("bsd-as-is", r"this software is provided by .{1,120}? \"?as is\"? and any express or implied warranties"),
-    ("bsd-ref", r"(?:released|licensed|distributed) under (?:the |a )?bsd(?:[- ]style)? licen[sc]e"),
-    ("gpl-ref", r"under (?:the )?(?:terms of the )?gnu general public licen[sc]e,? (?:as published by the free software foundation[;,]? ?(?:either )?)?(?:\(?version|v\.?) ?([123](?:\.0)?)"),
-    ("gpl-free", r"this program is free software[:;] you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e"),
-    ("gpl-copy", r"you should have received a copy of the gnu general public licen[sc]e"),
-    ("gpl-warranty", r"distributed in the hope that it will be useful, but without any warranty"),
-    ("lgpl-ref", r"under (?:the )?(?:terms of the )?gnu lesser general public licen[sc]e,? (?:as published by the free software foundation[;,]? ?(?:either )?)?(?:\(?version|v\.?) ?([23](?:\.[01])?)"),
-    ("agpl-ref", r"under (?:the )?(?:terms of the )?gnu affero general public licen[sc]e,? (?:as published by the free software foundation[;,]? ?(?:either )?)?(?:\(?version|v\.?) ?(3(?:\.0)?)"),
-    ("mpl-ref", r"subject to the terms of the mozilla public licen[sc]e,? v\.? ?(1\.1|2\.0)"),
-    ("mpl-copy", r"if a copy of the mpl was not distributed with this file"),
-    ("cc-ref", r"(?:licensed|released|available|shared) under (?:a |the )?(?:cc|creative commons)[ -](by(?:-nc)?(?:-nd|-sa)?)[ -]?(?:licen[sc]e )?([1-4]\.0)"),
-    ("cc0-ref", r"(?:released|dedicated|licensed) (?:under|to) (?:the )?(?:cc0(?: 1\.0)?|public domain)"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain"),
-    ("or-later", r"(?:or|and) \(?at your option\)?,? any later version"),
-    ("rights-reserved", r"all rights reserved"),
+    ("apache-ref", "apache [software] license [version|v] <v>"),
+    ("apache-condition", "you may not use this file except in compliance with license"),
+    ("apache-copy", "you may obtain copy of license at"),
+    ("mit-ref", "mit license"),
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining copy of this software"),
+    ("mit-notice", "above copyright notice and this permission notice shall be included in all"),
+    ("as-is", "software is provided as is without warranty of any kind"),
+    ("isc-grant", "permission to use copy modify and [or] distribute this software for any purpose"),
+    ("isc-as-is", "software is provided as is and * disclaims all warranties"),
+    ("bsd-grant", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-source", "redistributions of source code must retain above copyright notice"),
+    ("bsd-binary", "redistributions in binary form must reproduce above copyright notice"),
+    ("bsd-advert", "all advertising materials mentioning features or use of this software must display"),
+    ("bsd-endorse", "neither name|names of * may be used to endorse or promote products"),
+    ("bsd-as-is", "this software is provided by * as is and any express or implied warranties"),
+    ("bsd-ref", "bsd|bsd-style license"),
+    ("bsd-n-ref", "2-clause|3-clause|4-clause bsd license"),
+    ("gpl-ref", f"gnu general public license {_AS_PUBLISHED}"),
+    ("gpl-ref", "gnu gpl [version|v] <v>"),
+    ("gpl-free", "this program is free software you can redistribute it and [or] modify it under terms of gnu general public license"),
+    ("gpl-copy", "you should have received copy of gnu general public license"),
+    ("gpl-warranty", "distributed in hope that it will be useful but without any warranty"),
+    ("lgpl-ref", f"gnu lesser|library general public license {_AS_PUBLISHED}"),
+    ("agpl-ref", f"gnu affero general public license {_AS_PUBLISHED}"),
+    ("mpl-ref", "mozilla public license [version|v] <v>"),
+    ("mpl-copy", "if copy of mpl was not distributed with this file"),
+    ("epl-ref", "eclipse public license [version|v] <v>"),
+    ("cddl-ref", "common development and distribution license [version|v] <v>"),
+    ("bsl-ref", "boost software license [version|v] <v>"),
+    ("zlib-as-is", "this software is provided as is without any express or implied warranty"),
+    ("zlib-altered", "altered source versions must be plainly marked as such"),
+    ("artistic-ref", "artistic license [version|v] <v>"),
+    ("cc-ref", "cc <by> [license] <v>"),
+    ("cc-ref", "creative commons <by> [license] <v>"),
+    ("cc0-ref", "cc0"),
+    ("cc0-ref", "dedicated to public domain"),
+    ("unlicense", "this is free and unencumbered software released into public domain"),
+    ("or-later", "at your option any later version"),
+    ("rights-reserved", "all rights reserved"),
 )
-# Rules in the order in which they are tried; {n} is the n-th number caught by the first sentence.
+# Rules in the order in which they are tried; {n} is the n-th value caught; the last number is how many other sentences
+# may lie between two of a rule's own (None: any number).
 RULES = (
-    (("mit-grant", "mit-notice", "as-is"), "MIT"),
-    (("mit-grant", "as-is"), "MIT"),
-    (("isc-grant", "as-is"), "ISC"),
-    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is"), "BSD-3-Clause"),
-    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"), "BSD-2-Clause"),
-    (("apache-ref", "apache-condition", "apache-copy"), "Apache-2.0"),
-    (("gpl-free", "gpl-ref", "or-later", "gpl-warranty", "gpl-copy"), "GPL-{0}-or-later"),
-    (("gpl-ref", "or-later", "gpl-warranty", "gpl-copy"), "GPL-{0}-or-later"),
-    (("gpl-free", "gpl-ref", "or-later"), "GPL-{0}-or-later"),
-    (("gpl-free", "gpl-ref"), "GPL-{0}-only"),
-    (("mpl-ref", "mpl-copy"), "MPL-{0}"),
-    (("gpl-ref", "or-later"), "GPL-{0}-or-later"),
-    (("lgpl-ref", "or-later"), "LGPL-{0}-or-later"),
-    (("agpl-ref", "or-later"), "AGPL-{0}-or-later"),
-    (("spdx",), "{0}"),
-    (("apache-ref",), "Apache-2.0"),
-    (("mit-ref",), "MIT"),
-    (("bsd-ref",), "BSD"),
-    (("gpl-ref",), "GPL-{0}-only"),
-    (("lgpl-ref",), "LGPL-{0}-only"),
-    (("agpl-ref",), "AGPL-{0}-only"),
-    (("mpl-ref",), "MPL-{0}"),
-    (("cc-ref",), "CC-{0}-{1}"),
-    (("cc0-ref",), "CC0-1.0"),
-    (("unlicense",), "Unlicense"),
-    (("rights-reserved",), "Proprietary"),
+    (("mit-grant", "mit-notice", "as-is"), "MIT", None),
+    (("mit-grant", "as-is"), "MIT", None),
+    (("isc-grant", "as-is"), "ISC", None),
+    (("isc-grant", "isc-as-is"), "ISC", None),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse", "bsd-as-is"), "BSD-4-Clause", None),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is"), "BSD-3-Clause", None),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"), "BSD-2-Clause", None),
+    (("zlib-as-is", "zlib-altered"), "Zlib", None),
+    (("apache-ref", "apache-condition", "apache-copy"), "Apache-{0}", None),
+    (("apache-ref", "apache-condition", "apache-copy", "apache-ref"), "Apache-{0}", None),
+    (("gpl-free", "gpl-ref", "or-later", "gpl-warranty", "gpl-copy"), "GPL-{0}-or-later", None),
+    (("gpl-ref", "or-later", "gpl-warranty", "gpl-copy"), "GPL-{0}-or-later", None),
+    (("gpl-free", "gpl-ref", "or-later"), "GPL-{0}-or-later", 1),
+    (("gpl-free", "gpl-ref"), "GPL-{0}-only", 1),
+    (("mpl-ref", "mpl-copy"), "MPL-{0}", None),
+    (("gpl-ref", "or-later"), "GPL-{0}-or-later", 1),
+    (("lgpl-ref", "or-later"), "LGPL-{0}-or-later", 1),
+    (("agpl-ref", "or-later"), "AGPL-{0}-or-later", 1),
+    (("spdx",), "{0}", None),
+    (("apache-ref",), "Apache-{0}", None),
+    (("bsd-n-ref",), "BSD-{0}", None),
+    (("mit-ref",), "MIT", None),
+    (("bsd-ref",), "BSD", None),
+    (("gpl-ref",), "GPL-{0}-only", None),
+    (("lgpl-ref",), "LGPL-{0}-only", None),
+    (("agpl-ref",), "AGPL-{0}-only", None),
+    (("mpl-ref",), "MPL-{0}", None),
+    (("epl-ref",), "EPL-{0}", None),
+    (("cddl-ref",), "CDDL-{0}", None),
+    (("bsl-ref",), "BSL-{0}", None),
+    (("artistic-ref",), "Artistic-{0}", None),
+    (("cc-ref",), "CC-{0}-{1}", None),
+    (("cc0-ref",), "CC0-1.0", None),
+    (("unlicense",), "Unlicense", None),
+    (("rights-reserved",), "Proprietary", None),
 )
-_KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
-# One word of every pattern above, so that no wrapping or comment mark can hide it; "rem" and "dnl" are marks that may touch a word.
-_HINT = re.compile(rb"licen[sc]e|permission|redistribut|warrant|endorse|domain|reserved|option\b|(?:\b|rem|dnl)(?:cc\b|cc0|commons\b|mpl\b)", re.I)
-_SENTENCE = re.compile(r"(?<=[.!?])[\s\"')]+(?=\S)|\n\s*\n")
+#: What a reservation of rights may head without meaning more than a copyright line.
+HEADED = ("mit-grant", "isc-grant", "bsd-grant", "apache-ref", "apache-condition", "gpl-free", "gpl-ref", "mpl-ref", "zlib-as-is", "mit-ref", "spdx")
+_SPDX = re.compile(r"spdx-license-identifier: *([^\x02]*)")
+_WORDS = re.compile(r"[a-z0-9]+(?:[.+\-][a-z0-9]+)*\+?")
+_VERSION = re.compile(r"v?\.?(\d+(?:\.\d+)*)$")
+_BY = re.compile(r"by(?:-nc)?(?:-nd|-sa)?$")
+_ARTICLES = frozenset(("the", "a", "an"))
+# One word of every sentence above, so that no wrapping or comment mark can hide it; "rem" and "dnl" are marks that may touch a word.
+_HINT = re.compile(rb"licen[sc]e|permission|redistribut|warrant|endorse|advertising|altered|domain|reserved|option\b|(?:\b|rem|dnl)(?:cc\b|cc-|cc0|commons\b|mpl\b|gpl\b)", re.I)
+
+
+def _steps(words: str) -> list[tuple[bool, frozenset[str] | str]]:
+    """(may be missing, words or kind of hole) of each part of a table entry."""
+    return [(w.startswith("["), w if w in ("*", "<v>", "<by>") else frozenset(w.strip("[]").split("|"))) for w in words.split()]
+
+
+def _table() -> dict[str, list[tuple[str, list]]]:
+    out: dict[str, list] = {}
+    for name, words in SENTENCES:
+        steps = _steps(words)
+        for first in steps[0][1]:
+            out.setdefault(first, []).append((name, steps))
+    return out
+
+
+_BY_WORD = _table()
+
+
+def _fits(words: list[str], at: int, steps: list, k: int = 0) -> tuple[str, ...] | None:
+    """What the holes catch if the words from ``at`` on are those of the entry, else None."""
+    if k == len(steps):
+        return ()
+    optional, want = steps[k]
+    if want == "*":
+        for to in range(at, len(words) + 1):
+            rest = _fits(words, to, steps, k + 1)
+            if rest is not None:
+                return rest
+        return None
+    if at < len(words):
+        word, caught = words[at], None
+        if want == "<v>":
+            m = _VERSION.match(word)
+            caught = (m.group(1),) if m else None
+        elif want == "<by>":
+            caught = (word,) if _BY.match(word) else None
+        elif word in want:
+            caught = (word,) if len(want) > 1 and word.endswith("-clause") else ()
+        if caught is not None:
+            rest = _fits(words, at + 1, steps, k + 1)
+            if rest is not None:
+                return (*caught, *rest)
+    return _fits(words, at, steps, k + 1) if optional else None
+
+
+_SENTENCE = re.compile(r"(?<=[.!?])(?<![\s(,][vV]\.)[\s\"')]+(?=\S)|\n\s*\n")
 _MARKS = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|dnl|rem)[ \t]*", re.I)
 _TAG = re.compile(r"(?i)spdx-license-identifier:[ \t]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^\n]*|[^\n]*)")
 _EXPRESSION = re.compile(r"[( ]*[a-z0-9][a-z0-9.:+-]*[) ]*(?:(?<=[) ])(?:and|or|with) [( ]*[a-z0-9][a-z0-9.:+-]*[) ]*)*")
@@ -106,10 +181,30 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def words_of(norm: str) -> list[tuple[int, str]]:
+    """(place, word) of a normalised sentence, without articles."""
+    plain = norm.replace("cc-by", "cc by").replace("as-is", "as is")  # both keep every place
+    out = []
+    for m in _WORDS.finditer(plain):
+        w = "license" + m.group()[7:] if m.group().startswith("licence") else m.group()
+        if w not in _ARTICLES:
+            out.append((m.start(), w))
+    return out
+
+
 def identify(sentence: str) -> list[tuple[str, tuple[str, ...]]]:
     """Identifiers of the known sentences that this one holds, repeats too, in the order in which they stand."""
-    hits = [(m.start(), name, tuple(g for g in m.groups() if g)) for name, p in _KNOWN for m in p.finditer(sentence)]
-    return [(name, one) for _, name, groups in sorted(hits) for one in ([(x,) for x in expression("".join(groups))] if name == "spdx" else [groups])]
+    hits = [(m.start(), "spdx", (x,)) for m in _SPDX.finditer(sentence) for x in expression(m.group(1))]
+    placed = words_of(_SPDX.sub(lambda m: " " * len(m.group()), sentence))
+    words = [w for _, w in placed]
+    for k, (at, w) in enumerate(placed):
+        for name, steps in _BY_WORD.get(w, ()):
+            if name == "bsd-ref" and k and words[k - 1].endswith("-clause"):
+                continue  # part of the longer name
+            caught = _fits(words, k, steps)
+            if caught is not None:
+                hits.append((at, name, caught))
+    return [(name, caught) for _, name, caught in sorted(hits, key=lambda h: h[:2])]
 
 
 def expression(value: str) -> list[str]:
@@ -123,16 +218,17 @@ def _spdx(value: str) -> str:
     return {x.lower(): x for x in ("MIT", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "ISC", "GPL-2.0-only", "GPL-3.0-only", "GPL-2.0-or-later", "GPL-3.0-or-later", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "Unlicense")}.get(value, value)
 
 
-def recognise(tokens: list[tuple[int, str, tuple[str, ...]]], gap: int = 3) -> list[str]:
-    """Licences of a sequence of (sentence number, identifier, numbers)."""
-    left, out = list(range(len(tokens))), []
-    for ids, name in RULES:
+def recognise(tokens: list[tuple[int, str, tuple[str, ...]]]) -> list[str]:
+    """Licences of a sequence of (sentence number, identifier, values)."""
+    heads = {k for k, ((_, token, _), after) in enumerate(zip(tokens, tokens[1:], strict=False)) if token == "rights-reserved" and after[1] in HEADED}
+    left, out = [k for k in range(len(tokens)) if k not in heads], []
+    for ids, name, gap in RULES:
         begin = 0
         while begin < len(left):
             used, want, last = [], 0, None
             for k in left[begin:]:
                 n, token, caught = tokens[k]
-                if used and n - last > gap + 1:
+                if used and gap is not None and n - last > gap + 1:
                     break
                 if used and caught and token == ids[want - 1] and token != ids[want]:
                     used[-1], last = k, n  # what follows belongs to the nearest number
@@ -144,9 +240,8 @@ def recognise(tokens: list[tuple[int, str, tuple[str, ...]]], gap: int = 3) -> l
                 elif not used:
                     break
             if want == len(ids):
-                numbers = [g for k in used for g in tokens[k][2]]
-                value = [(f"{g}.0" if name.startswith(("GPL", "AGPL", "LGPL")) and "." not in g else g.upper() if name.startswith("CC-") else g) for g in numbers]
-                out.append(_spdx(value[0]) if ids == ("spdx",) else name.format(*value, *([""] * 2)))
+                value = [x for k in used for x in tokens[k][2]]
+                out.append(_spdx(value[0]) if ids == ("spdx",) else name.format(*map(_told, value), *([""] * 2)))
                 left = [k for k in left if k not in used]
             else:
                 begin += 1
@@ -155,6 +250,13 @@ def recognise(tokens: list[tuple[int, str, tuple[str, ...]]], gap: int = 3) -> l
     return sorted(set(out))
 
 
+def _told(value: str) -> str:
+    """A caught value as licence names have it."""
+    if value.endswith("-clause"):
+        return value.title()
+    return value.upper() if value.startswith("by") else value if "." in value else f"{value}.0"
+
+
 def scan(raw: bytes) -> tuple[int, list[str], list[str], list[tuple[int, int]]]:
     """Number of licence sentences, their identifiers, the licences, and where the sentences stand."""
     if not _HINT.search(raw):

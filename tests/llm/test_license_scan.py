@@ -1,6 +1,7 @@
+import random
 import re
 
-from pricewell.llm.license_scan import SENTENCES, identify, scan, scan_licenses, sentences
+from pricewell.llm.license_scan import SENTENCES, identify, scan, scan_licenses, sentences, words_of
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files, to deal in the Software without restriction. The above copyright notice and this
@@ -58,7 +59,9 @@ WHOLE = [
     "you should have received a copy of the gnu general public license", "distributed in the hope that it will be useful, but without any warranty", "under the gnu lesser general public license v2.1",
     "under the gnu affero general public license, version 3", "subject to the terms of the mozilla public license, v2.0", "if a copy of the mpl was not distributed with this file",
     "released under cc by 4.0", "shared under the creative commons by-sa 4.0", "released under cc0 1.0", "dedicated to the public domain", "this is free and unencumbered software released into the public domain",
-    "or (at your option) any later version", "all rights reserved",
+    "or (at your option) any later version", "all rights reserved", "the software is provided as is and the author disclaims all warranties", "all advertising materials mentioning features or use of this software must display",
+    "under the 3-clause bsd license", "the eclipse public license v2.0", "the common development and distribution license, version 1.1", "the boost software license version 1.0", "this software is provided as is, without any express or implied warranty",
+    "altered source versions must be plainly marked as such", "the artistic license 2.0", "under the gnu gpl v2",
 ]
 
 
@@ -70,7 +73,7 @@ def test_wrapped_sentences_are_found():
             want = [name for _, _, s in sentences(text) for name, _ in identify(s)]
             assert want and scan(text.encode())[1] == want, (joiner, whole)
             seen |= set(want)
-        assert seen == {name for name, _ in SENTENCES}
+        assert seen == {name for name, _ in SENTENCES} | {"spdx"}
     assert names("All rights\nreserved.") == ["Proprietary"]
     assert names("Released under CC\nBY 4.0.") == ["CC-BY-4.0"]
     assert names("dedicated to the public\n# domain") == ["CC0-1.0"]
@@ -84,3 +87,84 @@ def test_every_hit_of_a_sentence_counts():
     assert names("# SPDX-License-Identifier: (MIT OR\n#   Apache-2.0)\nor other") == ["Apache-2.0", "MIT"]
     assert names("a is released under CC BY 4.0, b is released under CC BY-SA 3.0") == ["CC-BY-4.0", "CC-BY-SA-3.0"]
     assert names("a is under the GNU General Public License v2, b under the GNU General Public License v3 or at your option any later version") == ["GPL-2.0-only", "GPL-3.0-or-later"]
+
+
+BSD = """Copyright (c) 2001, Some People. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that these conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice in the documentation.
+
+* Neither the name of the copyright holder, of which there are several in more than one country and under more than one law, nor the names of all of its many contributors may be used to endorse or promote products.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE."""
+
+
+def test_whole_texts():
+    assert names(BSD) == ["BSD-3-Clause"]
+    assert names(ISC) == ["ISC"]
+    far = BSD.replace("\n\n", "\n\nAn own sentence of the project. And another one. And more. And still more. And one.\n\n")
+    assert names(far) == ["BSD-3-Clause"], "own sentences between do not part a licence"
+    assert names("All rights reserved.\n\nNo licence is given.") == ["Proprietary"]
+    assert names("Under the Apache License 2.0 or the MIT License, also the Eclipse Public License - v 2.0") == ["Apache-2.0", "EPL-2.0", "MIT"]
+
+
+REFS = {
+    "MIT": ["Released under the MIT License", "SPDX-License-Identifier: MIT", MIT], "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "the Apache License 2.0"], "ISC": [ISC], "BSD-3-Clause": [BSD, "under the 3-Clause BSD License"], "BSD-2-Clause": ["the 2-clause BSD licence", BSD.replace("Neither", "Nor").replace("All rights reserved.", "")],
+    "GPL-3.0-only": ["under the GNU General Public License, version 3", "GNU GPL v3"], "GPL-3.0-or-later": [GPL], "LGPL-2.1-only": ["the GNU Lesser General Public License v2.1"], "AGPL-3.0-only": ["GNU Affero General Public License, version 3"], "MPL-2.0": ["subject to the terms of the Mozilla Public License, v. 2.0"],
+    "EPL-2.0": ["the Eclipse Public License 2.0"], "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0"], "CDDL-1.0": ["Common Development and Distribution License 1.0"], "Artistic-2.0": ["the Artistic License 2.0"], "CC-BY-SA-4.0": ["licensed under CC BY-SA 4.0", "Creative Commons BY-SA 4.0"], "CC0-1.0": ["released under CC0", "dedicated to the public domain"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty.\n\nAltered source versions must be plainly marked as such."], "Unlicense": ["This is free and unencumbered software released into the public domain"],
+}
+
+
+def test_recall_over_wrapped_and_commented_texts():
+    r = random.Random(3)
+    tried, hit, exact = 0, 0, 0
+    for want, texts in REFS.items():
+        for t in texts:
+            for _ in range(12):
+                mark = r.choice(["", "# ", "// ", " * ", "-- ", "  "])
+                out = []
+                for para in t.split("\n\n"):
+                    words = para.split()
+                    wrap = r.randint(4, 14) if "SPDX" not in t else 99
+                    out.append("\n".join(mark + " ".join(words[k : k + wrap]) for k in range(0, len(words), wrap)))
+                text = "Some words before.\n\n" + "\n\n".join(out) + ".\n\nAnd after."
+                text = r.choice([str, str.upper])(text) if "SPDX" not in t else text
+                got = names(text)
+                tried, hit, exact = tried + 1, hit + (want in got), exact + (got == [want])
+    assert hit >= 0.97 * tried and exact >= 0.95 * tried, (hit, exact, tried)
+
+
+def slow_identify(norm):
+    """All table entries tried at every place as plain regular expressions."""
+    hole = {"*": "(?:.* )?", "<v>": r"v?\\.?\\d+(?:\\.\\d+)* ", "<by>": "by(?:-nc)?(?:-nd|-sa)? "}
+    words = [w for _, w in words_of(re.sub(r"spdx-license-identifier: *[^\x02]*", "", norm))]
+    out = []
+    for k in range(len(words)):
+        rest = " ".join(words[k:]) + " "
+        for name, entry in SENTENCES:
+            pattern = "".join(hole[w].replace("\\\\", "\\") if w in hole else f"(?:{re.sub(r'([.+])', r'[.]', w.strip('[]'))}) " + ("" if not w.startswith("[") else "") if not w.startswith("[") else f"(?:(?:{w.strip('[]')}) )?" for w in entry.split())
+            if re.match(pattern, rest) and not (name == "bsd-ref" and k and words[k - 1].endswith("-clause")):
+                out.append(name)
+    return sorted(out)
+
+
+def test_all_columns_equal_a_plain_search(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text or "") for r in docs] + [(10_000 + k, t) for k, t in enumerate([MIT, GPL, BSD, ISC, *WHOLE])]
+    some = 0
+    for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = dict(rows)[r.doc_id]
+        cut = sentences(text)
+        held = [(a, e, slow_identify(s) + ["spdx"] * len([1 for name, _ in identify(s) if name == "spdx"])) for a, e, s in cut]
+        assert sorted(r.sentence_ids) == sorted(x for _, _, ids in held for x in ids)
+        assert r.n_license_sentences == sum(bool(ids) for _, _, ids in held)
+        assert sorted(map(tuple, r.spans)) == sorted((a, e) for a, e, ids in held for _ in ids)
+        some += bool(r.licenses)
+    assert some > 30
