@@ -1,14 +1,14 @@
 """Line-first quality rules.
 
 Each line is judged by itself: punctuation (no closing mark at its end and no sentence within, symbols strewn over it), navigation
-(items between separators, menu words) and boilerplate (shouting, stuttering, stock phrases). Failing lines
-go; a document that loses too large a share of its characters, or keeps too little, is
+(items between separators, nothing but menu words) and boilerplate (shouting, stuttering, short lines with a stock phrase). Failing lines
+go; a document that loses too large a share of its characters is
 rejected. Beside the verdict stand the base counts of words, symbols, repeated lines and repeated
 windows. All of it is one pass over the rows: nothing is shuffled.
 
 Cases: null or empty text has no words, so the base rules reject it. Very long texts are counted
 whole; hashed window positions are confirmed on word numbers, so a collision counts for nothing.
-Each repeated row gets the same verdict.
+Each repeated row gets the same verdict. An empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -23,12 +23,23 @@ from pyspark.sql import functions as F
 
 from pricewell.llm.common import mix64, per_batch, texts
 
-# Symbols and separators, closing marks, stock phrases.
+# Symbols and separators, closing marks, menu words, stock phrases.
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = frozenset((b"|", b">", b"/", b"-", b"*", "»".encode(), "•".encode(), "·".encode()))
-CLOSING = re.compile("(?:[.!?;:,\"')\\]]|…|”|’|»|。|！|？)$".encode())
+CLOSING = re.compile("(?:[.!?;:,\"')\\]{}]|…|”|’|»|。|！|？)$".encode())
 SENTENCE = re.compile(rb"[.!?][\x20\x09-\x0D]")
-STOCK = re.compile(rb"lorem ipsum|all rights reserved|terms of (?:use|service)|privacy policy|accept (?:all )?cookies|enable javascript|click here|sign up for|skip to content")
+MENU = (
+    "home", "about", "contact", "contacts", "login", "logout", "register", "menu", "search", "sitemap", "help", "faq", "news", "blog", "cart", "account", "next", "previous", "back",
+    "inicio", "contacto", "buscar", "ayuda", "entrar", "contato", "busca", "ajuda", "accueil", "connexion", "recherche", "aide", "startseite", "kontakt", "suche", "hilfe", "anmelden", "impressum",
+)
+STOCK_WORDS = 12  # a longer line that has a stock phrase may well be a sentence about it
+STOCK_PHRASES = (
+    "lorem ipsum", "all rights reserved", "terms of use", "terms of service", "privacy policy", "accept cookies", "accept all cookies", "enable javascript", "click here", "sign up for", "skip to content", "share on", "subscribe to", "follow us on", "read more",
+    "todos los derechos reservados", "todos os direitos reservados", "tous droits réservés", "alle rechte vorbehalten", "política de privacidad", "política de privacidade", "politique de confidentialité", "datenschutzerklärung", "aceptar cookies", "aceitar cookies", "accepter les cookies", "cookies akzeptieren",
+    "haga clic aquí", "clique aqui", "cliquez ici", "hier klicken", "términos de uso", "termos de uso", "conditions d'utilisation", "nutzungsbedingungen",
+)
+STOCK = re.compile("|".join(map(re.escape, STOCK_PHRASES)).encode())
+_MENU = frozenset(w.encode() for w in MENU)
 
 
 def symbol_count(text: bytes) -> int:
@@ -55,8 +66,10 @@ def line_fails(line: bytes, max_symbols: float = 0.25, max_separators: float = 0
         return "punctuation"
     if n >= min_words and sum(map(bytes.__eq__, words, words[1:])) > max_stutter * n:
         return "boilerplate"
-    if STOCK.search(line.lower()):
+    if n <= STOCK_WORDS and STOCK.search(line.lower()):
         return "boilerplate"
+    if _MENU.issuperset(line.lower().split()):
+        return "navigation"
     if n >= min_words and not CLOSING.search(words[-1]) and not SENTENCE.search(line):
         return "punctuation"
     return None

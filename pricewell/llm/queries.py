@@ -11,7 +11,7 @@ from pricewell.llm.decontaminate import find_items
 from pricewell.llm.license_scan import scan_licenses
 from pricewell.llm.line_dedup import dedup_lines
 from pricewell.llm.quality_classifier import classify
-from pricewell.llm.quality_rules import apply_rules
+from pricewell.llm.quality_rules import MENU, STOCK_PHRASES, apply_rules
 from pricewell.llm.sentencepiece_codec import encode_round_trip
 from pricewell.llm.simhash import near_groups
 from pricewell.llm.substring_dedup import drop_repeated_windows
@@ -148,8 +148,9 @@ f AS (
     WHEN n >= 5 AND upper > lower THEN true
     WHEN n >= 5 AND exclaims > 0.25::DOUBLE * n THEN true
     WHEN n >= 5 AND len(list_filter(range(2, n + 1), lambda i: lw[i] = lw[i - 1])) > 0.3::DOUBLE * n THEN true
-    WHEN regexp_matches(line, '(?i)lorem ipsum|all rights reserved|terms of (use|service)|privacy policy|accept (all )?cookies|enable javascript|click here|sign up for|skip to content') THEN true
-    ELSE n >= 5 AND NOT regexp_matches(line, '[.!?][\x20\x09-\x0D]') AND NOT regexp_matches(last_word, '([.!?;:,"'')\]]|…|”|’|»|。|！|？)$') END AS fails
+    WHEN n <= 12 AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '""" + "|".join(p.replace("'", "''") for p in STOCK_PHRASES) + r"""') THEN true
+    WHEN list_has_all([""" + ", ".join(f"'{w}'" for w in MENU) + r"""], list_transform(lw, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) THEN true
+    ELSE n >= 5 AND NOT regexp_matches(line, '[.!?][\x20\x09-\x0D]') AND NOT regexp_matches(last_word, '([.!?;:,"'')\]{}]|…|”|’|»|。|！|？)$') END AS fails
   FROM m),
 a AS (
   SELECT doc_id, count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines,

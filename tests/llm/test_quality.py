@@ -32,7 +32,10 @@ def test_rules():
     assert line_fails(b"home | about | news | contact | help") == "navigation"
     assert line_fails(b"In.&&& Of%%% edorat$$$ ederhe$$$ reaan$$$.") == "punctuation"
     assert line_fails(b"BUY!! NOW!! CHEAP!! THINGS!! HERE!!") == "boilerplate"
-    assert line_fails(b"All rights reserved.") == "boilerplate"
+    assert line_fails(b"All rights reserved.") == "boilerplate" and line_fails("Todos os direitos reservados.".encode()) == "boilerplate" and line_fails(b"Share on Facebook") == "boilerplate"
+    assert line_fails(b"Home About Contact") == "navigation" and line_fails(b"Contact lenses") is None
+    assert line_fails(b"The court held that the privacy policy of the company did not bind those who had never seen it.") is None
+    assert line_fails(b"for k in range(10) {") is None
     assert line_fails(b"a line of words without an end") == "punctuation"
     assert line_fails(b"A sentence with its end.") is None and line_fails(b"Short title") is None and line_fails(b"  ") is None
     assert clean_lines(b"Good line one here.\nx | y | z | w | v\n\nGood.") == b"Good line one here.\n\nGood."
