@@ -14,7 +14,7 @@ a larger benchmark takes several passes.
 
 Cases: null or empty texts and items have no shingles and match nothing. A text or item of fewer
 words than a shingle is one shingle, so such an item matches texts of the same words. Repeated documents or
-items each give their pairs.
+items each give their pairs. An empty table on either side gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ first of equals (doc_id, then start) stays; the others' words go. A false surviv
 costs a row and changes nothing.
 
 Cases: null or empty text has no words. Texts shorter than a window lose nothing. Rows that repeat a
-doc_id and text are one document and share its result; a null doc_id is the smallest.
+doc_id and text are one document and share its result; a null doc_id is the smallest. An empty table gives an empty result; other
+columns, of clashing names too, do not matter.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ two sends each remaining anchor with the stretch of text its strings cover to th
 hash, so all copies of a string meet in one shard. There the stretches are sorted in two
 stages: suffixes smaller than their successors directly, all others by one scan over the
 first-byte buckets. Common prefixes of neighbours give the classes of equal strings, and a class's smallest doc_id
-keeps its bytes. A slice sends a stretch that it holds many times once, and answers for its larger doc_ids itself; of the equal stretches of
-several slices a shard sorts two, so that the order of suffixes decides every class between slices and no shard grows with copies.
+keeps its bytes. Equal stretches are told by a 128-bit digest, travel and are sorted once however often they occur; the sort decides between
+stretches that differ.
 
 Cases: null or empty text has no bytes. Texts shorter than ``width`` lose nothing. Strings never cross
 documents, and those within one document do not count. Rows that share a doc_id are not
@@ -264,34 +264,31 @@ def repeated_strings(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame
         name, count, data = np.concatenate(names), np.concatenate(counts), np.concatenate(blobs)
         size = count + width - 1
         begin = np.cumsum(size) - size
-        # of equal stretches two are sorted however many slices sent them: one for the smallest document, one for all others
+        # equal stretches become one, with the smallest document that has it
         mark = _digests(data.tobytes(), begin, size)
         order = np.lexsort((mark[:, 0], name))
         new = np.concatenate(([True], (name[order][1:] != name[order][:-1]) | (mark[order][1:] != mark[order][:-1]).any(axis=1)))
         one = np.empty(n, np.int64)
         one[order] = np.cumsum(new) - 1
-        at = np.flatnonzero(new)
-        rep, other = order[at], order[np.append(at[1:], n) - 1]
+        rep = order[new]
         which = one[which]
-        never = np.iinfo(np.int64).max
-        low, high = np.full(len(rep), never), np.full(len(rep), never)
+        low = np.full(len(rep), np.iinfo(np.int64).max)
         np.minimum.at(low, which, d)
-        later = d > low[which]
-        np.minimum.at(high, which[later], d[later])
-        # an anchor with one stretch of one document has nothing to sort
-        run = starts_of(name[rep])
-        size_of_run = np.diff(np.append(run, len(rep)))
-        first = np.flatnonzero((np.repeat(size_of_run, size_of_run) > 1) | (high < never))
-        second = np.flatnonzero(high < never)
-        if not len(first):
+        count = count[rep]
+        all_gone = d > low[which]
+        yield d[all_gone], h[all_gone], pos[all_gone], count[which[all_gone]]
+        # only anchors with several stretches have anything to sort
+        name = name[rep]
+        run = starts_of(name)
+        used = np.flatnonzero(np.repeat(np.diff(np.append(run, len(name))) > 1, np.diff(np.append(run, len(name)))))
+        if not len(used):
             return
-        picked, owners = np.concatenate((rep[first], other[second])), np.concatenate((low[first], high[second]))
-        c, s = count[picked], size[picked]
-        text = _stretches(data, begin[picked], s)
+        c, s = count[used], size[rep[used]]
+        text = _stretches(data, begin[rep[used]], s)
         base = np.cumsum(s) - s
         skip = np.cumsum(c) - c
         at = np.repeat(base - skip, c) + np.arange(int(c.sum()))
-        owner = np.repeat(owners, c)
+        owner = np.repeat(low[used], c)
         gone = least_of_classes(text, at, owner, width) < owner
         # runs of strings that go, cut where a stretch ends
         head = gone.copy()
@@ -299,16 +296,16 @@ def repeated_strings(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame
         head[skip] = gone[skip]
         begins = np.flatnonzero(head)
         length = np.diff(np.append(np.cumsum(gone)[begins] - 1, np.count_nonzero(gone)))
+        lo, m = np.zeros(len(rep), np.int64), np.zeros(len(rep), np.int64)
         own = np.searchsorted(begins, np.append(skip, len(gone)))
-        lo, m = own[:-1], np.diff(own)
-        slot = np.full((2, len(rep)), -1, np.int64)
-        slot[0, first], slot[1, second] = np.arange(len(first)), len(first) + np.arange(len(second))
-        w = slot[later.astype(np.int64), which]
-        rest = np.flatnonzero((w >= 0) & (m[w] > 0))
-        w = w[rest]
+        lo[used], m[used] = own[:-1], np.diff(own)
+        shift = np.zeros(len(rep), np.int64)
+        shift[used] = skip
+        rest = np.flatnonzero(~all_gone & (m[which] > 0))
+        w = which[rest]
         k = np.repeat(lo[w] - (np.cumsum(m[w]) - m[w]), m[w]) + np.arange(int(m[w].sum()))
         rest, w = np.repeat(rest, m[w]), np.repeat(w, m[w])
-        yield d[rest], h[rest], pos[rest] + begins[k] - skip[w], length[k]
+        yield d[rest], h[rest], pos[rest] + begins[k] - shift[w], length[k]
 
     found = exchange(per_bytes(join_found(docs, marked), send, PACK), answer, scratch, "strings", runs=True)
     scratch.drop("anchors")
