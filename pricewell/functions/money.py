@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pricewell.functions.semantics import half_up, near_money
+from pricewell.functions.semantics import half_up, let, near_money
 
 # Price cap and the patterns of prices and instalments.
 PRICE_MAX = 100_000.0
@@ -60,15 +60,18 @@ def interest_free(flag: Column, text: Column) -> Column:
 
 def payment_from_text(text: Column) -> Column:
     """struct(cash_price, installment_count, installment_amount, interest_free) told by a text."""
-    amount = parse_brl(F.nullif(F.regexp_extract(text, INSTALMENT, 2), F.lit("")))
-    amount = F.when(money_ok(amount), amount)
-    count = instalment_count(F.nullif(F.regexp_extract(text, INSTALMENT, 1), F.lit("")).try_cast("double"))
-    prices = extract_prices(text)
-    others = F.when(amount.isNotNull(), F.filter(prices, lambda p: ~near_money(p, amount))).otherwise(prices)
-    larger = F.when(amount.isNotNull(), F.filter(others, lambda p: p > amount)).otherwise(others)
-    told = text.rlike(r"(?i)à\s*vista|a\s*vista") | (amount.isNotNull() & (F.size(prices) > 1))
-    cash = F.when(told, F.coalesce(F.get(larger, F.lit(0)), F.get(others, F.lit(0))))
-    return F.struct(cash.alias("cash_price"), F.when(amount.isNotNull(), count).alias("installment_count"), amount.alias("installment_amount"), interest_free(F.lit(None).cast("boolean"), text).alias("interest_free"))
+    part = lambda k: F.nullif(F.regexp_extract(text, INSTALMENT, k), F.lit(""))
+    found = F.struct(parse_brl(part(2)).alias("amount"), instalment_count(part(1).try_cast("double")).alias("count"), extract_prices(text).alias("prices"), text.rlike(r"(?i)à\s*vista|a\s*vista").alias("at_once"))
+
+    def told(k: Column) -> Column:
+        amount = F.when(money_ok(k["amount"]), k["amount"])
+        others = F.when(amount.isNotNull(), F.filter(k["prices"], lambda p: ~near_money(p, k["amount"]))).otherwise(k["prices"])
+        larger = lambda o: F.when(amount.isNotNull(), F.filter(o, lambda p: p > k["amount"])).otherwise(o)
+        some = k["at_once"] | (amount.isNotNull() & (F.size(k["prices"]) > 1))
+        cash = F.when(some, let(others, lambda o: F.coalesce(F.get(larger(o), F.lit(0)), F.get(o, F.lit(0)))))
+        return F.struct(cash.alias("cash_price"), F.when(amount.isNotNull(), k["count"]).alias("installment_count"), amount.alias("installment_amount"), interest_free(F.lit(None).cast("boolean"), text).alias("interest_free"))
+
+    return let(found, told)
 
 
 def shape_payment(price: Column, cash: Column, original: Column, count: Column, amount: Column, text: Column) -> Column:
@@ -77,16 +80,21 @@ def shape_payment(price: Column, cash: Column, original: Column, count: Column,
     Cash wins over count x amount, that over the price. An original price that only repeats the
     instalments, or lies below the price, is dropped.
     """
-    amt, csh = F.when(money_ok(amount), amount), F.when(money_ok(cash), cash)
-    n = F.when(count != 0, count)
-    paid = F.coalesce(csh, F.when(n.isNotNull() & amt.isNotNull(), half_up(n * amt, 2)), F.when(money_ok(price), price))
-    paid = F.when(money_ok(paid), paid)
-    pair = text.rlike(r"(?i)\bDE\b[\s\S]{0,80}\bPOR\b")
-    org = F.when(money_ok(original), original)
-    fake = F.coalesce(~pair & ((n.isNotNull() & near_money(org, n * amt)) | near_money(org, amt)), F.lit(False)) | (org < paid)
-    org = F.when(~F.coalesce(fake, F.lit(False)), org)
-    both = n.isNotNull() & amt.isNotNull()
-    return F.struct(paid.alias("price"), csh.alias("cash_price"), org.alias("original_price"), F.when(both, n).alias("installment_count"), F.when(both, amt).alias("installment_amount"))
+    ok = lambda x: F.when(money_ok(x), x)
+    given = F.struct(price.alias("price"), cash.alias("cash"), original.alias("original"), F.when(count != 0, count).alias("n"), amount.alias("amount"), text.rlike(r"(?i)\bDE\b[\s\S]{0,80}\bPOR\b").alias("pair"))
+    valid = lambda g: F.struct(ok(g["price"]).alias("price"), ok(g["cash"]).alias("cash"), ok(g["original"]).alias("original"), g["n"].alias("n"), ok(g["amount"]).alias("amount"), g["pair"].alias("pair"))
+
+    def shaped(k: Column) -> Column:
+        n, amt, org = k["n"], k["amount"], k["original"]
+        both = n.isNotNull() & amt.isNotNull()
+
+        def kept(p: Column) -> Column:
+            fake = F.coalesce(~k["pair"] & (F.coalesce(near_money(org, n * amt), F.lit(False)) | F.coalesce(near_money(org, amt), F.lit(False))), F.lit(False)) | F.coalesce(org < p, F.lit(False))
+            return F.struct(p.alias("price"), k["cash"].alias("cash_price"), F.when(~fake, org).alias("original_price"), F.when(both, n).alias("installment_count"), F.when(both, amt).alias("installment_amount"))
+
+        return let(F.coalesce(k["cash"], F.when(both, half_up(n * amt, 2)), k["price"]), lambda p: let(ok(p), kept))
+
+    return let(let(given, valid), shaped)
 
 
 def public_payment() -> Column:

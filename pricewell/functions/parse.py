@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pricewell.functions.dates import parse_validity
+from pricewell.functions.semantics import let
 
 # Eligibility types and the phrases that tell them, in the order in which they are reported.
 PHRASES = (
@@ -39,11 +38,6 @@ _TRIGGER = r"(?iu)clube|cliente|fidelidade|cart[aã]o|cpf|app|aplicativo|cupom|p
 TYPE_RANK = ("UNKNOWN", "QUANTITY_REQUIRED", "COUPON_REQUIRED", "APP_ONLY", "CPF_REQUIRED", "STORE_CARD", "PAYMENT_METHOD", "LOYALTY_PROGRAM", "ALL_CUSTOMERS")
 
 
-def let(x: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(x)`` with ``x`` worked out once, however often it is named."""
-    return F.get(F.transform(F.array(x), use), F.lit(0))
-
-
 def eligibility_phrases(text: Column) -> Column:
     """array(struct(type, text)) of the phrases in a text; a bare hint of exclusivity alone is UNKNOWN."""
     none = F.array().cast("array<struct<type:string,text:string>>")

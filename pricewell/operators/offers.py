@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from pricewell.functions import money, parse
+from pricewell.functions.semantics import let
 from pricewell.functions.text import dedupe_key, normalize_unit, sanitize_name, squeeze_space, strip_unknown, title_case
 
 # A pair of prices, a new price, instalment and cash lines, lines that are no name, and what a name sheds.
@@ -44,8 +45,8 @@ def _name_above(i: Column) -> Column:
     is_noise, prices = lambda j: F.get("noise", j), lambda j: F.get("n_prices", j)
     good = lambda j: (j >= low) & ~is_noise(j) & (prices(j) < 2)
     size = lambda at: F.when(~good(at), 0).when(~F.coalesce(good(at - 1), F.lit(False)), 1).when(~F.coalesce(good(at - 2), F.lit(False)), 2).otherwise(3)
-    lines = lambda at: parse.let(size(at), lambda n: F.slice("lines", at - n + 2, n))
-    parts = F.when(i > 0, parse.let(F.array_max(F.filter(F.sequence(low, i - 1), lambda j: ~is_noise(j))), lines))
+    lines = lambda at: let(size(at), lambda n: F.slice("lines", at - n + 2, n))
+    parts = F.when(i > 0, let(F.array_max(F.filter(F.sequence(low, i - 1), lambda j: ~is_noise(j))), lines))
     return clean_name(F.coalesce(F.array_join(parts, " "), F.lit("")))
 
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.functions import dates, money, parse, text
+from pricewell.functions import money, parse, text
 from pricewell.functions.semantics import near_money, number_of
 from pricewell.operators.documents import documents_in
 from pricewell.operators.filters import product_tab
 from pricewell.operators.keyed import nearest_point
 from pricewell.operators.offers import clean_name, noise_line
-from pricewell.plans.frames import cte, day, frame, half, norm, number, unit
+from pricewell.plans.frames import cte, frame, half, norm
 from pricewell.registry import query
 from pricewell.sources.tables import binary_pages, raw_json_pages, table  # noqa: F401
 
@@ -212,7 +212,7 @@ def payment_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n = F.col("p_partkey")
     p = _part(spark, sf_dir).select(n, F.expr(_SHOP_TEXT).alias("t"), (n % 9 + F.lit(1.49)).alias("price"), (n % 90 + F.lit(10.9)).alias("original")).withColumn("p", money.payment_from_text(F.col("t")))
-    s = p.withColumn("s", money.shape_payment(F.col("price"), F.col("p.cash_price"), F.col("original"), F.col("p.installment_count"), F.col("p.installment_amount"), F.col("t"))).filter("s.price IS NOT NULL")
+    s = p.withColumn("s", money.shape_payment(F.col("price"), F.col("p.cash_price"), F.col("original"), F.col("p.installment_count"), F.col("p.installment_amount"), F.col("t")))
     return s.select("p_partkey", *[half_up(F.col(f"s.{c}"), 2).alias(c) for c in ("price", "cash_price", "original_price")], "s.installment_count", "s.installment_amount", "p.interest_free")
 
 
