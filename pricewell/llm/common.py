@@ -40,6 +40,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         atexit.register(self._remove, self.base)
 
     def _remove(self, path: str) -> None:
@@ -52,6 +53,7 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.add(name)
         with shuffle_cleanup(self.spark):
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
@@ -59,6 +61,11 @@ class Scratch:
     def drop(self, *names: str) -> None:
         for n in names:
             self._remove(self.path(n))
+            self.names.discard(n)
+
+    def only(self, *names: str) -> None:
+        """Frees all tables but these."""
+        self.drop(*(self.names - set(names)))
 
 
 @contextlib.contextmanager

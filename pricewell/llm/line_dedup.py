@@ -288,7 +288,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadca
     met = index.select("shard", "data", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("docs")).unionByName(probes)
     hits = met.repartition(max(partitions(spark), n_shards), "shard").sortWithinPartitions("shard", F.col("data").isNull()).mapInArrow(_answer(min_docs), "_id long, hash binary")
     hits = scratch.table(hits.groupBy("_id").agg(F.collect_list("hash").alias("hits")), "hits")
-    scratch.drop("shards")
+    scratch.only("hits")
     n_hits = hits.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
     side = F.broadcast(hits) if n_hits * 48 <= broadcast_bytes else hits.hint("shuffle_hash")
     source = source.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(side, "_id", "left").drop("_id")

@@ -263,6 +263,7 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     labelled = prints.join(joined, prints["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     groups = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     groups = scratch.table(groups, "groups")
+    scratch.only("marked", "groups")
     return marked.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -529,7 +530,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     rows, nodes = _groups(docs, scratch, words, least, radius, large)
     nodes = scratch.table(nodes, "groups")
     named = nodes.join(nodes.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("_h1", "_h2", "component_id")
-    return rows.join(scratch.table(named, "named"), ["_h1", "_h2"]).select("doc_id", "component_id")
+    named = scratch.table(named, "named")
+    scratch.only("marked", "named")
+    return rows.join(named, ["_h1", "_h2"]).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3, large: int = 2048) -> DataFrame:
@@ -542,6 +545,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, ra
     least_id = F.coalesce("doc_id", F.lit(-(2**63)))
     best = nodes.groupBy("root").agg(F.min_by(F.struct(least_id.alias("_d"), "_h1", "_h2", (F.col("copies") > 1).alias("_several")), F.struct(F.col("doc_id").isNull(), "doc_id", "_h1", "_h2")).alias("r"))
     kept = scratch.table(best.select("r.*"), "kept")
+    scratch.only("kept")
     text, ident = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
     marked = docs.withColumns({"_d": F.coalesce(ident, F.lit(-(2**63))), "_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)})
     found = marked.join(_side(kept, 32), ["_d", "_h1", "_h2"])
