@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pricewell.llm.common import read
 from pricewell.llm.decontaminate import find_items
+from pricewell.llm.fill_middle import fill_middle
 from pricewell.llm.license_scan import scan_licenses
 from pricewell.llm.line_dedup import dedup_lines
 from pricewell.llm.quality_classifier import classify
@@ -174,3 +175,25 @@ ik AS (SELECT item_id, len(s) AS n, unnest(s) AS k FROM i), dk AS (SELECT doc_id
 SELECT doc_id, item_id, n::BIGINT AS n_shingles, count(*) / n::DOUBLE AS containment
 FROM ik JOIN dk USING (k) GROUP BY doc_id, item_id, n HAVING count(*) / n::DOUBLE >= 0.8
 """
+
+
+@_query
+def op12_fill_middle(spark, sf_dir):
+    return fill_middle(read(spark, sf_dir, "documents"), digest=True)
+
+
+ORACLES["op12_fill_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id) AS h FROM documents),
+g AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS c1, ('0x' || h[9:16])::BIGINT % (n + 1) AS c2, ('0x' || h[17:24])::BIGINT % 100 AS r3, ('0x' || h[25:32])::BIGINT % 100 AS r4
+  FROM d),
+f AS (
+  SELECT doc_id, t, n, least(c1, c2) AS a, greatest(c1, c2) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r3 >= 90 THEN 'plain' WHEN r4 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM g),
+c AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c
+"""
