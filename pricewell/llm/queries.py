@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pricewell.llm.common import read
 from pricewell.llm.decontaminate import find_items
 from pricewell.llm.fill_middle import fill_middle
+from pricewell.llm.html_text import extract_text
 from pricewell.llm.license_scan import scan_licenses
 from pricewell.llm.line_dedup import dedup_lines
 from pricewell.llm.quality_classifier import classify
 from pricewell.llm.quality_rules import MENU, STOCK_PHRASES, apply_rules
 from pricewell.llm.sentencepiece_codec import encode_round_trip
 from pricewell.llm.simhash import near_groups
+from pricewell.llm.source_divergence import audit_sources
 from pricewell.llm.substring_dedup import drop_repeated_windows
 from pricewell.llm.suffix_dedup import drop_repeated_strings
 from pricewell.llm.warc import archive_round_trip
@@ -197,3 +199,43 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
   sha256(t) AS restored_sha256
 FROM c
 """
+
+
+@_query
+def op11_source_divergence(spark, sf_dir):
+    return audit_sources(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+v AS (SELECT lang, count(term)::HUGEINT AS v, coalesce(sum(n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang FROM d) LEFT JOIN k USING (lang) GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (
+  SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + v.v) AS p, 1 + 1000000000::HUGEINT * (k.n + 1) // (v.total + v.v) AS q
+  FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@_query
+def op13_html_extraction(spark, sf_dir):
+    return extract_text(read(spark, sf_dir, "pages"))
