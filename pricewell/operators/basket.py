@@ -6,18 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewell.functions.semantics import half_up
-from pricewell.operators.joins import text_matches
+from pricewell.operators.token_index import keyed_texts, matching_texts, query_key
+from pricewell.sources.scratch import kept
 
 
-def best_offers(items: DataFrame, offers: DataFrame, names: tuple[str, ...] = ("name",)) -> DataFrame:
-    """(item, market, offer_id, line_total): the cheapest matching offer of each item and market.
+def best_offers(items: DataFrame, offers: DataFrame, names: tuple[str, ...] = ("name",), keys: tuple[str, ...] = ("item",)) -> DataFrame:
+    """(keys, market, offer_id, line_total): the cheapest matching offer of each item and market.
 
-    ``items``: item, query, quantity, product and offer (null: only the text counts); ``offers``: offer_id, market, product, ranking_price and
-    the ``names``. The arg-min combines before its shuffle.
+    ``items``: the keys, query, quantity, product and offer (null: only the text counts); ``offers``: offer_id, market, product, ranking_price and
+    the ``names``. An item takes the least of three: the cheapest offer of a matching text, that of its product, and the offer it names.
+    Offers are reduced to one for each text (or product) and market before anything is joined, and equal queries are answered once, so the lists of all users are one job.
     """
-    met = text_matches(items, offers, "query", list(names))
-    best = met.groupBy("item", "market").agg(F.min_by(F.struct("offer_id", "ranking_price", "quantity"), F.struct("ranking_price", "offer_id")).alias("r"))
-    return best.select("item", "market", F.col("r.offer_id").alias("offer_id"), (F.col("r.ranking_price") * F.col("r.quantity")).alias("line_total"))
+    told = F.struct("ranking_price", "offer_id")
+    cheapest = lambda df, *by: df.groupBy(*by, "market").agg(F.min(told).alias("_best"))
+    asked = items.withColumn("_key", query_key(F.col("query")))
+    by_text = kept(cheapest(keyed_texts(offers, list(names)), "_text"), "offers-by-text")
+    hits = matching_texts(asked.select(F.col("_key").alias("key")).distinct(), by_text.select(F.col("_text").alias("text")).distinct())
+    by_key = hits.select(F.col("text").alias("_text"), F.col("key").alias("_key")).join(by_text, "_text").groupBy("_key", "market").agg(F.min("_best").alias("_best"))
+    own = [*keys, "quantity", "market", "_best"]
+    met = asked.join(by_key, "_key").select(*own)
+    if "product" in items.columns:
+        met = met.unionByName(items.join(cheapest(offers, "product"), "product").select(*own))
+    if "offer" in items.columns:
+        met = met.unionByName(items.join(offers.select(F.col("offer_id").alias("offer"), "market", told.alias("_best")), "offer").select(*own))
+    best = met.groupBy(*keys, "market").agg(F.min("_best").alias("_best"), F.first("quantity").alias("quantity"))
+    return best.select(*keys, "market", F.col("_best.offer_id").alias("offer_id"), (F.col("_best.ranking_price") * F.col("quantity")).alias("line_total"))
 
 
 def baskets(best: DataFrame, n_items: int, markets: DataFrame) -> DataFrame:
@@ -27,6 +40,13 @@ def baskets(best: DataFrame, n_items: int, markets: DataFrame) -> DataFrame:
     return all_.select("market", half_up(F.col("total"), 2).alias("total"), (F.lit(n_items) - F.col("found")).alias("missing"), half_up(F.col("found") / n_items * 100, 1).alias("coverage_pct"), (F.col("found") == n_items).alias("complete"))
 
 
+def list_baskets(items: DataFrame, offers: DataFrame, names: tuple[str, ...] = ("name",)) -> DataFrame:
+    """(list_id, market, total, missing, complete) of all lists at every market that has something of them."""
+    sizes = items.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n"))
+    b = best_offers(items, offers, names, ("list_id", "item")).groupBy("list_id", "market").agg(F.sum("line_total").alias("total"), F.count(F.lit(1)).alias("_found"))
+    return b.join(sizes, "list_id").select("list_id", "market", half_up(F.col("total"), 2).alias("total"), (F.col("_n") - F.col("_found")).alias("missing"), (F.col("_n") == F.col("_found")).alias("complete"))
+
+
 def ranked(per_market: DataFrame) -> DataFrame:
     """The complete markets, or all if none is: fewest missing, then cheapest."""
     some = per_market.agg(F.coalesce(F.bool_or("complete"), F.lit(False)).alias("_some"))  # one row

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewell.functions.text import normalize, tokens
+from pricewell.operators.token_index import keyed_texts, matching_texts, query_key
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: str, column: str, missing: str = "—") -> DataFrame:
@@ -44,25 +44,24 @@ def semi_or_all(df: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
     return marked.crossJoin(F.broadcast(hit)).filter(F.col("_c").isNotNull() | ~F.col("_any")).drop("_c", "_any")
 
 
-MOST_ITEMS = 1000
-
-
 def text_matches(items: DataFrame, offers: DataFrame, query: str, names: list[str]) -> DataFrame:
     """(item, offer) rows of equal ``product`` or ``offer`` ids, or where some name holds all of the item's tokens.
 
-    Containment has no join key. ``items`` is one shopping list, what a person writes: it goes to all tasks, and more than
-    ``MOST_ITEMS`` are an error. Texts are normalised once on either side.
+    Texts are found through an index of their words (``token_index``), so ``items`` may be the lists of
+    all users. A pair that matches in several ways is one row; items that are equal in all columns are one item.
     """
-    if items.limit(MOST_ITEMS + 1).count() > MOST_ITEMS:
-        raise ValueError(f"a list has at most {MOST_ITEMS} items")
-    asked = items.withColumnsRenamed({"product": "_product", "offer": "_offer"}).withColumn("_tokens", tokens(F.col(query)))
-    told = offers.withColumn("_names", F.array(*[normalize(F.col(n)) for n in names]))
-    match = (F.size("_tokens") > 0) & F.exists("_names", lambda h: F.coalesce(F.forall("_tokens", lambda t: F.contains(h, t)), F.lit(False)))
+    asked = items.withColumnsRenamed({"product": "_product", "offer": "_offer"}).withColumn("_key", query_key(F.col(query)))
+    told = keyed_texts(offers, names)
+    hits = matching_texts(asked.select(F.col("_key").alias("key")).distinct(), told.select(F.col("_text").alias("text")).distinct())
+    found = told.join(hits.select(F.col("text").alias("_text"), F.col("key").alias("_key")), "_text").join(asked, "_key")
+    columns = [*offers.columns, *[c for c in asked.columns if c != "_key"]]
+    found = found.select(*columns)
     if "product" in items.columns:
-        match = F.coalesce(F.col("product") == F.col("_product"), F.lit(False)) | match
+        found = found.unionByName(offers.join(asked, F.col("product") == F.col("_product")).select(*columns))
     if "offer" in items.columns:
-        match = F.coalesce(F.col("offer_id") == F.col("_offer"), F.lit(False)) | match
-    return told.join(F.broadcast(asked), match).drop("_tokens", "_names", "_product", "_offer")
+        found = found.unionByName(offers.join(asked, F.col("offer_id") == F.col("_offer")).select(*columns))
+    own = [c for c in columns if c not in offers.columns]
+    return found.dropDuplicates(["offer_id", *own]).drop("_product", "_offer")
 
 
 def price_changes(before: DataFrame, after: DataFrame, keys: list[str], price: str, order: Column) -> DataFrame:

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pricewell.operators.grouped import replay
+from pricewell.sources.scratch import kept
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -107,3 +111,70 @@ def last_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
 
 def clamp(value: int | None, low: int, high: int, default: int) -> int:
     return min(max(default if value is None else value, low), high)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) for rows (node, key): nodes that share a key, directly or through others, get one label, the smallest of them.
+
+    Labels go from nodes to keys and back, and then to the label of the label, until a round changes none. Both ways are minima that combine before
+    their shuffle, so a key that very many nodes share is one row for each task. Every round is a table, which ends its lineage.
+    """
+    edges = kept(edges.select("node", "key").distinct(), "edges")
+    label = edges.select("node", F.col("node").alias("label")).distinct()
+    while True:
+        by_key = edges.join(label, "node").groupBy("key").agg(F.min("label").alias("label"))
+        new = edges.join(by_key, "key").groupBy("node").agg(F.min("label").alias("label"))
+        far = new.select(F.col("node").alias("label"), F.col("label").alias("_far"))
+        new = new.join(far, "label", "left").select("node", F.least("label", "_far").alias("label"))
+        new = kept(new.join(label.withColumnRenamed("label", "_old"), "node"), "labels")
+        changed = new.filter("label <> _old").limit(1).count()
+        label = new.select("node", "label")
+        if not changed:
+            return label
+
+
+NUMBERED = r"^(.*)-([1-9][0-9]{0,17})$"
+
+
+def unique_slugs(rows: DataFrame, base: str, order: list[str], taken: DataFrame | None = None, scope: tuple[str, ...] = ()) -> DataFrame:
+    """``slug`` of each row: its base, or ``base-1``, ``base-2`` and so on, the first that is free when its turn in ``order`` comes.
+
+    ``taken`` (scope, slug) are slugs in use already. Within a scope, only slugs of one root (a base without numbers at its end) can meet. Where a root has a single base, the
+    row of rank r takes the r-th number that is not taken: two windows, whatever their number. Where there are several, as in ``a b`` and ``a b 1``, a row
+    may be beaten by one of another base; these roots' rows take their turns one by one, a root a group.
+    """
+    scope_ = list(scope)
+    root = lambda c: F.regexp_replace(c, r"(-[1-9][0-9]{0,17})+$", "")
+    keyed = rows.withColumn("_root", root(F.col(base)))
+    used = (taken.select(*scope_, "slug") if taken is not None else rows.select(*scope_, F.col(base).alias("slug")).limit(0)).distinct().withColumn("_root", root(F.col("slug")))
+    several = keyed.groupBy(*scope_, "_root").agg((F.min(base) != F.max(base)).alias("_several"))
+    keyed = keyed.join(several, [*scope_, "_root"])
+
+    alone = keyed.filter("NOT _several").drop("_several", "_root").withColumn("_r", F.row_number().over(Window.partitionBy(*scope_, base).orderBy(*order)) - 1)
+    bases = alone.select(*scope_, base).distinct()
+    forms = used.select(*scope_, F.col("slug").alias(base), F.lit(0).cast("long").alias("_k")).unionByName(used.filter(F.col("slug").rlike(NUMBERED)).select(*scope_, F.regexp_extract("slug", NUMBERED, 1).alias(base), F.regexp_extract("slug", NUMBERED, 2).cast("long").alias("_k")))
+    forms = forms.join(bases, [*scope_, base], "left_semi").withColumn("_r", F.col("_k") - F.row_number().over(Window.partitionBy(*scope_, base).orderBy("_k")) + 1)
+    both = alone.withColumn("_form", F.lit(0)).unionByName(forms.select(*scope_, base, F.col("_r").cast("int").alias("_r"), F.lit(1).alias("_form")), allowMissingColumns=True)
+    skipped = F.sum("_form").over(Window.partitionBy(*scope_, base).orderBy("_r", F.desc("_form")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    n = F.col("_r") + F.col("_skipped")
+    settled = both.withColumn("_skipped", skipped).filter("_form = 0").select(*rows.columns, F.when(n == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), n.cast("string"))).alias("slug"))
+
+    def turns(group: list[dict]) -> list[dict]:
+        gone, following, out = {r["_slug"] for r in group if r["_taken"]}, {}, []
+        for r in group:
+            if r["_taken"]:
+                continue
+            b = r[base]
+            k = following.get(b, 0)
+            while (s := b if k == 0 else f"{b}-{k}") in gone:
+                k += 1
+            gone.add(s)
+            following[b] = k + 1
+            out.append({**r, "slug": s})
+        return out
+
+    mixed = keyed.filter("_several").drop("_several").withColumn("_taken", F.lit(False))
+    theirs = used.join(several.filter("_several"), [*scope_, "_root"], "left_semi").withColumnRenamed("slug", "_slug").withColumn("_taken", F.lit(True))
+    met = mixed.unionByName(theirs, allowMissingColumns=True)
+    met = replay(met, [*scope_, "_root"], order, turns, T.StructType([*rows.schema.fields, T.StructField("slug", T.StringType())]))
+    return settled.unionByName(met)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricewell.functions.dates import backoff_hours
 from pricewell.operators.filters import expirable, purgeable
+from pricewell.operators.grouped import replay
+from pricewell.operators.keyed import components
+from pricewell.sources.scratch import kept
 
 
 def expire(flyers: DataFrame, as_of: Column) -> DataFrame:
@@ -38,26 +42,47 @@ def set_validity(flyers: DataFrame, offers: DataFrame, changes: DataFrame, as_of
     return f, o
 
 
+FOUND = ["title", "external_id", "original_url", "valid_from", "valid_until", "store_ids", "page_urls"]
+
+
 def discover(flyers: DataFrame, found: DataFrame, as_of: Column) -> DataFrame:
-    """Flyers with what a crawl found: by URL within the market, else by external id, else new.
+    """Flyers with what a crawl found, one find after the other in the order of ``found_at``.
 
-    ``found``: what a crawl found, with ``found_at``. Found values win where there are any. A flyer without a stored file whose pages are known is queued for download
-    again, unless it is in work or expired.
+    A find belongs to the first flyer (by created_at, id) of its market that has its URL, else its external id, else it is a new flyer. Found values replace old ones
+    where there are any, so a later find sees the URL and external id that an earlier one has set. A flyer without a stored file
+    whose pages are known is queued for download again, unless it is in work or expired.
+
+    Finds and flyers that share a URL or an external id, directly or through others, form a component; components are told by label propagation and are independent, so the order
+    is kept within each and a large market is many small groups. Flyers that no find touches are passed through.
     """
-    merged = ["title", "external_id", "original_url", "valid_from", "valid_until", "store_ids", "page_urls"]
-    # of several finds of one URL the last known value in the order of ``found_at`` counts
-    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("found_at", F.xxhash64(*found.columns))))
-    one = found.groupBy("supermarket_id", "original_url").agg(*[newest(c).alias(c) for c in ("title", "external_id", "valid_from", "valid_until", "store_ids", "page_urls", "source_id")])
-    old = flyers.select("supermarket_id", "original_url", F.col("id").alias("_by_url")).groupBy("supermarket_id", "original_url").agg(F.min("_by_url").alias("_by_url"))
-    ext = flyers.filter("external_id IS NOT NULL").groupBy("supermarket_id", "external_id").agg(F.min("id").alias("_by_ext"))
-    met = one.join(old, ["supermarket_id", "original_url"], "left").join(ext, ["supermarket_id", "external_id"], "left").withColumn("id", F.coalesce("_by_url", "_by_ext"))
-    # one patch for each flyer: a match by URL goes before one by external id
-    patch = met.filter("id IS NOT NULL").groupBy("id").agg(F.min_by(F.struct(*merged), F.struct(F.col("_by_url").isNull(), "original_url")).alias("_p"))
-    f = flyers.join(patch, "id", "left")
-    again = F.coalesce(F.size("_p.page_urls") > 0, F.lit(False)) & F.col("storage_id").isNull() & ~F.col("status").isin("processing", "expired")
-    f = f.withColumns({"status": F.when(again, "discovered").otherwise(F.col("status")), "updated_at": F.when(F.col("_p").isNotNull(), as_of).otherwise(F.col("updated_at")), **{c: F.coalesce(F.col("_p")[c], F.col(c)) for c in merged}}).drop("_p")
-    new = met.filter("id IS NULL").withColumns({"id": F.sha2(F.concat_ws("|", "supermarket_id", "original_url"), 256), "status": F.lit("discovered"), "created_at": as_of, "updated_at": as_of}).drop("_by_url", "_by_ext")
-    return f.unionByName(new, allowMissingColumns=True)
+    finds = found.select(*[F.col(c) for c in found.columns], F.sha2(F.concat_ws("|", "supermarket_id", "original_url", F.col("found_at").cast("string")), 256).alias("_new"), F.xxhash64(*found.columns).alias("_tie"), as_of.alias("_as_of"))
+    finds = kept(finds.withColumn("_node", F.concat(F.lit("n"), F.row_number().over(Window.partitionBy("supermarket_id", "original_url").orderBy("found_at", "_tie")).cast("string"), F.lit("|"), F.col("supermarket_id").cast("string"), F.lit("|"), F.coalesce("original_url", F.lit("")))), "finds")
+    keys = lambda df, node: df.select(node.alias("node"), F.explode(F.array(F.concat_ws("|", F.lit("u"), "supermarket_id", "original_url"), F.when(F.col("external_id") != "", F.concat_ws("|", F.lit("e"), "supermarket_id", "external_id")))).alias("key")).filter("key IS NOT NULL")
+    asked = keys(finds, F.col("_node"))
+    old = keys(flyers, F.concat(F.lit("f|"), "id")).join(asked.select("key").distinct(), "key", "left_semi")
+    label = kept(components(asked.unionByName(old)), "components")
+    mine = flyers.withColumn("_node", F.concat(F.lit("f|"), "id")).join(label, F.col("_node") == F.col("node")).drop("_node", "node")
+    theirs = finds.join(label, F.col("_node") == F.col("node")).drop("_node", "node")
+    columns = flyers.columns
+    both = mine.withColumn("_find", F.lit(False)).unionByName(theirs.withColumn("_find", F.lit(True)), allowMissingColumns=True)
+    schema = T.StructType([*flyers.schema.fields, *[f for f in found.schema.fields if f.name not in columns and f.name != "found_at"]])
+
+    def turns(rows: list[dict]) -> list[dict]:
+        here = sorted((r for r in rows if not r["_find"]), key=lambda r: (r["created_at"] is None, r["created_at"] or 0, r["id"]))
+        for f in sorted((r for r in rows if r["_find"]), key=lambda r: (r["found_at"], r["_tie"])):
+            same = lambda c: next((r for r in here if f[c] and r[c] == f[c]), None)  # noqa: E731, B023
+            hit = same("original_url") or same("external_id")
+            if hit is None:
+                here.append({**f, "id": f["_new"], "status": "discovered", "created_at": f["_as_of"], "updated_at": f["_as_of"]})
+                continue
+            if f["page_urls"] and not hit["storage_id"] and hit["status"] not in ("processing", "expired"):
+                hit["status"] = "discovered"
+            told = {c: f[c] for c in FOUND if f[c] is not None and (f[c] or c not in ("title", "external_id", "original_url", "page_urls"))}
+            hit.update(told, updated_at=f["_as_of"])
+        return here
+
+    done = replay(both, ["label"], [], turns, schema)
+    return flyers.join(mine.select("id"), "id", "left_anti").unionByName(done, allowMissingColumns=True)
 
 
 def arm(flows: DataFrame, markets: DataFrame, at: Column) -> DataFrame:
@@ -73,19 +98,51 @@ def arm_periodic(flows: DataFrame, as_of: Column, hours: int = 6) -> DataFrame:
     return flows.withColumn("next_run_at", F.when(F.col("status") == "active", F.least(F.col("next_run_at"), due)).otherwise(F.col("next_run_at")))
 
 
-def record_runs(flows: DataFrame, results: DataFrame, as_of: Column, most: int = 4, hours: int = 6) -> DataFrame:
-    """Flows after results (id, ok): success resets and caps the next check, failure backs off and ends in error."""
-    met = flows.join(results.select("id", F.col("ok").alias("_ok")), "id", "left")
-    tries = F.when(F.col("_ok"), 0).otherwise(F.coalesce("discovery_attempts", F.lit(0)) + 1)
-    wait = F.when(F.col("_ok"), F.lit(float(hours))).otherwise(backoff_hours(tries))
-    ran = F.col("_ok").isNotNull()
-    after = as_of + F.make_interval(hours=wait.cast("int"))
-    return met.withColumns({
-        "status": F.when(ran & (tries >= most), "error").otherwise(F.col("status")),
-        "discovery_attempts": F.when(ran, tries).otherwise(F.col("discovery_attempts")),
-        "last_run_at": F.when(ran, as_of).otherwise(F.col("last_run_at")),
-        "next_run_at": F.when(ran, after).otherwise(F.col("next_run_at")),
-    }).drop("_ok")
+ATTEMPTS, RECHECK_HOURS = 4, 6
+
+
+def run_steps(flows: DataFrame, results: DataFrame, most: int = ATTEMPTS, hours: int = RECHECK_HOURS) -> DataFrame:
+    """Each result (id, at, ok, new_flyers, error) with the state of its flow after it: status, attempts, next_run_at and, where one is due, an error message.
+
+    Results of a flow count in the order of ``at``. Success clears the attempts; if it brought nothing new the next check is in ``hours``, else the plan stays. A lost scope is an
+    error at once and leaves the plan alone. Any other failure doubles the wait, up to eight hours, and is an error from the ``most``-th on. An error stays until somebody clears it.
+
+    The attempts are failures since the last result that sets them, so a running count over the flow's results gives them without a loop.
+    """
+    c = F.col
+    order = Window.partitionBy("id").orderBy("at", "_tie")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    own = flows.select("id", c("status").alias("_status"), F.coalesce("discovery_attempts", F.lit(0)).alias("_had"), c("next_run_at").alias("_plan"))
+    r = results.select("id", "at", F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("new_flyers", F.lit(0)).alias("new_flyers"), F.coalesce("error", F.lit("")).alias("error")).withColumn("_tie", F.xxhash64("ok", "new_flyers", "error"))
+    r = r.join(own, "id")
+    lost = ~c("ok") & F.contains("error", F.lit("SCOPE_NOT_FOUND"))
+    r = r.withColumn("_lost", lost).withColumn("_base", F.when(c("ok"), 0).when(lost, most)).withColumn("_sets", F.sum(c("_base").isNotNull().cast("int")).over(upto))
+    fails = F.sum(c("_base").isNull().cast("int")).over(Window.partitionBy("id", "_sets").orderBy("at", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    start = F.coalesce(F.last("_base", ignorenulls=True).over(upto), c("_had"))
+    r = r.withColumn("attempts", (start + fails).cast("int"))
+    r = r.withColumn("_bad", c("_lost") | (~c("ok") & (c("attempts") >= most)))
+    was = (c("_status") == "error") | F.coalesce(F.max("_bad").over(before), F.lit(False))
+    wait = F.when(c("ok") & (c("new_flyers") <= 0), F.lit(float(hours))).when(~c("ok") & ~c("_lost"), backoff_hours(c("attempts")))
+    plan = F.when(wait.isNotNull(), c("at") + F.make_interval(hours=wait.cast("int")))
+    said = F.when(c("error") != "", c("error")).otherwise(F.concat(F.lit("Discovery failed after "), c("attempts").cast("string"), F.lit(" attempts")))
+    return r.select(
+        "id", "at", "attempts", F.when(was | c("_bad"), "error").otherwise(c("_status")).alias("status"),
+        F.coalesce(F.last(plan, ignorenulls=True).over(upto), c("_plan")).alias("next_run_at"),
+        F.when(F.when(c("_lost"), ~was).otherwise(c("_bad")), said).alias("message"), "_tie",
+    )
+
+
+def record_runs(flows: DataFrame, results: DataFrame, most: int = ATTEMPTS, hours: int = RECHECK_HOURS) -> tuple[DataFrame, DataFrame]:
+    """(flows after their results, rows for the table of errors); see ``run_steps``."""
+    steps = run_steps(flows, results, most, hours)
+    last = steps.groupBy("id").agg(F.max_by(F.struct("at", "attempts", "status", "next_run_at"), F.struct("at", "_tie")).alias("_r"))
+    met = flows.join(last, "id", "left")
+    pick = lambda name, new: F.when(F.col("_r").isNotNull(), F.col("_r")[new]).otherwise(F.col(name)).alias(name)
+    changed = {"status": "status", "discovery_attempts": "attempts", "last_run_at": "at", "next_run_at": "next_run_at"}
+    after = met.select(*[pick(c, changed[c]) if c in changed else F.col(c) for c in flows.columns])
+    errors = steps.filter("message IS NOT NULL").join(flows.select("id", "supermarket_id"), "id")
+    return after, errors.select("id", "supermarket_id", F.lit("DISCOVERY").alias("stage"), "message", F.lit("open").alias("status"), F.col("at").alias("created_at"))
 
 
 def to_discover(flyers: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:

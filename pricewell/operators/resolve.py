@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewell.functions.semantics import number_of
-from pricewell.functions.text import match_key, normalize, normalize_unit, slug, title_case
+from pricewell.functions.text import fold, match_key, normalize, normalize_unit, slug, title_case
 from pricewell.operators.filters import validation_status
 
 
@@ -31,16 +31,20 @@ def normalize_offers(offers: DataFrame, members: bool = True) -> DataFrame:
 
 
 def ensure_brands(offers: DataFrame, brands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(offers with brand_id, new brand rows): by slug, else by alias, else a new brand with an id from its slug."""
-    own = offers.withColumn("_slug", slug(F.col("normalized_brand")))
+    """(offers with brand_id, new brand rows): by slug, else by alias, else a new brand with an id from its slug.
+
+    An alias counts if it is the brand's name but for case and accents; signs and blanks differ. Offers whose names have one slug are one new brand.
+    """
+    plain = lambda x: fold(F.lower(x))
+    own = offers.withColumns({"_slug": slug(F.col("normalized_brand")), "_plain": plain(F.col("normalized_brand"))})
     by_slug = brands.groupBy(F.col("slug").alias("_slug")).agg(F.min("id").alias("_a"))  # one brand a slug, so no offer comes twice
-    by_alias = brands.select(F.explode("aliases").alias("_x"), F.col("id").alias("_b")).select(slug(F.col("_x")).alias("_slug"), "_b").groupBy("_slug").agg(F.min("_b").alias("_b"))
-    met = own.join(by_slug, "_slug", "left").join(by_alias, "_slug", "left")
+    by_alias = brands.select(F.explode("aliases").alias("_x"), F.col("id").alias("_b")).groupBy(plain(F.col("_x")).alias("_plain")).agg(F.min("_b").alias("_b"))
+    met = own.join(by_slug, "_slug", "left").join(by_alias, "_plain", "left")
     made = F.when(F.col("_slug") != "", F.sha2(F.col("_slug"), 256))
     known = F.coalesce("_a", "_b")
     new = met.filter(known.isNull() & made.isNotNull()).groupBy("_slug").agg(F.min("normalized_brand").alias("name"))
     new = new.select(F.sha2("_slug", 256).alias("id"), "name", F.col("_slug").alias("slug"), F.array().cast("array<string>").alias("aliases"))
-    return met.withColumn("brand_id", F.coalesce(known, made)).drop("_slug", "_a", "_b"), new
+    return met.withColumn("brand_id", F.coalesce(known, made)).drop("_slug", "_plain", "_a", "_b"), new
 
 
 def resolve_products(offers: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:

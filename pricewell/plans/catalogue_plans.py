@@ -9,6 +9,7 @@ from pricewell.functions.dates import backoff_hours, days_until
 from pricewell.functions.semantics import half_up
 from pricewell.functions.text import fold, normalize, slug
 from pricewell.operators.keyed import neighbours
+from pricewell.operators.keyed import unique_slugs as assign_slugs
 from pricewell.registry import query
 from pricewell.sources.tables import table
 
@@ -59,14 +60,19 @@ def suggest_brands(offers: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 @query(
     "unique_slugs",
-    r"""WITH s AS (SELECT p_partkey, replace(lower(p_name), ' ', '-') AS base FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) - 1 AS k FROM s)
-SELECT p_partkey, CASE WHEN k = 0 THEN base ELSE base || '-' || k END AS slug FROM r""",
+    """WITH RECURSIVE s AS (SELECT p_partkey, replace(lower(p_name), ' ', '-') AS root, replace(lower(p_name), ' ', '-') || CASE WHEN p_partkey % 7 = 0 THEN '-' || CAST(p_partkey % 5 + 1 AS STRING) ELSE '' END AS base FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY p_partkey) AS j FROM s),
+t AS (SELECT root, 0::BIGINT AS j, 0::BIGINT AS p_partkey, '' AS slug, CASE WHEN min(p_partkey) % 2 = 0 THEN [root, root || '-2'] ELSE [root || '-1'] END AS used FROM s GROUP BY root
+  UNION ALL SELECT t.root, r.j, r.p_partkey, x.slug, list_append(t.used, x.slug) FROM t JOIN r ON r.root = t.root AND r.j = t.j + 1,
+  LATERAL (SELECT list_filter(list_prepend(r.base, list_transform(range(1, len(t.used) + 2), lambda i: r.base || '-' || i)), lambda f: NOT list_contains(t.used, f))[1] AS slug) x)
+SELECT p_partkey, slug FROM t WHERE j > 0""",
 )
 def unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slugs made unique by a number in order of age."""
-    s = table(spark, sf_dir, "part").select("p_partkey", slug(F.col("p_name")).alias("base"))
-    k = F.row_number().over(Window.partitionBy("base").orderBy("p_partkey")) - 1
-    return s.withColumn("k", k).select("p_partkey", F.when(F.col("k") == 0, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("k").cast("string"))).alias("slug"))
+    """Slugs made unique by the first free number, in order of age, beside names that end in a number themselves and slugs in use."""
+    part, own = table(spark, sf_dir, "part"), slug(F.col("p_name"))
+    named = part.select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.concat(own, F.lit("-"), (F.col("p_partkey") % 5 + 1).cast("string"))).otherwise(own).alias("base"))
+    used = part.groupBy(own.alias("root")).agg(F.min("p_partkey").alias("first")).select(F.explode(F.when(F.col("first") % 2 == 0, F.array("root", F.concat("root", F.lit("-2")))).otherwise(F.array(F.concat("root", F.lit("-1"))))).alias("slug"))
+    return assign_slugs(named, "base", ["p_partkey"], used).select("p_partkey", "slug")
 
 
 @query(

@@ -76,30 +76,62 @@ def armed_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.arm_periodic(flows, _now()).select("id", _stamp("next_run_at"))
 
 
-@query("recorded_runs", f"""WITH {cte('flows')}, r AS (SELECT *, id % 3 = 0 AS ran, id % 2 = 0 AS ok, CASE WHEN id % 2 = 0 THEN 0 ELSE discovery_attempts + 1 END AS tries FROM flows)
-SELECT id, CASE WHEN ran AND tries >= 4 THEN 'error' ELSE status END AS status, CASE WHEN ran THEN tries ELSE discovery_attempts END AS discovery_attempts, {day(f"CASE WHEN ran THEN {_AT} + to_hours(CAST(CASE WHEN ok THEN 6 ELSE least(8, pow(2, tries - 1)) END AS INTEGER)) ELSE next_run_at END")} AS next_run_at FROM r""")
-def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flows after a check: success resets, failures double the wait up to eight hours and end in error at the fourth."""
-    flows = frame(spark, sf_dir, "flows")
-    after = lifecycle.record_runs(flows, flows.filter("id % 3 = 0").select("id", (F.col("id") % 2 == 0).alias("ok")), _now(AT))
-    return after.select("id", "status", "discovery_attempts", _stamp("next_run_at"))
+_RESULTS = "SELECT user_id AS id, ts, event_type <> 'error' AND event_id % 5 > 1 AS ok, CAST(event_id % 3 AS INTEGER) AS new_flyers, CASE WHEN event_id % 97 = 0 THEN 'page: SCOPE_NOT_FOUND' WHEN event_id % 4 = 0 THEN 'HTTP 500' END AS error{more} FROM {events}"
+# one result after the other, as the rules are stated
+_STEPS = f"""r AS ({_RESULTS.format(more=", row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS j", events="events")}),
+k AS (SELECT *, NOT ok AND contains(coalesce(error, ''), 'SCOPE_NOT_FOUND') AS lost FROM r),
+t AS (SELECT id, 0::BIGINT AS j, last_run_at AS ran, status, discovery_attempts AS attempts, next_run_at AS plan, CAST(NULL AS VARCHAR) AS message FROM flows
+  UNION ALL SELECT t.id, k.j, k.ts, CASE WHEN ok THEN t.status WHEN lost OR t.attempts + 1 >= 4 THEN 'error' ELSE t.status END, CASE WHEN ok THEN 0 WHEN lost THEN 4 ELSE t.attempts + 1 END,
+    CASE WHEN ok AND new_flyers > 0 OR lost THEN t.plan WHEN ok THEN k.ts + INTERVAL 6 HOUR ELSE k.ts + to_hours(CAST(least(8, pow(2, t.attempts)) AS INTEGER)) END,
+    CASE WHEN lost AND t.status <> 'error' THEN error WHEN NOT ok AND NOT lost AND t.attempts + 1 >= 4 THEN coalesce(error, 'Discovery failed after ' || (t.attempts + 1) || ' attempts') END
+  FROM t JOIN k ON k.id = t.id AND k.j = t.j + 1)"""
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_RESULTS.format(more="", events="{events}"), events=table(spark, sf_dir, "events")).withColumnRenamed("ts", "at")
 
 
-@query("discovered_flyers", f"""WITH {cte('flyers')}, found AS (SELECT DISTINCT ON (supermarket_id, url) * FROM (SELECT n, supermarket_id, CASE WHEN n % 5 = 0 THEN original_url || '?new' ELSE original_url END AS url, CASE WHEN n % 5 = 0 THEN external_id END AS ext, 'T' || CAST(n % 3 AS STRING) AS title FROM flyers WHERE n % 2 = 0 OR n % 5 = 0)),
-m AS (SELECT f.*, u.id AS by_url, CASE WHEN u.id IS NULL THEN e.id END AS by_ext FROM found f LEFT JOIN flyers u ON u.supermarket_id = f.supermarket_id AND u.original_url = f.url LEFT JOIN flyers e ON e.supermarket_id = f.supermarket_id AND e.external_id = f.ext),
-p AS (SELECT coalesce(by_url, by_ext) AS id, arg_min(title, (by_url IS NULL, url)) AS title, arg_min(url, (by_url IS NULL, url)) AS url FROM m WHERE coalesce(by_url, by_ext) IS NOT NULL GROUP BY 1)
-SELECT o.id, coalesce(p.title, o.title) AS title, coalesce(p.url, original_url) AS original_url, CASE WHEN p.id IS NOT NULL AND o.storage_id IS NULL AND status NOT IN ('processing', 'expired') THEN 'discovered' ELSE status END AS status FROM flyers o LEFT JOIN p ON p.id = o.id
-UNION ALL SELECT sha256(CAST(supermarket_id AS STRING) || '|' || url), title, url, 'discovered' FROM m WHERE by_url IS NULL AND by_ext IS NULL""")
+@query("recorded_runs", f"""WITH RECURSIVE {cte('flows')}, {_STEPS}, e AS (SELECT id, max(j) AS j FROM t GROUP BY id)
+SELECT id, status, attempts AS discovery_attempts, {day('ran')} AS last_run_at, {day('plan')} AS next_run_at FROM t JOIN e USING (id, j)""")
+def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows after all their checks: success resets, failures double the wait up to eight hours and end in error at the fourth, a lost scope at once."""
+    after, _ = lifecycle.record_runs(frame(spark, sf_dir, "flows"), _results(spark, sf_dir))
+    return after.select("id", "status", "discovery_attempts", _stamp("last_run_at"), _stamp("next_run_at"))
+
+
+@query("run_errors", f"WITH RECURSIVE {cte('flows')}, {_STEPS} SELECT t.id, supermarket_id, message, {day('ran')} AS created_at FROM t JOIN flows USING (id) WHERE message IS NOT NULL")
+def run_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What these checks put into the table of errors."""
+    _, errors = lifecycle.record_runs(frame(spark, sf_dir, "flows"), _results(spark, sf_dir))
+    return errors.select("id", "supermarket_id", "message", _stamp("created_at"))
+
+
+@query("discovered_flyers", f"""WITH RECURSIVE {cte('flyers')},
+found AS (SELECT n * 4 + 1 AS node, supermarket_id, original_url AS url, CAST(NULL AS VARCHAR) AS ext, 'T' || CAST(n % 3 AS STRING) AS title, 1 AS seq FROM flyers WHERE n % 2 = 0
+  UNION ALL SELECT n * 4 + 2, supermarket_id, original_url || '?new', coalesce(external_id, 'e' || CAST(n AS STRING)), CASE WHEN n % 10 = 0 THEN 'N' END, 2 FROM flyers WHERE n % 5 = 0
+  UNION ALL SELECT n * 4 + 3, supermarket_id, original_url || '?alt', coalesce(external_id, 'e' || CAST(n AS STRING)), CASE WHEN n % 3 = 0 THEN 'A' || CAST(n AS STRING) END, 3 FROM flyers WHERE n % 5 = 0),
+keys AS (SELECT 'n' || node AS node, 'u' || supermarket_id || '|' || url AS key FROM found UNION ALL SELECT 'n' || node, 'e' || supermarket_id || '|' || ext FROM found WHERE ext IS NOT NULL
+  UNION ALL SELECT 'f' || id, 'u' || supermarket_id || '|' || original_url FROM flyers UNION ALL SELECT 'f' || id, 'e' || supermarket_id || '|' || external_id FROM flyers WHERE external_id IS NOT NULL),
+reach(node, root) AS (SELECT DISTINCT node, node FROM keys WHERE node[1] = 'n' UNION SELECT b.node, reach.root FROM reach JOIN keys a ON a.node = reach.node JOIN keys b ON b.key = a.key),
+label AS (SELECT node, min(root) AS label FROM reach GROUP BY node),
+old AS (SELECT label, flyers.* FROM label JOIN flyers ON node = 'f' || id),
+new AS (SELECT label, found.* FROM label JOIN found ON label.node = 'n' || found.node),
+p AS (SELECT label, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title, arg_max(url, seq) AS url, arg_min(sha256(CAST(supermarket_id AS STRING) || '|' || url || '|' || seq), seq) AS id FROM new GROUP BY label)
+SELECT f.id, coalesce(p.title, f.title) AS title, coalesce(p.url, f.original_url) AS original_url, CASE WHEN p.label IS NOT NULL AND f.storage_id IS NULL AND f.status NOT IN ('processing', 'expired') THEN 'discovered' ELSE f.status END AS status
+FROM flyers f LEFT JOIN old ON old.id = f.id LEFT JOIN p ON p.label = old.label
+UNION ALL SELECT id, title, url, 'discovered' FROM p WHERE label NOT IN (SELECT label FROM old)""")
 def discovered_flyers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flyers after a crawl: found by URL, else by external id, else new; those without a file are queued again."""
+    """Flyers after a crawl whose finds also match one another: by URL, else by external id, else new; those without a file are queued again."""
+    c = F.col
     null = lambda kind: F.lit(None).cast(kind)
     f = frame(spark, sf_dir, "flyers").withColumns({"store_ids": null("array<string>"), "page_urls": null("array<string>")})
-    fresh = F.col("n") % 5 == 0
-    found = f.filter((F.col("n") % 2 == 0) | fresh).select(
-        "supermarket_id", F.when(fresh, F.concat("original_url", F.lit("?new"))).otherwise(F.col("original_url")).alias("original_url"), F.when(fresh, F.col("external_id")).alias("external_id"), F.concat(F.lit("T"), (F.col("n") % 3).cast("string")).alias("title"),
-        null("timestamp_ntz").alias("valid_from"), null("timestamp_ntz").alias("valid_until"), "store_ids", F.array(F.lit("p1"), F.lit("p2")).alias("page_urls"), "source_id", F.lit(1).alias("found_at"),
-    )
-    return lifecycle.discover(f, found, _now()).select("id", "title", "original_url", "status")
+    ext = F.coalesce("external_id", F.concat(F.lit("e"), c("n").cast("string")))
+    rest = [null("timestamp_ntz").alias("valid_from"), null("timestamp_ntz").alias("valid_until"), "store_ids", F.array(F.lit("p1"), F.lit("p2")).alias("page_urls"), "source_id"]
+    first = f.filter("n % 2 = 0").select("supermarket_id", "original_url", null("string").alias("external_id"), F.concat(F.lit("T"), (c("n") % 3).cast("string")).alias("title"), *rest, F.lit(1).alias("found_at"))
+    fresh = f.filter("n % 5 = 0")
+    second = fresh.select("supermarket_id", F.concat("original_url", F.lit("?new")).alias("original_url"), ext.alias("external_id"), F.when(c("n") % 10 == 0, "N").alias("title"), *rest, F.lit(2).alias("found_at"))
+    third = fresh.select("supermarket_id", F.concat("original_url", F.lit("?alt")).alias("original_url"), ext.alias("external_id"), F.when(c("n") % 3 == 0, F.concat(F.lit("A"), c("n").cast("string"))).alias("title"), *rest, F.lit(3).alias("found_at"))
+    return lifecycle.discover(f, first.unionByName(second).unionByName(third), _now()).select("id", "title", "original_url", "status")
 
 
 @query("repaired_validity", f"""WITH {cte('flyers')}, c AS (SELECT *, n % 3 = 0 AS hit, CASE WHEN n % 6 = 0 THEN NULL ELSE TIMESTAMP '2001-01-01' END AS until FROM flyers)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.functions.semantics import club_fields, half_up
-from pricewell.functions.text import match_key, slug
+from pricewell.functions.text import match_key, normalize, slug
 from pricewell.operators import filters, resolve
 from pricewell.operators.joins import own_page_or_unpaged
 from pricewell.operators.keyed import strip_around
@@ -49,19 +49,19 @@ def backfilled_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BRANDS = f"""seen AS (SELECT p_brand AS name, min(p_partkey) AS first FROM part GROUP BY p_brand), brands AS (SELECT 'a:' || name AS id, name, replace({norm('name')}, ' ', '-') AS slug FROM seen WHERE first % 3 = 0 UNION ALL SELECT 'b:' || name, name, replace({norm('name')}, ' ', '-') FROM seen WHERE first % 6 = 0),
-aliases AS (SELECT 'alias:' || name AS id, replace({norm('name')}, ' ', '-') AS slug FROM seen WHERE first % 3 = 1)"""
+aliases AS (SELECT 'alias:' || name AS id, CASE WHEN first % 2 = 0 THEN lower(strip_accents(name)) ELSE {norm('name')} END AS plain FROM seen WHERE first % 3 = 1)"""
 _BRANDED = f"""branded AS (SELECT normal.*, coalesce(a.id, l.id, sha256(s.slug)) AS brand_id, s.slug AS bslug, a.id IS NULL AND l.id IS NULL AND s.slug IS NOT NULL AS fresh
-  FROM (SELECT *, replace({norm('nbrand')}, ' ', '-') AS slug FROM normal) s JOIN normal USING (id) LEFT JOIN (SELECT slug, min(id) AS id FROM brands GROUP BY slug) a ON a.slug = s.slug LEFT JOIN aliases l ON l.slug = s.slug)"""
+  FROM (SELECT *, replace({norm('nbrand')}, ' ', '-') AS slug FROM normal) s JOIN normal USING (id) LEFT JOIN (SELECT slug, min(id) AS id FROM brands GROUP BY slug) a ON a.slug = s.slug LEFT JOIN aliases l ON l.plain = lower(strip_accents(s.nbrand)))"""
 
 
 def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands known by slug (some twice), and others by an alias only."""
+    """Brands known by slug (some twice), and others by an alias only, which is the name or only its words."""
     from pricewell.sources.tables import table
 
     seen = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.min("p_partkey").alias("first"))
     none = F.array().cast("array<string>")
     own = lambda cond, mark: seen.filter(cond).select(F.concat(F.lit(mark), "name").alias("id"), "name", slug(F.col("name")).alias("slug"), none.alias("aliases"))
-    named = seen.filter("first % 3 = 1").select(F.concat(F.lit("alias:"), "name").alias("id"), F.lit("Other").alias("name"), F.concat(F.lit("other-"), "name").alias("slug"), F.array(F.upper("name")).alias("aliases"))
+    named = seen.filter("first % 3 = 1").select(F.concat(F.lit("alias:"), "name").alias("id"), F.lit("Other").alias("name"), F.concat(F.lit("other-"), "name").alias("slug"), F.array(F.when(F.col("first") % 2 == 0, F.upper("name")).otherwise(normalize(F.col("name")))).alias("aliases"))
     return own("first % 3 = 0", "a:").unionByName(own("first % 6 = 0", "b:")).unionByName(named)
 
 

@@ -204,25 +204,30 @@ w AS (SELECT *, CAST(created_at AS DATE) AS d FROM prices WHERE created_at >= TI
 l AS (SELECT d, product, market, arg_max(price, (created_at, offer_id)) AS price FROM w GROUP BY ALL),
 s AS (SELECT d, product, min(price) AS mn, max(price) AS mx FROM l GROUP BY ALL HAVING count(*) >= 2),
 g AS (SELECT d, count(*) AS multi_count, avg((mx - mn) / mn * 100) FILTER (WHERE mn > 0) AS mean_s, median((mx - mn) / mn * 100) FILTER (WHERE mn > 0) AS median_s FROM s GROUP BY d),
-c AS (SELECT d, avg(price) FILTER (WHERE NOT club) AS public_avg, avg(price) FILTER (WHERE club) AS club_avg FROM w GROUP BY d),
+c AS (SELECT d, avg(CASE WHEN club THEN coalesce(original, price) ELSE price END) AS public_avg, avg(price) FILTER (WHERE club) AS club_avg, count(price) FILTER (WHERE club) AS club_samples, count(*) AS public_samples FROM w GROUP BY d),
 days AS (SELECT CAST(unnest(generate_series(DATE '{START}', DATE '2001-09-29', INTERVAL 1 DAY)) AS DATE) AS d)
 SELECT strftime(days.d, '%Y-%m-%d') AS day, coalesce(multi_count, 0) AS multi_count,
   CAST(floor(coalesce(mean_s, 0) * 10.0 + 0.5) AS DOUBLE) / 10.0 AS mean_spread, CAST(floor(coalesce(median_s, 0) * 10.0 + 0.5) AS DOUBLE) / 10.0 AS median_spread,
-  CAST(floor(coalesce(public_avg, 0) * 100.0 + 0.5) AS DOUBLE) / 100.0 AS public_avg, CAST(floor(coalesce(club_avg, 0) * 100.0 + 0.5) AS DOUBLE) / 100.0 AS club_avg
+  CAST(floor(coalesce(public_avg, 0) * 100.0 + 0.5) AS DOUBLE) / 100.0 AS public_avg, CAST(floor(coalesce(club_avg, 0) * 100.0 + 0.5) AS DOUBLE) / 100.0 AS club_avg,
+  coalesce(club_samples, 0) AS club_samples, coalesce(public_samples, 0) AS public_samples
 FROM days LEFT JOIN g ON g.d = days.d LEFT JOIN c ON c.d = days.d""",
 )
 def price_timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and median spread of products with several markets on a day; public against members' average price."""
+    """Mean and median spread of products with several markets on a day; the average price for everyone against the members' one.
+
+    A members' row gives its price to the members' mean, and its original price (or its price) to everyone's.
+    """
     begin, end = (F.lit(x).cast("timestamp_ntz") for x in (START, "2001-09-30"))
     w = prices(spark, sf_dir).filter((F.col("created_at") >= begin) & (F.col("created_at") < end)).withColumn("day", F.to_date("created_at"))
     last = w.groupBy("day", "product", "market").agg(F.max_by("price", F.struct("created_at", "offer_id")).alias("price"))
     spread = last.groupBy("day", "product").agg(F.min("price").alias("mn"), F.max("price").alias("mx"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
     pct = F.when(F.col("mn") > 0, (F.col("mx") - F.col("mn")) / F.col("mn") * 100)
     g = spread.groupBy("day").agg(F.count(F.lit(1)).alias("multi_count"), F.avg(pct).alias("mean_s"), F.median(pct).alias("median_s"))
-    c = w.groupBy("day").agg(F.avg(F.when(~F.col("club"), F.col("price"))).alias("public"), F.avg(F.when(F.col("club"), F.col("price"))).alias("members"))
+    own, all_ = F.when(F.col("club"), F.col("price")), F.when(F.col("club"), F.coalesce("original", "price")).otherwise(F.col("price"))
+    c = w.groupBy("day").agg(F.avg(all_).alias("public"), F.avg(own).alias("members"), F.count(own).alias("club_samples"), F.count(F.lit(1)).alias("public_samples"))
     days = calendar(spark, START, DAYS).join(g, "day", "left").join(c, "day", "left")
     zero = lambda x: F.coalesce(x, F.lit(0.0))
-    return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("multi_count", F.lit(0)).alias("multi_count"), half_up(zero(F.col("mean_s")), 1).alias("mean_spread"), half_up(zero(F.col("median_s")), 1).alias("median_spread"), half_up(zero(F.col("public")), 2).alias("public_avg"), half_up(zero(F.col("members")), 2).alias("club_avg"))
+    return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("multi_count", F.lit(0)).alias("multi_count"), half_up(zero(F.col("mean_s")), 1).alias("mean_spread"), half_up(zero(F.col("median_s")), 1).alias("median_spread"), half_up(zero(F.col("public")), 2).alias("public_avg"), half_up(zero(F.col("members")), 2).alias("club_avg"), F.coalesce("club_samples", F.lit(0)).alias("club_samples"), F.coalesce("public_samples", F.lit(0)).alias("public_samples"))
 
 
 @query(
@@ -302,11 +307,19 @@ def club_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "price_timeseries_summary",
-    f"""WITH {PRICES_SQL}, c AS (SELECT CAST(created_at AS DATE) AS d, CAST(floor(avg(price) FILTER (WHERE NOT club) * 100.0 + 0.5) AS DOUBLE) / 100.0 AS public_avg, CAST(floor(avg(price) FILTER (WHERE club) * 100.0 + 0.5) AS DOUBLE) / 100.0 AS club_avg
-FROM prices WHERE created_at >= TIMESTAMP '{START}' AND created_at < TIMESTAMP '2001-09-30' GROUP BY 1)
-SELECT CAST(floor(coalesce(avg(public_avg), 0) * 100.0 + 0.5) AS DOUBLE) / 100.0 AS public_avg, CAST(floor(coalesce(avg(club_avg), 0) * 100.0 + 0.5) AS DOUBLE) / 100.0 AS club_avg, count(public_avg) AS days FROM c""",
+    f"""WITH {PRICES_SQL}, w AS (SELECT *, CAST(created_at AS DATE) AS d FROM prices WHERE created_at >= TIMESTAMP '{START}' AND created_at < TIMESTAMP '2001-09-30'),
+l AS (SELECT d, product, market, arg_max(price, (created_at, offer_id)) AS price FROM w GROUP BY ALL),
+s AS (SELECT d, product, min(price) AS mn, max(price) AS mx FROM l GROUP BY ALL HAVING count(*) >= 2),
+g AS (SELECT d, CAST(floor(coalesce(avg((mx - mn) / mn * 100) FILTER (WHERE mn > 0), 0) * 10.0 + 0.5) AS BIGINT) AS spread FROM s GROUP BY d),
+c AS (SELECT d, CAST(floor(avg(CASE WHEN club THEN coalesce(original, price) ELSE price END) * 100.0 + 0.5) AS BIGINT) AS everyone, CAST(floor(avg(price) FILTER (WHERE club) * 100.0 + 0.5) AS BIGINT) AS members
+  FROM w GROUP BY d HAVING count(*) FILTER (WHERE club) > 0)
+SELECT coalesce((SELECT floor(sum(spread) / count(*)::DOUBLE + 0.5) FROM g), 0) / 10.0::DOUBLE AS mean_spread, coalesce(floor(sum(everyone) / count(*)::DOUBLE + 0.5), 0) / 100.0::DOUBLE AS public_avg, coalesce(floor(sum(members) / count(*)::DOUBLE + 0.5), 0) / 100.0::DOUBLE AS club_avg, count(*) AS days FROM c""",
 )
 def price_timeseries_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means over the days that have a price, of daily means that are rounded already."""
-    d = price_timeseries(spark, sf_dir).select(*[F.nullif(F.col(c), F.lit(0.0)).alias(c) for c in ("public_avg", "club_avg")])
-    return d.agg(*[F.coalesce(half_up(F.avg(c), 2), F.lit(0.0)).alias(c) for c in ("public_avg", "club_avg")], F.count("public_avg").alias("days"))
+    """Means of daily means, which are rounded already: the spread over days with a product in several markets, both prices over days with members' prices."""
+    d = price_timeseries(spark, sf_dir)
+    some = F.col("club_samples") > 0
+    # sums of whole tenths and cents, so that no order of summing decides a tie
+    whole = lambda cond, name, places: F.floor(F.sum(F.when(cond, F.round(F.col(name) * 10**places).cast("long"))) / F.count_if(cond) + 0.5)
+    over = lambda cond, name, places: F.when(F.count_if(cond) > 0, whole(cond, name, places) / 10.0**places).otherwise(F.lit(0.0)).alias(name)
+    return d.agg(over(F.col("multi_count") > 0, "mean_spread", 1), over(some, "public_avg", 2), over(some, "club_avg", 2), F.count_if(some).alias("days"))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.functions.semantics import half_up, ranking_price
-from pricewell.operators.basket import baskets, best_offers, best_single, ranked, split_summary, split_two
+from pricewell.operators.basket import baskets, best_offers, best_single, list_baskets, ranked, split_summary, split_two
 from pricewell.operators.series import anchor_slope, axis_domains, decimate, ohlc, project, slope, stack, tallest
-from pricewell.plans.frames import half
+from pricewell.plans.frames import cte, frame, half, norm
 from pricewell.registry import query
+from pricewell.sources.scratch import kept
 from pricewell.sources.tables import PRICES_SQL, prices, table
 
 #: item, text, quantity, product and offer that it names (if any)
@@ -71,7 +72,8 @@ def basket_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("basket_split_total", f"{_BASKET_SQL}, t AS (SELECT count(DISTINCT market) AS stores, count(*) AS lines, {half('sum(line_total)', 2)} AS split_total FROM s HAVING count(*) > 0) SELECT stores, lines, split_total, CASE WHEN one.complete AND one.total > split_total THEN {half('one.total - split_total', 2)} ELSE 0.0 END AS savings_vs_best_single FROM t, one")
 def basket_split_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the split costs, and what it saves against the best single market."""
-    return split_summary(split_two(_best(spark, sf_dir), len(LIST)), best_single(_baskets(spark, sf_dir)))
+    best = kept(_best(spark, sf_dir), "best-offers")
+    return split_summary(split_two(best, len(LIST)), best_single(kept(baskets(best, len(LIST), _markets(spark, sf_dir)), "baskets")))
 
 
 @query("basket_lines", f"{_BASKET_SQL}, g AS (SELECT s_suppkey AS market, item FROM supplier, items) SELECT g.item, g.market, {half('line_total', 2)} AS line_total, offer_id IS NULL AS missing FROM g LEFT JOIN best ON best.item = g.item AND best.market = g.market")
@@ -82,6 +84,31 @@ def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(_best(spark, sf_dir), _items(spark), _markets(spark, sf_dir)).select("item", "market", half_up(F.col("line_total"), 2).alias("line_total"), "missing")
 
 
+_LISTS_SQL = f"""items AS (SELECT l_orderkey AS list_id, l_linenumber AS item, l_quantity AS quantity, CASE WHEN l_linenumber = 7 THEN CAST(l_partkey AS STRING) END AS offer,
+  CASE l_linenumber WHEN 1 THEN p_name WHEN 2 THEN upper(substr(p_name, 2, 3)) WHEN 3 THEN regexp_replace(p_name, '^(.*) (.*)$', '$2 x $1') WHEN 4 THEN substr(p_name, 1, 2) || '-' || substr(p_name, length(p_name) - 2, 3) WHEN 5 THEN 'no such ' || p_name WHEN 6 THEN 'a' ELSE '' END AS query
+  FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, sum(l_quantity) AS l_quantity FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber) JOIN {{part}} ON l_partkey = p_partkey)"""
+
+
+@query(
+    "all_lists_compare",
+    f"""WITH {cte('offers')}, {_LISTS_SQL.format(lineitem='lineitem', part='part').replace('$2 x $1', chr(92) + '2 x ' + chr(92) + '1')},
+o AS (SELECT *, coalesce(CASE WHEN eligibility <> 'ALL_CUSTOMERS' THEN original_price END, price) AS rank_price FROM offers WHERE validation_status = 'validated'),
+names AS (SELECT DISTINCT {norm('name')} AS t FROM o), q AS (SELECT DISTINCT query, list_filter(string_split({norm('query')}, ' '), lambda x: length(x) >= 2) AS toks FROM items),
+hits AS (SELECT query, t FROM q, names WHERE len(toks) > 0 AND list_bool_and(list_transform(toks, lambda x: contains(t, x)))),
+per_query AS (SELECT query, supermarket_id AS market, min(rank_price) AS p FROM hits JOIN o ON {norm('name')} = t GROUP BY ALL),
+met AS (SELECT list_id, item, items.quantity, market, p FROM items JOIN per_query USING (query) UNION ALL SELECT list_id, item, items.quantity, supermarket_id, rank_price FROM items JOIN o ON o.id = items.offer),
+best AS (SELECT list_id, item, market, min(p) * any_value(quantity) AS line_total FROM met GROUP BY ALL), n AS (SELECT list_id, count(*) AS n FROM items GROUP BY 1)
+SELECT list_id, market, {half('sum(line_total)', 2)} AS total, any_value(n) - count(*) AS missing, any_value(n) = count(*) AS complete FROM best JOIN n USING (list_id) GROUP BY list_id, market""",
+)
+def all_lists_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every user's list costs at every market: whole names, parts of words, words in another order, named offers."""
+    items = spark.sql(f"WITH {_LISTS_SQL} SELECT * FROM items", lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"))
+    c = F.col
+    price = ranking_price(c("price"), c("original_price"), F.coalesce(c("eligibility") != "ALL_CUSTOMERS", F.lit(False)))
+    offers = frame(spark, sf_dir, "offers").filter("validation_status = 'validated'").select(c("id").alias("offer_id"), c("supermarket_id").alias("market"), "name", price.alias("ranking_price"))
+    return list_baskets(items, offers)
+
+
 _CANDLES = "c AS (SELECT user_id, ts, event_id, value AS open, value + event_id % 5 AS high, value - event_id % 3 AS low, value + event_id % 2 AS close FROM events)"
 
 

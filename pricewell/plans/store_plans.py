@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,25 +12,16 @@ from pricewell.operators.listing import contains_text
 from pricewell.plans.frames import cte, day, frame, norm
 from pricewell.registry import query
 from pricewell.sources import sinks
+from pricewell.sources.scratch import new_folder
 from pricewell.sources.tables import table
 
 NOW = "2000-06-01"
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all tasks see: under the checkpoint folder, in local mode a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="pricewell-")
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
-
-
 @query("appended_rows", "SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT n_nationkey + 100, upper(n_name) FROM nation")
 def appended_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written in two appends and read again."""
-    n, path = table(spark, sf_dir, "nation"), _folder(spark)
+    n, path = table(spark, sf_dir, "nation"), new_folder(spark)
     sinks.append(n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v")), path)
     sinks.append(n.select((F.col("n_nationkey") + 100).alias("k"), F.upper("n_name").alias("v")), path)
     return spark.read.parquet(path)
@@ -42,7 +30,7 @@ def appended_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("swapped_table", "SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE n_name END AS v FROM nation")
 def swapped_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table replaced by its patched version: readers see the old or the new one."""
-    n, path = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v")), _folder(spark)
+    n, path = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v")), new_folder(spark)
     sinks.swap(spark, n, path)
     old = spark.read.parquet(sinks.current(spark, path))
     sinks.swap(spark, sinks.patch(old, n.filter("k % 2 = 0").select("k", F.lit("new").alias("v")), ["k"], ["v"]), path)
@@ -52,7 +40,7 @@ def swapped_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("wiped_tables", "SELECT 'a' AS name, 0::BIGINT AS n UNION ALL SELECT 'b', 0::BIGINT")
 def wiped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables that were emptied."""
-    base, n = _folder(spark), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    base, n = new_folder(spark), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
     tables = {name: (f"{base}/{name}", "k int") for name in ("a", "b")}
     for path, _ in tables.values():
         sinks.swap(spark, n, path)

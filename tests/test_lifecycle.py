@@ -52,7 +52,10 @@ def test_schedules(spark):
     markets = spark.createDataFrame([("m",), ("m",)], "supermarket_id string")
     assert {r.id: r.next_run_at for r in lifecycle.arm(flows, markets, AT()).collect()} == {"f1": NOW, "f2": None, "f3": None}
     assert {r.id: r.next_run_at for r in lifecycle.arm_periodic(flows, AT()).collect()} == {"f1": datetime(2024, 6, 9, 6), "f2": NOW, "f3": None}
-    done = {r.id: r for r in lifecycle.record_runs(flows, spark.createDataFrame([("f1", True), ("f2", False)], "id string, ok boolean"), AT()).collect()}
+    results = spark.createDataFrame([("f1", NOW, True, 0, None), ("f2", NOW, False, 0, None)], "id string, at timestamp, ok boolean, new_flyers int, error string")
+    after, errors = lifecycle.record_runs(flows, results)
+    done = {r.id: r for r in after.collect()}
+    assert [(r.id, r.supermarket_id, r.message) for r in errors.collect()] == [("f2", "m2", "Discovery failed after 4 attempts")]
     assert (done["f1"].next_run_at, done["f1"].discovery_attempts) == (datetime(2024, 6, 10, 6), 0)
     assert (done["f2"].status, done["f2"].next_run_at, done["f2"].discovery_attempts) == ("error", datetime(2024, 6, 10, 8), 4)
     assert done["f3"].last_run_at is None
