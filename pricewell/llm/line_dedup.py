@@ -166,10 +166,10 @@ def build_shards(keys: DataFrame, shards: int) -> DataFrame:
 def _send(min_chars: int, shards: int, heavy):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys, docs = [], []
-        for doc, text in zip(_ids(batch).tolist(), texts(batch), strict=True):
+        for doc, row, text in zip(_ids(batch).tolist(), batch.column("_row").to_pylist(), texts(batch), strict=True):
             own = set(long_keys(text, min_chars)[2])
             keys += own
-            docs += [doc] * len(own)
+            docs += [(doc, row)] * len(own)
         if not keys:
             return
         h, d = _hashes(keys), np.array(docs, np.int64)
@@ -197,11 +197,11 @@ def _answer(min_docs: int):
                     continue
                 if row["shard"] != at:
                     raise ValueError(f"line hashes met no index of shard {row['shard']}")
-                h, d = np.frombuffer(row["hashes"], "<u8").reshape(-1, 2), np.frombuffer(row["docs"], np.int64)
+                h, d = np.frombuffer(row["hashes"], "<u8").reshape(-1, 2), np.frombuffer(row["docs"], np.int64).reshape(-1, 2)
                 found, count, last = index.probe(h[:, 0], h[:, 1])
-                hit = found & (count >= min_docs) & (last != d)
+                hit = found & (count >= min_docs) & (last != d[:, 0])
                 if hit.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(d[hit]), pa.array([x.tobytes() for x in h[hit]], pa.binary())], ["_id", "hash"])
+                    yield pa.RecordBatch.from_arrays([pa.array(d[hit, 0]), pa.array(d[hit, 1]), pa.array([x.tobytes() for x in h[hit]], pa.binary())], ["_id", "_row", "hash"])
 
     return run
 
@@ -280,18 +280,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadca
     empty = LineIndex.build(*(np.zeros(0, d) for d in (np.uint64, np.uint64, np.int64, np.int64))).dumps()
     heavy = _Held(spark, bytes(found[0]["data"]) if found else empty, scratch.base)
 
-    carry = ["doc_id"] if digest else [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "hits", "_id")]
+    carry = ["doc_id"] if digest else [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "hits", "_id", "_row")]
     source = small if digest else docs.select(*carry, F.col("text").cast("string").alias("text"))
     n_shards = max(1, math.ceil(counts.count() / shard_keys))
     index = scratch.table(build_shards(counts.filter(~is_hot), n_shards), "shards")
-    probes = per_batch(small, _send(min_chars, n_shards, heavy), "shard int, data binary, hashes binary, docs binary")
+    row = F.xxhash64("text").alias("_row")
+    probes = per_batch(small.select("*", row), _send(min_chars, n_shards, heavy), "shard int, data binary, hashes binary, docs binary")
     met = index.select("shard", "data", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("docs")).unionByName(probes)
-    hits = met.repartition(max(partitions(spark), n_shards), "shard").sortWithinPartitions("shard", F.col("data").isNull()).mapInArrow(_answer(min_docs), "_id long, hash binary")
-    hits = scratch.table(hits.groupBy("_id").agg(F.collect_list("hash").alias("hits")), "hits")
+    hits = met.repartition(max(partitions(spark), n_shards), "shard").sortWithinPartitions("shard", F.col("data").isNull()).mapInArrow(_answer(min_docs), "_id long, _row long, hash binary")
+    # one list for each text of an id, no longer than the text's own lines: rows without an id, or with one id, do not get one another's
+    hits = scratch.table(hits.groupBy("_id", "_row").agg(F.collect_set("hash").alias("hits")), "hits")
     scratch.only("hits")
     n_hits = hits.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
-    side = F.broadcast(hits) if n_hits * 48 <= broadcast_bytes else hits.hint("shuffle_hash")
-    source = source.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(side, "_id", "left").drop("_id")
+    side = F.broadcast(hits) if n_hits * 56 <= broadcast_bytes else hits.hint("shuffle_hash")
+    source = source.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_row", row).join(side, ["_id", "_row"], "left").drop("_id", "_row")
     kinds = {f.name: f.dataType for f in source.schema}
     schema = T.StructType([*(T.StructField(c, kinds[c]) for c in carry), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256" if digest else "text", T.StringType())])
     out = per_batch(source, _apply(min_chars, heavy, carry, digest), schema)

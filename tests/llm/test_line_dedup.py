@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -96,3 +97,16 @@ def test_repeated_ids_count_as_rows(spark):
     rows = [(7, line)] * 5 + [(3, line)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(x) for x in dedup_lines(docs, digest=True).collect()), key=str) == slow(rows)
+
+
+def test_rows_without_an_id_take_time_in_proportion(spark):
+    """Fifty long lines each, in groups of 500 texts with the same lines, one of which has an id: no row gets the hits of all others."""
+    line = "concat('group ', id div 500, ' line ', k, ' of a text that is long enough', if(k = 0, cast(id as string), ''))"
+    made = lambda n: spark.range(n).selectExpr("if(id % 500 = 0, id, NULL) AS doc_id", f"array_join(transform(sequence(0, 49), k -> {line}), '\\n') AS text").repartition(8)
+    took = {}
+    for n in (2000, 2000, 20_000):
+        began = time.time()
+        got = dedup_lines(made(n), digest=True).agg({"n_dropped": "sum", "n_lines": "sum"}).first()
+        took[n] = time.time() - began
+        assert (got["sum(n_lines)"], got["sum(n_dropped)"]) == (50 * n, 49 * (n - n // 500))
+    assert took[20_000] < 12 * max(took[2000], 2)
