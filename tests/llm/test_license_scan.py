@@ -1,7 +1,8 @@
 import random
 import re
+import time
 
-from pricewell.llm.license_scan import SENTENCES, identify, scan, scan_licenses, sentences, words_of
+from pricewell.llm.license_scan import FAMILIES, NAMED, RULES, SENTENCES, SPDX_NAMES, identify, recognise, scan, scan_licenses, sentences, words_of
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files, to deal in the Software without restriction. The above copyright notice and this
@@ -61,7 +62,8 @@ WHOLE = [
     "released under cc by 4.0", "shared under the creative commons by-sa 4.0", "released under cc0 1.0", "dedicated to the public domain", "this is free and unencumbered software released into the public domain",
     "or (at your option) any later version", "all rights reserved", "the software is provided as is and the author disclaims all warranties", "all advertising materials mentioning features or use of this software must display",
     "under the 3-clause bsd license", "the eclipse public license v2.0", "the common development and distribution license, version 1.1", "the boost software license version 1.0", "this software is provided as is, without any express or implied warranty",
-    "altered source versions must be plainly marked as such", "the artistic license 2.0", "under the gnu gpl v2",
+    "altered source versions must be plainly marked as such", "the artistic license 2.0", "under the gnu gpl v2", "under the gnu general public license", "by the gnu lgpl", "under the gnu agpl", "apache-2.0", "license: mit",
+    *(" ".join("1.2" if w == "<v>" else w.strip("[]").split("|")[0] for w in words.split() if w != "<none>") for _, words, _ in NAMED),
 ]
 
 
@@ -141,30 +143,121 @@ def test_recall_over_wrapped_and_commented_texts():
     assert hit >= 0.97 * tried and exact >= 0.95 * tried, (hit, exact, tried)
 
 
+V = r"v?\.?\d+(?:\.\d+)*\+? "
+LATER = r"(?:(?:(?:or |and )(?:at your option )?(?:any )?|at your option (?:any )?|any )(?:later|newer|higher|greater) (?:(?:versions?|release) )?)"
+HOLES = {
+    "*": "(?:.* )?", "<v>": V, "<by>": "by(?:-nc)?(?:-nd|-sa)? ", "<later>": LATER, "<none>": rf"(?!(?:(?:version|v) )?{V})", "<id>": "(?:" + "|".join(re.escape(x.lower()) for x in SPDX_NAMES) + ") ",
+    "<short>": rf"(?:(?:{'|'.join(FAMILIES)})-?v?-?\d+(?:\.\d+)*(?:-only|-or-later|\+)? |(?:" + "|".join(re.escape(x.lower()) for x in SPDX_NAMES if "-" in x) + ") )",
+}
+DENIED = re.compile(r"(?:not|never|no|nor|neither|cannot) (?:(?:under|by|to|with|as|is|are|be|being|been|of|in|it|this|that|terms|conditions|licensed|released|distributed|covered|available|published|provided|governed|subject|use|used|any|longer|software|code|work|program) ){0,7}$")
+
+
 def slow_identify(norm):
     """All table entries tried at every place as plain regular expressions."""
-    hole = {"*": "(?:.* )?", "<v>": r"v?\\.?\\d+(?:\\.\\d+)* ", "<by>": "by(?:-nc)?(?:-nd|-sa)? "}
     words = [w for _, w in words_of(re.sub(r"spdx-license-identifier: *[^\x02]*", "", norm))]
     out = []
     for k in range(len(words)):
         rest = " ".join(words[k:]) + " "
         for name, entry in SENTENCES:
-            pattern = "".join(hole[w].replace("\\\\", "\\") if w in hole else f"(?:{re.sub(r'([.+])', r'[.]', w.strip('[]'))}) " + ("" if not w.startswith("[") else "") if not w.startswith("[") else f"(?:(?:{w.strip('[]')}) )?" for w in entry.split())
-            if re.match(pattern, rest) and not (name == "bsd-ref" and k and words[k - 1].endswith("-clause")):
+            pattern = ""
+            for w in entry.split():
+                bare = w.strip("[]")
+                part = HOLES[bare] if bare in HOLES else f"(?:{bare}) "
+                pattern += f"(?:{part})?" if w.startswith("[") else part
+            before = " ".join(words[: k + (words[k] in ("under", "by"))]) + " "
+            told = name == "gpl-any" and words[k] == "gpl" or name == "short" and k and words[k - 1] in ("license", "licensed") and words[k] in {x.lower() for x in SPDX_NAMES}
+            if re.match(pattern, rest) and not (name == "bsd-ref" and k and words[k - 1].endswith("-clause")) and not DENIED.search(before) and not told:
                 out.append(name)
     return sorted(out)
 
 
+def slow_recognise(names):
+    """(licence rule numbers, identifiers left) by trying every rule at every place again after each match, nearest sentences first."""
+    left, out = list(enumerate(names)), []
+    for number, (ids, _, gap) in enumerate(RULES):
+        while True:
+            best = None
+            for end in range(len(left)):
+                if left[end][1] != ids[-1]:
+                    continue
+                picked, at = [end], end
+                for want in reversed(ids[:-1]):  # each sentence as near as can be to the next one
+                    at = next((j for j in range(at - 1, -1, -1) if left[j][1] == want), None)
+                    if at is None:
+                        break
+                    picked.append(at)
+                places = [left[j][0] for j in reversed(picked)]
+                if len(picked) == len(ids) and (gap is None or all(b - a <= gap + 1 for a, b in zip(places, places[1:], strict=False))):
+                    best = picked
+                    break
+            if best is None:
+                break
+            out.append(number)
+            left = [x for j, x in enumerate(left) if j not in best]
+    return out, [x for _, x in left]
+
+
+def test_one_pass_names_what_repeated_search_names():
+    r = random.Random(8)
+    rules = [ids for ids, _, _ in RULES if len(ids) > 1]
+    for _ in range(1500):
+        ids = [r.choice(rules) for _ in range(r.randint(1, 3))]
+        names_ = [x for i in ids for x in i if r.random() < 0.9]
+        if r.random() < 0.3:
+            names_.insert(r.randrange(len(names_) + 1), r.choice(["mit-ref", "or-later", "bsd-ref"]))
+        if len(set(names_)) < len(names_) or "rights-reserved" in names_:
+            continue  # of repeats either may be taken
+        tokens = [(n, x, ("2",) if x.endswith("-ref") and not x.startswith(("mit", "bsd")) else ()) for n, x in enumerate(names_)]
+        out, left = slow_recognise(names_)
+        got = recognise(tokens)
+        assert ("UNKNOWN" in got) == bool(left), names_
+        families = sorted({RULES[n][1].split("{")[0].split("-or")[0].rstrip("-") for n in out})
+        assert sorted({re.sub(r"-\d.*", "", x) for x in got if x != "UNKNOWN"} | set()) == sorted({re.sub(r"-\d.*", "", f) for f in families}), (names_, got, families)
+
+
+# wordings that were not taken from the table
+PLAIN = [
+    ("GNU GPL v3 or later", "GPL-3.0-or-later"), ("Parts are not under the MIT license.", ""), ("It is licensed under GPLv3+", "GPL-3.0-or-later"), ("Licensed under the GPL version 2", "GPL-2.0-only"), ("LGPL-2.1-or-later", "LGPL-2.1-or-later"),
+    ("see Apache-2.0 for details", "Apache-2.0"), ("MIT licensed", "MIT"), ("This code is MIT-licensed", "MIT"), ("a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"), ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", "CC-BY-NC-ND-4.0"),
+    ("SIL Open Font License", "OFL-1.1"), ("the SIL Open Font License, Version 1.1", "OFL-1.1"), ("European Union Public Licence v1.2", "EUPL-1.2"), ("Business Source License 1.1", "BUSL-1.1"), ("the Python Software Foundation License", "PSF-2.0"), ("released under the GPL.", "GPL"),
+    ("under the GNU General Public License, version 3 or any later version", "GPL-3.0-or-later"), ("version 2 of the GNU Lesser General Public License, or (at your option) any later version", "LGPL-2.0-or-later"), ("license: MIT", "MIT"), ('"license": "BSD-3-Clause"', "BSD-3-Clause"),
+    ("CC-BY-NC-SA-4.0", "CC-BY-NC-SA-4.0"), ("was never released under the Apache License, version 2.0", ""), ("licensed under the Apache License", "Apache"), ("sooner or later we all meet, with any later version of us", ""), ("licensed under apache-2.0", "Apache-2.0"),
+    ("GNU AGPLv3", "AGPL-3.0-only"), ("dual licensed under GPLv2 or newer", "GPL-2.0-or-later"), ("you may use it under the terms of the GNU LGPL, version 2.1 or greater", "LGPL-2.1-or-later"), ("not a work of art; licensed under the MIT License", "MIT"), ("under the same terms as Perl itself", "Artistic-1.0-Perl"),
+    ("GPLv2 only", "GPL-2.0-only"), ("distributed under the Mozilla Public License", "MPL"), ("Server Side Public License, version 1", "SSPL-1.0"), ("the GNU Free Documentation License, Version 1.3", "GFDL-1.3"), ("PostgreSQL License", "PostgreSQL"), ("the ISC licence", "ISC"), ("no longer licensed under the BSD license", ""),
+]
+
+
+def test_wordings_that_are_not_in_the_table():
+    assert {t: ",".join(names(t)) for t, _ in PLAIN} == dict(PLAIN)
+
+
+def test_long_texts_take_time_in_proportion():
+    for piece in ("MIT License. ", "neither name of x may ", "GNU GPL v3 or later ", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. ", "SPDX-License-Identifier: MIT\n", "software is provided as is and "):
+        took = []
+        for size in (200_000, 2_000_000):
+            began = time.process_time()
+            scan(piece.encode() * (size // len(piece)))
+            took.append(time.process_time() - began)
+        assert took[1] < 25 * max(took[0], 0.05), (piece, took)
+
+
 def test_all_columns_equal_a_plain_search(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
-    rows = [(r.doc_id, r.text or "") for r in docs] + [(10_000 + k, t) for k, t in enumerate([MIT, GPL, BSD, ISC, *WHOLE])]
+    rows = [(r.doc_id, r.text or "") for r in docs] + [(10_000 + k, t) for k, t in enumerate([MIT, GPL, BSD, ISC, *WHOLE, *(t for t, _ in PLAIN)])]
+    # what the documents and the texts above are known to name
+    known = {**{10_000 + 4 + len(WHOLE) + k: sorted(filter(None, w.split(","))) for k, (_, w) in enumerate(PLAIN)}, 10_000: ["MIT"], 10_001: ["GPL-3.0-or-later"], 10_002: ["BSD-3-Clause"], 10_003: ["ISC"]}
+    plain = {"Apache-2.0": r"(?i)licensed under the apache license, version 2\.0", "MIT": r"(?i)released under the mit license", "GPL-3.0-only": r"(?i)under the gnu general public license, version 3", "CC-BY-NC-4.0": r"(?i)licensed under cc by-nc 4\.0", "Proprietary": r"(?i)all rights reserved"}
+    known |= {r.doc_id: sorted(k for k, p in plain.items() if re.search(p, r.text or "")) for r in docs}
     some = 0
     for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         text = dict(rows)[r.doc_id]
         cut = sentences(text)
-        held = [(a, e, slow_identify(s) + ["spdx"] * len([1 for name, _ in identify(s) if name == "spdx"])) for a, e, s in cut]
-        assert sorted(r.sentence_ids) == sorted(x for _, _, ids in held for x in ids)
-        assert r.n_license_sentences == sum(bool(ids) for _, _, ids in held)
-        assert sorted(map(tuple, r.spans)) == sorted((a, e) for a, e, ids in held for _ in ids)
+        held = [(a, e, [name for name, _ in identify(s)], slow_identify(s) + ["spdx"] * len([1 for name, _ in identify(s) if name == "spdx"])) for a, e, s in cut]
+        assert r.sentence_ids == [x for _, _, ids, _ in held for x in ids]
+        assert all(sorted(ids) == sorted(plain_ids) for _, _, ids, plain_ids in held), text[:300]
+        assert r.n_license_sentences == sum(bool(ids) for _, _, ids, _ in held)
+        assert list(map(tuple, r.spans)) == [(a, e) for a, e, ids, _ in held for _ in ids]
+        if r.doc_id in known:
+            assert r.licenses == known[r.doc_id], text[:300]
         some += bool(r.licenses)
     assert some > 30
