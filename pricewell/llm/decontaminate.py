@@ -4,9 +4,9 @@ Items are partitioned by their number of shingles, so the sizes within a partiti
 of at most sqrt(2). For each partition documents are read in overlapping blocks a little over
 twice the partition's largest item: an item's passage lies whole in some block, and its containment of 0.8
 becomes a Jaccard similarity of 0.21 or more, whatever the document's length. A block is a
-candidate for an item when any of 64 minimum hashes agree (a miss has probability below 1e-6). What blocks cannot show is counted by
-an index of the items' shingles, which misses nothing: items that repeat themselves, so that their places exceed their partition's
-distinct shingles, and in documents longer than a block all items, for their shingles may lie scattered further apart. Candidates
+candidate for an item when any of 64 minimum hashes agree (a miss has probability below 1e-6); this is how every item that lies in some block is found. What
+no block can show is counted by an index of the items' shingles, and only that: items that repeat themselves, so that their places exceed
+their partition's distinct shingles, and items of which the document has enough, but scattered so that no block has it. Candidates
 are verified by exact containment of word shingles in the whole document.
 
 Documents are read once and nothing is shuffled. Items go to all tasks in blocks of bounded size;
@@ -96,7 +96,7 @@ class Items:
         self.indexed[(self.index >> np.uint64(42)).astype(np.int64)] = True
 
     def counted(self, h: np.ndarray, count: np.ndarray, least: float) -> set[tuple[int, int]]:
-        """(text, item) pairs of whose item's shingles the text holds ``least`` or more: of items that repeat themselves, and of all in texts longer than their blocks."""
+        """(text, item) pairs that blocks cannot show: the text holds ``least`` of an item that repeats itself, or of one whose shingles no block holds enough of."""
         at = np.flatnonzero(self.indexed[(h >> np.uint64(42)).astype(np.int64)]) if len(self.index) else np.zeros(0, np.int64)
         block = np.zeros(len(self.ids), np.int64)
         for size, own in self.parts:
@@ -104,15 +104,28 @@ class Items:
         a, b = np.searchsorted(self.index, h[at], "left"), np.searchsorted(self.index, h[at], "right")
         at, a, b = at[b > a], a[b > a], b[b > a]
         found: set[tuple[int, int]] = set()
-        doc = np.searchsorted(np.cumsum(count), at, "right")
+        ends = np.cumsum(count)
+        doc = np.searchsorted(ends, at, "right")
         run = starts_of(doc)
         for x, y in zip(run.tolist(), np.append(run[1:], len(doc)).tolist(), strict=True) if len(run) else ():
+            d = int(doc[x])
             _, first = np.unique(a[x:y], return_index=True)
             begin, n = a[x:y][first], (b - a)[x:y][first]
             hits = np.bincount(self.index_items[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(self.ids))
-            found.update((int(doc[x]), int(i)) for i in np.flatnonzero((hits > 0) & (hits >= least * self.needs - 1e-6) & (count[doc[x]] > block)))
+            for i in np.flatnonzero((hits > 0) & (hits >= least * self.needs - 1e-6) & (count[d] > block)):
+                places = at[x:y] - (ends[d] - count[d])
+                if self.repeats[i] or self._scattered(int(i), places, a[x:y], b[x:y], int(block[i]), least):
+                    found.add((d, int(i)))
         return found
 
+    def _scattered(self, item: int, places: np.ndarray, a: np.ndarray, b: np.ndarray, size: int, least: float) -> bool:
+        """Whether no block (two neighbouring stretches of ``size`` places) holds ``least`` of the item's shingles."""
+        held: dict[int, set[int]] = {}
+        for place, lo, hi in zip(places.tolist(), a.tolist(), b.tolist(), strict=True):
+            if item in self.index_items[lo:hi]:
+                held.setdefault(place // size, set()).add(lo)
+        return all(len(own | held.get(s + 1, set())) < least * self.needs[item] - 1e-6 for s, own in held.items())
+
     def candidates(self, h: np.ndarray, count: np.ndarray) -> set[tuple[int, int]]:
         """(text, item) pairs in which some block and the item agree on a minimum."""
         found: set[tuple[int, int]] = set()

@@ -2,7 +2,7 @@ import numpy as np
 import random
 import re
 
-from pricewell.llm.decontaminate import drop_contaminated, find_items
+from pricewell.llm.decontaminate import Items, drop_contaminated, find_items
 
 
 def shingles(t):
@@ -91,3 +91,31 @@ def test_scattered_shingles_of_a_long_document_count(spark):
     items = spark.createDataFrame([(5, " ".join(item)), (6, " ".join(word() for _ in range(60)))], "item_id long, text string")
     got = [(r.doc_id, r.item_id, r.containment) for r in find_items(docs, items).collect()]
     assert got == [(1, 5, 1.0)]
+
+
+def test_blocks_and_index_each_find_what_is_theirs(spark):
+    """Without the minimum hashes all pairs are lost but one that lies scattered; without the index no other."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text").collect()]
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    spread = [word() for _ in range(60)]
+    docs.append((-1, " ".join(w for k in range(0, 60, 12) for w in spread[max(0, k - 4) : k + 12] + [word() for _ in range(900)])))
+    items.append((-1, " ".join(spread)))
+    want = {(d, i) for d, i, *_ in slow(docs, items)}
+    held, raw = Items([i for i, _ in items], [(t or "").encode() for _, t in items]), [(t or "").encode() for _, t in docs]
+    told = lambda: {(docs[d][0], held.ids[i]) for d, i, *_ in held.matches(raw, 0.8)}
+    assert told() == want and len(want) > 20
+    candidates, counted = held.candidates, held.counted
+    held.candidates = lambda h, count: set()
+    assert told() == {(-1, -1)}, "what blocks show comes from the minimum hashes alone"
+    held.candidates, held.counted = candidates, lambda h, count, least: set()
+    assert want - {(-1, -1)} <= told() <= want
+    held.counted = counted
+
+
+def test_columns_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 7, "x", 0.5), (2, "g h i j k l", 8, "y", None)], "doc_id long, text string, item_id int, n_shingles string, containment double")
+    items = spark.createDataFrame([(5, "a b c d e f", "z")], "item_id long, text string, doc_id string")
+    assert [tuple(r) for r in find_items(docs, items).collect()] == [(1, 5, 2, 1.0)]
+    assert [tuple(r) for r in drop_contaminated(docs, items).collect()] == [(2, "g h i j k l", 8, "y", None)]
