@@ -52,7 +52,7 @@ STAGES = [
     ("benchmark_decontamination", benchmark_decontamination),
     ("sentencepiece", sentencepiece),
 ]
-# A trained classifier and piece ids are beyond SQL; tests hold the stages against plain Python.
+# A trained classifier and piece ids are beyond SQL; tests hold each stage's rows against plain Python over what the stage before has kept.
 ORACLE_SQL = None
 
 

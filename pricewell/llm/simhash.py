@@ -268,7 +268,7 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
 
 
 BANDS, LOWS = 25, 5  # a pair at similarity 0.8 shares no band of minima with probability (1 - 0.8 ** 5) ** 25 = 5e-5
-FAR = 26  # such a pair differs in 9.7 bits on average, with a standard deviation of 2.9
+ALL_BITS = 64  # bands choose by minima, not by bits: every pair of a band may be tried, the nearest first
 _ODD = mix64(np.arange(BANDS * LOWS, dtype=np.uint64), 23) | np.uint64(1)
 HELD = 16 << 20  # bytes of a table that all tasks may get
 CELLS = 256
@@ -485,7 +485,7 @@ def _groups(docs: DataFrame, scratch: Scratch, words: int, least: float, radius:
     one = marked.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("fp", "size", "bands", "cells")])
     nodes = scratch.table(one.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
     plan = allocate(*bit_counts(nodes), radius)
-    masks, limits = [_mask(bits) for bits, _ in plan], [radius] * len(plan) + [FAR] * BANDS
+    masks, limits = [_mask(bits) for bits, _ in plan], [radius] * len(plan) + [ALL_BITS] * BANDS
     open_, stars, tried, hot, held = nodes.select("node", "fp", "size", "bands", F.col("node").alias("grp")), None, None, None, None
     for n in count():
         rows = keyed(open_, plan, "size", "node", "grp").unionByName(open_.select(F.posexplode("bands").alias("part", "key"), "fp", "size", "node", "grp").withColumn("part", F.col("part") + len(plan)))

@@ -171,3 +171,47 @@ def test_cells_hold_every_pair_of_different_groups(spark):
     assert max(len(x) for c in cells.values() for x in c) < 48 and len(cells) == 65
     met = {(min(a, b), max(a, b)) for zero, one in cells.values() for a in zero for b in one if group(a) != group(b)}
     assert met == {(a, b) for b in range(n) for a in range(b) if group(a) != group(b)}
+
+
+def test_stage_rows_equal_plain_python(spark):
+    """Line, near-copy, benchmark and piece stages row for row, each over what the stage before has kept."""
+    from pricewell.llm.sentencepiece_codec import MODEL_PATH
+    from test_decontaminate import slow as slow_items
+    from test_line_dedup import key
+
+    sf = "/root/testdata/sf0.001"
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = lambda df: sorted((tuple(r) for r in df.select(*corpus_pipeline.COLUMNS).collect()), key=str)
+    start = stages["quality_classifier"](spark, docs, sf).persist()
+    now = rows(start)
+    held = {}
+    for d, t, *_ in now:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            held.setdefault(k, []).append(d)
+    often = {k: max(ids) for k, ids in held.items() if len(k) >= 40 and len(ids) >= 5}
+    lines = [(d, t, "\n".join(x for x in (t or "").split("\n") if often.get(key(x), d) == d), lang, s) for d, t, lang, s, _ in now]
+    after = stages["line_dedup"](spark, start, sf).persist()
+    assert rows(after) == sorted(((d, t, lang, s, len(t)) for d, _, t, lang, s in lines), key=str)
+    near = stages["simhash_near_dedup"](spark, after, sf).persist()
+    texts = [(d, t) for d, t, *_ in rows(after)]
+    group = linked(texts, slow_pairs(texts))
+    assert {d for d, *_ in rows(near)} == set(group.values())
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = stages["benchmark_decontamination"](spark, near, sf).persist()
+    bad = {d for d, *_ in slow_items([x[:2] for x in rows(near)], items)}
+    assert bad and rows(clean) == [x for x in rows(near) if x[0] not in bad]
+    spm = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=MODEL_PATH)
+    told = {d: t for d, t, *_ in rows(clean)}
+    got = stages["sentencepiece"](spark, clean, sf).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {d: spm.encode(t or "") for d, t in told.items()}
+
+
+def test_stages_take_extra_columns_of_clashing_names(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = docs.selectExpr("*", "1 AS n_lines", "'h' AS hits", "doc_id AS item_id", "2.5 AS score", "0 AS predicted", "'n' AS node", "array(1) AS ids", "0 AS _id", "0 AS _h1")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, more, "/root/testdata/sf0.001")
+        assert got.columns == list(corpus_pipeline.COLUMNS), name
+        assert got.count() == stage(spark, docs, "/root/testdata/sf0.001").count()
+    assert corpus_pipeline.sentencepiece(spark, more, "").count() == docs.count()
