@@ -32,6 +32,11 @@ def fold(x: Column) -> Column:
     return F.regexp_replace(F.translate(x, _ACCENTED, _PLAIN), r"\p{M}", "")
 
 
+def collated(x: Column, language: str = "pt") -> Column:
+    """The text with a language's own order: accents, case and signs as its dictionaries have them."""
+    return F.collate(x, language)
+
+
 def normalize(x: Column) -> Column:
     """Folded, lower case, words of a-z and 0-9 with single spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(fold(x)), r"[^a-z0-9\s]", " "), r"\s+", " "))

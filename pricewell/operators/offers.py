@@ -158,22 +158,31 @@ def whole_records(texts: pd.Series) -> pd.Series:
 
 
 def parsed_answers(pages: DataFrame, column: str = "raw") -> DataFrame:
-    """``pages`` with the answer ``j``: as it is if it is JSON, else mended, else cut off and closed. Only the last need Python."""
-    good = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
-    p = pages.withColumn("_text", F.coalesce(good(F.col(column)), good(parse.mend_json(F.col(column)))))
-    whole = p.filter("_text IS NOT NULL")
-    cut = p.filter("_text IS NULL").withColumn("_text", parse.unfenced(F.col(column)))
-    cut = cut.withColumn("_text", F.coalesce(good(parse.mend_json(close_json("_text"))), parse.mend_json(whole_records("_text"))))
-    return whole.unionByName(cut).withColumn("j", F.from_json("_text", JSON_OFFERS)).drop("_text")
+    """``pages`` with the answer ``j``: as it is if it is JSON, else mended, else cut off and closed.
+
+    One pass: each text is tried in turn, and only what neither is nor can be mended to JSON reaches Python (all others go there as nulls).
+    """
+    good = lambda x: F.try_parse_json(x).isNotNull()
+    p = pages.withColumn("_whole", good(F.col(column)))
+    p = p.withColumn("_mended", F.when(~F.col("_whole"), parse.mend_json(F.col(column))))
+    p = p.withColumn("_fits", good(F.col("_mended")))
+    p = p.withColumn("_cut", F.when(~F.col("_whole") & ~F.col("_fits"), parse.unfenced(F.col(column))))
+    p = p.withColumns({"_closed": close_json("_cut"), "_records": whole_records("_cut")})
+    p = p.withColumn("_closed", F.when(F.col("_closed").isNotNull(), parse.mend_json(F.col("_closed"))))
+    text = F.when(F.col("_whole"), F.col(column)).when(F.col("_fits"), F.col("_mended")).when(good(F.col("_closed")), F.col("_closed")).when(F.col("_records").isNotNull(), parse.mend_json(F.col("_records")))
+    return p.withColumn("j", F.from_json(text, JSON_OFFERS)).drop("_whole", "_mended", "_fits", "_cut", "_closed", "_records")
 
 
 def offers_from_json(pages: DataFrame, column: str = "raw") -> DataFrame:
     """Offers of extraction answers (page_id, page_number, raw): lenient JSON, guards, first of equals.
 
+    With each offer stand its conditions and evidence (a phrase's, else the model's own), whether instalments are free of interest, the offer as JSON (``raw_text``) and the
+    answer's own confidence.
+
     Names of under three characters or of digits alone and prices out of range are dropped. Cash wins over count times amount, that over the
     price. A missing confidence is 0.7. A cut-off answer keeps its complete records.
     """
-    p = parsed_answers(pages, column).select("page_id", "page_number", F.col("j.validFrom").alias("valid_from"), F.col("j.validUntil").alias("valid_until"), F.posexplode("j.offers").alias("n", "o"))
+    p = parsed_answers(pages, column).select("page_id", "page_number", F.col("j.validFrom").alias("valid_from"), F.col("j.validUntil").alias("valid_until"), F.col("j.confidence").alias("page_confidence"), F.posexplode("j.offers").alias("n", "o"))
     name = sanitize_name(F.coalesce(strip_unknown(F.col("o.name")), F.lit("")))
     p = p.withColumn("name", name).filter((F.length("name") >= 3) & ~F.col("name").rlike(r"^\d+$"))
     blank = lambda c: F.coalesce(c, F.lit(""))
@@ -187,13 +196,25 @@ def offers_from_json(pages: DataFrame, column: str = "raw") -> DataFrame:
     sure = F.when(told.isNotNull(), F.least(F.greatest(told, F.lit(0.0)), F.lit(1.0)))
     p = p.withColumns({"hits": parse.eligibility_phrases(F.col("hay")), "conditions": parse.unique_conditions(F.col("o.conditions")), "sure": sure})
     p = p.withColumn("e", parse.resolve_eligibility(F.col("hits.type"), known(F.col("o.eligibility")), F.col("conditions.type"), F.col("sure"), F.substring(F.trim("o.evidence.text"), 1, 400)))
+    own = parse.evidence(F.col("o.evidence.text"), F.col("o.evidence.source"), F.col("o.evidence.page"), F.col("page_number"))
+    ruled = F.size("hits") > 0
+    first_hit = F.get("hits", F.lit(0))["text"]
+    p = p.withColumn("own_evidence", own).withColumn("own_conditions", F.when(F.col("own_evidence").isNotNull(), F.col("conditions")).otherwise(F.array().cast(CONDITIONS)))
+    none = F.lit(None).cast("string")
+    by_rule = F.transform("hits", lambda h: F.struct(h["type"].alias("type"), none.alias("name"), h["text"].alias("description"), none.alias("requirement")))
+    more = F.filter("own_conditions", lambda c: ~F.array_contains(F.col("hits.type"), c["type"]))
+    alone = F.transform("e.types", lambda t: F.struct(t.alias("type"), none.alias("name"), none.alias("description"), none.alias("requirement")))
+    p = p.withColumn("told_conditions", F.when(ruled, parse.unique_conditions(F.concat(by_rule, more))).when(F.size("own_conditions") > 0, F.col("own_conditions")).otherwise(alone))
+    p = p.withColumn("evidence", F.when(ruled, F.struct(first_hit.alias("text"), F.lit("rules").alias("source"), F.col("page_number").alias("page"))).when((F.size("e.types") > 0) | (F.col("e.type") == "UNKNOWN"), F.col("own_evidence")))
     told_free = F.when(F.lower("o.installmentInterestFree") == "true", F.lit(True)).when(F.lower("o.installmentInterestFree") == "false", F.lit(False)).when(F.col("o.installmentInterestFree").rlike(r"(?i)sem\s+juros"), F.lit(True))
     out = p.select(
         "page_id", "page_number", "n", F.substring("name", 1, 200).alias("name"), title_case(strip_unknown(F.col("o.brand"))).alias("brand"), strip_unknown(F.col("o.quantity")).alias("quantity"), normalize_unit(strip_unknown(F.col("o.unit"))).alias("unit"),
         F.col("pay.price").alias("price"), F.col("pay.original_price").alias("original_price"), F.col("pay.cash_price").alias("cash_price"), F.col("pay.installment_count").alias("installment_count"), F.col("pay.installment_amount").alias("installment_amount"), money.interest_free(told_free, F.col("hay")).alias("interest_free"),
         F.when(F.col("pay.original_price").isNotNull(), money.discount_guard(F.col("pay.original_price"), F.col("pay.price"))).alias("discount_percentage"), F.coalesce(money.to_number(F.col("o.confidence")), F.lit(0.7)).alias("confidence"),
-        F.col("e.type").alias("eligibility"), F.col("e.confidence").alias("eligibility_confidence"), F.col("e.status").alias("eligibility_status"), "valid_from", "valid_until", F.col("pay.price").isNotNull().alias("good"),
+        F.col("e.type").alias("eligibility"), F.col("told_conditions").alias("conditions"), F.col("e.confidence").alias("eligibility_confidence"), F.col("e.status").alias("eligibility_status"), "evidence", "valid_from", "valid_until", "page_confidence", F.col("pay.price").isNotNull().alias("good"),
     )
+    told = F.to_json(F.struct("name", "price", F.col("original_price").alias("originalPrice"), F.col("cash_price").alias("cashPrice"), F.col("installment_count").alias("installmentCount"), F.col("installment_amount").alias("installmentAmount"), "quantity", "brand", "eligibility", F.col("evidence.text").alias("evidence")))
+    out = out.withColumn("raw_text", F.substring(F.regexp_replace(told, r"(:-?\d+)\.0([,}])", "$1$2"), 1, 1000))
     key = F.concat_ws("|", dedupe_key(F.col("name")), blank(dedupe_key(F.col("brand"))), blank(F.col("quantity")), blank(F.col("unit")))
     first = out.groupBy("page_id", "page_number", key.alias("_k")).agg(F.min_by(F.struct(*out.columns), F.when(F.col("good"), F.col("n"))).alias("r"))
     return first.filter("r IS NOT NULL").select("r.*").drop("n", "good")

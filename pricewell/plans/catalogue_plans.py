@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricewell.functions.dates import backoff_hours, days_until
 from pricewell.functions.semantics import half_up
-from pricewell.functions.text import fold, normalize, slug
+from pricewell.functions.text import collated, fold, normalize, slug
 from pricewell.operators.keyed import neighbours
 from pricewell.operators.keyed import unique_slugs as assign_slugs
 from pricewell.registry import query
@@ -187,13 +187,26 @@ def shopping_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("conv_id", "items", "kinds", F.array_join("r.role", ",").alias("roles"), "next_order")
 
 
+_VARIED = "CASE p_partkey % 9 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(replace(p_name, 'e', 'é'), 'o', 'ö') WHEN 2 THEN replace(p_name, ' ', '-') WHEN 3 THEN replace(p_name, ' ', '') WHEN 4 THEN CAST(p_size AS STRING) || ' ' || p_name WHEN 5 THEN '_' || p_name WHEN 6 THEN initcap(p_name) WHEN 7 THEN replace(p_name, 'a', 'ã') ELSE p_name END"
+
+
 @query(
     "collated_names",
-    "SELECT p_partkey, p_name FROM part ORDER BY lower(strip_accents(p_name)), p_partkey LIMIT 30",
+    f"""WITH n AS (SELECT p_partkey, {_VARIED.replace('initcap(p_name)', "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ')")} AS name FROM part), r AS (SELECT *, row_number() OVER (ORDER BY icu_sort_key(name, 'pt'), p_partkey) AS place FROM n) SELECT p_partkey, name, CAST(place AS INTEGER) AS place FROM r WHERE place <= 300""",
 )
 def collated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in an order without accents and case, ties by key."""
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name").orderBy(F.lower(fold(F.col("p_name"))), "p_partkey").limit(30)
+    """The first three hundred names as a Portuguese reader sorts them: letters before accents, accents before case, signs before digits before letters."""
+    named = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_VARIED} AS name")
+    first = named.orderBy(collated(F.col("name")), "p_partkey").limit(300)
+    return first.select("p_partkey", "name", F.row_number().over(Window.orderBy(collated(F.col("name")), "p_partkey")).alias("place"))  # three hundred rows
+
+
+@query("same_names", f"""WITH n AS (SELECT {_VARIED.replace('initcap(p_name)', "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ')")} AS name FROM part) SELECT lower(strip_accents(min(name))) AS name, count(*) AS offers, count(DISTINCT name) AS spellings FROM n GROUP BY lower(strip_accents(name))""")
+def same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that are one but for accents and case, and in how many spellings they stand."""
+    named = table(spark, sf_dir, "part").selectExpr(f"{_VARIED} AS name")
+    g = named.groupBy(F.collate("name", "pt_CI_AI").alias("k")).agg(F.count(F.lit(1)).alias("offers"), F.count_distinct("name").alias("spellings"), F.min("name").alias("name"))
+    return g.select(fold(F.lower("name")).alias("name"), "offers", "spellings")
 
 
 @query(

@@ -234,6 +234,29 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("event_id", "url", "title", F.size("page_urls").cast("long").alias("pages"), "pdf")
 
 
+_RECORDED = (
+    "'https://cdn.example/' || CASE WHEN event_id % 7 = 6 THEN 'analytics/' ELSE '' END || CAST(event_id % 300 AS STRING) || CASE event_id % 7 WHEN 0 THEN '.pdf?v=1' WHEN 1 THEN '.jpg' ELSE '' END AS url",
+    "CASE WHEN event_id % 11 = 0 THEN 404 ELSE 200 END AS status",
+    "CASE event_id % 7 WHEN 0 THEN 'application/octet-stream' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'text/html' ELSE 'Application/JSON; charset=utf-8' END AS content_type",
+    """CASE event_id % 7 WHEN 0 THEN 'x' WHEN 1 THEN 'y' WHEN 2 THEN '%PDF-1.7 by its bytes' ELSE '{"flyers":[{"title":"T' || CAST(event_id % 40 AS STRING) || '","images":["https://cdn.example/a.jpg","https://cdn.example/b.png"]}]}' END AS body""",
+    "event_id AS seq",
+)
+
+
+@query("harvested_documents", f"""WITH r AS (SELECT {', '.join(_RECORDED)} FROM events), ok AS (SELECT *, seq % 7 AS k FROM r WHERE status = 200),
+d AS (SELECT url, NULL AS title, 0 AS pages, true AS pdf, seq FROM ok WHERE k IN (0, 2) UNION ALL SELECT 'https://cdn.example/a.jpg', 'T' || CAST(seq % 40 AS STRING), 2, false, seq FROM ok WHERE k IN (3, 4, 5))
+SELECT url, title, pages, pdf, count(*) = 1 AS once FROM (SELECT DISTINCT url, title, pages, pdf FROM d) GROUP BY ALL""")
+def harvested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in a crawl's recorded responses, written as JSON lines and read again: by header, by bytes and from answers, each once."""
+    from pricewell.operators.documents import harvest, recorded_responses
+    from pricewell.sources.scratch import new_folder
+
+    path = new_folder(spark, "responses")
+    table(spark, sf_dir, "events").selectExpr(*_RECORDED).withColumn("body", F.base64(F.encode("body", "utf-8"))).write.json(path)
+    h = harvest(recorded_responses(spark, path)).select("url", "title", F.coalesce(F.size("page_urls"), F.lit(0)).alias("_n"), "pdf")
+    return h.groupBy("url", "title", F.greatest("_n", F.lit(0)).alias("pages"), "pdf").agg((F.count(F.lit(1)) == 1).alias("once"))
+
+
 @query("product_tabs", f"""WITH {cte('offers')}, m AS (SELECT canonical_product_id AS id, count(DISTINCT supermarket_id) AS markets, CASE WHEN min(price) > 0 THEN {half('(max(price) - min(price)) / min(price) * 100', 1)} END AS spread FROM offers WHERE canonical_product_id IS NOT NULL GROUP BY 1) SELECT id, markets = 1 AS single, markets >= 2 AS multi, coalesce(spread > 40, false) AS spread FROM m""")
 def product_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricewell.functions.semantics import spread_pct

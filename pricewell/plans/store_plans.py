@@ -37,6 +37,16 @@ def swapped_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sinks.current(spark, path))
 
 
+@query("market_layout", f"WITH {cte('offers')} SELECT id, supermarket_id, CASE WHEN supermarket_id IN (2, 3) THEN 'pending' ELSE validation_status END AS validation_status FROM offers WHERE supermarket_id IN (1, 2) UNION ALL SELECT 'new', 2, 'pending'")
+def market_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers laid out by market; two markets' folders are replaced, and one of these and another are read."""
+    o, path = frame(spark, sf_dir, "offers").select("id", "supermarket_id", "validation_status"), new_folder(spark)
+    sinks.lay_out(o, path, ["supermarket_id"])
+    new = o.filter(F.col("supermarket_id").isin(2, 3)).withColumn("validation_status", F.lit("pending"))
+    sinks.replace_parts(new.unionByName(spark.range(1).select(F.lit("new").alias("id"), F.lit(2).cast("long").alias("supermarket_id"), F.lit("pending").alias("validation_status"))), path, ["supermarket_id"])
+    return spark.read.schema(o.schema).parquet(path).filter(F.col("supermarket_id").isin(1, 2))
+
+
 @query("wiped_tables", "SELECT 'a' AS name, 0::BIGINT AS n UNION ALL SELECT 'b', 0::BIGINT")
 def wiped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables that were emptied."""

@@ -191,19 +191,24 @@ def _search(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return g.select("grp", "offers", line.alias("prices"), "cheapest").orderBy("cheapest", "grp").limit(40)
 
 
-_ANSWER = """CASE event_id % 5 WHEN 0 THEN '{"offers":[' || one || ',]}' WHEN 1 THEN '```json' || chr(10) || '{"offers":[' || one || ']}' || chr(10) || '```' WHEN 2 THEN '{"offers":[' || one || ',{"name":"cut off","pri' WHEN 3 THEN '{"validFrom":"2024-01-01","offers":[' || one || ',' || one || ',{"name":"12","price":3},{"name":"Gone,}","price":"x"}]}' ELSE '{"offers":[{"name":"TV ' || event_type || '","price":"199,90","installmentCount":12,"installmentAmount":199.9,"eligibility":"APP_ONLY","evidence":{"text":"so no app"}}]}' END"""
+_ANSWER = """CASE event_id % 5 WHEN 0 THEN '{"offers":[' || one || ',]}' WHEN 1 THEN '```json' || chr(10) || '{"offers":[' || one || ']}' || chr(10) || '```' WHEN 2 THEN '{"offers":[' || one || ',{"name":"cut off","pri' WHEN 3 THEN '{"validFrom":"2024-01-01","confidence":0.94,"offers":[' || one || ',' || one || ',{"name":"12","price":3},{"name":"Gone,}","price":"x"}]}' ELSE '{"offers":[{"name":"TV ' || event_type || '","price":"199,90","installmentCount":12,"installmentAmount":199.9,"installmentInterestFree":"Sem juros","eligibility":"APP_ONLY","conditions":[{"type":"STORE_CARD","name":" Cartao "},{"type":"APP_ONLY"}],"evidence":{"text":"so no app"}}]}' END"""
 _JSON_SQL = """j AS (SELECT event_id, event_type, value, event_id % 5 AS kind, CASE WHEN event_id % 5 = 4 THEN 'TV ' || event_type ELSE event_type END AS name FROM events)"""
 
 
-@query("lenient_json", f"""WITH {_JSON_SQL} SELECT event_id AS page_id, name, CASE WHEN kind < 4 THEN 'kg' END AS unit, CASE WHEN kind = 4 THEN 2398.8::DOUBLE ELSE value END AS price, CASE WHEN kind = 4 THEN 12 END AS installment_count, 0.7::DOUBLE AS confidence, CASE WHEN kind = 4 THEN 'APP_ONLY' ELSE 'ALL_CUSTOMERS' END AS eligibility, CASE WHEN kind = 4 THEN 0.92::DOUBLE ELSE 0.91::DOUBLE END AS eligibility_confidence, CASE WHEN kind = 3 THEN '2024-01-01' END AS valid_from
+@query("lenient_json", f"""WITH {_JSON_SQL} SELECT event_id AS page_id, name, CASE WHEN kind < 4 THEN 'kg' END AS unit, CASE WHEN kind = 4 THEN 2398.8::DOUBLE ELSE value END AS price, CASE WHEN kind = 4 THEN 12 END AS installment_count, CASE WHEN kind = 4 THEN true END AS interest_free, 0.7::DOUBLE AS confidence, CASE WHEN kind = 4 THEN 'APP_ONLY' ELSE 'ALL_CUSTOMERS' END AS eligibility, CASE WHEN kind = 4 THEN 'APP_ONLY::so no app,STORE_CARD:Cartao:' ELSE '' END AS conditions,
+  CASE WHEN kind = 4 THEN 0.92::DOUBLE ELSE 0.91::DOUBLE END AS eligibility_confidence, CASE WHEN kind = 4 THEN 'so no app/rules/1' END AS evidence, CASE WHEN kind = 3 THEN '2024-01-01' END AS valid_from, CASE WHEN kind = 3 THEN 0.94::DOUBLE END AS page_confidence,
+  CASE WHEN kind = 4 THEN '{{"name":"' || name || '","price":2398.8,"installmentCount":12,"installmentAmount":199.9,"eligibility":"APP_ONLY","evidence":"so no app"}}' ELSE '{{"name":"' || name || '","price":' || regexp_replace(CAST(value AS STRING), '\\.0$', '') || ',"eligibility":"ALL_CUSTOMERS"}}' END AS raw_text
 FROM j WHERE kind = 4 OR (value > 0 AND value < 100000 AND length(name) >= 3)""")
 def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offers of answers that are fenced, carry trailing commas or end early; repeats, names of digits and prices that are none go."""
+    """Offers of answers that are fenced, carry trailing commas or end early, with conditions, evidence and what is kept of the answer; repeats, names of digits and prices that are none go."""
     from pricewell.operators.offers import offers_from_json
 
     e = table(spark, sf_dir, "events").withColumn("one", F.to_json(F.struct(F.col("event_type").alias("name"), F.col("value").alias("price"), F.lit("kg").alias("unit"))))
     o = offers_from_json(e.select(F.col("event_id").alias("page_id"), F.lit(1).alias("page_number"), F.expr(_ANSWER).alias("raw")))
-    return o.select("page_id", "name", "unit", "price", "installment_count", "confidence", "eligibility", "eligibility_confidence", "valid_from")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    conditions = F.array_join(F.transform("conditions", lambda c: F.concat_ws(":", c["type"], blank(c["name"]), blank(c["description"]))), ",")
+    proof = F.when(F.col("evidence").isNotNull(), F.concat_ws("/", "evidence.text", "evidence.source", F.col("evidence.page").cast("string")))
+    return o.select("page_id", "name", "unit", "price", "installment_count", "interest_free", "confidence", "eligibility", conditions.alias("conditions"), "eligibility_confidence", proof.alias("evidence"), "valid_from", "page_confidence", "raw_text")
 
 
 @query("json_offers", f"""WITH {_JSON_SQL}, u AS (SELECT event_id // 20 AS page, name, arg_min(value, event_id) AS value FROM j WHERE value > 0 AND value < 100000 AND length(name) >= 3 GROUP BY ALL) SELECT name, count(*) AS offers, CAST(floor(sum(CAST(floor(value * 100.0 + 0.5) AS DOUBLE)) + 0.5) AS BIGINT) AS cents FROM u GROUP BY name""".replace("CASE WHEN event_id % 5 = 4 THEN 'TV ' || event_type ELSE event_type END AS name", "event_type AS name"))

@@ -48,6 +48,19 @@ def replace_scope(old: DataFrame, new: DataFrame, scope: Column | None, key: Col
     return old.filter(~(key & scope)).unionByName(new)
 
 
+def lay_out(df: DataFrame, path: str, by: list[str]) -> None:
+    """A table in a folder for each value of ``by``, so that readers of one value open no other folder; each value's rows are written by one task a value and hash."""
+    df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def replace_parts(df: DataFrame, path: str, by: list[str]) -> None:
+    """The folders of the values that ``df`` has, replaced by its rows; all others stay as they are.
+
+    ``df`` must not read from ``path`` itself: write it elsewhere first where it does.
+    """
+    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

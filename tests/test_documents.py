@@ -21,7 +21,8 @@ def test_documents_in_nested_answers(spark):
     deep = {"a": None}
     for _ in range(20):
         deep = {"a": deep, "z": "http://x/d.pdf"}
-    assert 0 < len(documents.walk(deep)) <= 11 and len(documents.walk(["http://x/d.pdf"] * 200)) == 80
+    assert 0 < len(documents.walk(deep)) <= 11 and len(documents.walk(["http://x/d.pdf"] * 200)) == 81
+    assert documents.walk(deep)[-1]["cut"] and documents.walk(["http://x/d.pdf"] * 200)[-1]["cut"] and not any("cut" in d for d in documents.walk(["http://x/d.pdf"] * 81))
 
 
 def test_candidates_merge(spark):
@@ -71,3 +72,43 @@ def test_fixes_and_extents(spark):
     assert (fixed.first().quantity_value, fixed.first().unit_normalized, prod.first().brand_id, prod.first().unit) == (1.5, "l", "own", "l")
     s = spark.createDataFrame([(1.0, 2.0), (5.0, None)], "a double, b double")
     assert series.tallest(s, ["a", "b"]).first().tallest == 5.0 and series.extent(s, "a").first().domain_high == 5.2
+
+
+def test_harvest_of_recorded_responses(spark, tmp_path):
+    import base64
+
+    row = lambda seq, url, told, body, status=200: json.dumps({"url": url, "status": status, "content_type": told, "body": base64.b64encode(body.encode()).decode(), "seq": seq})
+    answer = json.dumps({"flyers": [{"title": "T", "images": ["http://x/1.jpg", "http://x/2.jpg"]}]})
+    rows = [
+        row(1, "http://x/a.pdf?v", "application/octet-stream", "?"), row(2, "http://x/a.pdf?v", "application/pdf", "?"), row(3, "http://x/b", "text/html", "%PDF-1.4"), row(4, "http://x/c.jpg", "image/jpeg", "?"),
+        row(5, "http://x/list", "application/json", answer), row(6, "http://x/again", "application/json", answer), row(7, "http://x/graphql", "application/json", answer.replace("T", "U")), row(8, "http://x/gone.pdf", "application/pdf", "?", 404),
+        row(9, "http://x/bad", "application/json", "{"), row(10, "http://x/none", None, "?"),
+    ]
+    for k in range(2):
+        (tmp_path / f"{k}.jsonl").write_text("\n".join(rows[k::2]))
+    got = documents.harvest(documents.recorded_responses(spark, str(tmp_path))).collect()
+    assert {(r.url, r.title, r.pdf, r.source_url) for r in got} == {("http://x/a.pdf?v", None, True, None), ("http://x/b", None, True, None), ("http://x/1.jpg", "T", False, "http://x/list")} and len(got) == 3
+
+
+def test_layout_by_market(spark, tmp_path):
+    from pricewell.sources import sinks
+
+    path = str(tmp_path / "offers")
+    o = spark.createDataFrame([(k, f"m{k % 4}", "old") for k in range(40)], "id int, market string, state string")
+    sinks.lay_out(o, path, ["market"])
+    files = lambda m: sorted(p.name for p in (tmp_path / "offers" / f"market={m}").glob("*.parquet"))
+    before = {m: files(m) for m in ("m0", "m1", "m2", "m3")}
+    sinks.replace_parts(spark.createDataFrame([(100, "m1", "new")], o.schema), path, ["market"])
+    assert {m for m, f in before.items() if files(m) != f} == {"m1"}
+    read = spark.read.schema(o.schema).parquet(path)
+    assert {(r.id, r.state) for r in read.filter("market = 'm1'").collect()} == {(100, "new")} and read.count() == 31
+    scan = next(x for x in read.filter("market = 'm1'")._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x)
+    assert "PartitionFilters: [isnotnull(market" in scan and "PushedFilters: []" in scan
+
+
+def test_order_of_a_language(spark):
+    from pricewell.functions.text import collated
+
+    want = ["_x", "10 x", "9 x", "a b", "a-b", "ab", "agua", "Agua", "água", "Água", "cao", "Ção", "eclair", "éclair", "zebra", "Zebra"]
+    df = spark.createDataFrame([(x,) for x in sorted(want)], "x string")
+    assert [r.x for r in df.orderBy(collated(F.col("x"))).collect()] == want
