@@ -49,7 +49,9 @@ def eligibility_phrases(text: Column) -> Column:
         return F.when(use, F.struct(F.lit(kind).alias("type"), F.trim(F.regexp_extract(t, f"(?iu)({pattern})", 1)).alias("text")))
 
     def found(t: Column) -> Column:
-        some = F.array_distinct(F.filter(F.array(*[hit(t, *p) for p in PHRASES]), lambda h: h.isNotNull()))
+        told = lambda h: F.concat_ws(":", h["type"], F.lower(h["text"]))
+        found_ = F.filter(F.array(*[hit(t, *p) for p in PHRASES]), lambda h: h.isNotNull())
+        some = let(found_, lambda hs: F.filter(hs, lambda h, i: F.array_position(F.transform(hs, told), told(h)) == i + 1))
         bare = F.when(t.rlike(f"(?i){UNKNOWN_HINT}"), F.array(F.struct(F.lit("UNKNOWN").alias("type"), F.trim(F.regexp_extract(t, f"(?i)({UNKNOWN_HINT})", 1)).alias("text")))).otherwise(none)
         return let(some, lambda s: F.when(F.size(s) > 0, s).otherwise(bare))
 

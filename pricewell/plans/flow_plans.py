@@ -314,13 +314,13 @@ def run_offer_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("queue_state", filters.run_queue(F.when(F.col("id") % 10 == 0, "failed").otherwise("success"), F.col("suspicious"), F.col("pending")))
 
 
-@query("run_flyers", f"""WITH {cte('runs', 'flows')}, {_WINDOW}, f AS (SELECT event_id AS id, user_id % 50 + 1 AS market, ts AS c, ts + INTERVAL 5 HOUR AS u FROM events WHERE event_id % 40 = 0), n AS (SELECT (event_id // 40) * 40 AS flyer, market, o.ts FROM o JOIN events ON event_id = o.id),
+@query("run_flyers", f"""WITH {cte('runs', 'flows')}, {_WINDOW}, f AS (SELECT event_id AS id, user_id % 50 + 1 AS market, CASE WHEN event_id % 40 = 0 THEN ts END AS c, CASE WHEN event_id % 60 = 0 THEN ts + INTERVAL 5 HOUR END AS u FROM events), n AS (SELECT (event_id // 40) * 40 AS flyer, market, o.ts FROM o JOIN events ON event_id = o.id),
 d AS (SELECT DISTINCT w.id AS run_id, f.id AS flyer_id FROM w JOIN f ON f.market = w.market AND (c BETWEEN b AND e OR u BETWEEN b AND e)) SELECT * FROM d UNION ALL SELECT DISTINCT w.id, flyer FROM w JOIN n ON n.market = w.market AND ts BETWEEN b AND e WHERE w.id NOT IN (SELECT run_id FROM d)""")
 def run_flyers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flyers that a run touched, or those that got offers while it ran."""
     w, o = _run_windows(spark, sf_dir)
     made = F.col("ts").cast("timestamp")
-    f = table(spark, sf_dir, "events").filter("event_id % 40 = 0").select(F.col("event_id").alias("flyer_id"), (F.col("user_id") % 50 + 1).alias("market"), made.alias("created_at"), (made + F.expr("INTERVAL 5 HOURS")).alias("updated_at"))
+    f = table(spark, sf_dir, "events").select(F.col("event_id").alias("flyer_id"), (F.col("user_id") % 50 + 1).alias("market"), F.when(F.col("event_id") % 40 == 0, made).alias("created_at"), F.when(F.col("event_id") % 60 == 0, made + F.expr("INTERVAL 5 HOURS")).alias("updated_at"))
     offers = o.select((F.floor(F.col("event_id") / 40) * 40).alias("flyer_id"), "market", F.col("ts").alias("created_at"))
     return touched_or_filled(w.select(F.col("id").alias("run_id"), "market", F.col("b").alias("begin"), F.col("e").alias("end")), f, offers)
 

@@ -14,6 +14,7 @@ from pricewell.registry import query
 from pricewell.sources.tables import PRICES_SQL, prices, table
 
 AS_OF = "2001-10-01 00:00:00"
+START, DAYS = "2001-08-31", 30
 
 
 def _as_of():
@@ -88,10 +89,13 @@ def compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "product_board",
     f"""WITH {PRICES_SQL}, own AS (SELECT *, {_ACTIVE_SQL} AS active FROM prices WHERE product = 1), b AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY active DESC, created_at DESC, offer_id DESC) AS rn FROM own)
-SELECT 'board' AS part, CAST(market AS STRING) AS k, price AS v FROM b WHERE rn = 1 UNION ALL SELECT 'history', offer_id, price FROM (SELECT * FROM own ORDER BY created_at DESC, offer_id DESC LIMIT 200) UNION ALL SELECT 'offers', offer_id, coalesce(original, price) FROM (SELECT * FROM own ORDER BY created_at DESC, offer_id DESC LIMIT 80) UNION ALL SELECT DISTINCT 'brands', p_brand, 0.0 FROM part""",
+SELECT 'board' AS part, CAST(market AS STRING) AS k, price AS v FROM b WHERE rn = 1 UNION ALL SELECT 'history', offer_id, price FROM (SELECT * FROM own ORDER BY created_at DESC, offer_id DESC LIMIT 200) UNION ALL SELECT 'offers', offer_id, coalesce(original, price) FROM (SELECT * FROM own ORDER BY created_at DESC, offer_id DESC LIMIT 80) UNION ALL SELECT DISTINCT 'brands', p_brand, 0.0 FROM part
+UNION ALL SELECT 'series', strftime(day, '%Y-%m-%d') || '|' || CAST(market AS STRING), price FROM (
+  SELECT day, market, (SELECT arg_max(o.price, (o.created_at, o.offer_id)) FROM own o WHERE o.market = m.market AND o.created_at < g.day + INTERVAL 1 DAY) AS price
+  FROM (SELECT CAST(unnest(generate_series(DATE '{START}', DATE '2001-09-29', INTERVAL 1 DAY)) AS DATE) AS day) g, (SELECT DISTINCT market FROM own WHERE created_at < TIMESTAMP '2001-09-30') m)""",
 )
 def product_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything about one product: its board, its newest 200 prices, 80 offers, and the brands to choose from."""
+    """Everything about one product: its board, its newest 200 prices, 80 offers, the brands to choose from, and thirty days of each market's price carried forward."""
     own = prices(spark, sf_dir).filter("product = 1").withColumn("active", _active())
     newest = [F.desc("created_at"), F.desc("offer_id")]
     part = lambda df, name, k, v: df.select(F.lit(name).alias("part"), k.cast("string").alias("k"), v.cast("double").alias("v"))
@@ -99,7 +103,21 @@ def product_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = part(own.orderBy(*newest).limit(200), "history", F.col("offer_id"), F.col("price"))
     offers = part(own.orderBy(*newest).limit(80), "offers", F.col("offer_id"), F.coalesce("original", "price"))
     brands = part(table(spark, sf_dir, "part").select("p_brand").distinct(), "brands", F.col("p_brand"), F.lit(0.0))
-    return board.unionByName(history).unionByName(offers).unionByName(brands)
+    before = own.filter(F.col("created_at") < F.lit("2001-09-30").cast("timestamp_ntz"))
+    line = part(_series(before, before.select("market").distinct()), "series", F.concat_ws("|", "day", F.col("market").cast("string")), F.col("price"))
+    return board.unionByName(history).unionByName(offers).unionByName(brands).unionByName(line)
+
+
+def _series(p: DataFrame, markets: DataFrame) -> DataFrame:
+    """(day, market, price) of thirty days: last price of the day, carried forward, begun with the last one before. Spark holds few markets, by their size."""
+    own = p.join(markets, "market")
+    begin = F.lit(f"{START} 00:00:00").cast("timestamp_ntz")
+    inside = own.filter((F.col("created_at") >= begin) & (F.col("created_at") < F.lit("2001-09-30").cast("timestamp_ntz")))
+    daily = inside.groupBy(F.to_date("created_at").alias("day"), "market").agg(F.max_by("price", F.struct("created_at", "offer_id")).alias("price"))
+    seed = last_before(own, ["market"], "created_at", begin, "offer_id", "price", "price").select(F.date_sub(F.to_date(F.lit(START)), 1).alias("day"), "market", "price")
+    grid = markets.crossJoin(F.broadcast(calendar(markets.sparkSession, START, DAYS))).join(daily, ["day", "market"], "left")  # thirty days
+    filled = forward_fill(grid.unionByName(seed, allowMissingColumns=True), ["market"], "day", "price")
+    return filled.filter(F.col("day") >= F.lit(START)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "market", "price")
 
 
 @query(
@@ -168,7 +186,6 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(names, "market", "left").select("offer_id", "product", F.coalesce("s_name", F.lit("—")).alias("market_name"), "price", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
 
 
-START, DAYS = "2001-08-31", 30
 
 
 @query(
@@ -186,15 +203,7 @@ SELECT * FROM (SELECT strftime(day, '%Y-%m-%d') AS day, market, last_value(price
 def price_series_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirty days of the six busiest markets: last price of the day, carried forward, begun with the last one before."""
     p = prices(spark, sf_dir).select("market", "created_at", "offer_id", "price")
-    top = top_groups(p, "market", 6).select("market")
-    own = p.join(F.broadcast(top), "market")  # six rows
-    begin = F.lit(f"{START} 00:00:00").cast("timestamp_ntz")
-    inside = own.filter((F.col("created_at") >= begin) & (F.col("created_at") < F.lit("2001-09-30").cast("timestamp_ntz")))
-    daily = inside.groupBy(F.to_date("created_at").alias("day"), "market").agg(F.max_by("price", F.struct("created_at", "offer_id")).alias("price"))
-    seed = last_before(own, ["market"], "created_at", begin, "offer_id", "price", "price").select(F.date_sub(F.to_date(F.lit(START)), 1).alias("day"), "market", "price")
-    grid = calendar(spark, START, DAYS).crossJoin(F.broadcast(top)).join(daily, ["day", "market"], "left")  # 30 x 6 rows
-    filled = forward_fill(grid.unionByName(seed), ["market"], "day", "price")
-    return filled.filter(F.col("day") >= F.lit(START)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "market", "price")
+    return _series(p, F.broadcast(top_groups(p, "market", 6).select("market")))  # six rows
 
 
 @query(

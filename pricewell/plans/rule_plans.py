@@ -216,10 +216,10 @@ def payment_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("p_partkey", *[half_up(F.col(f"s.{c}"), 2).alias(c) for c in ("price", "cash_price", "original_price")], "s.installment_count", "s.installment_amount", "p.interest_free")
 
 
-@query("nearest_points", """WITH p AS (SELECT CAST(p_size AS DOUBLE) * 7 AS x FROM part WHERE p_partkey % 3 = 0), q AS (SELECT c_custkey AS k, c_acctbal AS t FROM customer), d AS (SELECT k, t, x, row_number() OVER (PARTITION BY k ORDER BY abs(t - x), x) AS r FROM q, (SELECT DISTINCT x FROM p)) SELECT t AS at, x AS nearest FROM d WHERE r = 1""")
+@query("nearest_points", """WITH p AS (SELECT CAST(p_size AS DOUBLE) * 7 + p_partkey % 3 AS x FROM part), q AS (SELECT c_custkey AS k, c_acctbal AS t FROM customer), d AS (SELECT k, t, x, row_number() OVER (PARTITION BY k ORDER BY abs(t - x), x) AS r FROM q, (SELECT DISTINCT x FROM p)) SELECT t AS at, x AS nearest FROM d WHERE r = 1""")
 def nearest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each balance with the nearest of some marks; of two equally near the lower."""
-    p = _part(spark, sf_dir).filter("p_partkey % 3 = 0").select((F.col("p_size").cast("double") * 7).alias("x"))
+    p = _part(spark, sf_dir).select((F.col("p_size").cast("double") * 7 + F.col("p_partkey") % 3).alias("x"))
     return nearest_point(p, "x", table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("at")), "at")
 
 
