@@ -239,3 +239,14 @@ WHERE part = 'pair' OR rank <= 200
 @_query
 def op13_html_extraction(spark, sf_dir):
     return extract_text(read(spark, sf_dir, "pages"))
+
+
+# the pages at hand all mark their article, and in it are headings, paragraphs, bold text and line breaks alone: SQL reads that pattern; other markup is held in tests
+ORACLES["op13_html_extraction"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages),
+b AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda x:
+    trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(x, '</?b>', '', 'g'), '<br>', ' '), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text
+  FROM a)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM b
+"""
