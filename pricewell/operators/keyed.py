@@ -54,23 +54,22 @@ def neighbours(df: DataFrame, order: list[Column], key: str) -> DataFrame:
 def nearest_point(points: DataFrame, x: str, at: DataFrame, to: str, ranges: int = 64) -> DataFrame:
     """Each ``to`` of ``at`` with the nearest ``x``; of two equally near the left one.
 
-    Both sides are cut into ranges of the coordinate. Within a range one window finds the neighbours; what lies beyond its ends comes from a
-    table of the ranges' first and last points, which is as small as their number.
+    Equal values are answered once. Quantiles cut the distinct values of both sides into ranges of about equal size; within a range two running windows
+    find the neighbours, and what lies beyond its ends comes from a table of the ranges' first and last points, which is as small as their number.
     """
-    p, q = points.select(F.col(x).cast("double").alias("_x")).filter("_x IS NOT NULL"), at.select(F.col(to).cast("double").alias("_t")).filter("_t IS NOT NULL")
-    found = p.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))  # one row
-    cell = lambda c: F.greatest(F.lit(0), F.least(F.lit(ranges - 1), F.floor((c - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * ranges))).cast("int")
-    numbered = lambda df, c: df.crossJoin(F.broadcast(found)).withColumn("_r", F.coalesce(cell(F.col(c)), F.lit(0))).drop("_lo", "_hi")
-    p, q = numbered(p, "_x"), numbered(q, "_t")
-    ends = p.groupBy("_r").agg(F.min("_x").alias("_first"), F.max("_x").alias("_last"))
-    grid = points.sparkSession.range(ranges).select(F.col("id").cast("int").alias("_r")).join(ends, "_r", "left")
+    p, q = points.select(F.col(x).cast("double").alias("_v")).filter("_v IS NOT NULL"), at.select(F.col(to).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    values = p.withColumn("_point", F.lit(True)).unionByName(q.withColumn("_point", F.lit(False))).groupBy("_v").agg(F.max("_point").alias("_point"), F.min("_point").alias("_alone"))
+    cuts = values.agg(F.percentile_approx("_v", [k / ranges for k in range(1, ranges)], 10_000).alias("_cuts"))  # one row
+    both = values.crossJoin(F.broadcast(cuts)).select("_v", F.when(F.col("_point"), F.col("_v")).alias("_x"), (~F.col("_alone")).alias("_asked"), F.size(F.filter("_cuts", lambda e: e < F.col("_v"))).alias("_r"))
+    ends = both.groupBy("_r").agg(F.min("_x").alias("_first"), F.max("_x").alias("_last"))
     w = Window.orderBy("_r")  # as many rows as ranges
-    around = grid.select("_r", F.max("_last").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_first").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    both = p.select("_r", "_x", F.lit(None).cast("double").alias("_t")).unionByName(q.select("_r", F.lit(None).cast("double").alias("_x"), "_t"))
-    order = Window.partitionBy("_r").orderBy(F.coalesce("_x", "_t"), F.col("_x").isNull())
-    near = both.withColumns({"_l": F.last("_x", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.first("_x", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))}).filter("_x IS NULL")
-    near = near.join(F.broadcast(around), "_r").withColumns({"_l": F.coalesce("_l", "_before"), "_n": F.coalesce("_n", "_after")})
-    return near.select(F.col("_t").alias(to), F.when(F.col("_n").isNull() | (F.col("_t") - F.col("_l") <= F.col("_n") - F.col("_t")), F.col("_l")).otherwise(F.col("_n")).alias("nearest"))
+    around = ends.select("_r", F.max("_last").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_first").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    # both frames grow row by row: one that shrinks towards its end is worked out anew for every row
+    upto = lambda order: F.last("_x", ignorenulls=True).over(Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    near = both.withColumns({"_l": upto(F.asc("_v")), "_n": upto(F.desc("_v"))}).filter("_asked").join(F.broadcast(around), "_r")
+    near = near.select("_v", F.coalesce("_l", "_before").alias("_l"), F.coalesce("_n", "_after").alias("_n"))
+    near = near.select("_v", F.when(F.col("_n").isNull() | (F.col("_v") - F.col("_l") <= F.col("_n") - F.col("_v")), F.col("_l")).otherwise(F.col("_n")).alias("nearest"))
+    return q.join(near, "_v").select(F.col("_v").alias(to), "nearest")
 
 
 def unique_row(df: DataFrame, what: str = "row") -> DataFrame:

@@ -200,3 +200,12 @@ def test_streams(spark, tmp_path):
     last = max(int(p.name[2:]) for p in (tmp_path / "out").glob("v=*"))
     got = {r.user_id: r.event_id for r in spark.read.parquet(f"{out}/v={last}").collect()}
     assert got == {r.user_id: r.event_id for r in e.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")).collect()}
+
+
+def test_nearest_of_many_beyond_the_ends(spark):
+    """Most values lie beyond the last point and many are equal: each range is walked once, whatever lies in it."""
+    x, q = [float(v) for v in (3, 3, 7, 7, 20, 21)] * 50, [float((k * 37) % 5000 - 100) for k in range(3000)] + [5.0] * 500
+    df = keyed.nearest_point(spark.createDataFrame([(v,) for v in x], "x double"), "x", spark.createDataFrame([(v,) for v in q], "q double"), "q")
+    got = sorted((r.q, r.nearest) for r in df.collect())
+    assert got == sorted((t, min(set(x), key=lambda v: (abs(t - v), v))) for t in q)
+    assert "currentrow$(), unboundedfollowing$()" not in df._jdf.queryExecution().optimizedPlan().toString()
