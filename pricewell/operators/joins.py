@@ -32,6 +32,34 @@ def in_range(intervals: DataFrame, points: DataFrame, on: str, begin: str, end:
     return left.join(right, [on, "_b"]).filter(F.col(ts).between(F.col(begin), F.col(end))).drop("_b")
 
 
+def range_marks(intervals: DataFrame, points: DataFrame, key: str, on: str, begin: str, end: str, ts: str, counts: dict[str, Column]) -> DataFrame:
+    """Points and both ends of closed intervals as marks of one time line, for ``range_counts``. No row meets another, so both may be streams.
+
+    At one instant beginnings (``_side`` 0) stand before points (1) and ends (2) after them. Intervals that end before they begin hold nothing and go.
+    """
+    c = F.col
+    p = points.filter(c(on).isNotNull() & c(ts).isNotNull()).select(F.lit(None).cast(intervals.schema[key].dataType).alias(key), on, c(ts).alias("_at"), F.lit(1).alias("_side"), *[F.coalesce(x.cast("long"), F.lit(0)).alias(n) for n, x in counts.items()])
+    ends = F.explode(F.array(F.struct(c(begin).alias("_at"), F.lit(0).alias("_side")), F.struct(c(end).alias("_at"), F.lit(2).alias("_side")))).alias("_m")
+    i = intervals.filter(c(on).isNotNull() & (c(begin) <= c(end))).select(key, on, ends).select(key, on, "_m._at", "_m._side", *[F.lit(0).cast("long").alias(n) for n in counts])
+    return p.unionByName(i)
+
+
+def range_counts(marks: DataFrame, key: str, on: str, counts: list[str], cell_seconds: int = 21_600) -> DataFrame:
+    """(key, counts) of each interval of ``range_marks``: what has come up to its end, less what had come before its beginning.
+
+    Running counts stand for pairs of intervals and points, whose number grows with the product of both. They run within cells of time, so a key
+    with very many rows is spread over its cells; what came in earlier cells is a table of one row a key and cell.
+    """
+    marks = marks.withColumn("_cell", F.floor(F.unix_timestamp("_at") / cell_seconds))
+    within = Window.partitionBy(on, "_cell").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(on).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = marks.groupBy(on, "_cell").agg(*[F.sum(n).alias(f"_{n}") for n in counts])
+    base = cells.select(on, "_cell", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in counts])
+    at = marks.select(key, on, "_cell", "_side", *[F.sum(n).over(within).alias(n) for n in counts]).filter("_side <> 1").join(base, [on, "_cell"])
+    sign = F.when(F.col("_side") == 2, 1).otherwise(-1)
+    return at.groupBy(key).agg(*[F.sum(sign * (F.col(n) + F.col(f"_{n}"))).alias(n) for n in counts])
+
+
 def applies_to(scope: Column, stores: Column) -> Column:
     """A flyer without stores applies everywhere, else where it shares one."""
     return (F.coalesce(F.size(scope), F.lit(0)) <= 0) | F.coalesce(F.arrays_overlap(scope, stores), F.lit(False))

@@ -9,7 +9,7 @@ from pricewell.functions.dates import calendar, quarter_starts, rotate, sunday_w
 from pricewell.functions.semantics import half_up
 from pricewell.functions.text import worker_slug
 from pricewell.operators import filters, lifecycle
-from pricewell.operators.joins import in_range, touched_or_filled
+from pricewell.operators.joins import range_counts, range_marks, touched_or_filled
 from pricewell.operators.keyed import clamp, unique_row
 from pricewell.operators.listing import flyer_list, worker_list, without_denied
 from pricewell.plans.frames import cte, day, frame, half
@@ -307,9 +307,10 @@ def _run_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 @query("run_offer_range_join", f"""WITH {cte('runs', 'flows')}, {_WINDOW}, j AS (SELECT w.id, count(o.id) AS offers, count(*) FILTER (WHERE vs = 'pending') AS pending, count(*) FILTER (WHERE vs = 'suspicious') AS suspicious FROM w JOIN o ON o.market = w.market AND ts BETWEEN b AND e GROUP BY 1)
 SELECT w.id, coalesce(offers, 0) AS offers, coalesce(pending, 0) AS pending, coalesce(suspicious, 0) AS suspicious, CASE WHEN w.id % 10 = 0 THEN 'blocked' WHEN coalesce(suspicious, 0) > 0 THEN 'review' WHEN coalesce(pending, 0) > 0 THEN 'fila' ELSE 'done' END AS queue_state FROM w LEFT JOIN j ON j.id = w.id""")
 def run_offer_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offers made within each run's interval (to now if it goes on, and two minutes more), and where the run stands; dealt by market and time."""
+    """Offers made within each run's interval (to now if it goes on, and two minutes more), and where the run stands; counted along each market's time line."""
     w, o = _run_windows(spark, sf_dir)
-    met = in_range(w, o, "market", "b", "e", "ts", 6 * 3600).groupBy("id").agg(F.count(F.lit(1)).alias("offers"), *[F.count_if(F.col("vs") == v).alias(v) for v in ("pending", "suspicious")])
+    counts = {"offers": F.lit(1), **{v: F.col("vs") == v for v in ("pending", "suspicious")}}
+    met = range_counts(range_marks(w, o, "id", "market", "b", "e", "ts", counts), "id", "market", list(counts))
     out = w.select("id").join(met, "id", "left").fillna(0, ["offers", "pending", "suspicious"])
     return out.withColumn("queue_state", filters.run_queue(F.when(F.col("id") % 10 == 0, "failed").otherwise("success"), F.col("suspicious"), F.col("pending")))
 

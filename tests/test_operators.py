@@ -209,3 +209,20 @@ def test_nearest_of_many_beyond_the_ends(spark):
     got = sorted((r.q, r.nearest) for r in df.collect())
     assert got == sorted((t, min(set(x), key=lambda v: (abs(t - v), v))) for t in q)
     assert "currentrow$(), unboundedfollowing$()" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_in_ranges_without_pairs(spark):
+    """Ends are closed, ids may repeat, intervals may be empty, end before they begin or reach over many cells."""
+    t = lambda n: datetime.fromtimestamp(1_700_000_000 + n)
+    runs = [(k, k % 3, (k * 977) % 9000, (k * 977) % 9000 + (k % 7 - 1) * 1500) for k in range(120)] + [(5, 1, 0, 9000), (200, 0, 30, 30), (201, None, 0, 9000), (202, 9, 0, 9000)]
+    points = [(k, k % 4 if k % 11 else None, k * 10) for k in range(900)] + [(1000, 0, 30)]
+    r = spark.createDataFrame([(k, m, t(b), t(e)) for k, m, b, e in runs], "id int, m int, b timestamp, e timestamp")
+    p = spark.createDataFrame([(k, m, t(at)) for k, m, at in points], "k int, m int, at timestamp")
+    counts = {"n": F.lit(1), "even": F.col("k") % 2 == 0}
+    got = {x.id: (x.n, x.even) for x in joins.range_counts(joins.range_marks(r, p, "id", "m", "b", "e", "at", counts), "id", "m", list(counts), 600).collect()}
+    want = {}
+    for k, m, b, e in runs:
+        hit = [x for x, n, at in points if n is not None and n == m and b <= at <= e]
+        a, c = want.get(k, (0, 0))
+        want[k] = (a + len(hit), c + sum(x % 2 == 0 for x in hit))
+    assert {k: got.get(k, (0, 0)) for k in want} == want and want[5][0] > 225

@@ -102,3 +102,17 @@ def test_runs_without_offers_come_out_too(spark, tmp_path):
     stream = state.runs_with_offers(read(spark, runs, run_schema), read(spark, offers, offer_schema))
     got, _ = run(stream, out, check)
     assert sorted((r.run_id, r.offer_id) for r in got if r.run_id < 3) == [(1, 10), (2, None)]
+
+
+def test_runs_count_offers_of_files_that_come_late(spark, tmp_path):
+    """The older half of the events comes in the second file: nothing of it is lost to a watermark."""
+    from oracle import connect, same
+
+    from pricewell.registry import ORACLES, QUERIES
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    middle = events.approxQuantile("event_id", [0.5], 0.0)[0]
+    for half in (F.col("event_id") > middle, F.col("event_id") <= middle):
+        events.filter(half).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    con = connect("/root/testdata/sf0.001")
+    assert same(QUERIES["streamed_run_offers"](spark, str(tmp_path)), con, ORACLES["streamed_run_offers"]) > 0
