@@ -102,13 +102,21 @@ def touched_or_filled(runs: DataFrame, flyers: DataFrame, offers: DataFrame, buc
     """(run_id, flyer_id): flyers made or changed in a run's window, or where there are none, those that got offers in it.
 
     ``runs``: run_id, market, begin, end; ``flyers``: flyer_id, market, created_at, updated_at; ``offers``: flyer_id, market, created_at.
+
+    A pair is told by the first of the flyer's times in the window, the one whose time before lies outside, so no table of pairs is shuffled to
+    make them single; only pairs of a run id that stands in several rows are. Which runs have a flyer is counted, not joined.
     """
-    r = runs.select("run_id", "market", "begin", "end")
-    times = flyers.select("flyer_id", "market", F.explode(F.array_distinct(F.array("created_at", "updated_at"))).alias("at"))
-    met = lambda left, points: in_range(left, points, "market", "begin", "end", "at", bucket_seconds).select("run_id", "flyer_id").distinct()
-    direct = met(r, times.filter("at IS NOT NULL"))
-    left = r.join(direct.select("run_id").distinct(), "run_id", "left_anti")
-    return direct.unionByName(met(left, offers.select("flyer_id", "market", F.col("created_at").alias("at"))))
+    r = runs.select("run_id", "market", "begin", "end").withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("run_id")))
+    times = flyers.select("flyer_id", "market", F.explode(F.array("created_at", "updated_at")).alias("at")).filter("at IS NOT NULL")
+
+    def met(left: DataFrame, points: DataFrame) -> DataFrame:
+        points = points.withColumn("_before", F.lag("at").over(Window.partitionBy("flyer_id", "market").orderBy("at")))
+        first = lambda some: in_range(some, points, "market", "begin", "end", "at", bucket_seconds).filter("_before IS NULL OR _before < begin").select("run_id", "flyer_id")
+        return first(left.filter("_rows = 1")).unionByName(first(left.filter("_rows > 1")).distinct())
+
+    some = range_counts(range_marks(r, times, "run_id", "market", "begin", "end", "at", {"n": F.lit(1)}), "run_id", "market", ["n"]).filter("n > 0")
+    left = r.join(some, "run_id", "left_anti")
+    return met(r, times).unionByName(met(left, offers.select("flyer_id", "market", F.col("created_at").alias("at"))))
 
 
 def own_page_or_unpaged(offers: DataFrame, key: str, page: Column) -> DataFrame:

@@ -226,3 +226,24 @@ def test_counts_in_ranges_without_pairs(spark):
         a, c = want.get(k, (0, 0))
         want[k] = (a + len(hit), c + sum(x % 2 == 0 for x in hit))
     assert {k: got.get(k, (0, 0)) for k in want} == want and want[5][0] > 225
+
+
+def test_run_flyers_are_single_without_a_table_of_pairs(spark):
+    """A flyer made and changed in one window is told once, also where offers fill in and where a run stands in two rows."""
+    import re
+
+    t = lambda n: datetime.fromtimestamp(1_700_000_000 + n * 3600)
+    runs = [(1, 1, 0, 100), (2, 1, 40, 60), (3, 2, 0, 50), (4, 1, 5, 30), (4, 1, 20, 70), (5, 2, 60, 90), (6, 3, 0, 9)]
+    flyers = [(10, 1, 10, 20), (11, 1, 50, None), (12, 1, None, 45), (13, 1, 55, 55), (14, 2, 95, 96), (10, 1, 25, None)]
+    offers = [(20, 2, 10), (20, 2, 12), (21, 2, 50), (21, 2, 70), (20, 2, 61), (20, 2, 88), (22, 3, 10)]
+    at = lambda n: None if n is None else t(n)
+    r = spark.createDataFrame([(k, m, t(b), t(e)) for k, m, b, e in runs], "run_id int, market int, begin timestamp, end timestamp")
+    f = spark.createDataFrame([(k, m, at(c), at(u)) for k, m, c, u in flyers], "flyer_id int, market int, created_at timestamp, updated_at timestamp")
+    o = spark.createDataFrame([(k, m, t(c)) for k, m, c in offers], "flyer_id int, market int, created_at timestamp")
+    direct = {(k, x) for k, m, b, e in runs for x, n, *times in flyers if n == m and any(v is not None and b <= v <= e for v in times)}
+    want = direct | {(k, x) for k, m, b, e in runs for x, n, c in offers if n == m and b <= c <= e and k not in {d for d, _ in direct}}
+    df = joins.touched_or_filled(r, f, o)
+    assert sorted(tuple(x) for x in df.collect()) == sorted(want)
+    # the only grouping of pairs is that of run ids in several rows, once for flyers and once for offers
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Aggregate \[run_id#\d+, flyer_id#\d+\]", plan)) == 2
