@@ -10,16 +10,18 @@ from pricewell.operators.token_index import keyed_texts, matching_texts, query_k
 from pricewell.sources.scratch import kept
 
 
-def best_offers(items: DataFrame, offers: DataFrame, names: tuple[str, ...] = ("name",), keys: tuple[str, ...] = ("item",)) -> DataFrame:
+def best_offers(items: DataFrame, offers: DataFrame, names: tuple[str, ...] = ("name",), keys: tuple[str, ...] = ("item",), with_offer: bool = True) -> DataFrame:
     """(keys, market, offer_id, line_total): the cheapest matching offer of each item and market.
 
     ``items``: the keys, query, quantity, product and offer (null: only the text counts); ``offers``: offer_id, market, product, ranking_price and
     the ``names``. An item takes the least of three: the cheapest offer of a matching text, that of its product, and the offer it names.
     Offers are reduced to one for each text (or product) and market before anything is joined, and equal queries are answered once, so the lists of all users are one job.
+    Without ``with_offer`` only the price is kept, a number that Spark aggregates in place: a struct with a text has all rows sorted first.
     """
-    told = F.struct("ranking_price", "offer_id")
+    told = F.struct("ranking_price", "offer_id") if with_offer else F.col("ranking_price")
     cheapest = lambda df, *by: df.groupBy(*by, "market").agg(F.min(told).alias("_best"))
-    asked = items.withColumn("_key", query_key(F.col("query")))
+    # queries without a token find nothing; left in, all of them would meet in the task of one key
+    asked = items.withColumn("_key", query_key(F.col("query"))).filter("_key <> ''")
     by_text = kept(cheapest(keyed_texts(offers, list(names)), "_text"), "offers-by-text")
     hits = matching_texts(asked.select(F.col("_key").alias("key")).distinct(), by_text.select(F.col("_text").alias("text")).distinct())
     by_key = hits.select(F.col("text").alias("_text"), F.col("key").alias("_key")).join(by_text, "_text").groupBy("_key", "market").agg(F.min("_best").alias("_best"))
@@ -30,6 +32,8 @@ def best_offers(items: DataFrame, offers: DataFrame, names: tuple[str, ...] = ("
     if "offer" in items.columns:
         met = met.unionByName(items.join(offers.select(F.col("offer_id").alias("offer"), "market", told.alias("_best")), "offer").select(*own))
     best = met.groupBy(*keys, "market").agg(F.min("_best").alias("_best"), F.first("quantity").alias("quantity"))
+    if not with_offer:
+        return best.select(*keys, "market", (F.col("_best") * F.col("quantity")).alias("line_total"))
     return best.select(*keys, "market", F.col("_best.offer_id").alias("offer_id"), (F.col("_best.ranking_price") * F.col("quantity")).alias("line_total"))
 
 
@@ -43,7 +47,7 @@ def baskets(best: DataFrame, n_items: int, markets: DataFrame) -> DataFrame:
 def list_baskets(items: DataFrame, offers: DataFrame, names: tuple[str, ...] = ("name",)) -> DataFrame:
     """(list_id, market, total, missing, complete) of all lists at every market that has something of them."""
     sizes = items.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n"))
-    b = best_offers(items, offers, names, ("list_id", "item")).groupBy("list_id", "market").agg(F.sum("line_total").alias("total"), F.count(F.lit(1)).alias("_found"))
+    b = best_offers(items, offers, names, ("list_id", "item"), with_offer=False).groupBy("list_id", "market").agg(F.sum("line_total").alias("total"), F.count(F.lit(1)).alias("_found"))
     return b.join(sizes, "list_id").select("list_id", "market", half_up(F.col("total"), 2).alias("total"), (F.col("_n") - F.col("_found")).alias("missing"), (F.col("_n") == F.col("_found")).alias("complete"))
 
 

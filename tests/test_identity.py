@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricewell.operators import lifecycle
-from pricewell.operators.basket import best_offers
+from pricewell.operators.basket import best_offers, list_baskets
 from pricewell.operators.joins import text_matches
 from pricewell.operators.keyed import components, unique_slugs
 from pricewell.operators.token_index import matching_texts
@@ -140,3 +140,14 @@ def test_lists_of_all_users_need_no_nested_loop(spark):
     assert {(x.item, x.market): (x.line_total / 2, x.offer_id) for x in best.collect()} == by
     for df in (best, text_matches(i, o, "query", ["name"])):
         assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_totals_of_lists_are_aggregated_in_place(spark):
+    """No text is carried to the totals, so nothing is sorted for them; queries without a token reach no join."""
+    o = spark.createDataFrame([("o1", "a", "leite integral", 3.0), ("o2", "a", "leite", 2.0), ("o3", "b", "leite", 4.0), ("o4", "b", "arroz", None)], "offer_id string, market string, name string, ranking_price double")
+    i = spark.createDataFrame([("l", 1, "leite", 2.0, None), ("l", 2, "x", 1.0, "o1"), ("l", 3, "", 1.0, None), ("m", 1, "arroz leite", 1.0, "o3")], "list_id string, item int, query string, quantity double, offer string")
+    df = list_baskets(i, o)
+    got = {(r.list_id, r.market): (r.total, r.missing, r.complete) for r in df.collect()}
+    assert got == {("l", "a"): (7.0, 1, False), ("l", "b"): (8.0, 2, False), ("m", "b"): (4.0, 0, True)}
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert not any("SortAggregate" in x and "list_id" in x for x in plan.split("\n"))
