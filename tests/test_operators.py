@@ -247,3 +247,4 @@ def test_run_flyers_are_single_without_a_table_of_pairs(spark):
     # the only grouping of pairs is that of run ids in several rows, once for flyers and once for offers
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Aggregate \[run_id#\d+, flyer_id#\d+\]", plan)) == 2
+    assert len(re.findall(r"_rows#\d+L > 1\)", plan)) == 2
