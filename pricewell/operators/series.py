@@ -28,10 +28,11 @@ def _corners(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class _Picker:
-    """The picks of one series of ``n`` points that come in order: one point a bucket, the one that spans most area between the last pick and the next bucket's mean.
+    """The picks of one series of ``n`` points that come from back to front: one point a bucket, the one that spans most area between the last pick and the next bucket's mean.
 
-    Areas are over places in the series. Of a bucket only the corners of its hull are held (the largest triangle over a fixed base ends at
-    one), of the next its sum, so memory does not follow the length.
+    Areas are over places in the series. Of a bucket only the corners of its hull (the largest triangle over a fixed base ends at one) and its sum are
+    held, so memory does not follow the length. Of areas that are equal but for rounding the mean's last bit decides, so the order of its additions is fixed:
+    one value after the other, the last place first.
     """
 
     def __init__(self, n: int, most: int):
@@ -39,78 +40,76 @@ class _Picker:
         self.all = most >= n or most < 3
         size = 0.0 if self.all else (n - 2) / (most - 2)
         edge = np.floor(np.arange(1, most + 1) * size).astype(np.int64) + 1 if not self.all else np.zeros(0, np.int64)
-        self.begin, self.end, self.stop = edge[:-2], np.minimum(edge[1:-1], n - 1), np.minimum(edge[1:-1], n)  # a mean may reach the last point
-        self.k, self.last = 0, None  # bucket to be picked, last pick (place, value)
-        self.points = [[np.zeros(0), np.zeros(0)] for _ in self.begin]
-        self.sums = np.zeros((len(self.begin), 3))
-
-    def add(self, at: int, y: np.ndarray) -> list[int]:
-        """Places picked now that the points from place ``at`` on are known."""
-        place = at + np.arange(len(y))
-        if self.all:
-            return place.tolist()
-        out = []
-        if at == 0:
-            out, self.last = [0], (0.0, float(y[0]))
-        first = max(int(np.searchsorted(self.stop, at, side="right")), 0)
-        for b in range(first, len(self.begin)):
-            if self.begin[b] >= at + len(y):
-                break
-            own = (place >= self.begin[b]) & (place < self.end[b])
-            px, py = (np.concatenate(z) for z in zip(self.points[b], (place[own].astype(float), y[own]), strict=True))
+        # a mean may reach the last point
+        self.begin, self.end, self.stop = (e.tolist() for e in (edge[:-2], np.minimum(edge[1:-1], n - 1), np.minimum(edge[1:-1], n)))
+        self.first = self.final = 0.0
+        self.points = [(np.zeros(0), np.zeros(0)) for _ in self.begin]
+        self.sums = [0.0 for _ in self.begin]
+
+    def add(self, low: int, y: np.ndarray) -> None:
+        """The points from place ``low`` on, in order of places; they lie right before those that are known."""
+        high = low + len(y)
+        if high == self.n:
+            self.final = float(y[-1])
+        if low == 0:
+            self.first = float(y[0])
+        for b, (begin, end, stop) in enumerate(zip(self.begin, self.end, self.stop, strict=True)):
+            if begin >= high or stop <= low:
+                continue
+            at = max(begin, low)
+            own = y[at - low : max(min(end, high), at) - low]
+            px, py = (np.concatenate(z) for z in zip((np.arange(at, at + len(own), dtype=float), own), self.points[b], strict=True))
             keep = _corners(px, py)
-            self.points[b] = [px[keep], py[keep]]
-            mean = (place >= self.begin[b]) & (place < self.stop[b])
-            self.sums[b] += (mean.sum(), place[mean].sum(), y[mean].sum())
-        known = at + len(y)
-        while self.k < len(self.begin) and known >= (self.stop[self.k + 1] if self.k + 1 < len(self.begin) else self.n):
-            out.append(self._pick(self.k, float(y[-1])))
-            self.k += 1
-        if known == self.n:
-            out.append(self.n - 1)
-        return out
-
-    def _pick(self, b: int, final: float) -> int:
-        px, py = self.points[b]
-        self.points[b] = []
-        if not len(px):
-            # an empty bucket picks its first place, which is the last point
-            self.last = (float(self.begin[b]), final)
-            return int(self.begin[b])
-        count, sx, sy = self.sums[b + 1] if b + 1 < len(self.begin) else (0, 0, 0)
-        mx, my = (sx / count, sy / count) if count else (self.n - 1.0, final)
-        ax, ay = self.last
-        area = np.abs((ax - mx) * (py - ay) - (ax - px) * (my - ay)) * 0.5
-        best = int(np.argmax(area))
-        self.last = (float(px[best]), float(py[best]))
-        return int(px[best])
+            self.points[b] = (px[keep], py[keep])
+            self.sums[b] = float(np.add.accumulate(np.append(self.sums[b], y[at - low : min(stop, high) - low][::-1]))[-1])
+
+    def picks(self) -> list[int]:
+        """Places of all picks, once every point is known."""
+        out, last = [0], (0.0, self.first)
+        for b, (px, py) in enumerate(self.points):
+            if len(px):
+                mean = (self.n - 1.0, self.final)
+                if b + 1 < len(self.begin) and (count := self.stop[b + 1] - self.begin[b + 1]) > 0:
+                    mean = ((self.begin[b + 1] + self.stop[b + 1] - 1) / 2, self.sums[b + 1] / count)
+                area = np.abs((last[0] - mean[0]) * (py - last[1]) - (last[0] - px) * (mean[1] - last[1])) * 0.5
+                best = int(np.argmax(area))
+                last = (float(px[best]), float(py[best]))
+            else:
+                # an empty bucket picks its first place, which is the last point
+                last = (float(self.begin[b]), self.final)
+            out.append(int(last[0]))
+        return [*out, self.n - 1]
 
 
 def decimate(df: DataFrame, series: str, order: list[str], y: str, most: int) -> DataFrame:
     """(series, pick, place): the places of at most ``most`` points of each series that keep its shape; a short series keeps all.
 
-    A pick depends on the one before, so each series is read once from front to back; rows come sorted from the window that numbers
-    them. A value that is unknown counts as its place. The last point may be picked twice.
+    A pick depends on the one before, so each series is read once, from back to front, and picked when its first point is there; rows come sorted from the
+    window that numbers them. A value that is unknown counts as its place. The last point may be picked twice.
     """
-    w = Window.partitionBy(series).orderBy(*order)
-    place = F.row_number().over(w).cast("long") - 1
-    rows = df.select(series, *[c for c in order if c != series], y).select(F.col(series).alias("s"), place.alias("i"), F.col(y).cast("double").alias("y"), F.count(F.lit(1)).over(Window.partitionBy(series)).alias("n"))
+    back = F.row_number().over(Window.partitionBy(series).orderBy(*[F.col(c).desc() for c in order])).cast("long")
+    n = F.count(F.lit(1)).over(Window.partitionBy(series))
+    rows = df.select(series, *[c for c in order if c != series], y).select(F.col(series).alias("s"), (n - back).alias("i"), F.col(y).cast("double").alias("y"), n.alias("n"))
     rows = rows.withColumn("y", F.coalesce("y", F.col("i").cast("double")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        picker, number = None, 0
+        picker = None
         for b in batches:
             i, ys, n = (b.column(c).to_numpy() for c in ("i", "y", "n"))
-            begin = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1] + 1) | (n[1:] != n[:-1])))) if len(i) else np.zeros(0, np.int64)
+            begin = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1] - 1))) if len(i) else np.zeros(0, np.int64)
             took, places, numbers = [], [], []
             for a, e in zip(begin.tolist(), np.append(begin[1:], len(i)).tolist(), strict=True):
-                if i[a] == 0:
-                    picker, number = _Picker(int(n[a]), most), 0
-                for p in picker.add(int(i[a]), ys[a:e]):
-                    took.append(a)
-                    places.append(p)
-                    numbers.append(number)
-                    number += 1
+                if i[a] == n[a] - 1:
+                    picker = _Picker(int(n[a]), most)
+                if picker.all:
+                    found = numbered = i[a:e].tolist()
+                else:
+                    picker.add(int(i[e - 1]), ys[a:e][::-1])
+                    found = picker.picks() if i[e - 1] == 0 else []
+                    numbered = range(len(found))
+                took += [a] * len(found)
+                places += found
+                numbers += numbered
             if took:
                 yield pa.RecordBatch.from_arrays([b.column("s").take(pa.array(took)), pa.array(numbers, pa.int64()), pa.array(places, pa.int64())], [series, "pick", "place"])
 

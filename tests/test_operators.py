@@ -248,3 +248,24 @@ def test_run_flyers_are_single_without_a_table_of_pairs(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Aggregate \[run_id#\d+, flyer_id#\d+\]", plan)) == 2
     assert len(re.findall(r"_rows#\d+L > 1\)", plan)) == 2
+
+
+def test_equal_areas_are_picked_as_in_sql(spark):
+    """Places 6 and 8 span the same area; the mean's last bit, and so the order of its additions, decides."""
+    import duckdb
+
+    import pricewell.plans  # noqa: F401  registers the queries
+    from pricewell.registry import ORACLES
+
+    values = [31.88] + [50.0] * 4 + [23.3, 16.7, 41.57, 86.33, 29.97] + [63.08, 132.52, 12.61, 114.98, 4.51] + [50.0] * 53
+    con = duckdb.connect(config={"threads": 1})
+    con.execute("CREATE TABLE events AS SELECT 1::BIGINT AS user_id, i::BIGINT AS ts, i::BIGINT AS event_id, v AS value FROM (SELECT unnest(range(len($1))) AS i, unnest($1::DOUBLE[]) AS v)", [values])
+    want = set(con.execute(ORACLES["lttb"]).fetchall())
+    assert (1, 1, 8) in want
+    df = spark.createDataFrame([(1, k, v) for k, v in enumerate(values)], "user_id long, ts long, value double")
+    for rows in ("10000", "7"):  # in one batch and in many
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            assert {tuple(r) for r in series.decimate(df, "user_id", ["ts"], "value", 16).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
