@@ -33,6 +33,8 @@ PHRASES = (
 )
 UNKNOWN_HINT = r"exclusiv[oa]\b"
 INSTITUTIONAL = r"aceitamos\s+cart|bandeiras|visa|mastercard|hipercard"
+# A word that every text with the phrase holds, in the order of PHRASES.
+_WORDS = ("clube", "clube", "clube", "fidelidade", "cadastrad", "mais", "clube", "cart", "cart", "cpf", "cpf", "exclusiv", "no", "cupom", "cupom", "pagando", "pix", "leve", "partir", "compra")
 _TRIGGER = r"(?iu)clube|cliente|fidelidade|cart[aã]o|cpf|app|aplicativo|cupom|pagando|pix|leve|partir|compra|exclusiv"
 # Which type leads when a text tells several.
 TYPE_RANK = ("UNKNOWN", "QUANTITY_REQUIRED", "COUPON_REQUIRED", "APP_ONLY", "CPF_REQUIRED", "STORE_CARD", "PAYMENT_METHOD", "LOYALTY_PROGRAM", "ALL_CUSTOMERS")
@@ -50,7 +52,9 @@ def eligibility_phrases(text: Column) -> Column:
 
     def found(t: Column) -> Column:
         told = lambda h: F.concat_ws(":", h["type"], F.lower(h["text"]))
-        found_ = F.filter(F.array(*[hit(t, *p) for p in PHRASES]), lambda h: h.isNotNull())
+        # a plain search for the phrase's word comes first; four letters match ASCII ones where case is ignored and do not become them in lower case
+        plain = F.lower(F.translate(t, "\u017f\u212a\u0131\u0130", "skii"))
+        found_ = let(plain, lambda low: F.filter(F.array(*[F.when(F.contains(low, F.lit(w)), hit(t, *p)) for w, p in zip(_WORDS, PHRASES, strict=True)]), lambda h: h.isNotNull()))
         some = let(found_, lambda hs: F.filter(hs, lambda h, i: F.array_position(F.transform(hs, told), told(h)) == i + 1))
         bare = F.when(t.rlike(f"(?i){UNKNOWN_HINT}"), F.array(F.struct(F.lit("UNKNOWN").alias("type"), F.trim(F.regexp_extract(t, f"(?i)({UNKNOWN_HINT})", 1)).alias("text")))).otherwise(none)
         return let(some, lambda s: F.when(F.size(s) > 0, s).otherwise(bare))
@@ -78,24 +82,31 @@ def resolve_eligibility(rule_types: Column, ai_type: Column, ai_types: Column, a
     Phrases win. The model's answer counts only with evidence; without it a single claim becomes UNKNOWN and
     conditions are dropped.
     """
-    none, some = F.array().cast("array<string>"), F.size(F.coalesce(rule_types, F.array().cast("array<string>"))) > 0
-    told = F.coalesce(ai_types, none)
-    proven = F.coalesce(F.trim(ai_evidence) != "", F.lit(False))
-    claims = ai_type.isNotNull() & (ai_type != "ALL_CUSTOMERS")
-    kind = F.when(claims & ~proven, F.when(F.size(told) == 0, "UNKNOWN")).otherwise(ai_type)
-    claims = F.coalesce(kind != "ALL_CUSTOMERS", F.lit(False))
-    own = F.when(proven, told).otherwise(none)
-    types = F.when(some, F.array_union(rule_types, own)).when(proven & (F.size(own) > 0), F.array_distinct(own)).when(proven & claims, F.array(kind)).otherwise(none)
-    agrees = claims & F.array_contains(types, kind) & ai_confidence.isNotNull()
-    conf = (
-        F.when(some, F.when(agrees, F.greatest(F.lit(0.92), ai_confidence)).otherwise(0.92))
-        .when(proven & ((F.size(own) > 0) | claims), F.coalesce(ai_confidence, F.lit(0.75)))
-        .when(kind == "UNKNOWN", F.coalesce(ai_confidence, F.lit(0.42)))
-        .otherwise(F.coalesce(ai_confidence, F.lit(0.91)))
-    )
-    final = F.when(F.size(types) > 0, primary_type(types)).when(kind == "UNKNOWN", "UNKNOWN").otherwise("ALL_CUSTOMERS")
-    conf = F.when((final == "UNKNOWN") & (F.size(types) == 0), F.least(conf, F.lit(0.5))).otherwise(conf)
-    return F.struct(final.alias("type"), types.alias("types"), conf.alias("confidence"), eligibility_status(conf).alias("status"))
+    none = F.array().cast("array<string>")
+    proven_, claims_ = F.coalesce(F.trim(ai_evidence) != "", F.lit(False)), ai_type.isNotNull() & (ai_type != "ALL_CUSTOMERS")
+    given = F.struct((F.size(F.coalesce(rule_types, none)) > 0).alias("some"), proven_.alias("proven"), F.when(proven_, F.coalesce(ai_types, none)).otherwise(none).alias("own"), F.when(claims_ & ~proven_, F.when(F.size(F.coalesce(ai_types, none)) == 0, "UNKNOWN")).otherwise(ai_type).alias("kind"))
+
+    def typed(g: Column) -> Column:
+        some, proven, own, kind = g["some"], g["proven"], g["own"], g["kind"]
+        claims = F.coalesce(kind != "ALL_CUSTOMERS", F.lit(False))
+        types = F.when(some, F.array_union(rule_types, own)).when(proven & (F.size(own) > 0), F.array_distinct(own)).when(proven & claims, F.array(kind)).otherwise(none)
+        return let(types, lambda ts: let(sure(g, claims, ts), lambda c: F.struct(final(kind, ts).alias("type"), ts.alias("types"), c.alias("confidence"), eligibility_status(c).alias("status"))))
+
+    def final(kind: Column, types: Column) -> Column:
+        return F.when(F.size(types) > 0, primary_type(types)).when(kind == "UNKNOWN", "UNKNOWN").otherwise("ALL_CUSTOMERS")
+
+    def sure(g: Column, claims: Column, types: Column) -> Column:
+        agrees = claims & F.array_contains(types, g["kind"]) & ai_confidence.isNotNull()
+        conf = (
+            F.when(g["some"], F.when(agrees, F.greatest(F.lit(0.92), ai_confidence)).otherwise(0.92))
+            .when(g["proven"] & ((F.size(g["own"]) > 0) | claims), F.coalesce(ai_confidence, F.lit(0.75)))
+            .when(g["kind"] == "UNKNOWN", F.coalesce(ai_confidence, F.lit(0.42)))
+            .otherwise(F.coalesce(ai_confidence, F.lit(0.91)))
+        )
+        # no type and yet UNKNOWN: a claim without evidence
+        return F.when((F.size(types) == 0) & F.coalesce(g["kind"] == "UNKNOWN", F.lit(False)), F.least(conf, F.lit(0.5))).otherwise(conf)
+
+    return let(given, typed)
 
 
 # Words that mark a listing as archived; a date in a title, and a range of two.
@@ -185,9 +196,10 @@ def unique_conditions(x: Column) -> Column:
     """Conditions of a known type other than ALL_CUSTOMERS, texts trimmed to 200 characters, the first of each type and name."""
     short = lambda c: F.nullif(F.substring(F.trim(c), 1, 200), F.lit(""))
     kinds = [t for t in TYPE_RANK if t != "ALL_CUSTOMERS"]
-    known = F.transform(F.filter(F.coalesce(x, F.array().cast("array<struct<type:string,name:string,description:string,requirement:string>>")), lambda c: c["type"].isin(*kinds)), lambda c: F.struct(c["type"].alias("type"), short(c["name"]).alias("name"), short(c["description"]).alias("description"), short(c["requirement"]).alias("requirement")))
+    known_ = F.transform(F.filter(F.coalesce(x, F.array().cast("array<struct<type:string,name:string,description:string,requirement:string>>")), lambda c: c["type"].isin(*kinds)), lambda c: F.struct(c["type"].alias("type"), short(c["name"]).alias("name"), short(c["description"]).alias("description"), short(c["requirement"]).alias("requirement")))
     key = lambda c: F.concat_ws(":", c["type"], F.lower(F.coalesce(c["name"], F.lit(""))))
-    return F.filter(known, lambda c, i: F.array_position(F.transform(known, key), key(c)) == i + 1)
+    first = lambda known: F.when(F.size(known) < 2, known).otherwise(let(F.transform(known, key), lambda keys: F.filter(known, lambda c, i: F.array_position(keys, key(c)) == i + 1)))
+    return let(known_, first)
 
 
 def evidence(text: Column, source: Column, page: Column, default_page: Column) -> Column:

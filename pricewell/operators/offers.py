@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 from pricewell.functions import money, parse
 from pricewell.functions.semantics import let
 from pricewell.functions.text import dedupe_key, normalize_unit, sanitize_name, squeeze_space, strip_unknown, title_case
+from pricewell.sources.scratch import dealt
 
 # A pair of prices, a new price, instalment and cash lines, lines that are no name, and what a name sheds.
 PAIR = r"(?i)DE\s*R?\$?\s*([\d.,]+)\s*POR\s*R?\$?\s*([\d.,]+)"
@@ -58,9 +59,9 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     line; only lines with a price become rows, with the few lines around them.
     """
     lines = F.filter(F.transform(F.split(squeeze_space(F.coalesce("text", F.lit(""))), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    p = pages.select("page_id", "page_number", lines.alias("lines"), F.coalesce("confidence", F.lit(0.5)).alias("conf")).filter(F.size("lines") > 0)
+    p = dealt(pages).select("page_id", "page_number", lines.alias("lines"), F.coalesce("confidence", F.lit(0.5)).alias("conf"))
     p = p.withColumns({"noise": F.transform("lines", noise_line), "prices": F.transform("lines", money.extract_prices)})
-    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    every = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1))  # a filter would be pushed down, and the lines with it
     p = p.withColumn("n_prices", F.transform("prices", lambda x: F.size(x)))
     line = lambda i: F.get("lines", i)
     near = lambda i, before, after: F.slice("lines", F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before)) + after)
@@ -182,9 +183,9 @@ def offers_from_json(pages: DataFrame, column: str = "raw") -> DataFrame:
     Names of under three characters or of digits alone and prices out of range are dropped. Cash wins over count times amount, that over the
     price. A missing confidence is 0.7. A cut-off answer keeps its complete records.
     """
-    p = parsed_answers(pages, column).select("page_id", "page_number", F.col("j.validFrom").alias("valid_from"), F.col("j.validUntil").alias("valid_until"), F.col("j.confidence").alias("page_confidence"), F.posexplode("j.offers").alias("n", "o"))
+    p = parsed_answers(dealt(pages), column).select("page_id", "page_number", F.col("j.validFrom").alias("valid_from"), F.col("j.validUntil").alias("valid_until"), F.col("j.confidence").alias("page_confidence"), F.posexplode("j.offers").alias("n", "o"))
     name = sanitize_name(F.coalesce(strip_unknown(F.col("o.name")), F.lit("")))
-    p = p.withColumn("name", name).filter((F.length("name") >= 3) & ~F.col("name").rlike(r"^\d+$"))
+    p = p.withColumn("name", name)  # names that are none go with the grouping: a filter would be pushed down, and the name's expression with it
     blank = lambda c: F.coalesce(c, F.lit(""))
     cash_text = F.when(money.to_number(F.col("o.cashPrice")).isNotNull() & ~F.col("o.cashPrice").rlike(r"^[\d.]+$"), F.col("o.cashPrice"))
     p = p.withColumn("hay", F.concat_ws(" ", "name", blank(F.to_json("o.evidence")), blank(F.to_json("o.conditions")), blank(cash_text)))
@@ -211,7 +212,7 @@ def offers_from_json(pages: DataFrame, column: str = "raw") -> DataFrame:
         "page_id", "page_number", "n", F.substring("name", 1, 200).alias("name"), title_case(strip_unknown(F.col("o.brand"))).alias("brand"), strip_unknown(F.col("o.quantity")).alias("quantity"), normalize_unit(strip_unknown(F.col("o.unit"))).alias("unit"),
         F.col("pay.price").alias("price"), F.col("pay.original_price").alias("original_price"), F.col("pay.cash_price").alias("cash_price"), F.col("pay.installment_count").alias("installment_count"), F.col("pay.installment_amount").alias("installment_amount"), money.interest_free(told_free, F.col("hay")).alias("interest_free"),
         F.when(F.col("pay.original_price").isNotNull(), money.discount_guard(F.col("pay.original_price"), F.col("pay.price"))).alias("discount_percentage"), F.coalesce(money.to_number(F.col("o.confidence")), F.lit(0.7)).alias("confidence"),
-        F.col("e.type").alias("eligibility"), F.col("told_conditions").alias("conditions"), F.col("e.confidence").alias("eligibility_confidence"), F.col("e.status").alias("eligibility_status"), "evidence", "valid_from", "valid_until", "page_confidence", F.col("pay.price").isNotNull().alias("good"),
+        F.col("e.type").alias("eligibility"), F.col("told_conditions").alias("conditions"), F.col("e.confidence").alias("eligibility_confidence"), F.col("e.status").alias("eligibility_status"), "evidence", "valid_from", "valid_until", "page_confidence", ((F.length("name") >= 3) & ~F.col("name").rlike(r"^\d+$") & F.col("pay.price").isNotNull()).alias("good"),
     )
     told = F.to_json(F.struct("name", "price", F.col("original_price").alias("originalPrice"), F.col("cash_price").alias("cashPrice"), F.col("installment_count").alias("installmentCount"), F.col("installment_amount").alias("installmentAmount"), "quantity", "brand", "eligibility", F.col("evidence.text").alias("evidence")))
     out = out.withColumn("raw_text", F.substring(F.regexp_replace(told, r"(:-?\d+)\.0([,}])", "$1$2"), 1, 1000))

@@ -10,6 +10,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def dealt(df: DataFrame, rounds: int = 4) -> DataFrame:
+    """The rows dealt out over all cores, some tasks a core: for small rows with much work each, which else run in as few tasks as their files have parts."""
+    return df.repartition(rounds * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; where it is unset, a new one in local mode and an error otherwise."""
     base = spark.conf.get("spark.checkpoint.dir", None)

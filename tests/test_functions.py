@@ -135,3 +135,21 @@ def test_calendar(spark):
 def test_distance(spark):
     r = one(spark, a=geo.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)), b=geo.haversine_km(F.lit(None).cast("double"), F.lit(0.0), F.lit(0.0), F.lit(0.0)))
     assert abs(r["a"] - 20015.09) < 0.01 and r["b"] is None
+
+
+def test_phrases_are_found_whatever_their_letters(spark):
+    """Each phrase's word is looked for first; letters that match ASCII ones where case is ignored must not hide it."""
+    assert len(parse._WORDS) == len(parse.PHRASES)
+    texts = ["EXCLUSIVO CLUBE", "cliente clube", "preço clube", "programa de fidelidade", "CLIENTE CADASTRADO", "cliente ma\u0130s", "clube abc", "cartão da loja", "no cart\u00c3o da", "com cpf", "cpf na nota", "exclu\u017fivo no app", "\u017fo no app só no app", "com cupom", "cupom A12", "pagando com", "no p\u0131x", "leve 3", "a partir de 2", "na compra de", "nada"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse.eligibility_phrases(F.col("t"))["type"].alias("k"))
+    for r in got.collect():
+        want = [k for k, p in parse.PHRASES if spark.range(1).select(F.lit(r.t).rlike(f"(?iu){p}").alias("x")).first().x]
+        assert set(want) == set(r.k), (r.t, want, r.k)
+
+
+def test_unknown_words_and_numbers(spark):
+    df = spark.createDataFrame([(" null ",), ("n/a",), ("nullx",), ("N.A",), ("",), (None,), ("-\u2028",), ("a null",), ("R$ 1.234,50",), ("12",), ("1e3",), (" 7 ",), ("x",)], "t string")
+    got = {r.t: (r.u, r.n) for r in df.select("t", text.strip_unknown(F.col("t")).alias("u"), money.to_number(F.col("t")).alias("n")).collect()}
+    assert got[" null "] == got["n/a"] == got["N.A"] == got[""] == got[None] == (None, None) and got["-\u2028"][0] is None
+    assert (got["nullx"][0], got["a null"][0]) == ("nullx", "a null")
+    assert [got[t][1] for t in ("R$ 1.234,50", "12", "1e3", " 7 ", "x")] == [1234.5, 12.0, 1000.0, 7.0, None]

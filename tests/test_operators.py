@@ -269,3 +269,12 @@ def test_equal_areas_are_picked_as_in_sql(spark):
             assert {tuple(r) for r in series.decimate(df, "user_id", ["ts"], "value", 16).collect()} == want
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pages_are_dealt_over_all_cores(spark):
+    """Few small files make few tasks, and a page's parsing is most of the work."""
+    pages = spark.createDataFrame([(1, 1, PAGE, 0.9), (2, 1, "", 0.9), (3, 1, None, None)], "page_id long, page_number int, text string, confidence double").coalesce(1)
+    answers = spark.createDataFrame([(1, 1, '{"offers":[{"name":"Arroz","price":"3"},{"name":"12","price":"3"}]}')], "page_id long, page_number int, raw string").coalesce(1)
+    for df in (offers.parse_pages(pages), offers.offers_from_json(answers)):
+        assert f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism})" in df._jdf.queryExecution().executedPlan().toString()
+        assert {r.page_id for r in df.collect()} == {1}
