@@ -22,7 +22,8 @@ def to_number(x: Column) -> Column:
     """Text with or without R$; with a comma, points group thousands."""
     t = F.trim(F.regexp_replace(x, r"(?i)R\$", ""))
     t = F.when(F.contains(t, F.lit(",")), F.regexp_replace(F.replace(t, F.lit("."), F.lit("")), "^([^,]*),", "$1.")).otherwise(t)
-    return F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
+    plain = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+    return F.when(x.rlike(plain), x.try_cast("double")).otherwise(F.when(t.rlike(plain), t.try_cast("double")))  # most are a number as they stand
 
 
 def money_ok(x: Column) -> Column:

@@ -70,8 +70,7 @@ def squeeze_space(x: Column) -> Column:
 
 def strip_unknown(x: Column) -> Column:
     """Trimmed, or null for blanks and words that say nothing."""
-    t = F.regexp_replace(x, r"^\s+|\s+$", "")
-    return F.when((t != "") & ~t.rlike(UNKNOWN_WORDS), t)
+    return F.nullif(F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), UNKNOWN_WORDS + r"[\s\S]*", ""), F.lit(""))
 
 
 def sanitize_name(x: Column) -> Column:
