@@ -52,17 +52,25 @@ def discover(flyers: DataFrame, found: DataFrame, as_of: Column) -> DataFrame:
     where there are any, so a later find sees the URL and external id that an earlier one has set. A flyer without a stored file
     whose pages are known is queued for download again, unless it is in work or expired.
 
-    Finds and flyers that share a URL or an external id, directly or through others, form a component; components are told by label propagation and are independent, so the order
-    is kept within each and a large market is many small groups. Flyers that no find touches are passed through.
+    Finds and flyers that share a URL or an external id, directly or through others, form a component; components are independent, so the order is kept within each and a
+    large market is many small groups. Only a row with both a URL and an external id joins two keys, so labels spread over these pairs alone; any other URL is a component by
+    itself. Flyers that no find touches are passed through.
     """
-    finds = found.select(*[F.col(c) for c in found.columns], F.sha2(F.concat_ws("|", "supermarket_id", "original_url", F.col("found_at").cast("string")), 256).alias("_new"), F.xxhash64(*found.columns).alias("_tie"), as_of.alias("_as_of"))
-    finds = kept(finds.withColumn("_node", F.concat(F.lit("n"), F.row_number().over(Window.partitionBy("supermarket_id", "original_url").orderBy("found_at", "_tie")).cast("string"), F.lit("|"), F.col("supermarket_id").cast("string"), F.lit("|"), F.coalesce("original_url", F.lit("")))), "finds")
-    keys = lambda df, node: df.select(node.alias("node"), F.explode(F.array(F.concat_ws("|", F.lit("u"), "supermarket_id", "original_url"), F.when(F.col("external_id") != "", F.concat_ws("|", F.lit("e"), "supermarket_id", "external_id")))).alias("key")).filter("key IS NOT NULL")
-    asked = keys(finds, F.col("_node"))
-    old = keys(flyers, F.concat(F.lit("f|"), "id")).join(asked.select("key").distinct(), "key", "left_semi")
-    label = kept(components(asked.unionByName(old)), "components")
-    mine = flyers.withColumn("_node", F.concat(F.lit("f|"), "id")).join(label, F.col("_node") == F.col("node")).drop("_node", "node")
-    theirs = finds.join(label, F.col("_node") == F.col("node")).drop("_node", "node")
+    url, ext = F.concat_ws("|", F.lit("u"), "supermarket_id", "original_url"), F.when(F.col("external_id") != "", F.concat_ws("|", F.lit("e"), "supermarket_id", "external_id"))
+    finds = found.select(*[F.col(c) for c in found.columns], F.sha2(F.concat_ws("|", "supermarket_id", "original_url", F.col("found_at").cast("string")), 256).alias("_new"), F.xxhash64(*found.columns).alias("_tie"), as_of.alias("_as_of"), url.alias("_url"), ext.alias("_ext"))
+    finds = kept(finds, "finds")
+    asked = finds.select(F.explode(F.array("_url", "_ext")).alias("key")).filter("key IS NOT NULL").distinct()
+    own = flyers.select("id", F.explode(F.array(F.struct(F.lit(True).alias("by_url"), url.alias("key")), F.struct(F.lit(False).alias("by_url"), ext.alias("key")))).alias("k")).select("id", "k.*").filter("key IS NOT NULL")
+    own = own.join(asked, "key", "left_semi").groupBy("id").agg(F.max(F.when(F.col("by_url"), F.col("key"))).alias("_url"), F.max(F.when(~F.col("by_url"), F.col("key"))).alias("_ext"))
+    own = kept(own, "touched")
+    pairs = kept(finds.select("_url", "_ext").unionByName(own.select("_url", "_ext")).filter("_url IS NOT NULL AND _ext IS NOT NULL").distinct(), "pairs")
+    label = components(pairs.select(F.col("_url").alias("node"), F.col("_ext").alias("key"))).withColumnRenamed("node", "_url")
+    by_url = lambda df: df.join(label, "_url", "left").withColumn("label", F.coalesce("label", "_url"))
+    # an external id that was asked for stands in some find's pair; it labels the flyers that are known by it alone
+    by_ext = pairs.join(label, "_url").select("_ext", "label").distinct()
+    labelled = by_url(own.filter("_url IS NOT NULL")).select("id", "label").unionByName(own.filter("_url IS NULL").join(by_ext, "_ext").select("id", "label"))
+    mine = flyers.join(labelled, "id")
+    theirs = by_url(finds).drop("_url", "_ext")
     columns = flyers.columns
     both = mine.withColumn("_find", F.lit(False)).unionByName(theirs.withColumn("_find", F.lit(True)), allowMissingColumns=True)
     schema = T.StructType([*flyers.schema.fields, *[f for f in found.schema.fields if f.name not in columns and f.name != "found_at"]])
@@ -82,7 +90,7 @@ def discover(flyers: DataFrame, found: DataFrame, as_of: Column) -> DataFrame:
         return here
 
     done = replay(both, ["label"], [], turns, schema)
-    return flyers.join(mine.select("id"), "id", "left_anti").unionByName(done, allowMissingColumns=True)
+    return flyers.join(own.select("id"), "id", "left_anti").unionByName(done, allowMissingColumns=True)
 
 
 def arm(flows: DataFrame, markets: DataFrame, at: Column) -> DataFrame:

@@ -91,3 +91,31 @@ def test_states(spark):
     none = F.array().cast("array<struct<name:string,description:string,requirement:string>>")
     r = spark.range(1).select(listing.public_condition(F.lit(None).cast("string"), none).alias("a"), listing.public_condition(F.lit("APP_ONLY"), none, {"APP_ONLY": "Só no app"}).alias("b"), listing.public_condition(F.lit("APP_ONLY"), F.array(F.struct(F.lit(" n ").alias("name"), F.lit("n").alias("description"), F.lit(None).cast("string").alias("requirement")))).alias("c"), filters.source_kinds(F.array(F.lit("dynamic"), F.lit("click")), F.lit("")).alias("d"), filters.source_kinds(F.array().cast("array<string>"), F.lit("http://x/a.pdf?b")).alias("e")).first()
     assert (r.a.kind, r.b.text, r.c.text, r.d, r.e) == ("none", "Só no app", "n", ["api", "html"], ["pdf"])
+
+
+def test_discovery_is_a_replay_of_whole_markets(spark, monkeypatch):
+    """Chains through URLs and external ids, finds without either, flyers known by external id alone; labels spread over rows with both keys only."""
+    import random
+
+    rng = random.Random(5)
+    pick = lambda kind, n, none=0.3: None if rng.random() < none else f"{kind}{rng.randrange(n)}"
+    old = [flyer(f"f{k:03d}", rng.choice(["processed", "expired"]), url=f"u{rng.randrange(60)}", ext=pick("e", 40), stored=rng.choice(["s", None]), market=rng.choice("mn")) for k in range(70)]
+    new = [(rng.choice("mn"), "src", pick("t", 99), pick("u", 60, 0.05), pick("e", 40), rng.choice([["p"], None]), None, None, None, k) for k in range(90)]
+    f = spark.createDataFrame(old, FLYER)
+    found = spark.createDataFrame(new, "supermarket_id string, source_id string, title string, original_url string, external_id string, page_urls array<string>, valid_from timestamp, valid_until timestamp, store_ids array<string>, found_at int")
+    seen, plain = [], lifecycle.components
+    monkeypatch.setattr(lifecycle, "components", lambda edges: seen.append(edges.select("node", "key").distinct().count()) or plain(edges))
+    got = sorted((r.supermarket_id, r.original_url or "", r.external_id or "", r.title or "", r.status, r.id if r.id[0] == "f" and len(r.id) == 4 else "new") for r in lifecycle.discover(f, found, AT()).collect())
+    here = [r.asDict() for r in sorted(f.collect(), key=lambda r: (r.created_at, r.id))]
+    for n in sorted(found.collect(), key=lambda r: r.found_at):
+        same = lambda c: next((r for r in here if n[c] and r["supermarket_id"] == n["supermarket_id"] and r[c] == n[c]), None)  # noqa: E731, B023
+        hit = same("original_url") or same("external_id")
+        if hit is None:
+            here.append({**n.asDict(), "id": "new", "status": "discovered", "storage_id": None})
+            continue
+        if n.page_urls and not hit["storage_id"] and hit["status"] != "expired":
+            hit["status"] = "discovered"
+        hit.update({c: n[c] for c in ("title", "original_url", "external_id") if n[c]})
+    assert got == sorted((r["supermarket_id"], r["original_url"] or "", r["external_id"] or "", r["title"] or "", r["status"], r["id"]) for r in here)
+    both = {(r[0], r[3], r[4]) for r in new if r[4]} | {(r[1], r[5], r[6]) for r in old if r[6]}
+    assert len(seen) == 1 and seen[0] <= len(both)
