@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewell.llm.common import Scratch, mix64, partitions, per_bytes, texts, word_hashes
-from pricewell.llm.repeats import ANSWER, PACK, SENT, SHARDS_A_PARTITION, by_doc, exchange, join_found, keyed, keys_of, packs, positions, repeated_marks, unpack
+from pricewell.llm.repeats import ANSWER, PACK, SENT, Entries, by_doc, exchange, join_found, keyed, keys_of, packs, positions, repeated_marks
 
 ROUNDS = 4
 TESTED = (3, 4)  # rounds whose new symbols are counted
@@ -127,14 +127,13 @@ def _first_of_equals(a, b, d, h, pos):
     at = np.flatnonzero(first)
     lead = np.repeat(at, np.diff(np.append(at, len(a))))
     later = (d != d[lead]) | (pos != pos[lead]) | (h != h[lead])
-    return a, b, d, h, pos, first, later
+    return order, first, later
 
 
 def repeated_windows(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """(_d, _h, found): starts of the windows whose words also start earlier."""
     marked = repeated_marks(docs, _marks(width), scratch, "symbols")
     parts = partitions(docs.sparkSession)
-    n_shards = parts * SHARDS_A_PARTITION
 
     def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         names, count = word_hashes(texts(batch))
@@ -150,20 +149,18 @@ def repeated_windows(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame
             return
         a, b = window_hashes(names, at, width)
         doc = np.searchsorted(np.cumsum(count), at, side="right")
-        keys = keys_of(batch)
-        a, b, d, h, pos, first, later = _first_of_equals(a, b, keys[0][doc], keys[1][doc], at - base[doc])
-        name12 = np.concatenate((a[first].view(np.uint8).reshape(-1, 8), b[first].astype(np.uint32).view(np.uint8).reshape(-1, 4)), axis=1)
-        yield from packs((a[first] % np.uint64(n_shards)).astype(np.int32), SENT, d[first], h[first], pos[first], name12)
-        yield from packs(by_doc(d[later], h[later], parts), ANSWER, d[later], h[later], pos[later])
-
-    def answer(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        d, h, pos, name = (np.concatenate(x) for x in zip(*(unpack(r, 12)[:4] for r in rows), strict=True))
-        a = np.ascontiguousarray(name[:, :8]).view(np.uint64).ravel()
-        b = np.ascontiguousarray(name[:, 8:]).view(np.uint32).ravel()
-        _, _, d, h, pos, _, later = _first_of_equals(a, b, d, h, pos)
-        yield d[later], h[later], pos[later]
-
-    found = exchange(per_bytes(join_found(docs, marked), send, PACK), answer, scratch, "windows")
+        key, pos = keys_of(batch), at - base[doc]
+        order, first, later = _first_of_equals(a, b, key[0][doc], key[1][doc], pos)
+        first, later = np.sort(order[first]), np.sort(order[later])
+        yield from packs((a[first] % np.uint64(parts)).astype(np.int32), SENT, doc[first], *key, [pos[first]], plain=[a[first], b[first].astype(np.uint32)])
+        yield from packs(by_doc(*key, parts)[doc[later]], ANSWER, doc[later], *key, [pos[later]])
+
+    def answer(e: Entries) -> Iterator[tuple[np.ndarray]]:
+        order, _, later = _first_of_equals(*e.plain, e.d[e.doc], e.h[e.doc], e.pos)
+        yield (order[later],)
+
+    layout = {"plain": [np.uint64, np.uint32]}
+    found = exchange(per_bytes(join_found(docs, marked), send, PACK), layout, answer, scratch, "windows")
     scratch.drop("symbols")
     return found
 

@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewell.llm.common import Scratch, mix64, partitions, per_bytes, starts_of, texts
-from pricewell.llm.repeats import ANSWER, PACK, SENT, SHARDS_A_PARTITION, by_doc, exchange, join_found, keyed, keys_of, opened, packs, positions, repeated_marks, squeeze, stretches, unpack
+from pricewell.llm.repeats import ANSWER, PACK, SENT, Entries, by_doc, exchange, join_found, keyed, keys_of, packs, positions, repeated_marks, stretches
 
 GRAM = 16  # bytes of an anchor
+SLICE = 8 << 20  # bytes of texts that are cut at once
+SORTED = 1 << 20  # bytes of stretches that are sorted at once, or all of one anchor
 BLOCK, PLACE = 1 << 16, np.uint64(17)  # a block with its overlap has fewer than 2 ** 17 places
 _BYTES = mix64(np.arange(256, dtype=np.uint64), 11)
 
@@ -209,11 +211,28 @@ def _digests(data: bytes, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, cut)), "<u8").reshape(-1, 2)
 
 
+def _parts_that_go(data: np.ndarray, begin: np.ndarray, count: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings that a stretch of a smaller owner also has: stretch, first string in it, and how many follow."""
+    size = count + width - 1
+    text = _stretches(data, begin, size)
+    skip = np.cumsum(count) - count
+    at = np.repeat(np.cumsum(size) - size - skip, count) + np.arange(int(count.sum()))
+    owner = np.repeat(owner, count)
+    gone = least_of_classes(text, at, owner, width) < owner
+    # cut where a stretch ends
+    head = gone.copy()
+    head[1:] &= ~gone[:-1]
+    head[skip] = gone[skip]
+    first = np.flatnonzero(head)
+    length = np.diff(np.append(np.cumsum(gone)[first] - 1, np.count_nonzero(gone)))
+    which = np.searchsorted(skip, first, side="right") - 1
+    return which, first - skip[which], length
+
+
 def repeated_strings(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """(_d, _h, found): runs of places where strings of ``width`` bytes begin that a smaller doc_id also has."""
-    marked = repeated_marks(docs, _marks(width), scratch, "anchors")
+    marked = repeated_marks(docs, _marks(width), scratch, "anchors", SLICE)
     parts = partitions(docs.sparkSession)
-    n_shards = parts * SHARDS_A_PARTITION
 
     def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raw = texts(batch)
@@ -227,7 +246,8 @@ def repeated_strings(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame
         if not len(name):
             return
         doc = _owner(base, start)
-        d, h = (x[doc] for x in keys_of(batch))
+        key = keys_of(batch)
+        d = key[0][doc]
         pos = start - base[doc]
         mark = _digests(data.tobytes(), start, count + width - 1)
         order = np.lexsort((d, mark[:, 0]))
@@ -237,77 +257,65 @@ def repeated_strings(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame
         later, leader = np.empty(len(order), bool), np.empty(len(order), np.int64)
         later[order] = d[order] > d[order[lead]]  # a smaller document of this slice has all their strings
         leader[order] = order[lead]
-        stretch = leader[~later]
-
-        def more(at: np.ndarray) -> tuple[bytes, bytes]:
-            used, which = np.unique(stretch[at], return_inverse=True)
-            size = count[used] + width - 1
-            blob = _stretches(data, start[used], size)
-            head = np.array([len(used), len(blob)], np.int64).tobytes()
-            return head + name[used].tobytes() + count[used].astype(np.uint16).tobytes() + squeeze(blob), squeeze(which.astype(np.uint32))
-
-        sent = ~later
-        yield from packs((name[sent] % np.uint64(n_shards)).astype(np.int32), SENT, d[sent], h[sent], pos[sent], more=more)
-        yield from packs(by_doc(d[later], h[later], parts), ANSWER, d[later], h[later], pos[later], flag=count[later].astype(np.uint32))
-
-    def answer(rows: list[dict]) -> Iterator[tuple[np.ndarray, ...]]:
-        entries, names, counts, blobs, n = [], [], [], [], 0
-        for r in rows:
-            d, h, pos, _, which = unpack(r, flags=np.uint32)
-            m, size = np.frombuffer(r["name"], np.int64, 2).tolist()
-            names.append(np.frombuffer(r["name"], np.uint64, m, 16))
-            counts.append(np.frombuffer(r["name"], np.uint16, m, 16 + 8 * m).astype(np.int64))
-            blobs.append(opened(r["name"][16 + 10 * m :], size, np.uint8))
-            entries.append((d, h, pos, which.astype(np.int64) + n))
-            n += m
-        d, h, pos, which = (np.concatenate(x) for x in zip(*entries, strict=True))
-        name, count, data = np.concatenate(names), np.concatenate(counts), np.concatenate(blobs)
-        size = count + width - 1
-        begin = np.cumsum(size) - size
+        sent = np.flatnonzero(~later)
+        used, which = np.unique(leader[sent], return_inverse=True)
+        part, short = (x.astype(kind) for x, kind in zip(np.divmod(name[used], np.uint64(parts))[::-1], (np.int32, np.uint32), strict=True))
+        order = np.argsort(part, kind="stable")
+        used, short = used[order], short[order]
+        at = starts_of(part[order])
+        rows = np.diff(np.append(at, len(order)))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order)) - np.repeat(at, rows)
+        size = count[used] + width - 1
+        tables = [(rows, [count[used].astype(np.uint16)], [short]), (np.add.reduceat(size, at), [_stretches(data, start[used], size)], [])]
+        yield from packs(part[which], SENT, doc[sent], *key, [pos[sent], place[which]], tables=tables)
+        yield from packs(by_doc(*key, parts)[doc[later]], ANSWER, doc[later], *key, [pos[later]], [count[later].astype(np.uint32)])
+
+    def answer(e: Entries) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        (count, name), (data,) = e.tables
+        count, which, d = count.astype(np.int64), e.steps[1] + e.first[0], e.d[e.doc]
+        begin = np.cumsum(count + width - 1) - (count + width - 1)
         # equal stretches become one, with the smallest document that has it
-        mark = _digests(data.tobytes(), begin, size)
-        order = np.lexsort((mark[:, 0], name))
+        mark = _digests(data.tobytes(), begin, count + width - 1)
+        order = np.argsort(mark[:, 0])
         new = np.concatenate(([True], (name[order][1:] != name[order][:-1]) | (mark[order][1:] != mark[order][:-1]).any(axis=1)))
-        one = np.empty(n, np.int64)
-        one[order] = np.cumsum(new) - 1
         rep = order[new]
-        which = one[which]
+        by_name = np.argsort(name[rep], kind="stable")
+        rank = np.empty(len(rep), np.int64)
+        rank[by_name] = np.arange(len(rep))
+        one = np.empty(len(order), np.int64)
+        one[order] = rank[np.cumsum(new) - 1]
+        rep, which = rep[by_name], one[which]
         low = np.full(len(rep), np.iinfo(np.int64).max)
         np.minimum.at(low, which, d)
-        count = count[rep]
+        name, count, begin = name[rep], count[rep], begin[rep]
         all_gone = d > low[which]
-        yield d[all_gone], h[all_gone], pos[all_gone], count[which[all_gone]]
-        # only anchors with several stretches have anything to sort
-        name = name[rep]
+        at = np.flatnonzero(all_gone)
+        yield at, e.pos[at], count[which[at]]
+        # only anchors with several stretches have anything to sort, some at a time
         run = starts_of(name)
-        used = np.flatnonzero(np.repeat(np.diff(np.append(run, len(name))) > 1, np.diff(np.append(run, len(name)))))
+        n = np.diff(np.append(run, len(name)))
+        used = np.flatnonzero(np.repeat(n > 1, n))
         if not len(used):
             return
-        c, s = count[used], size[rep[used]]
-        text = _stretches(data, begin[rep[used]], s)
-        base = np.cumsum(s) - s
-        skip = np.cumsum(c) - c
-        at = np.repeat(base - skip, c) + np.arange(int(c.sum()))
-        owner = np.repeat(low[used], c)
-        gone = least_of_classes(text, at, owner, width) < owner
-        # runs of strings that go, cut where a stretch ends
-        head = gone.copy()
-        head[1:] &= ~gone[:-1]
-        head[skip] = gone[skip]
-        begins = np.flatnonzero(head)
-        length = np.diff(np.append(np.cumsum(gone)[begins] - 1, np.count_nonzero(gone)))
-        lo, m = np.zeros(len(rep), np.int64), np.zeros(len(rep), np.int64)
-        own = np.searchsorted(begins, np.append(skip, len(gone)))
-        lo[used], m[used] = own[:-1], np.diff(own)
-        shift = np.zeros(len(rep), np.int64)
-        shift[used] = skip
+        run = starts_of(name[used])
+        cut = run[starts_of(np.cumsum(count[used] + width - 1)[run] // SORTED)].tolist()
+        found = []
+        for a, z in zip(cut, [*cut[1:], len(used)], strict=True):
+            own = used[a:z]
+            stretch, first, length = _parts_that_go(data, begin[own], count[own], low[own], width)
+            found.append((own[stretch], first, length))
+        stretch, first, length = (np.concatenate(x) for x in zip(*found, strict=True))
+        m = np.bincount(stretch, minlength=len(rep))
+        lo = np.cumsum(m) - m
         rest = np.flatnonzero(~all_gone & (m[which] > 0))
         w = which[rest]
         k = np.repeat(lo[w] - (np.cumsum(m[w]) - m[w]), m[w]) + np.arange(int(m[w].sum()))
-        rest, w = np.repeat(rest, m[w]), np.repeat(w, m[w])
-        yield d[rest], h[rest], pos[rest] + begins[k] - shift[w], length[k]
+        rest = np.repeat(rest, m[w])
+        yield rest, e.pos[rest] + first[k], length[k]
 
-    found = exchange(per_bytes(join_found(docs, marked), send, PACK), answer, scratch, "strings", runs=True)
+    layout = {"steps": 2, "tables": [([np.uint16], [np.uint32]), ([np.uint8], [])]}
+    found = exchange(per_bytes(join_found(docs, marked), send, PACK, SLICE), layout, answer, scratch, "strings", runs=True)
     scratch.drop("anchors")
     return found
 
